@@ -1,0 +1,58 @@
+"""SQL-text twins of :mod:`platewise.functions.columns` for the DuckDB oracle.
+
+Each function returns an expression string performing the same exact
+arithmetic as its Column counterpart, so both engines agree bit for bit.
+"""
+
+from __future__ import annotations
+
+
+def _int(expr: str) -> str:
+    return f"CAST(({expr}) AS HUGEINT)"
+
+
+def cents(expr: str) -> str:
+    return f"CAST(({expr}) * 100 AS HUGEINT)"
+
+
+def money(expr: str) -> str:
+    return f"CAST(({expr}) AS DOUBLE)"
+
+
+def ratio_units(num: str, den: str, digits: int) -> str:
+    n, d = _int(num), _int(den)
+    q = f"((2 * abs({n}) * {10 ** digits} + abs({d})) // (2 * abs({d})))"
+    return f"(CASE WHEN {d} <> 0 THEN (CASE WHEN ({n} < 0) <> ({d} < 0) THEN -{q} ELSE {q} END) END)"
+
+
+def ratio(num: str, den: str, digits: int) -> str:
+    return f"(CAST({ratio_units(num, den, digits)} AS DOUBLE) / CAST({10 ** digits} AS DOUBLE))"
+
+
+def pct(num: str, den: str, digits: int) -> str:
+    return ratio(f"{_int(num)} * 100", den, digits)
+
+
+def half_up(expr: str, digits: int) -> str:
+    scale = f"CAST({10 ** digits} AS DOUBLE)"
+    return f"(floor(({expr}) * {scale} + CAST(0.5 AS DOUBLE)) / {scale})"
+
+
+def days_between(start: str, end: str) -> str:
+    return f"CAST(date_diff('day', CAST({start} AS DATE), CAST({end} AS DATE)) AS BIGINT)"
+
+
+def month_start(ts: str) -> str:
+    return f"CAST(date_trunc('month', {ts}) AS DATE)"
+
+
+def quarter_start(ts: str) -> str:
+    return f"CAST(date_trunc('quarter', {ts}) AS DATE)"
+
+
+def month_index(later: str, earlier: str) -> str:
+    return (f"CAST((year({later}) - year({earlier})) * 12 + month({later}) - month({earlier}) AS BIGINT)")
+
+
+def tier_rank(tier: str) -> str:
+    return f"(CASE {tier} WHEN 'smb' THEN 1 WHEN 'mid_market' THEN 2 WHEN 'enterprise' THEN 3 END)"
