@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import sources
-from ..operators import caterer
-from . import params as P  # noqa: F401
+from ..operators import caterer, retention, revenue
+from . import params as P
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +32,42 @@ def q1c_caterer_tier(spark, sf_dir):
     return caterer.caterer_tier(m.caterers, m.orders)
 
 
+def q2a_monthly_gmv_growth(spark, sf_dir):
+    return revenue.monthly_gmv_growth(_m(spark, sf_dir).orders)
+
+
+def q2b_revenue_pareto(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return revenue.revenue_pareto(m.corporate_accounts, m.orders)
+
+
+def q2c_gmv_by_tier_quarter(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return revenue.gmv_by_tier_quarter(m.corporate_accounts, m.orders)
+
+
+def q3a_order_cadence(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return retention.order_cadence(m.corporate_accounts, m.orders, P.ANALYSIS_DATE)
+
+
+def q3b_cohort_retention(spark, sf_dir):
+    return retention.cohort_retention(_m(spark, sf_dir).orders)
+
+
+def q3c_churn_risk(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return retention.churn_risk(m.corporate_accounts, m.orders, P.ANALYSIS_DATE)
+
+
 QUERIES: dict[str, Query] = {
     "q1a_caterer_scorecard": q1a_caterer_scorecard,
     "q1b_monthly_otd_trend": q1b_monthly_otd_trend,
     "q1c_caterer_tier": q1c_caterer_tier,
+    "q2a_monthly_gmv_growth": q2a_monthly_gmv_growth,
+    "q2b_revenue_pareto": q2b_revenue_pareto,
+    "q2c_gmv_by_tier_quarter": q2c_gmv_by_tier_quarter,
+    "q3a_order_cadence": q3a_order_cadence,
+    "q3b_cohort_retention": q3b_cohort_retention,
+    "q3c_churn_risk": q3c_churn_risk,
 }
