@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import sources
-from ..operators import caterer, retention, revenue
+from ..operators import caterer, experiment, ltv, promo, retention, revenue
 from . import params as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,82 @@ def q3c_churn_risk(spark, sf_dir):
     return retention.churn_risk(m.corporate_accounts, m.orders, P.ANALYSIS_DATE)
 
 
+def q4a_promo_vs_nonpromo(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return promo.promo_vs_nonpromo(m.corporate_accounts, m.orders, m.promo_orders)
+
+
+def q4b_campaign_roi(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return promo.campaign_roi(m.promotions, m.promo_orders, m.orders)
+
+
+def q4c_first_order_promo(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return promo.first_order_promo(m.orders, m.promo_orders)
+
+
+def q5a1_experiment_enrollment(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return experiment.experiment_enrollment(m.experiment_assignments, m.corporate_accounts, P.EXPERIMENT,
+                                            P.ENROLL_START, P.ENROLL_END)
+
+
+def _results(m: sources.Marketplace) -> DataFrame:
+    return experiment.experiment_results(m.experiment_assignments, m.corporate_accounts, m.orders,
+                                         P.EXPERIMENT, P.CONV_DAYS, P.GMV_DAYS)
+
+
+def q5a2_experiment_results(spark, sf_dir):
+    return experiment.results_report(_results(_m(spark, sf_dir)))
+
+
+def q5b1_conversion_by_variant(spark, sf_dir):
+    return experiment.conversion_by_variant(_results(_m(spark, sf_dir)))
+
+
+def q5b2_gmv_by_variant(spark, sf_dir):
+    return experiment.gmv_by_variant(_results(_m(spark, sf_dir)))
+
+
+def q5c1_results_by_tier(spark, sf_dir):
+    return experiment.results_by_tier(_results(_m(spark, sf_dir)))
+
+
+def q5c2_power_users(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return experiment.power_users(_results(m), m.orders, P.LAUNCH, P.LOOKBACK_DAYS, P.MIN_PRE_ORDERS)
+
+
+def q5c3_account_age(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return experiment.account_age(_results(m), m.corporate_accounts)
+
+
+def q5d_srm_check(spark, sf_dir):
+    return experiment.srm_check(_results(_m(spark, sf_dir)))
+
+
+def q5e_cancellation_guardrail(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return experiment.cancellation_guardrail(_results(m), m.orders, P.GMV_DAYS)
+
+
+def q6a_signup_funnel(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return ltv.signup_funnel(m.corporate_accounts, m.orders)
+
+
+def q6b_ltv_by_cohort(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return ltv.ltv_by_cohort(m.corporate_accounts, m.orders)
+
+
+def q6c_top_accounts_churn(spark, sf_dir):
+    m = _m(spark, sf_dir)
+    return ltv.top_accounts_churn(m.corporate_accounts, m.orders, P.ANALYSIS_DATE)
+
+
 QUERIES: dict[str, Query] = {
     "q1a_caterer_scorecard": q1a_caterer_scorecard,
     "q1b_monthly_otd_trend": q1b_monthly_otd_trend,
@@ -70,4 +146,19 @@ QUERIES: dict[str, Query] = {
     "q3a_order_cadence": q3a_order_cadence,
     "q3b_cohort_retention": q3b_cohort_retention,
     "q3c_churn_risk": q3c_churn_risk,
+    "q4a_promo_vs_nonpromo": q4a_promo_vs_nonpromo,
+    "q4b_campaign_roi": q4b_campaign_roi,
+    "q4c_first_order_promo": q4c_first_order_promo,
+    "q5a1_experiment_enrollment": q5a1_experiment_enrollment,
+    "q5a2_experiment_results": q5a2_experiment_results,
+    "q5b1_conversion_by_variant": q5b1_conversion_by_variant,
+    "q5b2_gmv_by_variant": q5b2_gmv_by_variant,
+    "q5c1_results_by_tier": q5c1_results_by_tier,
+    "q5c2_power_users": q5c2_power_users,
+    "q5c3_account_age": q5c3_account_age,
+    "q5d_srm_check": q5d_srm_check,
+    "q5e_cancellation_guardrail": q5e_cancellation_guardrail,
+    "q6a_signup_funnel": q6a_signup_funnel,
+    "q6b_ltv_by_cohort": q6b_ltv_by_cohort,
+    "q6c_top_accounts_churn": q6c_top_accounts_churn,
 }
