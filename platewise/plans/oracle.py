@@ -591,6 +591,89 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY CASE WHEN {overdue} THEN 'AT RISK' ELSE
 ORDER BY churn_signal DESC, outreach_priority_score DESC NULLS FIRST""")
 
 
+
+# --- data quality: generated from the same rule tables as the operators ---
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _row(table: str, rule: str, checked: str, violated: str, source: str) -> str:
+    return (f"SELECT {_lit(table)} AS table_name, {_lit(rule)} AS rule, "
+            f"CAST(COUNT(*) FILTER (WHERE {checked}) AS BIGINT) AS n_checked, "
+            f"CAST(COUNT(*) FILTER (WHERE {violated}) AS BIGINT) AS n_violations FROM {source}")
+
+
+def _union_all(rows: list[str]) -> str:
+    return _with("\nunused_ AS (SELECT 1)\n" + "\nUNION ALL\n".join(rows))
+
+
+def dq_not_null() -> str:
+    from ..operators.quality import not_null_columns
+    from ..sources.schemas import SCHEMAS
+    return _union_all([_row(t, f"not_null({c})", "TRUE", f"{c} IS NULL", t)
+                       for t in SCHEMAS for c in not_null_columns(t)])
+
+
+def dq_unique_key() -> str:
+    from ..operators.quality import PRIMARY_KEYS
+    rows = []
+    for t, keys in PRIMARY_KEYS.items():
+        for key in keys:
+            cols = ", ".join(key)
+            rows.append(f"SELECT {_lit(t)} AS table_name, {_lit(f'unique({cols})')} AS rule, "
+                        f"CAST(COALESCE(SUM(k), 0) AS BIGINT) AS n_checked, "
+                        f"CAST(COALESCE(SUM(CASE WHEN k > 1 THEN k ELSE 0 END), 0) AS BIGINT) AS n_violations "
+                        f"FROM (SELECT COUNT(*) AS k FROM {t} GROUP BY {cols})")
+    return _union_all(rows)
+
+
+def dq_foreign_key() -> str:
+    from ..operators.quality import FOREIGN_KEYS
+    rows = []
+    for child, fk, parent, pk in FOREIGN_KEYS:
+        rows.append(f"SELECT {_lit(child)} AS table_name, {_lit(f'{fk} references {parent}({pk})')} AS rule, "
+                    f"CAST(COUNT(*) AS BIGINT) AS n_checked, "
+                    f"CAST(COUNT(*) FILTER (WHERE p_.pk_ IS NULL) AS BIGINT) AS n_violations "
+                    f"FROM {child} c_ LEFT JOIN (SELECT DISTINCT {pk} AS pk_ FROM {parent}) p_ ON c_.{fk} = p_.pk_ "
+                    f"WHERE c_.{fk} IS NOT NULL")
+    return _union_all(rows)
+
+
+def dq_domain() -> str:
+    from ..operators.quality import DOMAINS
+    rows = []
+    for t, col, values in DOMAINS:
+        inlist = ", ".join(_lit(v) for v in values)
+        rows.append(_row(t, f"{col} in ({', '.join(values)})", f"{col} IS NOT NULL",
+                         f"{col} IS NOT NULL AND {col} NOT IN ({inlist})", t))
+    return _union_all(rows)
+
+
+def dq_range() -> str:
+    from ..operators.quality import RANGES
+    return _union_all([_row(t, pred, f"{col} IS NOT NULL", f"{col} IS NOT NULL AND NOT ({pred})", t)
+                       for t, col, pred in RANGES])
+
+
+def dq_length() -> str:
+    from ..operators.quality import MAX_LENGTHS
+    return _union_all([_row(t, f"length({c}) <= {n}", f"{c} IS NOT NULL", f"length({c}) > {n}", t)
+                       for t, cols in MAX_LENGTHS.items() for c, n in cols.items()])
+
+
+def dq_default_fill() -> str:
+    from ..operators.quality import DEFAULTS
+    return _union_all([_row(t, f"default({c} = {v!r})", "TRUE", f"{c} IS NULL", t)
+                       for t, cols in DEFAULTS.items() for c, v in cols.items()])
+
+
+def dq_status_timestamps() -> str:
+    from ..operators.quality import STATUS_TIMESTAMP_RULES
+    return _union_all([_row("orders", name, "TRUE", f"COALESCE({pred}, FALSE)", "orders")
+                       for name, pred in STATUS_TIMESTAMP_RULES])
+
+
 ORACLE: dict[str, str] = {
     "q1a_caterer_scorecard": q1a(),
     "q1b_monthly_otd_trend": q1b(),
@@ -616,4 +699,12 @@ ORACLE: dict[str, str] = {
     "q6a_signup_funnel": q6a(),
     "q6b_ltv_by_cohort": q6b(),
     "q6c_top_accounts_churn": q6c(),
+    "dq_not_null": dq_not_null(),
+    "dq_unique_key": dq_unique_key(),
+    "dq_foreign_key": dq_foreign_key(),
+    "dq_domain": dq_domain(),
+    "dq_range": dq_range(),
+    "dq_length": dq_length(),
+    "dq_default_fill": dq_default_fill(),
+    "dq_status_timestamps": dq_status_timestamps(),
 }

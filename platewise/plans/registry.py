@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import sources
-from ..operators import caterer, experiment, ltv, promo, retention, revenue
+from ..operators import caterer, experiment, ltv, promo, quality, retention, revenue
 from . import params as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +136,17 @@ def q6c_top_accounts_churn(spark, sf_dir):
     return ltv.top_accounts_churn(m.corporate_accounts, m.orders, P.ANALYSIS_DATE)
 
 
+def _dq(check):
+    def run(spark, sf_dir):
+        return check(_m(spark, sf_dir).as_dict())
+    run.__name__ = check.__name__
+    return run
+
+
+def dq_status_timestamps(spark, sf_dir):
+    return quality.status_timestamp_check(_m(spark, sf_dir).orders)
+
+
 QUERIES: dict[str, Query] = {
     "q1a_caterer_scorecard": q1a_caterer_scorecard,
     "q1b_monthly_otd_trend": q1b_monthly_otd_trend,
@@ -161,4 +172,12 @@ QUERIES: dict[str, Query] = {
     "q6a_signup_funnel": q6a_signup_funnel,
     "q6b_ltv_by_cohort": q6b_ltv_by_cohort,
     "q6c_top_accounts_churn": q6c_top_accounts_churn,
+    "dq_not_null": _dq(quality.not_null_check),
+    "dq_unique_key": _dq(quality.unique_key_check),
+    "dq_foreign_key": _dq(quality.foreign_key_check),
+    "dq_domain": _dq(quality.domain_check),
+    "dq_range": _dq(quality.range_check),
+    "dq_length": _dq(quality.length_check),
+    "dq_default_fill": _dq(quality.default_fill_check),
+    "dq_status_timestamps": dq_status_timestamps,
 }
