@@ -44,7 +44,7 @@ def revenue_pareto(accounts: DataFrame, orders: DataFrame, threshold: int = 80,
 
     The running share uses the RANGE frame of ``ORDER BY total_gmv DESC`` (tied
     accounts share it) and is computed with the distributed running sum; the
-    grand total is a one-row aggregate.  Accounts whose *rounded* running share
+    grand total is read off the same per-range table.  Accounts whose *rounded* running share
     is at most ``threshold`` are flagged.
     """
     per_account = orders.filter(F.col("order_status") == "delivered").groupBy("account_id").agg(
@@ -53,10 +53,9 @@ def revenue_pareto(accounts: DataFrame, orders: DataFrame, threshold: int = 80,
     base = accounts.select("account_id", "company_name", "account_tier", "industry") \
         .join(per_account, "account_id")
     with_cum = ranking.range_running_sum(base, "total_gmv", "total_gmv", "cum_gmv", descending=True,
-                                         num_ranges=num_ranges)
-    total = F.broadcast(per_account.agg(F.sum("total_gmv").alias("grand_gmv")))
+                                         num_ranges=num_ranges, total="grand_gmv")
     cum_pct = C.ratio(C.cents("cum_gmv") * 100, C.cents("grand_gmv"), 1)
-    return with_cum.crossJoin(total).select(
+    return with_cum.select(
         "company_name", "account_tier", "industry",
         F.col("total_orders").cast("long").alias("total_orders"),
         C.money("total_gmv").alias("total_gmv"),
