@@ -90,17 +90,20 @@ def first_order_promo(orders: DataFrame, promo_orders: DataFrame) -> DataFrame:
     exact, on both rows); ``promo_ltv_lift_as_written`` keeps the source's
     expression, which filters inside its own group and is always NULL.
     """
-    first_ts = orders.filter(F.col("order_status") != "cancelled").groupBy(
-        F.col("account_id").alias("first_account")).agg(F.min("placed_at").alias("first_ts"))
-    # composite key: a hot account's orders still spread over many partitions
+    delivered = F.col("order_status") == "delivered"
+    # one pass per account: first non-cancelled timestamp and delivered lifetime value
+    per_account = orders.groupBy(F.col("account_id").alias("first_account")).agg(
+        F.min(F.when(F.col("order_status") != "cancelled", F.col("placed_at"))).alias("first_ts"),
+        F.count_if(delivered).alias("lifetime_orders"),
+        F.sum(F.when(delivered, F.col("order_total_usd"))).alias("lifetime_gmv"))
+    # composite key: a hot account's orders still spread over many partitions;
+    # accounts without a delivered order drop out (inner join to their LTV)
     firsts = orders.select("order_id", "account_id", "placed_at").join(
-        first_ts, (F.col("account_id") == F.col("first_account")) & (F.col("placed_at") == F.col("first_ts"))
-    ).select("order_id", "account_id")
-    flagged = firsts.join(promo_orders.select("order_id", "promo_id"), "order_id", "left").select(
-        "account_id", F.col("promo_id").isNotNull().alias("first_order_had_promo"))
-    ltv = orders.filter(F.col("order_status") == "delivered").groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("lifetime_orders"), F.sum("order_total_usd").alias("lifetime_gmv"))
-    rows = flagged.join(ltv, "account_id")
+        per_account.filter(F.col("lifetime_orders") > 0),
+        (F.col("account_id") == F.col("first_account")) & (F.col("placed_at") == F.col("first_ts")))
+    rows = firsts.join(promo_orders.select("order_id", "promo_id"), "order_id", "left").select(
+        "account_id", F.col("promo_id").isNotNull().alias("first_order_had_promo"),
+        "lifetime_orders", "lifetime_gmv")
     flag, gmv = F.col("first_order_had_promo"), F.col("lifetime_gmv")
     g = rows.groupBy("first_order_had_promo").agg(
         F.count("account_id").alias("accounts"),
