@@ -207,3 +207,15 @@ def status_timestamp_check(orders: DataFrame, rules=STATUS_TIMESTAMP_RULES) -> D
     """Lifecycle timestamps consistent with the order status."""
     return _one_pass(orders, "orders", [(name, F.lit(True), F.coalesce(F.expr(pred), F.lit(False)))
                                         for name, pred in rules])
+
+
+def fill_cancelled_at(orders: DataFrame, hours: int = 2) -> DataFrame:
+    """Derive ``cancelled_at`` for cancelled orders that lack it (``placed_at`` + ``hours``).
+
+    The seed load sets it this way after inserting the orders; other rows keep
+    their value.
+    """
+    derived = F.col("placed_at") + F.make_dt_interval(hours=F.lit(hours))
+    return orders.withColumn("cancelled_at", F.when(
+        (F.col("order_status") == "cancelled") & F.col("cancelled_at").isNull(), derived
+    ).otherwise(F.col("cancelled_at")))
