@@ -3,7 +3,8 @@
 Pipeline measured, as it runs in production:
 
 1. ingest: the driver's test tables are mapped to the canonical layout once
-   and written as parquet (orders range-clustered by ``placed_at``);
+   and written as parquet (orders range-clustered by ``placed_at``), timed
+   after one untimed warm-up ingest;
 2. every registered query runs on that canonical copy, fully executed with
    the ``noop`` sink (no driver collection): one warm-up pass, then
    ``$BENCH_RUNS`` timed passes (default 3), median per query.
@@ -55,7 +56,10 @@ def main() -> None:
                         extra={"spark.driver.memory": "16g"})
     keys = only or list(registry.QUERIES)
 
-    canonical = os.path.join(scratch_root(spark), f"platewise-canonical-{uuid.uuid4().hex[:8]}")
+    root = scratch_root(spark)
+    # untimed warm-up ingest (JIT, class loading), like the warm-up pass of the queries
+    sources.write_canonical(sources.load(spark, sf_dir), os.path.join(root, f"warmup-{uuid.uuid4().hex[:8]}"))
+    canonical = os.path.join(root, f"platewise-canonical-{uuid.uuid4().hex[:8]}")
     t0 = time.perf_counter()
     sources.write_canonical(sources.load(spark, sf_dir), canonical)
     ingest = time.perf_counter() - t0

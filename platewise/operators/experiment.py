@@ -40,6 +40,21 @@ def first_assignment(assignments: DataFrame, experiment: str,
     return first.select("account_id", "f.experiment_name", "f.variant", "f.assigned_at")
 
 
+def within_enrollment_span(orders: DataFrame, cohort: DataFrame, horizon_days: int) -> DataFrame:
+    """Orders that can fall in any account's window: from the first enrollment day to the
+    last enrollment day + ``horizon_days``.
+
+    The bounds are a one-row aggregate of the cohort, broadcast; the filter
+    runs map-side before the per-(account, day) roll-up, so years of order
+    history outside the experiment are never shuffled.
+    """
+    bounds = F.broadcast(cohort.agg(F.min("enrollment_date").alias("_lo"), F.max("enrollment_date").alias("_hi")))
+    return orders.crossJoin(bounds).filter(
+        (F.col("placed_at") >= F.col("_lo").cast("timestamp_ntz"))
+        & (F.col("placed_at") < F.date_add(F.col("_hi"), horizon_days + 1).cast("timestamp_ntz"))
+    ).drop("_lo", "_hi")
+
+
 def experiment_enrollment(assignments: DataFrame, accounts: DataFrame, experiment: str = "SPRING20",
                           start: str | dt.date = "2024-03-01", end: str | dt.date = "2024-06-01") -> DataFrame:
     """A1: first assignment inside [start, end) per account, with account attributes."""
@@ -62,7 +77,8 @@ def experiment_results(assignments: DataFrame, accounts: DataFrame, orders: Data
     """
     cohort = first_assignment(assignments, experiment).select(
         "account_id", "variant", C.day("assigned_at").alias("enrollment_date"))
-    daily = orders.filter(F.col("order_status") == "delivered").groupBy(
+    daily = within_enrollment_span(orders.filter(F.col("order_status") == "delivered"), cohort,
+                                   max(conv_days, gmv_days)).groupBy(
         "account_id", C.day("placed_at").alias("order_day")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("order_total_usd").alias("gmv"),
@@ -241,11 +257,13 @@ def srm_check(results: DataFrame, expected_share: float = 0.5, tolerance: float
 
 def cancellation_guardrail(results: DataFrame, orders: DataFrame, days: int = 60) -> DataFrame:
     """E: orders (any status) and cancellations within ``days`` of enrollment, per variant."""
-    daily = orders.groupBy("account_id", C.day("placed_at").alias("order_day")).agg(
+    enrolled = results.select("account_id", "variant", "enrollment_date")
+    daily = within_enrollment_span(orders, enrolled, days).groupBy(
+        "account_id", C.day("placed_at").alias("order_day")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("order_status") == "cancelled").alias("cancelled"))
     offset = F.datediff(F.col("order_day"), F.col("enrollment_date"))
-    g = results.select("account_id", "variant", "enrollment_date").join(daily, "account_id") \
+    g = enrolled.join(daily, "account_id") \
         .filter((offset >= 0) & (offset <= days)).groupBy("variant").agg(
             F.sum("n").alias("n"), F.sum("cancelled").alias("cancelled"))
     return g.select(

@@ -45,7 +45,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     session.  Only a local-mode session without the setting (tests, the bench)
     gets a fresh folder of its own.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's own spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", None)
     path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not sc.master.startswith("local"):

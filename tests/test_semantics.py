@@ -214,3 +214,79 @@ def test_quality_checks_find_violations(spark):
     assert st["cancelled has cancelled_at"].n_violations == 1
     assert st["actual_delivery only when delivered"].n_violations == 1
     assert quality.foreign_key_rows(o, "account_id", a, "account_id").count() == 1
+
+
+def test_rolling_otd_counts_rows_not_months(spark):
+    c = caterers(spark, dict(caterer_id=1, caterer_name="A", is_active=False))   # inactive still reported
+    late = ts(2024, 1, 2, 13)
+    o = orders(spark, dict(placed_at=ts(2024, 1, 5)),                               # Jan: 1/1 on time
+               dict(placed_at=ts(2024, 1, 6), actual_delivery=late),                # Jan: 1/2
+               dict(placed_at=ts(2024, 4, 1), actual_delivery=late),                # Apr: 0/1 (Feb, Mar empty)
+               dict(placed_at=ts(2024, 5, 1)), dict(placed_at=ts(2024, 6, 1)))     # May, Jun: 1/1
+    rows = caterer.monthly_otd_trend(c, o).collect()
+    assert [r.otd_pct for r in rows] == [50.0, 0.0, 100.0, 100.0]
+    # mean of unrounded monthly rates over the last three rows that exist
+    assert [r.otd_3mo_rolling_avg for r in rows] == [50.0, 25.0, 50.0, 66.7]
+
+
+def test_yoy_is_twelve_rows_back(spark):
+    months = [ts(2023, m, 1) for m in range(1, 13)] + [ts(2024, 2, 1)]             # January 2024 missing
+    o = orders(spark, *[dict(placed_at=p, order_total_usd=D("100.00") + i) for i, p in enumerate(months)])
+    rows = revenue.monthly_gmv_growth(o).collect()
+    last = rows[-1]
+    assert last.order_month == date(2024, 2, 1)
+    assert last.yoy_growth_pct == 12.0        # 112 vs 100: the row twelve back is January 2023
+    assert rows[0].mom_growth_pct is None and last.cumulative_gmv_usd == sum(100 + i for i in range(13))
+
+
+def test_enrollment_window_applies_before_dedup(spark):
+    a = accounts(spark, dict(account_id=1))
+    ea = _assignments(spark, [dict(assignment_id=1, account_id=1, variant="control", assigned_at=ts(2024, 2, 20)),
+                              dict(assignment_id=2, account_id=1, variant="treatment", assigned_at=ts(2024, 3, 5)),
+                              dict(assignment_id=3, account_id=1, variant="control", assigned_at=ts(2024, 3, 5))])
+    (r,) = experiment.experiment_enrollment(ea, a).collect()
+    assert (r.variant, r.assignment_date) == ("treatment", date(2024, 3, 5))   # first inside the range, tie by id
+
+
+def _results(spark, rows):
+    schema = ("account_id long, variant string, enrollment_date date, account_tier string, industry string, "
+              "converted long, first_order_date date, days_to_first_order long, first_order_value decimal(10,2), "
+              "gmv_60d decimal(10,2), orders_60d long, first_order_value_true decimal(10,2)")
+    full = [(r["id"], r["variant"], r.get("enr", date(2024, 3, 1)), r.get("tier", "smb"), None, r.get("conv", 0),
+             None, None, D("0"), D(r.get("gmv", "0")), 0, D("0")) for r in rows]
+    return spark.createDataFrame(full, schema)
+
+
+def test_tier_lifts(spark):
+    res = _results(spark, [dict(id=1, variant="control", conv=1), dict(id=2, variant="control"),
+                           dict(id=3, variant="treatment", conv=1), dict(id=4, variant="treatment", conv=1),
+                           dict(id=5, variant="treatment")])
+    r = by(experiment.results_by_tier(res).collect(), "variant")
+    assert r["treatment"].lift_vs_control_pp == 16.67          # 66.67 - 50
+    assert r["treatment"].lift_vs_tier_mean_pp == 8.33         # 66.67 - mean(50, 66.67)
+    assert r["control"].lift_vs_control_pp == 0.0
+
+
+def test_power_users_and_age_segments(spark):
+    res = _results(spark, [dict(id=1, variant="control", conv=1, gmv="10"), dict(id=2, variant="control"),
+                           dict(id=3, variant="treatment", enr=date(2022, 12, 1))])
+    o = orders(spark, *[dict(account_id=1, placed_at=ts(2024, 2, d)) for d in (1, 2, 3, 4)],
+               dict(account_id=2, placed_at=ts(2024, 2, 1)))
+    pu = {(r.user_segment, r.variant): r for r in experiment.power_users(res, o).collect()}
+    assert pu[("Power User", "control")].avg_pre_exp_orders == 4.0
+    assert pu[("Regular User", "control")].avg_pre_exp_orders is None
+    a = accounts(spark, dict(account_id=1, created_at=date(2024, 1, 15)), dict(account_id=2, created_at=date(2023, 6, 1)),
+                 dict(account_id=3, created_at=date(2023, 1, 1)))
+    seg = {(r.account_age_segment, r.variant) for r in experiment.account_age(res, a).collect()}
+    assert seg == {("New Account (< 60 days)", "control"), ("Established Account (180+ days)", "control"),
+                   ("New Account (< 60 days)", "treatment")}                  # negative age counts as new
+
+
+def test_guardrail_drops_accounts_without_orders(spark):
+    res = _results(spark, [dict(id=1, variant="control"), dict(id=2, variant="treatment")])
+    o = orders(spark, dict(account_id=1, placed_at=ts(2024, 3, 1, 9)),
+               dict(account_id=1, placed_at=ts(2024, 3, 20), order_status="cancelled"),
+               dict(account_id=1, placed_at=ts(2024, 6, 1)))                  # day 92: outside
+    rows = experiment.cancellation_guardrail(res, o).collect()
+    assert [(r.variant, r.total_orders, r.cancellations, r.cancellation_rate_pct) for r in rows] == \
+        [("control", 2, 1, 50.0)]
