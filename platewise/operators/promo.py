@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
-def promo_vs_nonpromo(accounts: DataFrame, orders: DataFrame, promo_orders: DataFrame) -> DataFrame:
+def promo_vs_nonpromo(accounts: DataFrame, orders: DataFrame, promo_orders: DataFrame,
+                      dedupe: bool = False) -> DataFrame:
     """Tier x (Promo | Non-Promo): delivered orders, order value, discount, headcount.
 
     As in the source, an order linked to k promotions counts k times (the
-    left join fans out) and a discounted order without a link is Non-Promo.
-    The fan-out is applied as a weight: links are counted per order, orders
-    are rolled up per (account, order type), and only that roll-up meets the
-    accounts table.
+    left join fans out) and a discounted order without a link is Non-Promo;
+    ``dedupe=True`` counts every order once.  The fan-out is applied as a
+    weight: links are counted per order, orders are rolled up per
+    (account, order type), and only that roll-up meets the accounts table.
     """
     links = promo_orders.groupBy("order_id").agg(F.count(F.lit(1)).alias("links"))
     delivered = orders.filter(F.col("order_status") == "delivered") \
@@ -25,7 +26,7 @@ def promo_vs_nonpromo(accounts: DataFrame, orders: DataFrame, promo_orders: Data
     weighted = delivered.join(links, "order_id", "left").select(
         "account_id",
         F.when(F.col("links").isNotNull(), F.lit("Promo")).otherwise(F.lit("Non-Promo")).alias("order_type"),
-        F.coalesce(F.col("links"), F.lit(1)).alias("w"),
+        (F.lit(1) if dedupe else F.coalesce(F.col("links"), F.lit(1))).alias("w"),
         "order_total_usd", "discount_usd", "headcount")
     w = F.col("w")
     per_account = weighted.groupBy("account_id", "order_type").agg(
@@ -81,29 +82,41 @@ def campaign_roi(promotions: DataFrame, promo_orders: DataFrame, orders: DataFra
     ).orderBy(F.col("net_gmv_usd").desc_nulls_last())
 
 
-def first_order_promo(orders: DataFrame, promo_orders: DataFrame) -> DataFrame:
+def first_order_promo(orders: DataFrame, promo_orders: DataFrame, strict: bool = False) -> DataFrame:
     """Lifetime delivered orders / GMV of accounts whose first order had a promo vs not.
 
     First orders are every order (any status) placed at the account's first
-    non-cancelled timestamp, fanned out by promo links, as written.
+    non-cancelled timestamp, fanned out by promo links, as written.  With
+    ``strict=True`` each account has exactly one first order, the earliest
+    non-cancelled one by (placed_at, order_id), flagged if it has any link.
     ``promo_ltv_lift_usd`` is the real lift (promo mean minus organic mean,
     exact, on both rows); ``promo_ltv_lift_as_written`` keeps the source's
     expression, which filters inside its own group and is always NULL.
     """
     delivered = F.col("order_status") == "delivered"
     # one pass per account: first non-cancelled timestamp and delivered lifetime value
+    live = F.col("order_status") != "cancelled"
     per_account = orders.groupBy(F.col("account_id").alias("first_account")).agg(
-        F.min(F.when(F.col("order_status") != "cancelled", F.col("placed_at"))).alias("first_ts"),
+        F.min(F.when(live, F.col("placed_at"))).alias("first_ts"),
+        F.min(F.when(live, F.struct("placed_at", "order_id"))).alias("first"),
         F.count_if(delivered).alias("lifetime_orders"),
         F.sum(F.when(delivered, F.col("order_total_usd"))).alias("lifetime_gmv"))
-    # composite key: a hot account's orders still spread over many partitions;
     # accounts without a delivered order drop out (inner join to their LTV)
-    firsts = orders.select("order_id", "account_id", "placed_at").join(
-        per_account.filter(F.col("lifetime_orders") > 0),
-        (F.col("account_id") == F.col("first_account")) & (F.col("placed_at") == F.col("first_ts")))
-    rows = firsts.join(promo_orders.select("order_id", "promo_id"), "order_id", "left").select(
-        "account_id", F.col("promo_id").isNotNull().alias("first_order_had_promo"),
-        "lifetime_orders", "lifetime_gmv")
+    per_account = per_account.filter(F.col("lifetime_orders") > 0)
+    if strict:
+        linked = promo_orders.select("order_id").distinct().withColumn("_linked", F.lit(True))
+        rows = per_account.select(F.col("first_account").alias("account_id"), F.col("first.order_id").alias("order_id"),
+                                  "lifetime_orders", "lifetime_gmv") \
+            .join(linked, "order_id", "left").select(
+                "account_id", F.coalesce(F.col("_linked"), F.lit(False)).alias("first_order_had_promo"),
+                "lifetime_orders", "lifetime_gmv")
+    else:
+        # composite key: a hot account's orders still spread over many partitions
+        firsts = orders.select("order_id", "account_id", "placed_at").join(
+            per_account, (F.col("account_id") == F.col("first_account")) & (F.col("placed_at") == F.col("first_ts")))
+        rows = firsts.join(promo_orders.select("order_id", "promo_id"), "order_id", "left").select(
+            "account_id", F.col("promo_id").isNotNull().alias("first_order_had_promo"),
+            "lifetime_orders", "lifetime_gmv")
     flag, gmv = F.col("first_order_had_promo"), F.col("lifetime_gmv")
     g = rows.groupBy("first_order_had_promo").agg(
         F.count("account_id").alias("accounts"),

@@ -9,12 +9,15 @@ from ..functions import columns as C
 from . import ranking
 
 
-def monthly_gmv_growth(orders: DataFrame) -> DataFrame:
+def monthly_gmv_growth(orders: DataFrame, calendar: bool = False) -> DataFrame:
     """Delivered orders per month with MoM / YoY growth and cumulative GMV.
 
     ``LAG(12)`` is twelve rows back (months without orders have no row), as in
-    the source.  The window runs over the monthly aggregate: one row per
-    calendar month, so its single partition is bounded by the calendar.
+    the source.  With ``calendar=True`` a month spine from the first to the
+    last month is joined first, so empty months appear with zero orders and
+    GMV, and twelve rows back is twelve months back.  The window runs over the
+    monthly aggregate: one row per calendar month, so its single partition is
+    bounded by the calendar.
     """
     monthly = orders.filter(F.col("order_status") == "delivered").groupBy(
         C.month_start("placed_at").alias("order_month")).agg(
@@ -22,6 +25,13 @@ def monthly_gmv_growth(orders: DataFrame) -> DataFrame:
         F.sum("order_total_usd").alias("gmv"),
         F.sum("discount_usd").alias("disc"),
         F.sum(F.col("order_total_usd") - F.col("discount_usd")).alias("net"))
+    if calendar:
+        span = monthly.agg(F.min("order_month").alias("lo"), F.max("order_month").alias("hi"))
+        spine = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("order_month"))
+        zero = F.lit(0).cast("decimal(20,2)")
+        monthly = spine.join(monthly, "order_month", "left").select(
+            "order_month", F.coalesce("order_count", F.lit(0)).alias("order_count"),
+            *[F.coalesce(c, zero).alias(c) for c in ("gmv", "disc", "net")])
     w = Window.orderBy("order_month")
     g = C.cents("gmv")
     prev, prev12 = F.lag(g, 1).over(w), F.lag(g, 12).over(w)

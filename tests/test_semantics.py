@@ -290,3 +290,23 @@ def test_guardrail_drops_accounts_without_orders(spark):
     rows = experiment.cancellation_guardrail(res, o).collect()
     assert [(r.variant, r.total_orders, r.cancellations, r.cancellation_rate_pct) for r in rows] == \
         [("control", 2, 1, 50.0)]
+
+
+def test_calendar_spine_makes_yoy_twelve_months(spark):
+    months = [ts(2023, m, 1) for m in range(1, 13)] + [ts(2024, 2, 1)]             # January 2024 missing
+    o = orders(spark, *[dict(placed_at=p, order_total_usd=D("100.00") + i) for i, p in enumerate(months)])
+    rows = revenue.monthly_gmv_growth(o, calendar=True).collect()
+    assert len(rows) == 14 and rows[12].order_count == 0 and rows[12].gmv_usd == 0.0
+    assert rows[13].yoy_growth_pct == 10.9    # Feb 2024 (112) against Feb 2023 (101): 10.89 %
+
+
+def test_promo_dedupe_and_strict_first_order(spark):
+    a = accounts(spark, dict(account_id=1))
+    o = orders(spark, dict(placed_at=ts(2024, 1, 1)), dict(placed_at=ts(2024, 1, 1)))   # tied first orders
+    po = make(spark, S.PROMO_ORDERS, [dict(promo_id=1, order_id=1), dict(promo_id=2, order_id=1)])
+    res = by(promo.promo_vs_nonpromo(a, o, po, dedupe=True).collect(), "order_type")
+    assert (res["Promo"].order_count, res["Non-Promo"].order_count) == (1, 1)
+    as_written = {r.first_order_had_promo: r.accounts for r in promo.first_order_promo(o, po).collect()}
+    assert as_written == {True: 2, False: 1}                  # tie and fan-out duplicate the account
+    strict = {r.first_order_had_promo: r.accounts for r in promo.first_order_promo(o, po, strict=True).collect()}
+    assert strict == {True: 1}
