@@ -41,15 +41,15 @@ def ratio_units(num: Column | str, den: Column | str, digits: int) -> Column:
     """``num / den`` rounded half away from zero to ``digits`` decimals, times 10**digits.
 
     ``num`` and ``den`` must be integral (counts, cents, day numbers).  NULL
-    when ``den`` is 0 or NULL, like ``x / NULLIF(den, 0)``.
+    when ``den`` is 0 or NULL, like ``x / NULLIF(den, 0)``.  Exact: with
+    s = +1 when num/den >= 0 and -1 otherwise, the result is the integral
+    quotient (truncated toward zero) of ``2*num*10**digits + s*den`` by
+    ``2*den``, computed on decimals by ``div``.
     """
     n = _c(num).cast(_INT)
-    d = _c(den).cast(_INT)
-    safe_d = F.when(d == 0, F.lit(1).cast(_INT)).otherwise(d)  # no ANSI error on the guarded branch
-    a = F.abs(n) * (2 * 10 ** digits) + F.abs(safe_d)
-    b = F.abs(safe_d) * 2
-    q = ((a - a % b) / b).cast(_INT)
-    return F.when(d != 0, F.when((n < 0) != (d < 0), -q).otherwise(q))
+    d = F.nullif(_c(den).cast(_INT), F.lit(0).cast(_INT))
+    s = F.when((n < 0) != (d < 0), F.lit(-1)).otherwise(F.lit(1))
+    return F.call_function("div", n * (2 * 10 ** digits) + s * d, d * 2)
 
 
 def ratio(num: Column | str, den: Column | str, digits: int) -> Column:
