@@ -65,3 +65,15 @@ def test_fill_cancelled_at(spark):
     blanked = m.orders.withColumn("cancelled_at", F.lit(None).cast("timestamp_ntz"))
     filled = quality.fill_cancelled_at(blanked)
     assert sorted(filled.collect()) == sorted(m.orders.collect())
+
+
+@pytest.mark.parametrize("key", ["q1c_caterer_tier", "q2b_revenue_pareto", "q5b2_gmv_by_variant"])
+def test_single_partition_exchanges_carry_only_range_totals(spark, key):
+    """Global ranks never route the ranked rows through one task: the only
+    single-partition exchanges feed the per-range offsets window."""
+    text = plan_text(registry.QUERIES[key](spark, SF_SMALL))
+    nodes = text.split("\n\n")
+    singles = [n for n in nodes if "Arguments: SinglePartition" in n]
+    for node in singles:
+        inputs = node.split("Input [", 1)[1].split("\n", 1)[0]
+        assert "_rng" in inputs or inputs.startswith(("1]", "2]", "3]", "4]")), node
