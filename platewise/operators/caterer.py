@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.labels import TIER_LABELS
 from . import ranking
 
 _MICROS_PER_MINUTE = 60_000_000
@@ -94,9 +95,6 @@ def monthly_otd_trend(caterers: DataFrame, orders: DataFrame, window_rows: int =
     ).orderBy("caterer_name", "order_month")
 
 
-TIER_LABELS = {4: "Platinum", 3: "Gold", 2: "Silver", 1: "Needs Improvement"}
-
-
 def caterer_tier(caterers: DataFrame, orders: DataFrame, weights: tuple[float, float, float] = (0.40, 0.35, 0.25),
                  num_ranges: int | None = None) -> DataFrame:
     """Composite score of GMV percentile, on-time rate and rating; quartile badge.

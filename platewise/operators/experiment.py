@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources import labels as L
 from ..session import ensure_checkpoint_dir
 
 
@@ -206,7 +207,7 @@ def power_users(results: DataFrame, orders: DataFrame, launch: str | dt.date = "
                         & (F.col("placed_at") >= C.ts_lit(start)) & (F.col("placed_at") < C.ts_lit(launch_day))) \
         .groupBy("account_id").agg(F.count(F.lit(1)).alias("pre_orders")) \
         .filter(F.col("pre_orders") >= min_orders)
-    seg = F.when(F.col("pre_orders").isNotNull(), F.lit("Power User")).otherwise(F.lit("Regular User"))
+    seg = F.when(F.col("pre_orders").isNotNull(), F.lit(L.POWER_USER)).otherwise(F.lit(L.REGULAR_USER))
     g = results.join(pre, "account_id", "left").withColumn("user_segment", seg) \
         .groupBy("user_segment", "variant").agg(
             F.count(F.lit(1)).alias("n"), F.sum("converted").alias("conv"), F.sum("gmv_60d").alias("gmv"),
@@ -220,14 +221,10 @@ def power_users(results: DataFrame, orders: DataFrame, launch: str | dt.date = "
     ).orderBy("user_segment", "variant")
 
 
-# The account-age segment labels of the source.
-AGE_LABELS = ("New Account (< 60 days)", "Growing Account (60–180 days)", "Established Account (180+ days)")
-
-
 def account_age(results: DataFrame, accounts: DataFrame) -> DataFrame:
     """C3: new (< 60 d) / growing (< 180 d) / established accounts at enrollment x variant."""
     age = F.datediff(F.col("enrollment_date"), F.col("created_at"))
-    seg = F.when(age < 60, F.lit(AGE_LABELS[0])).when(age < 180, F.lit(AGE_LABELS[1])).otherwise(F.lit(AGE_LABELS[2]))
+    seg = F.when(age < 60, F.lit(L.AGE_LABELS[0])).when(age < 180, F.lit(L.AGE_LABELS[1])).otherwise(F.lit(L.AGE_LABELS[2]))
     g = _segment_metrics(
         results.join(accounts.select("account_id", "created_at"), "account_id").withColumn("account_age_segment", seg),
         "account_age_segment")
@@ -239,9 +236,6 @@ def account_age(results: DataFrame, accounts: DataFrame) -> DataFrame:
     ).orderBy("account_age_segment", "variant")
 
 
-SRM_LABELS = ("⚠ SRM DETECTED", "OK")
-
-
 def srm_check(results: DataFrame, expected_share: float = 0.5, tolerance: float = 0.02) -> DataFrame:
     """D: enrolled accounts per variant, share of total, flag when off the expected share."""
     g = results.groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
@@ -252,7 +246,7 @@ def srm_check(results: DataFrame, expected_share: float = 0.5, tolerance: float
         "variant",
         n.cast("long").alias("n_enrolled"),
         C.pct("n", "total", 2).alias("pct_of_total"),
-        F.when(off, F.lit(SRM_LABELS[0])).otherwise(F.lit(SRM_LABELS[1])).alias("srm_status"))
+        F.when(off, F.lit(L.SRM_LABELS[0])).otherwise(F.lit(L.SRM_LABELS[1])).alias("srm_status"))
 
 
 def cancellation_guardrail(results: DataFrame, orders: DataFrame, days: int = 60) -> DataFrame:

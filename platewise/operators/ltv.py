@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources import labels as L
 from .retention import mean_gap_days
 
 
@@ -85,9 +86,6 @@ def ltv_by_cohort(accounts: DataFrame, orders: DataFrame, horizons: Sequence[int
     ).orderBy("signup_cohort", "account_tier")
 
 
-CHURN_SIGNALS = ("AT RISK", "HEALTHY")
-
-
 def top_accounts_churn(accounts: DataFrame, orders: DataFrame, analysis_date: str | dt.date = "2024-12-31",
                        top_k: int = 20, multiple: int = 2, min_orders: int = 3) -> DataFrame:
     """6C: the ``top_k`` accounts by lifetime GMV in each risk partition, with churn signal and score.
@@ -115,12 +113,12 @@ def top_accounts_churn(accounts: DataFrame, orders: DataFrame, analysis_date: st
             F.datediff(C.date_lit(analysis_date), F.col("last_order_date")).cast("long").alias("days_inactive"),
             mean_gap_days(F.col("first_day"), F.col("last_order_date"), F.col("n")).alias("avg_order_gap_days"))
     overdue = F.col("days_inactive") > F.col("avg_order_gap_days") * multiple
-    part = F.when(overdue, F.lit(CHURN_SIGNALS[0])).otherwise(F.lit(CHURN_SIGNALS[1]))
+    part = F.when(overdue, F.lit(L.CHURN_SIGNALS[0])).otherwise(F.lit(L.CHURN_SIGNALS[1]))
     rank = Window.partitionBy("risk_partition").orderBy(F.col("gmv").desc(), F.col("account_id").asc())
     top = summary.filter(F.col("gmv") > 0).withColumn("risk_partition", part) \
         .withColumn("rn", F.row_number().over(rank)).filter(F.col("rn") <= top_k)
-    signal = F.when(overdue & (F.col("lifetime_orders") >= min_orders), F.lit(CHURN_SIGNALS[0])) \
-              .otherwise(F.lit(CHURN_SIGNALS[1]))
+    signal = F.when(overdue & (F.col("lifetime_orders") >= min_orders), F.lit(L.CHURN_SIGNALS[0])) \
+              .otherwise(F.lit(L.CHURN_SIGNALS[1]))
     score = C.ratio(C.cents("gmv") * F.col("days_inactive"), F.col("avg_order_gap_days") * 100, 0)
     return top.select(
         "account_id", "company_name", "account_tier", "industry",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources import labels as L
 
 
 def promo_vs_nonpromo(accounts: DataFrame, orders: DataFrame, promo_orders: DataFrame,
@@ -25,7 +26,7 @@ def promo_vs_nonpromo(accounts: DataFrame, orders: DataFrame, promo_orders: Data
         .select("order_id", "account_id", "order_total_usd", "discount_usd", "headcount")
     weighted = delivered.join(links, "order_id", "left").select(
         "account_id",
-        F.when(F.col("links").isNotNull(), F.lit("Promo")).otherwise(F.lit("Non-Promo")).alias("order_type"),
+        F.when(F.col("links").isNotNull(), F.lit(L.PROMO)).otherwise(F.lit(L.NON_PROMO)).alias("order_type"),
         (F.lit(1) if dedupe else F.coalesce(F.col("links"), F.lit(1))).alias("w"),
         "order_total_usd", "discount_usd", "headcount")
     w = F.col("w")
@@ -50,9 +51,6 @@ def promo_vs_nonpromo(accounts: DataFrame, orders: DataFrame, promo_orders: Data
     ).orderBy(C.tier_rank("account_tier"), "order_type")
 
 
-ROI_LABELS = ("ROI Positive", "Free Delivery (No Discount Cost)", "ROI Negative")
-
-
 def campaign_roi(promotions: DataFrame, promo_orders: DataFrame, orders: DataFrame,
                  roi_threshold: int | float | Decimal = 5) -> DataFrame:
     """Per promotion: linked orders, gross / discount / net GMV of the delivered ones, ROI flag.
@@ -70,7 +68,7 @@ def campaign_roi(promotions: DataFrame, promo_orders: DataFrame, orders: DataFra
     gross, disc = F.col("gross"), F.col("disc")
     k = F.lit(Decimal(str(roi_threshold)))
     meets = F.when(disc > 0, gross >= k * disc).when(disc < 0, gross <= k * disc)
-    flag = F.when(meets, F.lit(ROI_LABELS[0])).when(disc == 0, F.lit(ROI_LABELS[1])).otherwise(F.lit(ROI_LABELS[2]))
+    flag = F.when(meets, F.lit(L.ROI_LABELS[0])).when(disc == 0, F.lit(L.ROI_LABELS[1])).otherwise(F.lit(L.ROI_LABELS[2]))
     return promotions.join(per_promo, "promo_id", "left").select(
         "promo_code", "description", "discount_type", "target_tier", "start_date", "end_date",
         F.coalesce(F.col("links"), F.lit(0)).cast("long").alias("orders_with_promo"),

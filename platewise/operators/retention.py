@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources import labels as L
 
 
 def _not_cancelled(orders: DataFrame) -> DataFrame:
@@ -88,9 +89,6 @@ def cohort_retention(orders: DataFrame) -> DataFrame:
     ).orderBy("cohort_month", "period_number")
 
 
-CHURN_LABELS = ("High Risk", "Medium Risk", "Active")
-
-
 def churn_risk(accounts: DataFrame, orders: DataFrame, analysis_date: str | dt.date = "2024-12-31",
                high: float = 2.0, medium: float = 1.5) -> DataFrame:
     """Accounts with more than one order, flagged by dormancy against their own cadence.
@@ -113,9 +111,9 @@ def churn_risk(accounts: DataFrame, orders: DataFrame, analysis_date: str | dt.d
         gap.alias("avg_days_between_orders"),
         dormant.alias("days_dormant"))
     avg = F.col("avg_days_between_orders")
-    risk = F.when(F.col("days_dormant") > avg * F.lit(high), F.lit(CHURN_LABELS[0])) \
-            .when(F.col("days_dormant") > avg * F.lit(medium), F.lit(CHURN_LABELS[1])) \
-            .otherwise(F.lit(CHURN_LABELS[2]))
-    rank = F.when(F.col("churn_risk") == CHURN_LABELS[0], 1).when(F.col("churn_risk") == CHURN_LABELS[1], 2) \
+    risk = F.when(F.col("days_dormant") > avg * F.lit(high), F.lit(L.CHURN_LABELS[0])) \
+            .when(F.col("days_dormant") > avg * F.lit(medium), F.lit(L.CHURN_LABELS[1])) \
+            .otherwise(F.lit(L.CHURN_LABELS[2]))
+    rank = F.when(F.col("churn_risk") == L.CHURN_LABELS[0], 1).when(F.col("churn_risk") == L.CHURN_LABELS[1], 2) \
             .otherwise(3)
     return scored.withColumn("churn_risk", risk).orderBy(rank, F.col("lifetime_gmv").desc_nulls_first())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources import labels as L
 from . import ranking
 
 
@@ -71,7 +72,7 @@ def revenue_pareto(accounts: DataFrame, orders: DataFrame, threshold: int = 80,
         C.money("total_gmv").alias("total_gmv"),
         C.ratio(C.cents("total_gmv") * 100, C.cents("grand_gmv"), 2).alias("gmv_share_pct"),
         cum_pct.alias("cumulative_gmv_pct"),
-        F.when(cum_pct <= threshold, F.lit(f"Top {threshold}% GMV")).otherwise(F.lit("Long Tail"))
+        F.when(cum_pct <= threshold, F.lit(L.PARETO_TOP.format(threshold=threshold))).otherwise(F.lit(L.PARETO_TAIL))
          .alias("gmv_segment"),
     ).orderBy(F.col("total_gmv").desc_nulls_first())
 
