@@ -77,3 +77,10 @@ def test_single_partition_exchanges_carry_only_range_totals(spark, key):
     for node in singles:
         inputs = node.split("Input [", 1)[1].split("\n", 1)[0]
         assert "_rng" in inputs or inputs.startswith(("1]", "2]", "3]", "4]")), node
+
+
+def test_reports_are_written_as_files(spark):
+    from platewise.plans.run import write_reports
+    out = tempfile.mkdtemp(prefix="platewise-reports-")
+    (path,) = write_reports(spark, SF_SMALL, out, ["q5d_srm_check"])
+    assert spark.read.parquet(path).count() == 2
