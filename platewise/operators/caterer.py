@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import materialize
 from ..sources.labels import TIER_LABELS
 from . import ranking
 
@@ -118,6 +119,9 @@ def caterer_tier(caterers: DataFrame, orders: DataFrame, weights: tuple[float, f
             F.coalesce(F.col("gmv"), F.lit(0).cast("decimal(20,2)")).alias("gmv"),
             C.pct("on_time", "delivered", 1).alias("otd_pct"))
 
+    # one row per caterer, read by the percentile, its join back and the quartiles:
+    # materialised once so the pass over all orders is not repeated
+    stats = materialize(stats)
     ranked = ranking.percent_rank(stats, "gmv", "gmv_prank", num_ranges=num_ranges)
     score = (F.lit(w_gmv) * F.col("gmv_prank")
              + F.lit(w_otd) * F.coalesce(F.col("otd_pct"), F.lit(0.0)) / F.lit(100.0)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources import labels as L
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 
 def first_assignment(assignments: DataFrame, experiment: str,
@@ -116,8 +116,7 @@ def results_report(results: DataFrame) -> DataFrame:
 
 def persist_results(results: DataFrame) -> DataFrame:
     """Materialise the result once for the reports (reliable checkpoint, lineage cut)."""
-    ensure_checkpoint_dir(results.sparkSession)
-    return results.checkpoint(eager=True)
+    return materialize(results)
 
 
 def conversion_by_variant(results: DataFrame, z: float = 1.96) -> DataFrame:
@@ -147,6 +146,7 @@ def gmv_by_variant(results: DataFrame, num_ranges: int | None = None) -> DataFra
     """B2: converter order value; mean, exact median, sd and total of window GMV per variant."""
     from . import ranking
 
+    results = materialize(results)  # read twice: the aggregate and the median ranks
     conv = F.col("converted") == 1
     g = results.groupBy("variant").agg(
         F.count(F.lit(1)).alias("n"),

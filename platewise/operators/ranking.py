@@ -13,6 +13,11 @@ numbers with a segmented prefix sum:
    before it, which is joined back;
 4. a window partitioned by range adds the running sum inside the range.
 
+The range-tagged rows are materialised with a reliable checkpoint (see
+``tag_ranges``).  Callers whose input is expensive to recompute (an aggregate
+over all orders) materialise it first, since the helpers read it more than
+once (the per-value table and the join back).
+
 Ranks over values with ties (``percent_rank`` and RANGE-frame sums) first
 collapse the rows to one row per distinct value with a partial aggregation,
 so a heavily repeated value costs one row.
@@ -25,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 
 def _num_ranges(df: DataFrame, num_ranges: int | None) -> int:
@@ -34,24 +39,13 @@ def _num_ranges(df: DataFrame, num_ranges: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's shared checkpoint folder.
-
-    The range id comes from ``spark_partition_id()`` after a sampled range
-    exchange; two evaluations of the exchange may sample different bounds, so
-    the tagged rows are written once and every consumer reads that copy.  It
-    also cuts the lineage: a lost executor re-reads the checkpoint instead of
-    recomputing the upstream aggregation.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def tag_ranges(df: DataFrame, order_by: Sequence[Column], partition_by: Sequence[str] = (),
                num_ranges: int | None = None) -> DataFrame:
     """Materialised copy of ``df`` with ``_rng``: the index of its contiguous range of the sort order."""
     n = _num_ranges(df, num_ranges)
-    return _materialize(df.repartitionByRange(n, *[F.col(c) for c in partition_by], *order_by)
+    # Two evaluations of a range exchange may sample different bounds, so the
+    # tagged rows are written once and every consumer reads that copy.
+    return materialize(df.repartitionByRange(n, *[F.col(c) for c in partition_by], *order_by)
                           .withColumn("_rng", F.spark_partition_id()))
 
 

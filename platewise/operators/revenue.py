@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import materialize
 from ..sources import labels as L
 from . import ranking
 
@@ -61,8 +62,10 @@ def revenue_pareto(accounts: DataFrame, orders: DataFrame, threshold: int = 80,
     per_account = orders.filter(F.col("order_status") == "delivered").groupBy("account_id").agg(
         F.sum("order_total_usd").alias("total_gmv"),
         F.count(F.lit(1)).alias("total_orders"))
-    base = accounts.select("account_id", "company_name", "account_tier", "industry") \
-        .join(per_account, "account_id")
+    # one row per account, read by the running sum and its join back: materialised
+    # once so the pass over all orders is not repeated
+    base = materialize(accounts.select("account_id", "company_name", "account_tier", "industry")
+                       .join(per_account, "account_id"))
     with_cum = ranking.range_running_sum(base, "total_gmv", "total_gmv", "cum_gmv", descending=True,
                                          num_ranges=num_ranges, total="grand_gmv")
     cum_pct = C.ratio(C.cents("cum_gmv") * 100, C.cents("grand_gmv"), 1)

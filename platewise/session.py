@@ -59,3 +59,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def materialize(df):
+    """Write ``df`` once as a reliable checkpoint (shared folder) and return the copy.
+
+    For intermediates read by more than one consumer: every consumer scans the
+    copy instead of recomputing the lineage (for the analytics, a pass over all
+    orders), and a lost executor re-reads it instead of recomputing.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
