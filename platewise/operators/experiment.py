@@ -41,16 +41,14 @@ def first_assignment(assignments: DataFrame, experiment: str,
     return first.select("account_id", "f.experiment_name", "f.variant", "f.assigned_at")
 
 
-def within_enrollment_span(orders: DataFrame, cohort: DataFrame, horizon_days: int) -> DataFrame:
-    """Orders that can fall in any account's window: from the first enrollment day to the
-    last enrollment day + ``horizon_days``.
+def within_span(orders: DataFrame, bounds: DataFrame, horizon_days: int) -> DataFrame:
+    """Orders placed between ``bounds._lo`` and ``bounds._hi`` + ``horizon_days`` (inclusive days).
 
-    The bounds are a one-row aggregate of the cohort, broadcast; the filter
-    runs map-side before the per-(account, day) roll-up, so years of order
-    history outside the experiment are never shuffled.
+    ``bounds`` is a one-row aggregate, broadcast; the filter runs map-side
+    before the per-(account, day) roll-up, so order history outside the
+    experiment is never shuffled.
     """
-    bounds = F.broadcast(cohort.agg(F.min("enrollment_date").alias("_lo"), F.max("enrollment_date").alias("_hi")))
-    return orders.crossJoin(bounds).filter(
+    return orders.crossJoin(F.broadcast(bounds)).filter(
         (F.col("placed_at") >= F.col("_lo").cast("timestamp_ntz"))
         & (F.col("placed_at") < F.date_add(F.col("_hi"), horizon_days + 1).cast("timestamp_ntz"))
     ).drop("_lo", "_hi")
@@ -77,35 +75,42 @@ def experiment_results(assignments: DataFrame, accounts: DataFrame, orders: Data
     written; ``first_order_value_true`` is the value of the earliest order.
     """
     cohort = first_assignment(assignments, experiment).select(
-        "account_id", "variant", C.day("assigned_at").alias("enrollment_date"))
-    daily = within_enrollment_span(orders.filter(F.col("order_status") == "delivered"), cohort,
-                                   max(conv_days, gmv_days)).groupBy(
+        "account_id", "variant", C.day("assigned_at").alias("enrollment_date")) \
+        .join(accounts.select("account_id", "account_tier", "industry"), "account_id")
+    # Every enrollment day lies between the first and last assignment day of the
+    # experiment: a superset bound from the raw assignments (no second pass over
+    # the cohort) that prunes orders before the roll-up.
+    bounds = assignments.filter(F.col("experiment_name") == experiment).agg(
+        C.day(F.min("assigned_at")).alias("_lo"), C.day(F.max("assigned_at")).alias("_hi"))
+    daily = within_span(orders.filter(F.col("order_status") == "delivered"), bounds,
+                        max(conv_days, gmv_days)).groupBy(
         "account_id", C.day("placed_at").alias("order_day")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("order_total_usd").alias("gmv"),
         F.min("order_total_usd").alias("smallest"),
         F.min(F.struct("placed_at", "order_id", "order_total_usd")).alias("earliest"))
-    enr = cohort.select("account_id", "enrollment_date")
+    # The cohort meets its order days once (left join keeps accounts without
+    # orders); the windows are conditions inside the aggregates.
     offset = F.datediff(F.col("order_day"), F.col("enrollment_date"))
     in_conv = (offset >= 0) & (offset <= conv_days)
     in_gmv = (offset >= 0) & (offset <= gmv_days)
-    outcomes = daily.join(enr, "account_id").filter(offset >= 0).groupBy("account_id").agg(
+    keys = ["account_id", "variant", "enrollment_date", "account_tier", "industry"]
+    outcomes = cohort.join(daily, "account_id", "left").groupBy(*keys).agg(
         F.min(F.when(in_conv, F.col("order_day"))).alias("first_order_date"),
         F.min(F.when(in_conv, F.col("smallest"))).alias("first_order_value"),
         F.min(F.when(in_conv, F.col("earliest"))).alias("earliest"),
         F.sum(F.when(in_gmv, F.col("gmv"))).alias("gmv_60d"),
         F.sum(F.when(in_gmv, F.col("n"))).alias("orders_60d"))
     zero = F.lit(0).cast("decimal(10,2)")
-    return cohort.join(accounts.select("account_id", "account_tier", "industry"), "account_id") \
-        .join(outcomes, "account_id", "left").select(
-            "account_id", "variant", "enrollment_date", "account_tier", "industry",
-            F.when(F.col("first_order_date").isNotNull(), 1).otherwise(0).cast("long").alias("converted"),
-            "first_order_date",
-            F.datediff(F.col("first_order_date"), F.col("enrollment_date")).cast("long").alias("days_to_first_order"),
-            F.coalesce(F.col("first_order_value"), zero).alias("first_order_value"),
-            F.coalesce(F.col("gmv_60d"), zero).alias("gmv_60d"),
-            F.coalesce(F.col("orders_60d"), F.lit(0)).cast("long").alias("orders_60d"),
-            F.coalesce(F.col("earliest.order_total_usd"), zero).alias("first_order_value_true"))
+    return outcomes.select(
+        *keys,
+        F.when(F.col("first_order_date").isNotNull(), 1).otherwise(0).cast("long").alias("converted"),
+        "first_order_date",
+        F.datediff(F.col("first_order_date"), F.col("enrollment_date")).cast("long").alias("days_to_first_order"),
+        F.coalesce(F.col("first_order_value"), zero).alias("first_order_value"),
+        F.coalesce(F.col("gmv_60d"), zero).alias("gmv_60d"),
+        F.coalesce(F.col("orders_60d"), F.lit(0)).cast("long").alias("orders_60d"),
+        F.coalesce(F.col("earliest.order_total_usd"), zero).alias("first_order_value_true"))
 
 
 def results_report(results: DataFrame) -> DataFrame:
@@ -239,10 +244,11 @@ def account_age(results: DataFrame, accounts: DataFrame) -> DataFrame:
 def srm_check(results: DataFrame, expected_share: float = 0.5, tolerance: float = 0.02) -> DataFrame:
     """D: enrolled accounts per variant, share of total, flag when off the expected share."""
     g = results.groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
-    total = F.broadcast(g.agg(F.sum("n").alias("total")))  # one row
+    # SUM(COUNT(*)) OVER (): a window over one row per variant
+    g = g.withColumn("total", F.sum("n").over(Window.partitionBy()))
     n, t = F.col("n"), F.col("total")
     off = F.abs(n - F.lit(Decimal(str(expected_share))) * t) > F.lit(Decimal(str(tolerance))) * t
-    return g.crossJoin(total).select(
+    return g.select(
         "variant",
         n.cast("long").alias("n_enrolled"),
         C.pct("n", "total", 2).alias("pct_of_total"),
@@ -252,8 +258,7 @@ def srm_check(results: DataFrame, expected_share: float = 0.5, tolerance: float
 def cancellation_guardrail(results: DataFrame, orders: DataFrame, days: int = 60) -> DataFrame:
     """E: orders (any status) and cancellations within ``days`` of enrollment, per variant."""
     enrolled = results.select("account_id", "variant", "enrollment_date")
-    daily = within_enrollment_span(orders, enrolled, days).groupBy(
-        "account_id", C.day("placed_at").alias("order_day")).agg(
+    daily = orders.groupBy("account_id", C.day("placed_at").alias("order_day")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("order_status") == "cancelled").alias("cancelled"))
     offset = F.datediff(F.col("order_day"), F.col("enrollment_date"))

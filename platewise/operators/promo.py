@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -121,13 +121,16 @@ def first_order_promo(orders: DataFrame, promo_orders: DataFrame, strict: bool =
         F.sum("lifetime_orders").alias("orders_sum"),
         F.sum(gmv).alias("gmv_sum"),
         (F.avg(F.when(flag, gmv)) - F.avg(F.when(~flag, gmv))).alias("lift_as_written"))
-    # one row: both group means as exact fractions, broadcast back to the two rows
-    both = F.broadcast(g.agg(
-        F.max(F.when(flag, F.col("gmv_sum"))).alias("p_sum"), F.max(F.when(flag, F.col("accounts"))).alias("p_n"),
-        F.max(F.when(~flag, F.col("gmv_sum"))).alias("o_sum"), F.max(F.when(~flag, F.col("accounts"))).alias("o_n")))
-    lift_num = C.cents("p_sum") * F.col("o_n") - C.cents("o_sum") * F.col("p_n")
-    lift_den = F.col("p_n") * F.col("o_n") * 100
-    return g.crossJoin(both).select(
+    # both group means as exact fractions, spread to the two rows by a window
+    # over the grouped result itself (two rows), so the input is read once
+    both = Window.partitionBy()
+    p_sum = F.max(F.when(flag, F.col("gmv_sum"))).over(both)
+    p_n = F.max(F.when(flag, F.col("accounts"))).over(both)
+    o_sum = F.max(F.when(~flag, F.col("gmv_sum"))).over(both)
+    o_n = F.max(F.when(~flag, F.col("accounts"))).over(both)
+    lift_num = C.cents(p_sum) * o_n - C.cents(o_sum) * p_n
+    lift_den = p_n * o_n * 100
+    return g.select(
         "first_order_had_promo",
         F.col("accounts").cast("long").alias("accounts"),
         C.ratio("orders_sum", "accounts", 1).alias("avg_lifetime_orders"),

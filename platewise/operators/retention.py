@@ -42,19 +42,22 @@ def order_cadence(accounts: DataFrame, orders: DataFrame, analysis_date: str | d
     expression, which is always 1.
     """
     days = daily_orders(_not_cancelled(orders))
-    # At most two rows per account survive the limit; the window partition is
-    # bounded by the account's distinct order days.
-    w = Window.partitionBy("account_id").orderBy(F.col("order_day").desc())
-    last_two = days.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 2)
-    tail = last_two.groupBy("account_id").agg(
+    # One window pass per account over its distinct order days (bounded by the
+    # calendar): totals over the whole partition and the last two days by rank.
+    acct = Window.partitionBy("account_id")
+    w = acct.orderBy(F.col("order_day").desc())
+    ranked = days.select(
+        "account_id", "order_day", "n", F.row_number().over(w).alias("rn"),
+        F.sum("n").over(acct).alias("lifetime_orders"),
+        F.min("order_day").over(acct).alias("first_order_date"))
+    per_account = ranked.filter(F.col("rn") <= 2).groupBy("account_id").agg(
+        F.max("lifetime_orders").alias("lifetime_orders"),
+        F.max("first_order_date").alias("first_order_date"),
+        F.max(F.when(F.col("rn") == 1, F.col("order_day"))).alias("most_recent_order"),
         F.max(F.when(F.col("rn") == 1, F.col("n"))).alias("n_last"),
         F.max(F.when(F.col("rn") == 2, F.col("order_day"))).alias("prev_day"))
-    per_account = days.groupBy("account_id").agg(
-        F.sum("n").alias("lifetime_orders"),
-        F.min("order_day").alias("first_order_date"),
-        F.max("order_day").alias("most_recent_order"))
     last = F.col("most_recent_order")
-    return per_account.join(tail, "account_id").join(
+    return per_account.join(
         accounts.select("account_id", "company_name", "account_tier"), "account_id").select(
         "account_id", "company_name", "account_tier",
         F.col("lifetime_orders").cast("long").alias("lifetime_orders"),
@@ -77,10 +80,11 @@ def cohort_retention(orders: DataFrame) -> DataFrame:
     cohort_activity = with_cohort.filter(F.col("activity_month") >= F.col("cohort_month")).groupBy(
         "cohort_month", "activity_month").agg(F.count(F.lit(1)).alias("active_accounts")) \
         .withColumn("period_number", C.month_index("activity_month", "cohort_month"))
-    # one row per cohort month: bounded by the calendar, safe to broadcast
-    sizes = F.broadcast(cohort_activity.filter(F.col("period_number") == 0)
-                        .select("cohort_month", F.col("active_accounts").alias("cohort_size")))
-    return cohort_activity.join(sizes, "cohort_month").select(
+    # cohort size = the period-0 row of the same cohort; a window over at most
+    # one row per activity month of the cohort, so no second pass and no join
+    size = F.max(F.when(F.col("period_number") == 0, F.col("active_accounts"))) \
+        .over(Window.partitionBy("cohort_month"))
+    return cohort_activity.withColumn("cohort_size", size).filter(F.col("cohort_size").isNotNull()).select(
         "cohort_month",
         F.col("cohort_size").cast("long").alias("cohort_size"),
         "activity_month", "period_number",
