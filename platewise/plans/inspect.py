@@ -22,6 +22,15 @@ def plan_text(df: DataFrame, mode: str = "formatted") -> str:
     return buf.getvalue()
 
 
+def scan_counts(df: DataFrame) -> dict[str, int]:
+    """How many times each parquet folder is scanned by the final plan."""
+    counts: dict[str, int] = {}
+    for loc in re.findall(r"^Location: \S+ \[([^\]]+)\]", plan_text(df), re.M):
+        name = loc.rstrip("/").split("/")[-1].removesuffix(".parquet")
+        counts[name] = counts.get(name, 0) + 1
+    return counts
+
+
 def summarize(df: DataFrame) -> dict:
     text = plan_text(df)
     body = text.split("\n\n", 1)[-1]
