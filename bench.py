@@ -9,7 +9,10 @@ Pipeline measured, as it runs in production:
    the ``noop`` sink (no driver collection): one warm-up pass, then
    ``$BENCH_RUNS`` timed passes (default 3), median per query.
 
-``value`` = ingest + the sum of the per-query medians.  ``queries_raw`` also
+``value`` = ingest + the sum of the per-query medians.  ``calibration_sec``
+(a fixed lineitem scan + aggregate) and ``cpu_steal_pct`` (CPU taken by the
+host during the run) put the numbers in context: on a shared VM the same code
+measured up to 2x apart.  ``queries_raw`` also
 reports one timed pass per query straight over the test tables (the adapter
 re-derives the canonical tables inside every query).
 """
@@ -37,6 +40,29 @@ def run_once(spark, fn, path: str) -> float:
     return time.perf_counter() - t0
 
 
+def cpu_ticks() -> tuple[int, int] | None:
+    """(total, steal) jiffies from /proc/stat, to report how much CPU the host took away."""
+    try:
+        with open("/proc/stat") as f:
+            vals = [int(v) for v in f.readline().split()[1:]]
+        return sum(vals), vals[7]
+    except (OSError, IndexError, ValueError):
+        return None
+
+
+def calibration(spark, sf_dir: str) -> float:
+    """Median time of a fixed scan + aggregate, to compare machines and runs."""
+    from pyspark.sql import functions as F
+    li = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
+    job = li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_extendedprice"), F.count(F.lit(1)))
+    times = []
+    for _ in range(3):
+        t0 = time.perf_counter()
+        job.write.format("noop").mode("overwrite").save()
+        times.append(time.perf_counter() - t0)
+    return statistics.median(times)
+
+
 def scratch_root(spark) -> str:
     """Shared folder on a cluster (spark.checkpoint.dir); a fresh local folder in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -55,6 +81,8 @@ def main() -> None:
     spark = get_session("platewise-bench", master=f"local[{cpus}]", shuffle_partitions=max(cpus, 8),
                         extra={"spark.driver.memory": "16g"})
     keys = only or list(registry.QUERIES)
+    ticks0 = cpu_ticks()
+    calib = calibration(spark, sf_dir)
 
     root = scratch_root(spark)
     # untimed warm-up ingest (JIT, class loading), like the warm-up pass of the queries
@@ -73,6 +101,10 @@ def main() -> None:
     medians = {k: round(statistics.median(v), 3) for k, v in times.items()}
     raw = {k: round(run_once(spark, registry.QUERIES[k], sf_dir), 3) for k in keys}
 
+    ticks1 = cpu_ticks()
+    steal = None
+    if ticks0 and ticks1 and ticks1[0] > ticks0[0]:
+        steal = round(100.0 * (ticks1[1] - ticks0[1]) / (ticks1[0] - ticks0[0]), 1)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({
         "metric": "suite_seconds",
@@ -83,6 +115,8 @@ def main() -> None:
         "ingest_sec": round(ingest, 3),
         "queries_raw": raw,
         "queries_raw_total": round(sum(raw.values()), 3),
+        "calibration_sec": round(calib, 3),
+        "cpu_steal_pct": steal,
         "cpus": cpus,
         "runs": runs,
         "spark": spark.version,
