@@ -20,8 +20,14 @@ _MICROS_PER_MINUTE = 60_000_000
 
 
 def lateness_micros(orders: DataFrame) -> Column:
-    """Exact lateness of a delivery in microseconds; negative means early."""
-    return F.timestamp_diff("MICROSECOND", orders["scheduled_delivery"], orders["actual_delivery"])
+    """Exact lateness of a delivery in microseconds; negative means early.
+
+    The difference of two TIMESTAMP_NTZ values is an exact day-time interval,
+    whatever the session time zone (``timestamp_diff`` would go through the
+    session zone and shift wall-clock times that fall in a DST gap).
+    """
+    interval = orders["actual_delivery"] - orders["scheduled_delivery"]
+    return (interval.cast("interval second").cast("decimal(38,6)") * 1_000_000).cast("long")
 
 
 def caterer_scorecard(caterers: DataFrame, orders: DataFrame, grace_minutes: int = 15) -> DataFrame:

@@ -310,3 +310,16 @@ def test_promo_dedupe_and_strict_first_order(spark):
     assert as_written == {True: 2, False: 1}                  # tie and fan-out duplicate the account
     strict = {r.first_order_had_promo: r.accounts for r in promo.first_order_promo(o, po, strict=True).collect()}
     assert strict == {True: 1}
+
+
+def test_lateness_ignores_session_time_zone(spark):
+    """02:30 on a US DST-start day does not exist in local time; lateness must not care."""
+    c = caterers(spark, dict(caterer_id=1, caterer_name="A"))
+    o = orders(spark, dict(scheduled_delivery=ts(1995, 4, 2, 3), actual_delivery=ts(1995, 4, 2, 2, 30)))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        (r,) = caterer.caterer_scorecard(c, o).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert (r.avg_minutes_late, r.otd_strict_pct) == (-30.0, 100.0)
