@@ -147,20 +147,30 @@ def conversion_by_variant(results: DataFrame, z: float = 1.96) -> DataFrame:
     ).orderBy("variant")
 
 
-def gmv_by_variant(results: DataFrame, num_ranges: int | None = None) -> DataFrame:
-    """B2: converter order value; mean, exact median, sd and total of window GMV per variant."""
+def gmv_by_variant(results: DataFrame, num_ranges: int | None = None,
+                   approx_accuracy: int | None = None) -> DataFrame:
+    """B2: converter order value; mean, median, sd and total of window GMV per variant.
+
+    The median is exact by default (distributed ranks over distinct values);
+    ``approx_accuracy`` switches to ``percentile_approx``, one pass with
+    per-group state bounded by the accuracy, for very large variants.
+    """
     from . import ranking
 
-    results = materialize(results)  # read twice: the aggregate and the median ranks
     conv = F.col("converted") == 1
-    g = results.groupBy("variant").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(conv).alias("n_conv"),
-        F.sum(F.when(conv, F.col("first_order_value"))).alias("fov_sum"),
-        F.sum("gmv_60d").alias("gmv_sum"),
-        F.stddev_samp("gmv_60d").alias("sd"))
-    mid = ranking.middle_values(results, ["variant"], "gmv_60d", num_ranges=num_ranges)
-    return g.join(mid, "variant", "left").select(
+    aggs = [F.count(F.lit(1)).alias("n"),
+            F.count_if(conv).alias("n_conv"),
+            F.sum(F.when(conv, F.col("first_order_value"))).alias("fov_sum"),
+            F.sum("gmv_60d").alias("gmv_sum"),
+            F.stddev_samp("gmv_60d").alias("sd")]
+    if approx_accuracy:
+        median = F.percentile_approx("gmv_60d", 0.5, approx_accuracy)
+        g = results.groupBy("variant").agg(*aggs, median.alias("_med_lo"), median.alias("_med_hi"))
+    else:
+        results = materialize(results)  # read twice: the aggregate and the median ranks
+        g = results.groupBy("variant").agg(*aggs).join(
+            ranking.middle_values(results, ["variant"], "gmv_60d", num_ranges=num_ranges), "variant", "left")
+    return g.select(
         "variant",
         F.col("n").cast("long").alias("n_accounts"),
         F.col("n_conv").cast("long").alias("n_converters"),

@@ -323,3 +323,20 @@ def test_lateness_ignores_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert (r.avg_minutes_late, r.otd_strict_pct) == (-30.0, 100.0)
+
+
+def test_approximate_medians_are_close(spark):
+    from platewise import sources
+    from tests.conftest import SF_SMALL
+    m = sources.load(spark, SF_SMALL)
+    res = experiment.experiment_results(m.experiment_assignments, m.corporate_accounts, m.orders, conv_days=180,
+                                        gmv_days=365)
+    from platewise.operators import ranking
+    middle = {r.variant: (float(r._med_lo), float(r._med_hi))
+              for r in ranking.middle_values(res, ["variant"], "gmv_60d").collect()}
+    approx = {r.variant: r.median_gmv_60d for r in experiment.gmv_by_variant(res, approx_accuracy=10000).collect()}
+    assert middle.keys() == approx.keys()
+    for k, (lo, hi) in middle.items():   # an actual value, at or between the two middle ones
+        assert lo <= approx[k] <= hi
+    f_exact = ltv.signup_funnel(m.corporate_accounts, m.orders).count()
+    assert ltv.signup_funnel(m.corporate_accounts, m.orders, approx_accuracy=10000).count() == f_exact
