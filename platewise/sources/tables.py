@@ -54,6 +54,8 @@ def write_canonical(market: Marketplace, path: str, mode: str = "errorifexists")
         writer = df
         if name == "orders":
             # Range-partition on the time column so every file covers a narrow
-            # placed_at span: date filters then skip files and row groups.
-            writer = df.repartitionByRange("placed_at").sortWithinPartitions("placed_at")
+            # placed_at span: date filters then skip files and row groups.  The
+            # order_id tie-breaker splits a timestamp shared by many orders (a
+            # whole day, or a hot day) across files instead of one task.
+            writer = df.repartitionByRange("placed_at", "order_id").sortWithinPartitions("placed_at", "order_id")
         writer.write.mode(mode).parquet(os.path.join(path, name))
