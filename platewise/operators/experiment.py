@@ -281,3 +281,25 @@ def cancellation_guardrail(results: DataFrame, orders: DataFrame, days: int = 60
         F.col("cancelled").cast("long").alias("cancellations"),
         C.pct("cancelled", "n", 2).alias("cancellation_rate_pct"),
     ).orderBy("variant")
+
+
+def report_suite(assignments: DataFrame, accounts: DataFrame, orders: DataFrame, experiment: str = "SPRING20",
+                 conv_days: int = 30, gmv_days: int = 60, launch: str | dt.date = "2024-03-01",
+                 lookback_days: int = 90, min_orders: int = 4, guardrail_days: int = 60) -> dict[str, DataFrame]:
+    """The whole experiment read-out on one materialised result.
+
+    The per-account result is written once (reliable checkpoint) and the
+    sample-ratio check, metrics, segment cuts and guardrail all read that
+    copy, in the order the analysis is meant to be read (SRM first).
+    """
+    results = persist_results(experiment_results(assignments, accounts, orders, experiment, conv_days, gmv_days))
+    return {
+        "srm_check": srm_check(results),
+        "conversion_by_variant": conversion_by_variant(results),
+        "gmv_by_variant": gmv_by_variant(results),
+        "results_by_tier": results_by_tier(results),
+        "power_users": power_users(results, orders, launch, lookback_days, min_orders),
+        "account_age": account_age(results, accounts),
+        "cancellation_guardrail": cancellation_guardrail(results, orders, guardrail_days),
+        "results": results_report(results),
+    }

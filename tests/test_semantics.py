@@ -340,3 +340,19 @@ def test_approximate_medians_are_close(spark):
         assert lo <= approx[k] <= hi
     f_exact = ltv.signup_funnel(m.corporate_accounts, m.orders).count()
     assert ltv.signup_funnel(m.corporate_accounts, m.orders, approx_accuracy=10000).count() == f_exact
+
+
+def test_report_suite_equals_standalone_queries(spark):
+    from platewise import sources
+    from platewise.plans import params as P
+    from platewise.plans import registry
+    from tests.conftest import SF_SMALL
+    m = sources.load(spark, SF_SMALL)
+    suite = experiment.report_suite(m.experiment_assignments, m.corporate_accounts, m.orders, P.EXPERIMENT,
+                                    P.CONV_DAYS, P.GMV_DAYS, P.LAUNCH, P.LOOKBACK_DAYS, P.MIN_PRE_ORDERS,
+                                    P.GMV_DAYS)
+    pairs = {"srm_check": "q5d_srm_check", "gmv_by_variant": "q5b2_gmv_by_variant",
+             "power_users": "q5c2_power_users", "cancellation_guardrail": "q5e_cancellation_guardrail",
+             "results": "q5a2_experiment_results"}
+    for name, key in pairs.items():
+        assert sorted(suite[name].collect()) == sorted(registry.QUERIES[key](spark, SF_SMALL).collect()), name
