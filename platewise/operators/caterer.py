@@ -103,13 +103,13 @@ def monthly_otd_trend(caterers: DataFrame, orders: DataFrame, window_rows: int =
 
 
 def caterer_tier(caterers: DataFrame, orders: DataFrame, weights: tuple[float, float, float] = (0.40, 0.35, 0.25),
-                 num_ranges: int | None = None) -> DataFrame:
+                 num_ranges: int | None = None, method: str = "auto") -> DataFrame:
     """Composite score of GMV percentile, on-time rate and rating; quartile badge.
 
     ``total_orders`` and GMV count every status; the on-time denominator counts
     delivered orders.  The quartile is ``ntile(4)`` over the unrounded score
     (NULL scores last, ties broken by caterer_id); both the percentile and the
-    quartile are computed with the distributed ranking helpers.
+    quartile use the ranking helpers (distributed above their row limit).
     """
     w_gmv, w_otd, w_rating = weights
     per_caterer = orders.groupBy("caterer_id").agg(
@@ -128,13 +128,14 @@ def caterer_tier(caterers: DataFrame, orders: DataFrame, weights: tuple[float, f
     # one row per caterer, read by the percentile, its join back and the quartiles:
     # materialised once so the pass over all orders is not repeated
     stats = materialize(stats)
-    ranked = ranking.percent_rank(stats, "gmv", "gmv_prank", num_ranges=num_ranges)
+    method = ranking.plan_method(stats, method)
+    ranked = ranking.percent_rank(stats, "gmv", "gmv_prank", num_ranges=num_ranges, method=method)
     score = (F.lit(w_gmv) * F.col("gmv_prank")
              + F.lit(w_otd) * F.coalesce(F.col("otd_pct"), F.lit(0.0)) / F.lit(100.0)
              + F.lit(w_rating) * (F.col("avg_rating") - F.lit(1.0)) / F.lit(4.0))
     scored = ranked.withColumn("score", score)
     tiled = ranking.ntile(scored, [F.col("score").asc_nulls_last(), F.col("caterer_id").asc()], 4,
-                          "quartile", num_ranges=num_ranges)
+                          "quartile", num_ranges=num_ranges, method=method)
     tier = F.lit(None).cast("string")
     for q, label in TIER_LABELS.items():
         tier = F.when(F.col("quartile") == q, F.lit(label)).otherwise(tier)

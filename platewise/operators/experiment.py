@@ -148,7 +148,7 @@ def conversion_by_variant(results: DataFrame, z: float = 1.96) -> DataFrame:
 
 
 def gmv_by_variant(results: DataFrame, num_ranges: int | None = None,
-                   approx_accuracy: int | None = None) -> DataFrame:
+                   approx_accuracy: int | None = None, method: str = "auto") -> DataFrame:
     """B2: converter order value; mean, median, sd and total of window GMV per variant.
 
     The median is exact by default (distributed ranks over distinct values);
@@ -169,7 +169,8 @@ def gmv_by_variant(results: DataFrame, num_ranges: int | None = None,
     else:
         results = materialize(results)  # read twice: the aggregate and the median ranks
         g = results.groupBy("variant").agg(*aggs).join(
-            ranking.middle_values(results, ["variant"], "gmv_60d", num_ranges=num_ranges), "variant", "left")
+            ranking.middle_values(results, ["variant"], "gmv_60d", num_ranges=num_ranges,
+                                  method=ranking.plan_method(results, method)), "variant", "left")
     return g.select(
         "variant",
         F.col("n").cast("long").alias("n_accounts"),

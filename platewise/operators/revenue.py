@@ -51,7 +51,7 @@ def monthly_gmv_growth(orders: DataFrame, calendar: bool = False) -> DataFrame:
 
 
 def revenue_pareto(accounts: DataFrame, orders: DataFrame, threshold: int = 80,
-                   num_ranges: int | None = None) -> DataFrame:
+                   num_ranges: int | None = None, method: str = "auto") -> DataFrame:
     """Share of delivered GMV per account and the running share from the top.
 
     The running share uses the RANGE frame of ``ORDER BY total_gmv DESC`` (tied
@@ -67,7 +67,8 @@ def revenue_pareto(accounts: DataFrame, orders: DataFrame, threshold: int = 80,
     base = materialize(accounts.select("account_id", "company_name", "account_tier", "industry")
                        .join(per_account, "account_id"))
     with_cum = ranking.range_running_sum(base, "total_gmv", "total_gmv", "cum_gmv", descending=True,
-                                         num_ranges=num_ranges, total="grand_gmv")
+                                         num_ranges=num_ranges, total="grand_gmv",
+                                         method=ranking.plan_method(base, method))
     cum_pct = C.ratio(C.cents("cum_gmv") * 100, C.cents("grand_gmv"), 1)
     return with_cum.select(
         "company_name", "account_tier", "industry",

@@ -48,9 +48,11 @@ def _norm(v):
     return ("s", str(v))
 
 
-def compare(spark, con, key: str, sf_dir: str) -> tuple[bool, str]:
+def compare(spark, con, key: str, sf_dir: str, df=None) -> tuple[bool, str]:
+    """Compare ``df`` (default: the registered query ``key``) with the oracle of ``key``."""
     t0 = time.time()
-    df = registry.QUERIES[key](spark, sf_dir)
+    if df is None:
+        df = registry.QUERIES[key](spark, sf_dir)
     s_cols = df.columns
     s_rows = [tuple(r) for r in df.collect()]
     t1 = time.time()

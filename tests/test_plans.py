@@ -52,12 +52,14 @@ def test_no_python_in_any_plan(spark):
 
 def test_ranked_results_do_not_depend_on_partitioning(spark):
     m = sources.load(spark, SF_SMALL)
-    one = sorted(caterer.caterer_tier(m.caterers, m.orders, num_ranges=1).collect())
-    many = sorted(caterer.caterer_tier(m.caterers, m.orders.repartition(13), num_ranges=7).collect())
-    assert one == many
-    one = sorted(revenue.revenue_pareto(m.corporate_accounts, m.orders, num_ranges=1).collect())
-    many = sorted(revenue.revenue_pareto(m.corporate_accounts, m.orders.repartition(5), num_ranges=9).collect())
-    assert one == many
+    d = "distributed"
+    one = sorted(caterer.caterer_tier(m.caterers, m.orders, num_ranges=1, method=d).collect())
+    many = sorted(caterer.caterer_tier(m.caterers, m.orders.repartition(13), num_ranges=7, method=d).collect())
+    assert one == many == sorted(caterer.caterer_tier(m.caterers, m.orders, method="window").collect())
+    one = sorted(revenue.revenue_pareto(m.corporate_accounts, m.orders, num_ranges=1, method=d).collect())
+    many = sorted(revenue.revenue_pareto(m.corporate_accounts, m.orders.repartition(5), num_ranges=9,
+                                         method=d).collect())
+    assert one == many == sorted(revenue.revenue_pareto(m.corporate_accounts, m.orders, method="window").collect())
 
 
 def test_fill_cancelled_at(spark):
@@ -67,11 +69,28 @@ def test_fill_cancelled_at(spark):
     assert sorted(filled.collect()) == sorted(m.orders.collect())
 
 
-@pytest.mark.parametrize("key", ["q1c_caterer_tier", "q2b_revenue_pareto", "q5b2_gmv_by_variant"])
+def _distributed(spark, key, data=SF_SMALL):
+    from platewise.operators import experiment
+    from platewise.plans import params as P
+    m = sources.load(spark, data)
+    if key == "q1c_caterer_tier":
+        return caterer.caterer_tier(m.caterers, m.orders, method="distributed")
+    if key == "q2b_revenue_pareto":
+        return revenue.revenue_pareto(m.corporate_accounts, m.orders, method="distributed")
+    res = experiment.experiment_results(m.experiment_assignments, m.corporate_accounts, m.orders, P.EXPERIMENT,
+                                        P.CONV_DAYS, P.GMV_DAYS)
+    return experiment.gmv_by_variant(res, method="distributed")
+
+
+RANKED = ["q1c_caterer_tier", "q2b_revenue_pareto", "q5b2_gmv_by_variant"]
+
+
+@pytest.mark.parametrize("key", RANKED)
 def test_single_partition_exchanges_carry_only_range_totals(spark, key):
-    """Global ranks never route the ranked rows through one task: the only
-    single-partition exchanges feed the per-range offsets window."""
-    text = plan_text(registry.QUERIES[key](spark, SF_SMALL))
+    """Above the window row limit, global ranks never route the ranked rows
+    through one task: the only single-partition exchanges feed the per-range
+    offsets window."""
+    text = plan_text(_distributed(spark, key))
     nodes = text.split("\n\n")
     singles = [n for n in nodes if "Arguments: SinglePartition" in n]
     for node in singles:
@@ -96,3 +115,18 @@ def test_orders_read_once(spark, canonical, key):
 def test_foreign_keys_read_each_table_at_most_twice(spark, canonical):
     counts = scan_counts(registry.QUERIES["dq_foreign_key"](spark, canonical))
     assert counts["orders"] == 2 and max(counts.values()) == 2
+
+
+@pytest.mark.parametrize("key", RANKED)
+def test_distributed_form_matches_oracle(spark, key):
+    from platewise.plans import check
+    ok, info = check.compare(spark, check.duck_connection(SF_SMALL), key, SF_SMALL, df=_distributed(spark, key))
+    assert ok, info
+
+
+def test_small_inputs_take_the_window_form(spark):
+    from platewise.operators import ranking
+    df = spark.range(10)
+    assert ranking.plan_method(df) == "window"
+    assert ranking.plan_method(df, limit=5) == "distributed"
+    assert ranking.plan_method(df, method="distributed") == "distributed"

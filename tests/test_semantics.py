@@ -59,22 +59,24 @@ def test_scorecard_zero_orders_and_on_time_boundaries(spark):
     assert (b.total_orders, b.total_gmv_usd, b.avg_order_value_usd, b.otd_strict_pct) == (0, None, None, None)
 
 
-def test_tier_null_rating_sorts_last_and_quartiles_balance(spark):
+@pytest.mark.parametrize("method", ["window", "distributed"])
+def test_tier_null_rating_sorts_last_and_quartiles_balance(spark, method):
     c = caterers(spark, *[dict(caterer_id=i, caterer_name=f"c{i}", avg_rating=D(f"{i}.00")) for i in range(1, 5)],
                  dict(caterer_id=5, caterer_name="c5", avg_rating=None))
     o = orders(spark, *[dict(caterer_id=i, order_total_usd=D(100 * i)) for i in range(1, 6)])
-    res = by(caterer.caterer_tier(c, o, num_ranges=3).collect(), "caterer_name")
+    res = by(caterer.caterer_tier(c, o, num_ranges=3, method=method).collect(), "caterer_name")
     assert res["c5"].composite_score is None and res["c5"].performance_tier == "Platinum"
     tiers = [r.performance_tier for r in res.values()]
     assert sorted(tiers.count(t) for t in set(tiers)) == [1, 1, 1, 2]
 
 
-def test_pareto_first_account_above_threshold_is_long_tail(spark):
+@pytest.mark.parametrize("method", ["window", "distributed"])
+def test_pareto_first_account_above_threshold_is_long_tail(spark, method):
     a = accounts(spark, *[dict(account_id=i) for i in range(1, 5)])
     o = orders(spark, dict(account_id=1, order_total_usd=D("900.00")), dict(account_id=2, order_total_usd=D("50.00")),
                dict(account_id=3, order_total_usd=D("50.00")), dict(account_id=4, order_total_usd=D("50.00"),
                                                                    order_status="cancelled"))
-    rows = revenue.revenue_pareto(a, o, num_ranges=2).collect()
+    rows = revenue.revenue_pareto(a, o, num_ranges=2, method=method).collect()
     assert [r.gmv_segment for r in rows] == ["Long Tail"] * 3
     assert rows[0].cumulative_gmv_pct == 90.0
     assert rows[1].cumulative_gmv_pct == rows[2].cumulative_gmv_pct == 100.0   # ties share the RANGE frame
@@ -157,7 +159,8 @@ def test_experiment_results_windows(spark):
     assert (res[2].converted, res[2].gmv_60d, res[2].first_order_date) == (0, D("0.00"), None)
 
 
-def test_variant_reports(spark):
+@pytest.mark.parametrize("method", ["window", "distributed"])
+def test_variant_reports(spark, method):
     from pyspark.sql import functions as F
     rows = [(i, "control" if i <= 6 else "treatment", date(2024, 3, 1), "smb", None, int(i % 2 == 0), None, None,
              D("0"), D(str(10 * (i % 4))), 0, D("0")) for i in range(1, 11)]
@@ -169,7 +172,7 @@ def test_variant_reports(spark):
                                       "first_order_value_true decimal(10,2)").toDF(*cols)
     srm = by(experiment.srm_check(res).collect(), "variant")
     assert srm["control"].pct_of_total == 60.0 and srm["control"].srm_status == "⚠ SRM DETECTED"
-    gmv = by(experiment.gmv_by_variant(res, num_ranges=3).collect(), "variant")
+    gmv = by(experiment.gmv_by_variant(res, num_ranges=3, method=method).collect(), "variant")
     want = {r.variant: round(float(r.m), 2) for r in res.groupBy("variant").agg(F.median("gmv_60d").alias("m")).collect()}
     assert {k: v.median_gmv_60d for k, v in gmv.items()} == want
     conv = by(experiment.conversion_by_variant(res).collect(), "variant")

@@ -64,3 +64,10 @@ def test_fixture_is_skewed(skewed_dir):
 def test_matches_oracle_under_skew(spark, duck, skewed_dir, key):
     ok, info = check.compare(spark, duck, key, skewed_dir)
     assert ok, info
+
+
+@pytest.mark.parametrize("key", ["q1c_caterer_tier", "q2b_revenue_pareto", "q5b2_gmv_by_variant"])
+def test_distributed_ranks_match_oracle_under_skew(spark, duck, skewed_dir, key):
+    from tests.test_plans import _distributed
+    ok, info = check.compare(spark, duck, key, skewed_dir, df=_distributed(spark, key, skewed_dir))
+    assert ok, info
