@@ -41,17 +41,17 @@ def first_assignment(assignments: DataFrame, experiment: str,
     return first.select("account_id", "f.experiment_name", "f.variant", "f.assigned_at")
 
 
-def within_span(orders: DataFrame, bounds: DataFrame, horizon_days: int) -> DataFrame:
-    """Orders placed between ``bounds._lo`` and ``bounds._hi`` + ``horizon_days`` (inclusive days).
+def within_span(orders: DataFrame, lo: dt.date | None, hi: dt.date | None, horizon_days: int) -> DataFrame:
+    """Orders placed from day ``lo`` to day ``hi`` + ``horizon_days`` (inclusive days).
 
-    ``bounds`` is a one-row aggregate, broadcast; the filter runs map-side
-    before the per-(account, day) roll-up, so order history outside the
-    experiment is never shuffled.
+    The bounds are literals, so the predicate reaches the parquet scan and, on
+    orders clustered by ``placed_at``, skips the row groups of the history
+    outside the experiment.  No bounds (no assignments) selects nothing.
     """
-    return orders.crossJoin(F.broadcast(bounds)).filter(
-        (F.col("placed_at") >= F.col("_lo").cast("timestamp_ntz"))
-        & (F.col("placed_at") < F.date_add(F.col("_hi"), horizon_days + 1).cast("timestamp_ntz"))
-    ).drop("_lo", "_hi")
+    if lo is None or hi is None:
+        return orders.filter(F.lit(False))
+    return orders.filter((F.col("placed_at") >= C.ts_lit(lo))
+                         & (F.col("placed_at") < C.ts_lit(hi + dt.timedelta(days=horizon_days + 1))))
 
 
 def experiment_enrollment(assignments: DataFrame, accounts: DataFrame, experiment: str = "SPRING20",
@@ -80,9 +80,10 @@ def experiment_results(assignments: DataFrame, accounts: DataFrame, orders: Data
     # Every enrollment day lies between the first and last assignment day of the
     # experiment: a superset bound from the raw assignments (no second pass over
     # the cohort) that prunes orders before the roll-up.
-    bounds = assignments.filter(F.col("experiment_name") == experiment).agg(
-        C.day(F.min("assigned_at")).alias("_lo"), C.day(F.max("assigned_at")).alias("_hi"))
-    daily = within_span(orders.filter(F.col("order_status") == "delivered"), bounds,
+    # (a one-row aggregate read on the driver: two dates, whatever the data size)
+    lo, hi = assignments.filter(F.col("experiment_name") == experiment).agg(
+        C.day(F.min("assigned_at")), C.day(F.max("assigned_at"))).first()
+    daily = within_span(orders.filter(F.col("order_status") == "delivered"), lo, hi,
                         max(conv_days, gmv_days)).groupBy(
         "account_id", C.day("placed_at").alias("order_day")).agg(
         F.count(F.lit(1)).alias("n"),

@@ -31,6 +31,8 @@ def test_status_and_date_filters_reach_the_scan(spark, canonical):
     assert "EqualTo(order_status,delivered)" in text
     pu = registry.QUERIES["q5c2_power_users"](spark, canonical)
     assert "GreaterThanOrEqual(placed_at" in plan_text(pu)
+    res = registry.QUERIES["q5a2_experiment_results"](spark, canonical)
+    assert "LessThan(placed_at" in plan_text(res)       # the enrollment span reaches the scan
 
 
 def test_canonical_results_equal_adapter_results(spark, canonical):
