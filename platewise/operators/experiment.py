@@ -267,9 +267,18 @@ def srm_check(results: DataFrame, expected_share: float = 0.5, tolerance: float
         F.when(off, F.lit(L.SRM_LABELS[0])).otherwise(F.lit(L.SRM_LABELS[1])).alias("srm_status"))
 
 
-def cancellation_guardrail(results: DataFrame, orders: DataFrame, days: int = 60) -> DataFrame:
-    """E: orders (any status) and cancellations within ``days`` of enrollment, per variant."""
+def cancellation_guardrail(results: DataFrame, orders: DataFrame, days: int = 60,
+                           prune_orders: bool = False) -> DataFrame:
+    """E: orders (any status) and cancellations within ``days`` of enrollment, per variant.
+
+    With ``prune_orders`` (for a materialised ``results``, where reading two
+    dates off it is cheap) orders outside the enrollment span are skipped at
+    the scan.
+    """
     enrolled = results.select("account_id", "variant", "enrollment_date")
+    if prune_orders:
+        lo, hi = enrolled.agg(F.min("enrollment_date"), F.max("enrollment_date")).first()
+        orders = within_span(orders, lo, hi, days)
     daily = orders.groupBy("account_id", C.day("placed_at").alias("order_day")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("order_status") == "cancelled").alias("cancelled"))
@@ -302,6 +311,6 @@ def report_suite(assignments: DataFrame, accounts: DataFrame, orders: DataFrame,
         "results_by_tier": results_by_tier(results),
         "power_users": power_users(results, orders, launch, lookback_days, min_orders),
         "account_age": account_age(results, accounts),
-        "cancellation_guardrail": cancellation_guardrail(results, orders, guardrail_days),
+        "cancellation_guardrail": cancellation_guardrail(results, orders, guardrail_days, prune_orders=True),
         "results": results_report(results),
     }
