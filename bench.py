@@ -1,6 +1,6 @@
 """Benchmark the full analytics suite on $BENCH_SF_DIR; print one JSON line.
 
-Pipeline measured, as it runs in production:
+What is measured, as it runs in production:
 
 1. ingest: the driver's test tables are mapped to the canonical layout once
    and written as parquet (orders range-clustered by ``placed_at``), timed
