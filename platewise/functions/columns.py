@@ -42,14 +42,17 @@ def ratio_units(num: Column | str, den: Column | str, digits: int) -> Column:
 
     ``num`` and ``den`` must be integral (counts, cents, day numbers).  NULL
     when ``den`` is 0 or NULL, like ``x / NULLIF(den, 0)``.  Exact: with
-    s = +1 when num/den >= 0 and -1 otherwise, the result is the integral
-    quotient (truncated toward zero) of ``2*num*10**digits + s*den`` by
-    ``2*den``, computed on decimals by ``div``.
+    s = +1 when num/den >= 0 and -1 otherwise, the result is the quotient,
+    truncated toward zero, of ``a = 2*num*10**digits + s*den`` by ``b = 2*den``,
+    computed as ``(a - a % b) / b`` on decimal(38,0), so it stays exact up to
+    about 10**32 (a long quotient would overflow on large money products).
     """
     n = _c(num).cast(_INT)
     d = F.nullif(_c(den).cast(_INT), F.lit(0).cast(_INT))
     s = F.when((n < 0) != (d < 0), F.lit(-1)).otherwise(F.lit(1))
-    return F.call_function("div", n * (2 * 10 ** digits) + s * d, d * 2)
+    a = n * (2 * 10 ** digits) + s * d
+    b = d * 2
+    return ((a - a % b) / b).cast(_INT)
 
 
 def ratio(num: Column | str, den: Column | str, digits: int) -> Column:

@@ -93,10 +93,13 @@ def monthly_otd_trend(caterers: DataFrame, orders: DataFrame, window_rows: int =
         den = den * b[j]
 
     names = caterers.select("caterer_id", "caterer_name")
-    return monthly.select(
+    # the fraction's terms are computed once as columns, then rounded
+    fractions = monthly.select("caterer_id", "order_month", "orders", "on_time",
+                               (num * 100).alias("_num"), den.alias("_den"))
+    return fractions.select(
         "caterer_id", "order_month", F.col("orders").cast("long").alias("orders"),
         C.pct("on_time", "orders", 1).alias("otd_pct"),
-        C.ratio(num * 100, den, 1).alias("otd_3mo_rolling_avg"),
+        C.ratio("_num", "_den", 1).alias("otd_3mo_rolling_avg"),
     ).join(names, "caterer_id").select(
         "caterer_name", "order_month", "orders", "otd_pct", "otd_3mo_rolling_avg",
     ).orderBy("caterer_name", "order_month")

@@ -50,3 +50,17 @@ def test_half_up_and_dates(spark):
 def test_tier_rank_orders_by_declaration(spark):
     df = spark.createDataFrame([("enterprise",), ("smb",), ("mid_market",)], "t string")
     assert [r.t for r in df.orderBy(C.tier_rank("t")).collect()] == ["smb", "mid_market", "enterprise"]
+
+
+def test_ratio_is_exact_beyond_long_range(spark):
+    """Money products (cents x days) can pass 2**63; the rounding stays exact."""
+    big = [(10 ** 25 + 7, 3), (-(10 ** 24) - 5, 10), (9 * 10 ** 22, 7)]
+    df = spark.createDataFrame([(str(n), d) for n, d in big], "n string, d long") \
+        .select(F.col("n").cast("decimal(38,0)").alias("n"), "d")
+    got = [r.u for r in df.select(C.ratio_units("n", "d", 2).alias("u")).collect()]
+    want = []
+    for n, d in big:
+        x = Decimal(n) * 100 / Decimal(d)
+        q = abs(x).quantize(Decimal(1), rounding=ROUND_HALF_UP)
+        want.append(q if x >= 0 else -q)
+    assert [int(g) for g in got] == [int(w) for w in want]
