@@ -44,7 +44,7 @@ def caterer_scorecard(caterers: DataFrame, orders: DataFrame, grace_minutes: int
         F.sum("headcount").alias("heads"),
         F.count_if(F.col("late_us") <= 0).alias("strict"),
         F.count_if(F.col("late_us") <= grace_minutes * _MICROS_PER_MINUTE).alias("grace"),
-        F.sum("late_us").alias("late_sum"))
+        F.sum(F.col("late_us").cast("decimal(38,0)")).alias("late_sum"))  # a long sum could overflow
     active = caterers.filter(F.col("is_active")) \
         .select("caterer_id", "caterer_name", "cuisine_type", "avg_rating")
     n = F.col("n")
@@ -57,7 +57,7 @@ def caterer_scorecard(caterers: DataFrame, orders: DataFrame, grace_minutes: int
         C.ratio("heads", n, 1).alias("avg_headcount"),
         C.pct("strict", n, 1).alias("otd_strict_pct"),
         C.pct("grace", n, 1).alias("otd_15min_grace_pct"),
-        C.ratio("late_sum", n * _MICROS_PER_MINUTE, 1).alias("avg_minutes_late"),
+        C.ratio("late_sum", n.cast("decimal(38,0)") * _MICROS_PER_MINUTE, 1).alias("avg_minutes_late"),
     ).orderBy(F.col("total_gmv_usd").desc_nulls_last())
 
 

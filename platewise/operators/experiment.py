@@ -202,16 +202,17 @@ def results_by_tier(results: DataFrame, control: str = "control") -> DataFrame:
     g = _segment_metrics(results, "account_tier")
     tier = Window.partitionBy("account_tier")
     rate = F.col("conv").cast("double") * F.lit(100.0) / F.col("n").cast("double")
-    c_conv = F.max(F.when(F.col("variant") == control, F.col("conv"))).over(tier)
-    c_n = F.max(F.when(F.col("variant") == control, F.col("n"))).over(tier)
-    lift_num = (F.col("conv") * c_n - c_conv * F.col("n")) * 100
+    dec = "decimal(38,0)"  # products of counts: exact, no long overflow
+    c_conv = F.max(F.when(F.col("variant") == control, F.col("conv"))).over(tier).cast(dec)
+    c_n = F.max(F.when(F.col("variant") == control, F.col("n"))).over(tier).cast(dec)
+    lift_num = (F.col("conv").cast(dec) * c_n - c_conv * F.col("n").cast(dec)) * 100
     return g.select(
         "account_tier", "variant",
         F.col("n").cast("long").alias("n_accounts"),
         C.pct("conv", "n", 2).alias("conversion_rate_pct"),
         C.ratio(C.cents("gmv"), F.col("n") * 100, 2).alias("avg_gmv_60d"),
         C.half_up(rate - F.avg(rate).over(tier), 2).alias("lift_vs_tier_mean_pp"),
-        C.ratio(lift_num, F.col("n") * c_n, 2).alias("lift_vs_control_pp"),
+        C.ratio(lift_num, F.col("n").cast(dec) * c_n, 2).alias("lift_vs_control_pp"),
     ).orderBy("account_tier", "variant")
 
 

@@ -125,9 +125,9 @@ def first_order_promo(orders: DataFrame, promo_orders: DataFrame, strict: bool =
     # over the grouped result itself (two rows), so the input is read once
     both = Window.partitionBy()
     p_sum = F.max(F.when(flag, F.col("gmv_sum"))).over(both)
-    p_n = F.max(F.when(flag, F.col("accounts"))).over(both)
+    p_n = F.max(F.when(flag, F.col("accounts"))).over(both).cast("decimal(38,0)")
     o_sum = F.max(F.when(~flag, F.col("gmv_sum"))).over(both)
-    o_n = F.max(F.when(~flag, F.col("accounts"))).over(both)
+    o_n = F.max(F.when(~flag, F.col("accounts"))).over(both).cast("decimal(38,0)")
     lift_num = C.cents(p_sum) * o_n - C.cents(o_sum) * p_n
     lift_den = p_n * o_n * 100
     return g.select(
