@@ -90,37 +90,48 @@ def first_order_promo(orders: DataFrame, promo_orders: DataFrame, strict: bool =
     ``promo_ltv_lift_usd`` is the real lift (promo mean minus organic mean,
     exact, on both rows); ``promo_ltv_lift_as_written`` keeps the source's
     expression, which filters inside its own group and is always NULL.
+
+    One pass over the orders: link counts are joined per order, orders are
+    rolled up per (account, timestamp) and then per account, and the fan-out
+    becomes a row weight (w promo rows, w organic rows per account).
     """
-    delivered = F.col("order_status") == "delivered"
-    # one pass per account: first non-cancelled timestamp and delivered lifetime value
+    links = promo_orders.groupBy("order_id").agg(F.count(F.lit(1)).alias("links"))
     live = F.col("order_status") != "cancelled"
-    per_account = orders.groupBy(F.col("account_id").alias("first_account")).agg(
-        F.min(F.when(live, F.col("placed_at"))).alias("first_ts"),
-        F.min(F.when(live, F.struct("placed_at", "order_id"))).alias("first"),
-        F.count_if(delivered).alias("lifetime_orders"),
-        F.sum(F.when(delivered, F.col("order_total_usd"))).alias("lifetime_gmv"))
-    # accounts without a delivered order drop out (inner join to their LTV)
-    per_account = per_account.filter(F.col("lifetime_orders") > 0)
+    delivered = F.col("order_status") == "delivered"
+    linked = F.col("links").isNotNull()
+    per_ts = orders.select("order_id", "account_id", "placed_at", "order_status", "order_total_usd") \
+        .join(links, "order_id", "left").groupBy("account_id", "placed_at").agg(
+            F.count_if(live).alias("live"),
+            F.coalesce(F.sum(F.when(linked, F.col("links"))), F.lit(0)).alias("promo_rows"),
+            F.count_if(~linked).alias("plain_rows"),
+            F.min(F.when(live, F.struct(F.col("order_id"), linked.alias("linked")))).alias("first_live"),
+            F.count_if(delivered).alias("d_n"),
+            F.sum(F.when(delivered, F.col("order_total_usd"))).alias("d_gmv"))
+    first_key = F.when(F.col("live") > 0, F.col("placed_at"))
     if strict:
-        linked = promo_orders.select("order_id").distinct().withColumn("_linked", F.lit(True))
-        rows = per_account.select(F.col("first_account").alias("account_id"), F.col("first.order_id").alias("order_id"),
-                                  "lifetime_orders", "lifetime_gmv") \
-            .join(linked, "order_id", "left").select(
-                "account_id", F.coalesce(F.col("_linked"), F.lit(False)).alias("first_order_had_promo"),
-                "lifetime_orders", "lifetime_gmv")
+        first = F.min(F.when(F.col("live") > 0, F.struct("placed_at", "first_live"))).alias("first")
+        weights = [(F.lit(True), F.when(F.col("first.first_live.linked"), 1).otherwise(0)),
+                   (F.lit(False), F.when(F.col("first.first_live.linked"), 0).otherwise(1))]
     else:
-        # composite key: a hot account's orders still spread over many partitions
-        firsts = orders.select("order_id", "account_id", "placed_at").join(
-            per_account, (F.col("account_id") == F.col("first_account")) & (F.col("placed_at") == F.col("first_ts")))
-        rows = firsts.join(promo_orders.select("order_id", "promo_id"), "order_id", "left").select(
-            "account_id", F.col("promo_id").isNotNull().alias("first_order_had_promo"),
-            "lifetime_orders", "lifetime_gmv")
-    flag, gmv = F.col("first_order_had_promo"), F.col("lifetime_gmv")
+        first = F.min_by(F.struct("promo_rows", "plain_rows"), first_key).alias("first")
+        weights = [(F.lit(True), F.col("first.promo_rows")), (F.lit(False), F.col("first.plain_rows"))]
+    per_account = per_ts.groupBy("account_id").agg(
+        first, F.sum("d_n").alias("lifetime_orders"), F.sum("d_gmv").alias("lifetime_gmv"))
+    # accounts without a delivered order drop out (inner join to their LTV), as do
+    # accounts without a non-cancelled order (no first order)
+    rows = per_account.filter((F.col("lifetime_orders") > 0) & F.col("first").isNotNull()).select(
+        "lifetime_orders", "lifetime_gmv",
+        F.explode(F.array(*[F.struct(flag.alias("first_order_had_promo"), w.cast("long").alias("w"))
+                            for flag, w in weights])).alias("e")) \
+        .select("e.first_order_had_promo", "e.w", "lifetime_orders", "lifetime_gmv").filter(F.col("w") > 0)
+    flag, gmv, w = F.col("first_order_had_promo"), F.col("lifetime_gmv"), F.col("w")
+    # the source's FILTERed averages inside one flag group: one side is always empty
+    side_avg = lambda cond: F.try_divide(F.sum(F.when(cond, gmv * w)), F.sum(F.when(cond, w)))
     g = rows.groupBy("first_order_had_promo").agg(
-        F.count("account_id").alias("accounts"),
-        F.sum("lifetime_orders").alias("orders_sum"),
-        F.sum(gmv).alias("gmv_sum"),
-        (F.avg(F.when(flag, gmv)) - F.avg(F.when(~flag, gmv))).alias("lift_as_written"))
+        F.sum(w).alias("accounts"),
+        F.sum(F.col("lifetime_orders") * w).alias("orders_sum"),
+        F.sum(gmv * w).alias("gmv_sum"),
+        (side_avg(flag) - side_avg(~flag)).alias("lift_as_written"))
     # both group means as exact fractions, spread to the two rows by a window
     # over the grouped result itself (two rows), so the input is read once
     both = Window.partitionBy()

@@ -109,7 +109,8 @@ def test_reports_are_written_as_files(spark):
 
 @pytest.mark.parametrize("key", ["q1a_caterer_scorecard", "q2a_monthly_gmv_growth", "q3a_order_cadence",
                                  "q3b_cohort_retention", "q3c_churn_risk", "q5a2_experiment_results",
-                                 "q6b_ltv_by_cohort", "q6c_top_accounts_churn", "dq_not_null"])
+                                 "q6b_ltv_by_cohort", "q6c_top_accounts_churn", "q4c_first_order_promo",
+                                 "dq_not_null"])
 def test_orders_read_once(spark, canonical, key):
     assert scan_counts(registry.QUERIES[key](spark, canonical)).get("orders") == 1
 
