@@ -44,15 +44,33 @@ def summarize(df: DataFrame) -> dict:
     }
 
 
+def markdown_table(spark, data: str, keys) -> str:
+    """One row per query: the plan figures that matter at scale."""
+    lines = ["| Query | Exchanges | Single-partition | Broadcasts | WindowGroupLimit | Scans per table |",
+             "|---|---|---|---|---|---|"]
+    for key in keys:
+        df = registry.QUERIES[key](spark, data)
+        s = summarize(df)
+        scans = ", ".join(f"{t} {n}" for t, n in sorted(scan_counts(df).items())) or "checkpoints only"
+        lines.append(f"| `{key}` | {s['exchanges']} | {s['single_partition']} | {s['broadcasts']} | "
+                     f"{'yes' if s['window_group_limit'] else ''} | {scans} |")
+    return "\n".join(lines)
+
+
 def main(argv=None) -> None:
     from ..session import get_session
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("--full", action="store_true")
+    ap.add_argument("--markdown", action="store_true")
     ap.add_argument("keys", nargs="*")
     args = ap.parse_args(argv)
     spark = get_session(master="local[8]", shuffle_partitions=8)
-    for key in args.keys or list(registry.QUERIES):
+    keys = args.keys or list(registry.QUERIES)
+    if args.markdown:
+        print(markdown_table(spark, args.sf, keys))
+        return
+    for key in keys:
         df = registry.QUERIES[key](spark, args.sf)
         if args.full:
             print(plan_text(df))
