@@ -78,9 +78,8 @@ def experiment_results(assignments: DataFrame, accounts: DataFrame, orders: Data
         "account_id", "variant", C.day("assigned_at").alias("enrollment_date")) \
         .join(accounts.select("account_id", "account_tier", "industry"), "account_id")
     # Every enrollment day lies between the first and last assignment day of the
-    # experiment: a superset bound from the raw assignments (no second pass over
-    # the cohort) that prunes orders before the roll-up.
-    # (a one-row aggregate read on the driver: two dates, whatever the data size)
+    # experiment: a superset bound taken from the raw assignments (no second pass
+    # over the cohort) by a one-row aggregate, two dates whatever the data size.
     lo, hi = assignments.filter(F.col("experiment_name") == experiment).agg(
         C.day(F.min("assigned_at")), C.day(F.max("assigned_at"))).first()
     daily = within_span(orders.filter(F.col("order_status") == "delivered"), lo, hi,
