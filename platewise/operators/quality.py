@@ -115,17 +115,31 @@ def not_null_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def unique_key_check(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[Sequence[str]]] = PRIMARY_KEYS
                      ) -> DataFrame:
-    """Primary / unique keys: rows whose key value occurs more than once."""
+    """Primary / unique keys: rows whose key value occurs more than once.
+
+    One pass per table: a table with several keys explodes each row into one
+    (rule, key) entry per key, the key serialised as JSON text so keys of any
+    types share one column (NULL parts included, as GROUP BY groups them).
+    """
     parts = []
     for t, key_list in keys.items():
-        for key in key_list:
-            counts = tables[t].groupBy(*key).agg(F.count(F.lit(1)).alias("k"))
-            parts.append(counts.agg(
-                F.sum("k").alias("n_checked"),
-                F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)).alias("n_violations")).select(
-                F.lit(t).alias("table_name"), F.lit(f"unique({', '.join(key)})").alias("rule"),
-                F.coalesce(F.col("n_checked"), F.lit(0)).cast("long").alias("n_checked"),
-                F.coalesce(F.col("n_violations"), F.lit(0)).cast("long").alias("n_violations")))
+        rules = [f"unique({', '.join(key)})" for key in key_list]
+        sums = [F.sum("k").alias("n_checked"),
+                F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)).alias("n_violations")]
+        if len(key_list) == 1:  # a global aggregate: one row even for an empty table
+            per_rule = tables[t].groupBy(*key_list[0]).agg(F.count(F.lit(1)).alias("k")) \
+                .agg(*sums).select(F.lit(rules[0]).alias("rule"), "n_checked", "n_violations")
+        else:
+            entries = F.explode(F.array(*[
+                F.struct(F.lit(rule).alias("rule"), F.to_json(F.struct(*key)).alias("v"))
+                for rule, key in zip(rules, key_list)])).alias("e")
+            counts = tables[t].select(entries).groupBy("e.rule", "e.v").agg(F.count(F.lit(1)).alias("k"))
+            rule_list = tables[t].sparkSession.createDataFrame([(r,) for r in rules], "rule string")
+            per_rule = rule_list.join(counts.groupBy("rule").agg(*sums), "rule", "left")
+        parts.append(per_rule.select(
+            F.lit(t).alias("table_name"), "rule",
+            F.coalesce(F.col("n_checked"), F.lit(0)).cast("long").alias("n_checked"),
+            F.coalesce(F.col("n_violations"), F.lit(0)).cast("long").alias("n_violations")))
     return _union(parts)
 
 

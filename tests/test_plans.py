@@ -133,3 +133,8 @@ def test_small_inputs_take_the_window_form(spark):
     assert ranking.plan_method(df) == "window"
     assert ranking.plan_method(df, limit=5) == "distributed"
     assert ranking.plan_method(df, method="distributed") == "distributed"
+
+
+def test_unique_keys_read_each_table_once(spark, canonical):
+    counts = scan_counts(registry.QUERIES["dq_unique_key"](spark, canonical))
+    assert set(counts.values()) == {1}

@@ -359,3 +359,11 @@ def test_report_suite_equals_standalone_queries(spark):
              "results": "q5a2_experiment_results"}
     for name, key in pairs.items():
         assert sorted(suite[name].collect()) == sorted(registry.QUERIES[key](spark, SF_SMALL).collect()), name
+
+
+def test_unique_keys_on_an_empty_table_report_zero(spark):
+    p = make(spark, S.PROMOTIONS, [])
+    rows = quality.unique_key_check({"promotions": p, "orders": orders(spark).limit(0)},
+                                    {"promotions": [("promo_id",), ("promo_code",)], "orders": [("order_id",)]})
+    assert sorted((r.rule, r.n_checked, r.n_violations) for r in rows.collect()) == [
+        ("unique(order_id)", 0, 0), ("unique(promo_code)", 0, 0), ("unique(promo_id)", 0, 0)]
