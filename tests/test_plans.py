@@ -138,3 +138,11 @@ def test_small_inputs_take_the_window_form(spark):
 def test_unique_keys_read_each_table_once(spark, canonical):
     counts = scan_counts(registry.QUERIES["dq_unique_key"](spark, canonical))
     assert set(counts.values()) == {1}
+
+
+def test_checkpoints_go_to_the_session_folder(spark):
+    from platewise.session import ensure_checkpoint_dir, materialize
+    folder = spark.sparkContext.getCheckpointDir()
+    assert folder and ensure_checkpoint_dir(spark) == folder
+    assert materialize(spark.range(3)).count() == 3
+    assert spark.sparkContext.getCheckpointDir() == folder
