@@ -10,7 +10,7 @@ the two engines round identical exact values.
 
 from __future__ import annotations
 
-from ..functions.sqltext import (cents, days_between, half_up, money, month_index, month_start, pct,
+from ..functions.sqltext import (cents, half_up, money, month_index, month_start, pct,
                                  quarter_start, ratio, ratio_units, tier_rank)
 from ..sources import labels as L
 from ..sources.adapter import ORACLE_VIEWS
