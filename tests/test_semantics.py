@@ -367,3 +367,21 @@ def test_unique_keys_on_an_empty_table_report_zero(spark):
                                     {"promotions": [("promo_id",), ("promo_code",)], "orders": [("order_id",)]})
     assert sorted((r.rule, r.n_checked, r.n_violations) for r in rows.collect()) == [
         ("unique(order_id)", 0, 0), ("unique(promo_code)", 0, 0), ("unique(promo_id)", 0, 0)]
+
+
+def test_quality_row_twins_and_defaults(spark):
+    a = make(spark, S.CORPORATE_ACCOUNTS.__class__([
+        f if f.name not in ("account_tier", "is_active") else f.__class__(f.name, f.dataType, True)
+        for f in S.CORPORATE_ACCOUNTS.fields]),
+        [dict(account_id=1, company_name="A", city="X", state_code="XX", created_at=date(2024, 1, 1)),
+         dict(account_id=1, company_name="B", city="X", state_code="XXX", created_at=date(2024, 1, 1),
+              account_tier="giant", is_active=True)])
+    filled = quality.apply_defaults(a, "corporate_accounts")
+    first = filled.filter("company_name = 'A'").first()
+    assert (first.account_tier, first.is_active) == ("smb", True)
+    assert quality.not_null_rows(a, ["account_tier"]).count() == 1
+    assert quality.unique_key_rows(a, ["account_id"]).count() == 2
+    assert [r.account_tier for r in quality.domain_rows(a, "account_tier", S.ACCOUNT_TIERS).collect()] == ["giant"]
+    lengths = by(quality.length_check({"corporate_accounts": a}, {"corporate_accounts": {"state_code": 2}}).collect(),
+                 "rule")
+    assert lengths["length(state_code) <= 2"].n_violations == 1
