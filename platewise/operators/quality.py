@@ -97,6 +97,30 @@ def _one_pass(df: DataFrame, table: str, checks: Sequence[tuple[str, Column, Col
     return row.select(F.explode(F.array(*entries)).alias("r")).select("r.*")
 
 
+def not_null_checks(columns: Sequence[str]) -> list:
+    return [(f"not_null({c})", F.lit(True), F.col(c).isNull()) for c in columns]
+
+
+def domain_checks(items: Sequence[tuple[str, Sequence[str]]]) -> list:
+    return [(f"{col} in ({', '.join(values)})", F.col(col).isNotNull(),
+             F.col(col).isNotNull() & ~_in_domain(col, values)) for col, values in items]
+
+
+def range_checks(items: Sequence[tuple[str, str]]) -> list:
+    return [(predicate, F.col(col).isNotNull(), F.col(col).isNotNull() & ~F.expr(predicate))
+            for col, predicate in items]
+
+
+def status_checks(rules=None) -> list:
+    return [(name, F.lit(True), F.coalesce(F.expr(pred), F.lit(False)))
+            for name, pred in (rules or STATUS_TIMESTAMP_RULES)]
+
+
+def one_pass(df: DataFrame, table: str, checks: Sequence[tuple[str, Column, Column]]) -> DataFrame:
+    """Any list of single-table checks, evaluated in one aggregation over ``df``."""
+    return _one_pass(df, table, checks)
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -104,9 +128,7 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 def not_null_check(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """NOT NULL columns (default: the non-nullable fields of the canonical schema)."""
     columns = columns or {t: not_null_columns(t) for t in tables}
-    return _union([
-        _one_pass(tables[t], t, [(f"not_null({c})", F.lit(True), F.col(c).isNull()) for c in cols])
-        for t, cols in columns.items() if cols])
+    return _union([_one_pass(tables[t], t, not_null_checks(cols)) for t, cols in columns.items() if cols])
 
 
 def not_null_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -199,10 +221,8 @@ def domain_check(tables: Mapping[str, DataFrame], domains=DOMAINS) -> DataFrame:
     """Enum and vocabulary columns: non-NULL values outside the allowed set."""
     by_table: dict[str, list] = {}
     for t, col, values in domains:
-        by_table.setdefault(t, []).append(
-            (f"{col} in ({', '.join(values)})", F.col(col).isNotNull(),
-             F.col(col).isNotNull() & ~_in_domain(col, values)))
-    return _union([_one_pass(tables[t], t, checks) for t, checks in by_table.items()])
+        by_table.setdefault(t, []).append((col, values))
+    return _union([_one_pass(tables[t], t, domain_checks(items)) for t, items in by_table.items()])
 
 
 def domain_rows(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:
@@ -213,9 +233,8 @@ def range_check(tables: Mapping[str, DataFrame], ranges=RANGES) -> DataFrame:
     """CHECK constraints: non-NULL values for which the predicate is false."""
     by_table: dict[str, list] = {}
     for t, col, predicate in ranges:
-        by_table.setdefault(t, []).append(
-            (predicate, F.col(col).isNotNull(), F.col(col).isNotNull() & ~F.expr(predicate)))
-    return _union([_one_pass(tables[t], t, checks) for t, checks in by_table.items()])
+        by_table.setdefault(t, []).append((col, predicate))
+    return _union([_one_pass(tables[t], t, range_checks(items)) for t, items in by_table.items()])
 
 
 def length_check(tables: Mapping[str, DataFrame], limits=MAX_LENGTHS) -> DataFrame:
@@ -241,8 +260,7 @@ def default_fill_check(tables: Mapping[str, DataFrame], defaults=DEFAULTS) -> Da
 
 def status_timestamp_check(orders: DataFrame, rules=STATUS_TIMESTAMP_RULES) -> DataFrame:
     """Lifecycle timestamps consistent with the order status."""
-    return _one_pass(orders, "orders", [(name, F.lit(True), F.coalesce(F.expr(pred), F.lit(False)))
-                                        for name, pred in rules])
+    return _one_pass(orders, "orders", status_checks(rules))
 
 
 def fill_cancelled_at(orders: DataFrame, hours: int = 2) -> DataFrame:

@@ -1,9 +1,10 @@
 """Structured Streaming: run the order-level data-quality checks on each micro-batch.
 
 New canonical ``orders`` parquet files landing in a folder are read as a
-stream with the declared schema; every micro-batch goes through the same
-batch operators as the ``dq_*`` queries (``foreachBatch``) and the summary
-rows, tagged with the batch id, are appended to a parquet report.  The
+stream with the declared schema; every micro-batch is checked with the same
+rule builders as the ``dq_*`` queries, all rules in one aggregation pass over
+the batch (``foreachBatch``), and the summary rows, tagged with the batch id,
+are appended to a parquet report.  The
 stream's checkpoint lives in the shared checkpoint folder, so a restarted
 query resumes exactly after the last committed batch.  The checks are
 stateless per batch; cross-batch rules (duplicate keys, references) belong to
@@ -24,18 +25,13 @@ from ..sources import schemas as S
 
 
 def order_checks(batch: DataFrame) -> DataFrame:
-    """All single-table order rules on one batch: NOT NULL, domains, ranges, status timestamps."""
-    tables = {"orders": batch}
-    parts = [
-        quality.not_null_check(tables, {"orders": quality.not_null_columns("orders")}),
-        quality.domain_check(tables, [d for d in quality.DOMAINS if d[0] == "orders"]),
-        quality.range_check(tables, [r for r in quality.RANGES if r[0] == "orders"]),
-        quality.status_timestamp_check(batch),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All single-table order rules on one batch (NOT NULL, domains, ranges,
+    status timestamps), evaluated in one aggregation pass over the batch."""
+    checks = (quality.not_null_checks(quality.not_null_columns("orders"))
+              + quality.domain_checks([(c, v) for t, c, v in quality.DOMAINS if t == "orders"])
+              + quality.range_checks([(c, p) for t, c, p in quality.RANGES if t == "orders"])
+              + quality.status_checks())
+    return quality.one_pass(batch, "orders", checks)
 
 
 def start_order_quality_monitor(spark: SparkSession, source_dir: str, report_dir: str,
