@@ -43,14 +43,21 @@ from ..session import materialize
 WINDOW_ROW_LIMIT = 2_000_000
 
 
-def plan_method(df: DataFrame, method: str = "auto", limit: int = WINDOW_ROW_LIMIT) -> str:
+LIMIT_CONF = "spark.platewise.ranking.windowRowLimit"
+
+
+def plan_method(df: DataFrame, method: str = "auto", limit: int | None = None) -> str:
     """``"window"`` when ``df`` has at most ``limit`` rows, else ``"distributed"``.
 
-    Meant for a materialised input: ``limit(limit + 1).count()`` stops every
-    task after ``limit + 1`` rows, so the check costs at most that per task.
+    ``limit`` defaults to the session setting ``spark.platewise.ranking.windowRowLimit``
+    (tune it to executor memory), else ``WINDOW_ROW_LIMIT``.  Meant for a
+    materialised input: ``limit(limit + 1).count()`` stops every task after
+    ``limit + 1`` rows, so the check costs at most that per task.
     """
     if method != "auto":
         return method
+    if limit is None:
+        limit = int(df.sparkSession.conf.get(LIMIT_CONF, str(WINDOW_ROW_LIMIT)))
     return "window" if df.limit(limit + 1).count() <= limit else "distributed"
 
 

@@ -133,6 +133,12 @@ def test_small_inputs_take_the_window_form(spark):
     assert ranking.plan_method(df) == "window"
     assert ranking.plan_method(df, limit=5) == "distributed"
     assert ranking.plan_method(df, method="distributed") == "distributed"
+    spark.conf.set(ranking.LIMIT_CONF, "5")
+    try:
+        assert ranking.plan_method(df) == "distributed"
+    finally:
+        spark.conf.unset(ranking.LIMIT_CONF)
+    assert ranking.plan_method(df) == "window"
 
 
 def test_unique_keys_read_each_table_once(spark, canonical):
