@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: UTC day boundaries, ANSI arithmetic (division by
@@ -43,22 +41,22 @@ def get_session(app: str = "platewise", master: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, taken from ``spark.checkpoint.dir``.
 
-    On a cluster this must name a shared file system; it is read from the
-    session.  Only a local-mode session without the setting (tests, the bench)
-    gets a fresh folder of its own.
+    It must name a folder that the driver and all executors share.  Only a
+    local-mode session without the setting gets one of its own, below its
+    warehouse folder; on a cluster a missing setting is an error.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server's own spark.checkpoint.dir applies
         return spark.conf.get("spark.checkpoint.dir", None)
-    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder on the cluster")
-        path = tempfile.mkdtemp(prefix="platewise-ckpt-")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+    return path
 
 
 def materialize(df):
