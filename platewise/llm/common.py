@@ -123,7 +123,14 @@ def id_ranges(ids: DataFrame, column: str, parts: int) -> list[int]:
 
 
 def range_of(value: Column, bounds: list[int]) -> Column:
-    """Index of the range of ``id_ranges`` that holds ``value`` (0 for null)."""
-    steps = F.array(*[F.lit(int(b)).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    # number of bounds below the value
-    return F.coalesce(F.size(F.filter(steps, lambda b: b < value)), F.lit(0)).cast("int")
+    """Index of the range of :func:`id_ranges` that holds ``value`` (0 for null): two searches in about sqrt(n) bounds."""
+    width = max(1, round(len(bounds) ** 0.5))
+    rows = [bounds[at:at + width] for at in range(0, len(bounds), width)]
+    array = lambda of: F.array(*of) if of else F.array().cast("array<long>")
+    longs = lambda of: array([F.lit(int(b)).cast("long") for b in of])
+    below = lambda steps: F.size(F.filter(steps, lambda b: b < value))
+    if not rows:
+        return F.lit(0)
+    coarse = below(longs([row[-1] for row in rows]))
+    fine = F.get(F.array(*[longs(row) for row in rows]), coarse)
+    return F.when(value.isNull(), 0).otherwise(coarse * width + F.coalesce(below(fine), F.lit(0))).cast("int")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, sharding
+from . import bpe, chat, common, neardup, quality, secrets, sharding, syncmers, tokenfiles
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,9 +29,49 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = quality.train(docs, labels, where=~held_out)
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest(chat.format_conversations(turns))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _ = vocabulary("byte_bpe_50k.json")
+    out = f"{common.shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    tokenfiles.write(table(spark, sf_dir, "documents"), out, path, end_id=2)
+    return tokenfiles.read(spark, out)
+
+
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_secrets": op3_secrets,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_quality": op5_quality,
+    "op7_chat": op7_chat,
+    "op8_token_files": op8_token_files,
+    "op9_syncmers": op9_syncmers,
 }
 
 #: DuckDB SQL where SQL can express the operator.
