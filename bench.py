@@ -63,41 +63,33 @@ def calibration(spark, sf_dir: str) -> float:
     return statistics.median(times)
 
 
-def scratch_root(spark) -> str:
-    """Shared folder on a cluster (spark.checkpoint.dir); a fresh local folder in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
-
-
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     only = [k for k in os.environ.get("BENCH_QUERIES", "").split(",") if k]
+    # local mode: a folder of this run's own for the canonical copy and the checkpoints
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark = get_session("platewise-bench", master=f"local[{cpus}]", shuffle_partitions=max(cpus, 8),
-                        extra={"spark.driver.memory": "16g"})
+                        extra={"spark.driver.memory": "16g", "spark.checkpoint.dir": f"{root}/shared"})
     keys = only or list(registry.QUERIES)
     ticks0 = cpu_ticks()
     calib = calibration(spark, sf_dir)
 
-    root = scratch_root(spark)
     # untimed warm-up ingest (JIT, class loading), like the warm-up pass of the queries
-    sources.write_canonical(sources.load(spark, sf_dir), os.path.join(root, f"warmup-{uuid.uuid4().hex[:8]}"))
+    sources.write_canonical(sources.load(spark, sf_dir, "test"), os.path.join(root, f"warmup-{uuid.uuid4().hex[:8]}"))
     canonical = os.path.join(root, f"platewise-canonical-{uuid.uuid4().hex[:8]}")
     t0 = time.perf_counter()
-    sources.write_canonical(sources.load(spark, sf_dir), canonical)
+    sources.write_canonical(sources.load(spark, sf_dir, "test"), canonical)
     ingest = time.perf_counter() - t0
 
+    queries = registry.queries("canonical")
     for key in keys:  # warm-up: JIT, parquet footers, class loading
-        run_once(spark, registry.QUERIES[key], canonical)
+        run_once(spark, queries[key], canonical)
     times: dict[str, list[float]] = {k: [] for k in keys}
     for _ in range(runs):
         for key in keys:
-            times[key].append(run_once(spark, registry.QUERIES[key], canonical))
+            times[key].append(run_once(spark, queries[key], canonical))
     medians = {k: round(statistics.median(v), 3) for k, v in times.items()}
     raw = {k: round(run_once(spark, registry.QUERIES[k], sf_dir), 3) for k in keys}
 

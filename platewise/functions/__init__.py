@@ -1 +1 @@
-"""Column helpers (``columns``) and their DuckDB SQL-text twins (``sqltext``)."""
+"""Column helpers (``columns``)."""

@@ -4,11 +4,8 @@ Rounding.  A ratio of exact quantities (money sums, counts, day spans) is
 rounded half away from zero on the *exact* rational value, the way
 ``ROUND(numeric, n)`` behaves in the source dialects: the division is done in
 integer arithmetic on decimals, so no binary fraction decides a tie.  Only
-genuinely floating results (standard deviations, blended scores) go through
-``half_up`` on the double value.
-
-Every helper here has a SQL-text twin in :mod:`platewise.functions.sqltext`
-that the DuckDB oracle uses, with the same operations in the same order.
+genuinely blended results (standard deviations, scores, means of rates) go
+through ``rounded``.
 """
 
 from __future__ import annotations
@@ -65,10 +62,19 @@ def pct(num: Column | str, den: Column | str, digits: int) -> Column:
     return ratio(_c(num).cast(_INT) * 100, den, digits)
 
 
-def half_up(x: Column | str, digits: int) -> Column:
-    """Round a double half up on its binary value: identical in every engine."""
-    scale = float(10 ** digits)
-    return F.floor(_c(x) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+def rounded(x: Column | str, digits: int) -> Column:
+    """Round a blended value half away from zero, also below zero, like ``ROUND`` of a NUMERIC.
+
+    The value is taken to nine decimals first, so noise in the last binary
+    places of a double, or a cut decimal fraction, doesn't decide a tie.
+    """
+    return F.round(_c(x).cast("decimal(38,9)"), digits).cast("double")
+
+
+def exact_rate(num: Column | str, den: Column | str) -> Column:
+    """``num / den`` of counts as a decimal with 18 places; NULL for a zero denominator."""
+    return (_c(num).cast("decimal(20,0)").cast("decimal(38,18)")
+            / F.nullif(_c(den).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))).cast("decimal(38,18)")
 
 
 def as_long(x: Column | str) -> Column:

@@ -42,6 +42,7 @@ def caterer_scorecard(caterers: DataFrame, orders: DataFrame, grace_minutes: int
         F.count(F.lit(1)).alias("n"),
         F.sum("order_total_usd").alias("gmv"),
         F.sum("headcount").alias("heads"),
+        F.count("headcount").alias("heads_n"),
         F.count_if(F.col("late_us") <= 0).alias("strict"),
         F.count_if(F.col("late_us") <= grace_minutes * _MICROS_PER_MINUTE).alias("grace"),
         F.sum(F.col("late_us").cast("decimal(38,0)")).alias("late_sum"))  # a long sum could overflow
@@ -54,65 +55,45 @@ def caterer_scorecard(caterers: DataFrame, orders: DataFrame, grace_minutes: int
         F.coalesce(n, F.lit(0)).cast("long").alias("total_orders"),
         C.money("gmv").alias("total_gmv_usd"),
         C.ratio(C.cents("gmv"), n * 100, 2).alias("avg_order_value_usd"),
-        C.ratio("heads", n, 1).alias("avg_headcount"),
+        C.ratio("heads", "heads_n", 1).alias("avg_headcount"),
         C.pct("strict", n, 1).alias("otd_strict_pct"),
         C.pct("grace", n, 1).alias("otd_15min_grace_pct"),
-        C.ratio("late_sum", n.cast("decimal(38,0)") * _MICROS_PER_MINUTE, 1).alias("avg_minutes_late"),
-    ).orderBy(F.col("total_gmv_usd").desc_nulls_last())
+        C.ratio("late_sum", n.cast("decimal(38,0)") * _MICROS_PER_MINUTE, 1).alias("avg_minutes_late"), "caterer_id",
+    ).orderBy(F.col("total_gmv_usd").desc_nulls_last(), "caterer_id").drop("caterer_id")
 
 
 def monthly_otd_trend(caterers: DataFrame, orders: DataFrame, window_rows: int = 3) -> DataFrame:
     """Per caterer and month: delivered orders, on-time %, rolling mean of the last rows.
 
     The rolling mean averages the unrounded monthly rates of the current and
-    ``window_rows - 1`` preceding months that have orders (a ROWS frame), and
-    is computed as one exact fraction.  Its window is partitioned by caterer
-    over at most one row per month.
+    ``window_rows - 1`` preceding months that have orders (a ROWS frame), as
+    decimals with 18 places, and is rounded once.  Its window is partitioned
+    by caterer over at most one row per month.
     """
     delivered = orders.filter((F.col("order_status") == "delivered") & F.col("actual_delivery").isNotNull())
     monthly = delivered.groupBy("caterer_id", C.month_start("placed_at").alias("order_month")).agg(
         F.count(F.lit(1)).alias("orders"),
         F.count_if(F.col("actual_delivery") <= F.col("scheduled_delivery")).alias("on_time"))
-
-    w = Window.partitionBy("caterer_id").orderBy("order_month")
-    hits = [F.col("on_time")] + [F.lag("on_time", i).over(w) for i in range(1, window_rows)]
-    sizes = [F.col("orders")] + [F.lag("orders", i).over(w) for i in range(1, window_rows)]
-    a = [F.coalesce(h, F.lit(0)).cast("decimal(38,0)") for h in hits]
-    b = [F.coalesce(s, F.lit(1)).cast("decimal(38,0)") for s in sizes]
-    k = sum((F.when(s.isNotNull(), 1).otherwise(0) for s in sizes[1:]), F.lit(1))
-    # mean of a_i/b_i over k rows = sum_i a_i * prod_{j != i} b_j / (k * prod_j b_j)
-    num = None
-    for i in range(window_rows):
-        term = a[i]
-        for j in range(window_rows):
-            if j != i:
-                term = term * b[j]
-        num = term if num is None else num + term
-    den = k
-    for j in range(window_rows):
-        den = den * b[j]
-
+    frame = Window.partitionBy("caterer_id").orderBy("order_month").rowsBetween(1 - window_rows, Window.currentRow)
+    rate = C.exact_rate(F.col("on_time") * 100, "orders")
+    mean = F.sum(rate).over(frame) / F.count(F.lit(1)).over(frame).cast("decimal(10,0)")
     names = caterers.select("caterer_id", "caterer_name")
-    # the fraction's terms are computed once as columns, then rounded
-    fractions = monthly.select("caterer_id", "order_month", "orders", "on_time",
-                               (num * 100).alias("_num"), den.alias("_den"))
-    return fractions.select(
+    return monthly.select(
         "caterer_id", "order_month", F.col("orders").cast("long").alias("orders"),
         C.pct("on_time", "orders", 1).alias("otd_pct"),
-        C.ratio("_num", "_den", 1).alias("otd_3mo_rolling_avg"),
-    ).join(names, "caterer_id").select(
-        "caterer_name", "order_month", "orders", "otd_pct", "otd_3mo_rolling_avg",
-    ).orderBy("caterer_name", "order_month")
+        C.rounded(mean, 1).alias("otd_3mo_rolling_avg"),
+    ).join(names, "caterer_id").orderBy("caterer_name", "order_month", "caterer_id").select(
+        "caterer_name", "order_month", "orders", "otd_pct", "otd_3mo_rolling_avg")
 
 
 def caterer_tier(caterers: DataFrame, orders: DataFrame, weights: tuple[float, float, float] = (0.40, 0.35, 0.25),
-                 num_ranges: int | None = None, method: str = "auto") -> DataFrame:
+                 num_ranges: int | None = None) -> DataFrame:
     """Composite score of GMV percentile, on-time rate and rating; quartile badge.
 
     ``total_orders`` and GMV count every status; the on-time denominator counts
     delivered orders.  The quartile is ``ntile(4)`` over the unrounded score
     (NULL scores last, ties broken by caterer_id); both the percentile and the
-    quartile use the ranking helpers (distributed above their row limit).
+    quartile use the distributed ranking helpers.
     """
     w_gmv, w_otd, w_rating = weights
     per_caterer = orders.groupBy("caterer_id").agg(
@@ -131,14 +112,13 @@ def caterer_tier(caterers: DataFrame, orders: DataFrame, weights: tuple[float, f
     # one row per caterer, read by the percentile, its join back and the quartiles:
     # materialised once so the pass over all orders is not repeated
     stats = materialize(stats)
-    method = ranking.plan_method(stats, method)
-    ranked = ranking.percent_rank(stats, "gmv", "gmv_prank", num_ranges=num_ranges, method=method)
+    ranked = ranking.percent_rank(stats, "gmv", "gmv_prank", num_ranges=num_ranges)
     score = (F.lit(w_gmv) * F.col("gmv_prank")
              + F.lit(w_otd) * F.coalesce(F.col("otd_pct"), F.lit(0.0)) / F.lit(100.0)
              + F.lit(w_rating) * (F.col("avg_rating") - F.lit(1.0)) / F.lit(4.0))
     scored = ranked.withColumn("score", score)
     tiled = ranking.ntile(scored, [F.col("score").asc_nulls_last(), F.col("caterer_id").asc()], 4,
-                          "quartile", num_ranges=num_ranges, method=method)
+                          "quartile", num_ranges=num_ranges)
     tier = F.lit(None).cast("string")
     for q, label in TIER_LABELS.items():
         tier = F.when(F.col("quartile") == q, F.lit(label)).otherwise(tier)
@@ -146,6 +126,6 @@ def caterer_tier(caterers: DataFrame, orders: DataFrame, weights: tuple[float, f
         "caterer_name", "total_orders",
         C.money("gmv").alias("total_gmv"),
         "avg_rating", "otd_pct",
-        C.half_up("score", 4).alias("composite_score"),
-        tier.alias("performance_tier"),
-    ).orderBy(F.col("composite_score").desc_nulls_first())
+        C.rounded("score", 4).alias("composite_score"),
+        tier.alias("performance_tier"), "caterer_id",
+    ).orderBy(F.col("composite_score").desc_nulls_first(), "caterer_id").drop("caterer_id")

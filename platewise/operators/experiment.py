@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..sources import labels as L
 from ..session import materialize
+from . import ranking
 
 
 def first_assignment(assignments: DataFrame, experiment: str,
@@ -41,17 +42,25 @@ def first_assignment(assignments: DataFrame, experiment: str,
     return first.select("account_id", "f.experiment_name", "f.variant", "f.assigned_at")
 
 
-def within_span(orders: DataFrame, lo: dt.date | None, hi: dt.date | None, horizon_days: int) -> DataFrame:
-    """Orders placed from day ``lo`` to day ``hi`` + ``horizon_days`` (inclusive days).
+def experiment_cohort(assignments: DataFrame, accounts: DataFrame, experiment: str = "SPRING20") -> DataFrame:
+    """The enrolled accounts: first assignment, enrollment day and account attributes, one row each."""
+    return first_assignment(assignments, experiment).select(
+        "account_id", "variant", C.day("assigned_at").alias("enrollment_date")) \
+        .join(accounts.select("account_id", "account_tier", "industry", "created_at"), "account_id")
+
 
-    The bounds are literals, so the predicate reaches the parquet scan and, on
-    orders clustered by ``placed_at``, skips the row groups of the history
-    outside the experiment.  No bounds (no assignments) selects nothing.
+def cohort_orders(orders: DataFrame, cohort: DataFrame, horizon_days: int) -> DataFrame:
+    """Orders of the cohort's accounts, from its first enrollment day to ``horizon_days`` after its last.
+
+    The two days are scalar subqueries over the small cohort, planned with the
+    query and evaluated before the scan of the orders; the semi join comes
+    before any roll-up, so only the cohort's history is aggregated.
     """
-    if lo is None or hi is None:
-        return orders.filter(F.lit(False))
-    return orders.filter((F.col("placed_at") >= C.ts_lit(lo))
-                         & (F.col("placed_at") < C.ts_lit(hi + dt.timedelta(days=horizon_days + 1))))
+    day = lambda edge: cohort.agg(edge("enrollment_date").alias("day"))
+    lo = day(F.min).select(F.col("day").cast("timestamp_ntz")).scalar()
+    hi = day(F.max).select(F.date_add("day", horizon_days + 1).cast("timestamp_ntz")).scalar()
+    return orders.filter((F.col("placed_at") >= lo) & (F.col("placed_at") < hi)) \
+        .join(cohort.select("account_id"), "account_id", "left_semi")
 
 
 def experiment_enrollment(assignments: DataFrame, accounts: DataFrame, experiment: str = "SPRING20",
@@ -68,22 +77,15 @@ def experiment_results(assignments: DataFrame, accounts: DataFrame, orders: Data
                        experiment: str = "SPRING20", conv_days: int = 30, gmv_days: int = 60) -> DataFrame:
     """A2: per enrolled account, conversion within ``conv_days`` and GMV within ``gmv_days``.
 
-    Delivered orders are rolled up per (account, day) first; that roll-up is
-    joined to the cohort on account_id and both horizons are evaluated on it
-    as day ranges (``enrollment <= day <= enrollment + N``), in one pass.
+    The cohort's delivered orders are rolled up per (account, day); the roll-up
+    is joined to the cohort and both horizons are evaluated on it as day
+    ranges (``enrollment <= day <= enrollment + N``), in one pass.
     ``first_order_value`` is the smallest order value in the window, as
     written; ``first_order_value_true`` is the value of the earliest order.
     """
-    cohort = first_assignment(assignments, experiment).select(
-        "account_id", "variant", C.day("assigned_at").alias("enrollment_date")) \
-        .join(accounts.select("account_id", "account_tier", "industry"), "account_id")
-    # Every enrollment day lies between the first and last assignment day of the
-    # experiment: a superset bound taken from the raw assignments (no second pass
-    # over the cohort) by a one-row aggregate, two dates whatever the data size.
-    lo, hi = assignments.filter(F.col("experiment_name") == experiment).agg(
-        C.day(F.min("assigned_at")), C.day(F.max("assigned_at"))).first()
-    daily = within_span(orders.filter(F.col("order_status") == "delivered"), lo, hi,
-                        max(conv_days, gmv_days)).groupBy(
+    cohort = experiment_cohort(assignments, accounts, experiment)
+    daily = cohort_orders(orders.filter(F.col("order_status") == "delivered"), cohort,
+                          max(conv_days, gmv_days)).groupBy(
         "account_id", C.day("placed_at").alias("order_day")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("order_total_usd").alias("gmv"),
@@ -94,7 +96,7 @@ def experiment_results(assignments: DataFrame, accounts: DataFrame, orders: Data
     offset = F.datediff(F.col("order_day"), F.col("enrollment_date"))
     in_conv = (offset >= 0) & (offset <= conv_days)
     in_gmv = (offset >= 0) & (offset <= gmv_days)
-    keys = ["account_id", "variant", "enrollment_date", "account_tier", "industry"]
+    keys = ["account_id", "variant", "enrollment_date", "account_tier", "industry", "created_at"]
     outcomes = cohort.join(daily, "account_id", "left").groupBy(*keys).agg(
         F.min(F.when(in_conv, F.col("order_day"))).alias("first_order_date"),
         F.min(F.when(in_conv, F.col("smallest"))).alias("first_order_value"),
@@ -114,9 +116,9 @@ def experiment_results(assignments: DataFrame, accounts: DataFrame, orders: Data
 
 
 def results_report(results: DataFrame) -> DataFrame:
-    """Display form of :func:`experiment_results` (money as double)."""
+    """Display form of :func:`experiment_results` (money as double, without the account's creation day)."""
     return results.select(*[C.money(c).alias(c) if c in ("first_order_value", "gmv_60d", "first_order_value_true")
-                            else F.col(c) for c in results.columns])
+                            else F.col(c) for c in results.columns if c != "created_at"])
 
 
 def persist_results(results: DataFrame) -> DataFrame:
@@ -141,22 +143,21 @@ def conversion_by_variant(results: DataFrame, z: float = 1.96) -> DataFrame:
         F.col("n").cast("long").alias("n_accounts"),
         F.col("conversions").cast("long").alias("conversions"),
         C.pct("conversions", "n", 2).alias("conversion_rate_pct"),
-        C.half_up(F.col("sd") / F.sqrt(n) * F.lit(z) * F.lit(100.0), 2).alias("margin_of_error_pct"),
-        C.half_up((centre - half) * F.lit(100.0), 2).alias("wilson_low_pct"),
-        C.half_up((centre + half) * F.lit(100.0), 2).alias("wilson_high_pct"),
+        C.rounded(F.col("sd") / F.sqrt(n) * F.lit(z) * F.lit(100.0), 2).alias("margin_of_error_pct"),
+        C.rounded((centre - half) * F.lit(100.0), 2).alias("wilson_low_pct"),
+        C.rounded((centre + half) * F.lit(100.0), 2).alias("wilson_high_pct"),
     ).orderBy("variant")
 
 
 def gmv_by_variant(results: DataFrame, num_ranges: int | None = None,
-                   approx_accuracy: int | None = None, method: str = "auto") -> DataFrame:
+                   approx_accuracy: int | None = None) -> DataFrame:
     """B2: converter order value; mean, median, sd and total of window GMV per variant.
 
     The median is exact by default (distributed ranks over distinct values);
     ``approx_accuracy`` switches to ``percentile_approx``, one pass with
-    per-group state bounded by the accuracy, for very large variants.
+    per-group state bounded by the accuracy, for very large variants.  The
+    result is read twice: pass it materialised (:func:`persist_results`).
     """
-    from . import ranking
-
     conv = F.col("converted") == 1
     aggs = [F.count(F.lit(1)).alias("n"),
             F.count_if(conv).alias("n_conv"),
@@ -167,10 +168,8 @@ def gmv_by_variant(results: DataFrame, num_ranges: int | None = None,
         median = F.percentile_approx("gmv_60d", 0.5, approx_accuracy)
         g = results.groupBy("variant").agg(*aggs, median.alias("_med_lo"), median.alias("_med_hi"))
     else:
-        results = materialize(results)  # read twice: the aggregate and the median ranks
         g = results.groupBy("variant").agg(*aggs).join(
-            ranking.middle_values(results, ["variant"], "gmv_60d", num_ranges=num_ranges,
-                                  method=ranking.plan_method(results, method)), "variant", "left")
+            ranking.middle_values(results, ["variant"], "gmv_60d", num_ranges=num_ranges), "variant", "left")
     return g.select(
         "variant",
         F.col("n").cast("long").alias("n_accounts"),
@@ -178,7 +177,7 @@ def gmv_by_variant(results: DataFrame, num_ranges: int | None = None,
         C.ratio(C.cents("fov_sum"), F.col("n_conv") * 100, 2).alias("avg_first_order_gmv"),
         C.ratio(C.cents("gmv_sum"), F.col("n") * 100, 2).alias("avg_gmv_60d"),
         C.ratio(C.cents("_med_lo") + C.cents("_med_hi"), F.lit(200), 2).alias("median_gmv_60d"),
-        C.half_up(F.col("sd"), 2).alias("stddev_gmv_60d"),
+        C.rounded(F.col("sd"), 2).alias("stddev_gmv_60d"),
         C.money("gmv_sum").alias("total_gmv_60d"),
     ).orderBy("variant")
 
@@ -200,7 +199,8 @@ def results_by_tier(results: DataFrame, control: str = "control") -> DataFrame:
     """
     g = _segment_metrics(results, "account_tier")
     tier = Window.partitionBy("account_tier")
-    rate = F.col("conv").cast("double") * F.lit(100.0) / F.col("n").cast("double")
+    rate = C.exact_rate(F.col("conv") * 100, "n")
+    mean = F.sum(rate).over(tier) / F.count(F.lit(1)).over(tier).cast("decimal(10,0)")
     dec = "decimal(38,0)"  # products of counts: exact, no long overflow
     c_conv = F.max(F.when(F.col("variant") == control, F.col("conv"))).over(tier).cast(dec)
     c_n = F.max(F.when(F.col("variant") == control, F.col("n"))).over(tier).cast(dec)
@@ -210,7 +210,7 @@ def results_by_tier(results: DataFrame, control: str = "control") -> DataFrame:
         F.col("n").cast("long").alias("n_accounts"),
         C.pct("conv", "n", 2).alias("conversion_rate_pct"),
         C.ratio(C.cents("gmv"), F.col("n") * 100, 2).alias("avg_gmv_60d"),
-        C.half_up(rate - F.avg(rate).over(tier), 2).alias("lift_vs_tier_mean_pp"),
+        C.rounded(rate - mean, 2).alias("lift_vs_tier_mean_pp"),
         C.ratio(lift_num, F.col("n").cast(dec) * c_n, 2).alias("lift_vs_control_pp"),
     ).orderBy("account_tier", "variant")
 
@@ -238,13 +238,11 @@ def power_users(results: DataFrame, orders: DataFrame, launch: str | dt.date = "
     ).orderBy("user_segment", "variant")
 
 
-def account_age(results: DataFrame, accounts: DataFrame) -> DataFrame:
+def account_age(results: DataFrame) -> DataFrame:
     """C3: new (< 60 d) / growing (< 180 d) / established accounts at enrollment x variant."""
     age = F.datediff(F.col("enrollment_date"), F.col("created_at"))
     seg = F.when(age < 60, F.lit(L.AGE_LABELS[0])).when(age < 180, F.lit(L.AGE_LABELS[1])).otherwise(F.lit(L.AGE_LABELS[2]))
-    g = _segment_metrics(
-        results.join(accounts.select("account_id", "created_at"), "account_id").withColumn("account_age_segment", seg),
-        "account_age_segment")
+    g = _segment_metrics(results.withColumn("account_age_segment", seg), "account_age_segment")
     return g.select(
         "account_age_segment", "variant",
         F.col("n").cast("long").alias("n_accounts"),
@@ -253,9 +251,12 @@ def account_age(results: DataFrame, accounts: DataFrame) -> DataFrame:
     ).orderBy("account_age_segment", "variant")
 
 
-def srm_check(results: DataFrame, expected_share: float = 0.5, tolerance: float = 0.02) -> DataFrame:
-    """D: enrolled accounts per variant, share of total, flag when off the expected share."""
-    g = results.groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
+def srm_check(cohort: DataFrame, expected_share: float = 0.5, tolerance: float = 0.02) -> DataFrame:
+    """D: enrolled accounts per variant, share of total, flag when off the expected share.
+
+    Takes the cohort, or results, whose rows are the cohort's.
+    """
+    g = cohort.groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
     # SUM(COUNT(*)) OVER (): a window over one row per variant
     g = g.withColumn("total", F.sum("n").over(Window.partitionBy()))
     n, t = F.col("n"), F.col("total")
@@ -267,19 +268,13 @@ def srm_check(results: DataFrame, expected_share: float = 0.5, tolerance: float
         F.when(off, F.lit(L.SRM_LABELS[0])).otherwise(F.lit(L.SRM_LABELS[1])).alias("srm_status"))
 
 
-def cancellation_guardrail(results: DataFrame, orders: DataFrame, days: int = 60,
-                           prune_orders: bool = False) -> DataFrame:
+def cancellation_guardrail(cohort: DataFrame, orders: DataFrame, days: int = 60) -> DataFrame:
     """E: orders (any status) and cancellations within ``days`` of enrollment, per variant.
 
-    With ``prune_orders`` (for a materialised ``results``, where reading two
-    dates off it is cheap) orders outside the enrollment span are skipped at
-    the scan.
+    Takes the cohort, or results, whose rows are the cohort's.
     """
-    enrolled = results.select("account_id", "variant", "enrollment_date")
-    if prune_orders:
-        lo, hi = enrolled.agg(F.min("enrollment_date"), F.max("enrollment_date")).first()
-        orders = within_span(orders, lo, hi, days)
-    daily = orders.groupBy("account_id", C.day("placed_at").alias("order_day")).agg(
+    enrolled = cohort.select("account_id", "variant", "enrollment_date")
+    daily = cohort_orders(orders, enrolled, days).groupBy("account_id", C.day("placed_at").alias("order_day")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("order_status") == "cancelled").alias("cancelled"))
     offset = F.datediff(F.col("order_day"), F.col("enrollment_date"))
@@ -310,7 +305,7 @@ def report_suite(assignments: DataFrame, accounts: DataFrame, orders: DataFrame,
         "gmv_by_variant": gmv_by_variant(results),
         "results_by_tier": results_by_tier(results),
         "power_users": power_users(results, orders, launch, lookback_days, min_orders),
-        "account_age": account_age(results, accounts),
-        "cancellation_guardrail": cancellation_guardrail(results, orders, guardrail_days, prune_orders=True),
+        "account_age": account_age(results),
+        "cancellation_guardrail": cancellation_guardrail(results, orders, guardrail_days),
         "results": results_report(results),
     }

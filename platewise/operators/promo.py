@@ -17,28 +17,35 @@ def promo_vs_nonpromo(accounts: DataFrame, orders: DataFrame, promo_orders: Data
 
     As in the source, an order linked to k promotions counts k times (the
     left join fans out) and a discounted order without a link is Non-Promo;
-    ``dedupe=True`` counts every order once.  The fan-out is applied as a
-    weight: links are counted per order, orders are rolled up per
-    (account, order type), and only that roll-up meets the accounts table.
+    ``dedupe=True`` counts every order once.  Totals per account come from all
+    delivered orders; the links meet only the orders that have one (an inner
+    join, so the link keys can prune the fact), and Non-Promo is the totals
+    less the linked orders.  Only those roll-ups meet the accounts table.
     """
     links = promo_orders.groupBy("order_id").agg(F.count(F.lit(1)).alias("links"))
     delivered = orders.filter(F.col("order_status") == "delivered") \
         .select("order_id", "account_id", "order_total_usd", "discount_usd", "headcount")
-    weighted = delivered.join(links, "order_id", "left").select(
-        "account_id",
-        F.when(F.col("links").isNotNull(), F.lit(L.PROMO)).otherwise(F.lit(L.NON_PROMO)).alias("order_type"),
-        (F.lit(1) if dedupe else F.coalesce(F.col("links"), F.lit(1))).alias("w"),
-        "order_total_usd", "discount_usd", "headcount")
-    w = F.col("w")
-    per_account = weighted.groupBy("account_id", "order_type").agg(
-        F.sum("w").alias("n"),
-        F.sum(F.col("order_total_usd") * w).alias("total"),
-        F.sum(F.col("discount_usd") * w).alias("disc"),
-        F.sum(F.col("headcount") * w).alias("heads"))
+
+    def sums(prefix: str, w) -> list:
+        return [F.sum(w).alias(f"{prefix}n"), F.sum(F.col("order_total_usd") * w).alias(f"{prefix}total"),
+                F.sum(F.col("discount_usd") * w).alias(f"{prefix}disc"), F.sum(F.col("headcount") * w).alias(f"{prefix}heads"),
+                F.sum(F.when(F.col("headcount").isNotNull(), w)).alias(f"{prefix}heads_n")]
+    one = F.lit(1).cast("long")
+    every = delivered.groupBy("account_id").agg(*sums("a_", one))
+    linked = delivered.join(links, "order_id").groupBy("account_id").agg(
+        *sums("p_", one if dedupe else F.col("links")), *sums("l_", one))
+    names = ["n", "total", "disc", "heads", "heads_n"]
+    less = lambda c: F.coalesce(F.col(f"a_{c}"), F.lit(0)) - F.coalesce(F.col(f"l_{c}"), F.lit(0))
+    sides = [F.struct(F.lit(L.PROMO).alias("order_type"), *[F.col(f"p_{c}").alias(c) for c in names]),
+             F.struct(F.lit(L.NON_PROMO).alias("order_type"), *[less(c).alias(c) for c in names])]
+    cast = [F.struct(s["order_type"].alias("order_type"), *[
+        s[c].cast("long" if c in ("n", "heads", "heads_n") else "decimal(38,2)").alias(c) for c in names]) for s in sides]
+    per_account = (every.join(linked, "account_id", "left").select("account_id", F.explode(F.array(*cast)).alias("s"))
+                   .select("account_id", "s.*").filter("n > 0"))
     g = per_account.join(accounts.select("account_id", "account_tier"), "account_id") \
         .groupBy("account_tier", "order_type").agg(
             F.sum("n").alias("n"), F.sum("total").alias("total"),
-            F.sum("disc").alias("disc"), F.sum("heads").alias("heads"))
+            F.sum("disc").alias("disc"), F.sum("heads").alias("heads"), F.sum("heads_n").alias("heads_n"))
     n100 = F.col("n") * 100
     return g.select(
         "account_tier", "order_type",
@@ -46,7 +53,7 @@ def promo_vs_nonpromo(accounts: DataFrame, orders: DataFrame, promo_orders: Data
         C.ratio(C.cents("total"), n100, 2).alias("avg_order_value_usd"),
         C.ratio(C.cents("disc"), n100, 2).alias("avg_discount_usd"),
         C.ratio(C.cents("total") - C.cents("disc"), n100, 2).alias("avg_net_revenue_usd"),
-        C.ratio("heads", "n", 1).alias("avg_headcount"),
+        C.ratio("heads", "heads_n", 1).alias("avg_headcount"),
         C.pct(C.cents("disc"), C.cents("total"), 2).alias("discount_rate_pct"),
     ).orderBy(C.tier_rank("account_tier"), "order_type")
 
@@ -76,8 +83,8 @@ def campaign_roi(promotions: DataFrame, promo_orders: DataFrame, orders: DataFra
         C.money(disc).alias("total_discount_cost_usd"),
         C.money(gross - disc).alias("net_gmv_usd"),
         C.ratio(C.cents(gross), C.cents(disc), 2).alias("gmv_per_discount_dollar"),
-        flag.alias("roi_assessment"),
-    ).orderBy(F.col("net_gmv_usd").desc_nulls_last())
+        flag.alias("roi_assessment"), "promo_id",
+    ).orderBy(F.col("net_gmv_usd").desc_nulls_last(), "promo_id").drop("promo_id")
 
 
 def first_order_promo(orders: DataFrame, promo_orders: DataFrame, strict: bool = False) -> DataFrame:
@@ -91,32 +98,33 @@ def first_order_promo(orders: DataFrame, promo_orders: DataFrame, strict: bool =
     exact, on both rows); ``promo_ltv_lift_as_written`` keeps the source's
     expression, which filters inside its own group and is always NULL.
 
-    One pass over the orders: link counts are joined per order, orders are
-    rolled up per (account, timestamp) and then per account, and the fan-out
-    becomes a row weight (w promo rows, w organic rows per account).
+    Orders are rolled up per (account, timestamp) and then per account without
+    their links; the links meet only the orders that have one (an inner join),
+    of which those at the first timestamp count.  The fan-out becomes a row
+    weight (promo rows and organic rows per account).
     """
     links = promo_orders.groupBy("order_id").agg(F.count(F.lit(1)).alias("links"))
     live = F.col("order_status") != "cancelled"
     delivered = F.col("order_status") == "delivered"
-    linked = F.col("links").isNotNull()
-    per_ts = orders.select("order_id", "account_id", "placed_at", "order_status", "order_total_usd") \
-        .join(links, "order_id", "left").groupBy("account_id", "placed_at").agg(
-            F.count_if(live).alias("live"),
-            F.coalesce(F.sum(F.when(linked, F.col("links"))), F.lit(0)).alias("promo_rows"),
-            F.count_if(~linked).alias("plain_rows"),
-            F.min(F.when(live, F.struct(F.col("order_id"), linked.alias("linked")))).alias("first_live"),
-            F.count_if(delivered).alias("d_n"),
-            F.sum(F.when(delivered, F.col("order_total_usd"))).alias("d_gmv"))
-    first_key = F.when(F.col("live") > 0, F.col("placed_at"))
+    rows = orders.select("order_id", "account_id", "placed_at", "order_status", "order_total_usd")
+    per_ts = rows.groupBy("account_id", "placed_at").agg(
+        F.count_if(live).alias("live"), F.count(F.lit(1)).alias("placed"),
+        F.min(F.when(live, F.col("order_id"))).alias("first_live"),
+        F.count_if(delivered).alias("d_n"),
+        F.sum(F.when(delivered, F.col("order_total_usd"))).alias("d_gmv"))
+    totals = per_ts.groupBy("account_id").agg(
+        F.min(F.when(F.col("live") > 0, F.struct("placed_at", "placed", "first_live"))).alias("first"),
+        F.sum("d_n").alias("lifetime_orders"), F.sum("d_gmv").alias("lifetime_gmv"))
+    linked = rows.join(links, "order_id").groupBy(F.col("account_id").alias("l_account"), F.col("placed_at").alias("l_ts")).agg(
+        F.sum("links").alias("promo_rows"), F.count(F.lit(1)).alias("linked"), F.min(F.when(live, F.col("order_id"))).alias("l_first"))
+    per_account = totals.join(
+        linked, (totals["account_id"] == linked["l_account"]) & (F.col("first.placed_at") == linked["l_ts"]), "left")
     if strict:
-        first = F.min(F.when(F.col("live") > 0, F.struct("placed_at", "first_live"))).alias("first")
-        weights = [(F.lit(True), F.when(F.col("first.first_live.linked"), 1).otherwise(0)),
-                   (F.lit(False), F.when(F.col("first.first_live.linked"), 0).otherwise(1))]
+        had = F.coalesce(F.col("l_first") == F.col("first.first_live"), F.lit(False))
+        weights = [(F.lit(True), F.when(had, 1).otherwise(0)), (F.lit(False), F.when(had, 0).otherwise(1))]
     else:
-        first = F.min_by(F.struct("promo_rows", "plain_rows"), first_key).alias("first")
-        weights = [(F.lit(True), F.col("first.promo_rows")), (F.lit(False), F.col("first.plain_rows"))]
-    per_account = per_ts.groupBy("account_id").agg(
-        first, F.sum("d_n").alias("lifetime_orders"), F.sum("d_gmv").alias("lifetime_gmv"))
+        weights = [(F.lit(True), F.coalesce("promo_rows", F.lit(0))),
+                   (F.lit(False), F.col("first.placed") - F.coalesce("linked", F.lit(0)))]
     # accounts without a delivered order drop out (inner join to their LTV), as do
     # accounts without a non-cancelled order (no first order)
     rows = per_account.filter((F.col("lifetime_orders") > 0) & F.col("first").isNotNull()).select(
@@ -147,5 +155,5 @@ def first_order_promo(orders: DataFrame, promo_orders: DataFrame, strict: bool =
         C.ratio("orders_sum", "accounts", 1).alias("avg_lifetime_orders"),
         C.ratio(C.cents("gmv_sum"), F.col("accounts") * 100, 2).alias("avg_lifetime_gmv_usd"),
         C.ratio(lift_num, lift_den, 2).alias("promo_ltv_lift_usd"),
-        C.half_up(F.col("lift_as_written").cast("double"), 2).alias("promo_ltv_lift_as_written"),
+        C.rounded(F.col("lift_as_written").cast("double"), 2).alias("promo_ltv_lift_as_written"),
     ).orderBy(F.col("first_order_had_promo").desc_nulls_first())

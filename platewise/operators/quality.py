@@ -6,11 +6,12 @@ summary with one row per rule::
 
     table_name string, rule string, n_checked long, n_violations long
 
-and each kind has a ``*_rows`` twin that returns the offending rows.  Every
-check is a single aggregation pass per table (unpivoted with ``explode``);
-duplicate and orphan checks aggregate by key first, so a hot key value is one
-row after partial aggregation.  NULL passes range, domain and length checks
-and is not an orphan, as in SQL constraints.
+and each kind has a ``*_rows`` twin that returns the offending rows.  Rules on
+single rows of a table are one aggregation over it, whatever their kinds
+(:func:`table_rules_check` runs all of them together); duplicate and orphan
+checks aggregate by key first, so a hot key value is one row after partial
+aggregation.  NULL passes range, domain, length and UNIQUE checks and is not
+an orphan, as in SQL constraints.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources import schemas as S
 
@@ -31,9 +31,11 @@ PRIMARY_KEYS = {
     "orders": [("order_id",)],
     "order_items": [("order_id", "line_number")],
     "delivery_events": [("event_id",)],
-    "promotions": [("promo_id",), ("promo_code",)],
+    "promotions": [("promo_id",)],
     "promo_orders": [("promo_id", "order_id")],
 }
+# Unlike a primary key, a UNIQUE key allows any number of NULLs.
+UNIQUE_KEYS = {"promotions": [("promo_code",)]}
 FOREIGN_KEYS = [
     ("orders", "account_id", "corporate_accounts", "account_id"),
     ("orders", "caterer_id", "caterers", "caterer_id"),
@@ -135,77 +137,52 @@ def not_null_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns]))
 
 
-def unique_key_check(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[Sequence[str]]] = PRIMARY_KEYS
-                     ) -> DataFrame:
-    """Primary / unique keys: rows whose key value occurs more than once.
+def unique_key_check(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[Sequence[str]]] = PRIMARY_KEYS,
+                     unique: Mapping[str, Sequence[Sequence[str]]] = UNIQUE_KEYS) -> DataFrame:
+    """Primary and UNIQUE keys: rows whose key value occurs more than once.
 
-    One pass per table: a table with several keys explodes each row into one
-    (rule, key) entry per key, the key serialised as JSON text so keys of any
-    types share one column (NULL parts included, as GROUP BY groups them).
+    Rows are grouped on the key's own columns.  NULLs are equal values of a
+    primary key; a UNIQUE key isn't checked on rows where a part is NULL.
     """
     parts = []
-    for t, key_list in keys.items():
-        rules = [f"unique({', '.join(key)})" for key in key_list]
-        sums = [F.sum("k").alias("n_checked"),
-                F.sum(F.when(F.col("k") > 1, F.col("k")).otherwise(0)).alias("n_violations")]
-        if len(key_list) == 1:  # a global aggregate: one row even for an empty table
-            per_rule = tables[t].groupBy(*key_list[0]).agg(F.count(F.lit(1)).alias("k")) \
-                .agg(*sums).select(F.lit(rules[0]).alias("rule"), "n_checked", "n_violations")
-        else:
-            entries = F.explode(F.array(*[
-                F.struct(F.lit(rule).alias("rule"), F.to_json(F.struct(*key)).alias("v"))
-                for rule, key in zip(rules, key_list)])).alias("e")
-            counts = tables[t].select(entries).groupBy("e.rule", "e.v").agg(F.count(F.lit(1)).alias("k"))
-            rule_list = tables[t].sparkSession.createDataFrame([(r,) for r in rules], "rule string")
-            per_rule = rule_list.join(counts.groupBy("rule").agg(*sums), "rule", "left")
-        parts.append(per_rule.select(
-            F.lit(t).alias("table_name"), "rule",
-            F.coalesce(F.col("n_checked"), F.lit(0)).cast("long").alias("n_checked"),
-            F.coalesce(F.col("n_violations"), F.lit(0)).cast("long").alias("n_violations")))
+    for kind, strict in ((keys, True), (unique, False)):
+        for t, key in ((t, key) for t, key_list in kind.items() for key in key_list if t in tables):
+            df = tables[t] if strict else tables[t].dropna(subset=list(key))
+            # a global aggregate: one row even for an empty table
+            parts.append(df.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).agg(
+                F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("n_checked"),
+                F.coalesce(F.sum(F.when(F.col("k") > 1, F.col("k"))), F.lit(0)).cast("long").alias("n_violations")).select(
+                F.lit(t).alias("table_name"), F.lit(f"unique({', '.join(key)})").alias("rule"), "n_checked", "n_violations"))
     return _union(parts)
 
 
-def unique_key_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    dups = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > 1).drop("_k")
-    return df.join(dups, list(key), "left_semi")
+def unique_key_rows(df: DataFrame, key: Sequence[str], nulls_equal: bool = True) -> DataFrame:
+    """Rows that share their key; with ``nulls_equal=False`` (UNIQUE) rows with a NULL part aren't checked."""
+    if not nulls_equal:
+        df = df.dropna(subset=list(key))
+    dups = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > 1) \
+        .select(*[F.col(c).alias(f"_d_{c}") for c in key])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_d_{c}")) for c in key])
+    return df.join(dups, same, "left_semi")
 
 
 def foreign_key_check(tables: Mapping[str, DataFrame], fks: Sequence[tuple[str, str, str, str]] = FOREIGN_KEYS
                       ) -> DataFrame:
     """References: non-NULL child values with no parent row.
 
-    One pass per table whatever the number of rules: each child table
-    explodes all of its reference columns into (rule, parent, value) and is
-    aggregated per distinct value (a hot value is one row after partial
-    aggregation); each referenced key column contributes its distinct keys
-    once; one left join on (parent, value) marks the orphans.
+    Per reference the child's values are counted on their own column (a hot
+    value is one row after partial aggregation) and meet the parent's keys in
+    a join with the same partitioning.  Only key values and counts move.
     """
-    integral = all(isinstance(tables[t].schema[c].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-                   for child, fk, parent, pk in fks for t, c in ((child, fk), (parent, pk)))
-    vtype = "long" if integral else "string"
-    by_child: dict[str, list] = {}
+    parts = []
     for child, fk, parent, pk in fks:
-        by_child.setdefault(child, []).append((f"{fk} references {parent}({pk})", f"{parent}.{pk}", fk))
-    values = _union([
-        tables[child].select(F.explode(F.array(*[
-            F.struct(F.lit(child).alias("table_name"), F.lit(rule).alias("rule"), F.lit(ref).alias("ref"),
-                     F.col(fk).cast(vtype).alias("v"))
-            for rule, ref, fk in items])).alias("e")).select("e.*").filter(F.col("v").isNotNull())
-        for child, items in by_child.items()]).groupBy("table_name", "rule", "ref", "v") \
-        .agg(F.count(F.lit(1)).alias("k"))
-    refs = sorted({(parent, pk) for _, _, parent, pk in fks})
-    keys = _union([tables[parent].select(F.lit(f"{parent}.{pk}").alias("ref"), F.col(pk).cast(vtype).alias("v"))
-                   for parent, pk in refs]).distinct().withColumn("found", F.lit(True))
-    per_rule = values.join(keys, ["ref", "v"], "left").groupBy("table_name", "rule").agg(
-        F.sum("k").alias("n_checked"),
-        F.sum(F.when(F.col("found").isNull(), F.col("k")).otherwise(0)).alias("n_violations"))
-    spark = next(iter(tables.values())).sparkSession
-    rules = spark.createDataFrame([(child, f"{fk} references {parent}({pk})") for child, fk, parent, pk in fks],
-                                  "table_name string, rule string")  # the rule list itself, so empty rules show 0
-    return rules.join(per_rule, ["table_name", "rule"], "left").select(
-        "table_name", "rule",
-        F.coalesce(F.col("n_checked"), F.lit(0)).cast("long").alias("n_checked"),
-        F.coalesce(F.col("n_violations"), F.lit(0)).cast("long").alias("n_violations"))
+        values = tables[child].filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+        keys = tables[parent].select(F.col(pk).alias("p")).distinct()
+        parts.append(values.join(keys, F.col("v") == F.col("p"), "left").agg(
+            F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("n_checked"),
+            F.coalesce(F.sum(F.when(F.col("p").isNull(), F.col("k"))), F.lit(0)).cast("long").alias("n_violations")).select(
+            F.lit(child).alias("table_name"), F.lit(f"{fk} references {parent}({pk})").alias("rule"), "n_checked", "n_violations"))
+    return _union(parts)
 
 
 def foreign_key_rows(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
@@ -237,12 +214,23 @@ def range_check(tables: Mapping[str, DataFrame], ranges=RANGES) -> DataFrame:
     return _union([_one_pass(tables[t], t, range_checks(items)) for t, items in by_table.items()])
 
 
+def range_rows(df: DataFrame, items: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows that break one of ``(column, predicate)``."""
+    return violating_rows(df, range_checks(items))
+
+
+def length_checks(limits: Mapping[str, int]) -> list:
+    return [(f"length({c}) <= {n}", F.col(c).isNotNull(), F.length(c) > n) for c, n in limits.items()]
+
+
 def length_check(tables: Mapping[str, DataFrame], limits=MAX_LENGTHS) -> DataFrame:
     """VARCHAR(n) / CHAR(n): non-NULL values longer than n characters."""
-    return _union([
-        _one_pass(tables[t], t, [(f"length({c}) <= {n}", F.col(c).isNotNull(), F.length(c) > n)
-                                 for c, n in cols.items()])
-        for t, cols in limits.items()])
+    return _union([_one_pass(tables[t], t, length_checks(cols)) for t, cols in limits.items()])
+
+
+def length_rows(df: DataFrame, limits: Mapping[str, int]) -> DataFrame:
+    """Rows with a value longer than its column allows."""
+    return violating_rows(df, length_checks(limits))
 
 
 def apply_defaults(df: DataFrame, table: str, defaults=DEFAULTS) -> DataFrame:
@@ -250,12 +238,18 @@ def apply_defaults(df: DataFrame, table: str, defaults=DEFAULTS) -> DataFrame:
     return df.fillna(dict(defaults.get(table, {})))
 
 
+def default_checks(defaults: Mapping[str, object]) -> list:
+    return [(f"default({c} = {v!r})", F.lit(True), F.col(c).isNull()) for c, v in defaults.items()]
+
+
 def default_fill_check(tables: Mapping[str, DataFrame], defaults=DEFAULTS) -> DataFrame:
     """Per column with a DEFAULT: how many NULLs ``apply_defaults`` fills."""
-    return _union([
-        _one_pass(tables[t], t, [(f"default({c} = {v!r})", F.lit(True), F.col(c).isNull())
-                                 for c, v in cols.items()])
-        for t, cols in defaults.items()])
+    return _union([_one_pass(tables[t], t, default_checks(cols)) for t, cols in defaults.items()])
+
+
+def default_fill_rows(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
+    """Rows with a NULL that ``apply_defaults`` fills."""
+    return violating_rows(df, default_checks(defaults))
 
 
 def status_timestamp_check(orders: DataFrame, rules=STATUS_TIMESTAMP_RULES) -> DataFrame:
@@ -263,6 +257,31 @@ def status_timestamp_check(orders: DataFrame, rules=STATUS_TIMESTAMP_RULES) -> D
     return _one_pass(orders, "orders", status_checks(rules))
 
 
+def status_timestamp_rows(orders: DataFrame, rules=STATUS_TIMESTAMP_RULES) -> DataFrame:
+    """Orders whose lifecycle timestamps contradict their status."""
+    return violating_rows(orders, status_checks(rules))
+
+
+def violating_rows(df: DataFrame, checks: Sequence[tuple[str, Column, Column]]) -> DataFrame:
+    """Rows that break at least one of the checks."""
+    broken = [F.coalesce(violated, F.lit(False)) for _, _, violated in checks]
+    return df.filter(reduce(lambda a, b: a | b, broken, F.lit(False)))
+
+
+def table_checks(table: str) -> list:
+    """The declared rules of every kind that a single row of ``table`` can break."""
+    checks = not_null_checks(not_null_columns(table))
+    checks += domain_checks([(c, v) for t, c, v in DOMAINS if t == table])
+    checks += range_checks([(c, p) for t, c, p in RANGES if t == table])
+    checks += length_checks(MAX_LENGTHS.get(table, {})) + default_checks(DEFAULTS.get(table, {}))
+    return checks + (status_checks() if table == "orders" else [])
+
+
+def table_rules_check(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """All single-row rules of all kinds, with one scan of each table."""
+    return _union([_one_pass(df, t, table_checks(t)) for t, df in tables.items()])
+
+
 def fill_cancelled_at(orders: DataFrame, hours: int = 2) -> DataFrame:
     """Derive ``cancelled_at`` for cancelled orders that lack it (``placed_at`` + ``hours``).
 

@@ -21,11 +21,6 @@ once (the per-value table and the join back).
 Ranks over values with ties (``percent_rank`` and RANGE-frame sums) first
 collapse the rows to one row per distinct value with a partial aggregation,
 so a heavily repeated value costs one row.
-
-Every helper also has the textbook form (``method="window"``): a global
-window in one task.  :func:`plan_method` picks it only for inputs proven to
-hold at most ``WINDOW_ROW_LIMIT`` rows, where one task is cheaper than the
-extra jobs of the distributed form.
 """
 
 from __future__ import annotations
@@ -38,43 +33,15 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
-# Largest input ranked by a single-task global window (the size bound that
-# makes the one task acceptable); above it the distributed form is used.
-WINDOW_ROW_LIMIT = 2_000_000
-
-
-LIMIT_CONF = "spark.platewise.ranking.windowRowLimit"
-
-
-def plan_method(df: DataFrame, method: str = "auto", limit: int | None = None) -> str:
-    """``"window"`` when ``df`` has at most ``limit`` rows, else ``"distributed"``.
-
-    ``limit`` defaults to the session setting ``spark.platewise.ranking.windowRowLimit``
-    (tune it to executor memory), else ``WINDOW_ROW_LIMIT``.  Meant for a
-    materialised input: ``limit(limit + 1).count()`` stops every task after
-    ``limit + 1`` rows, so the check costs at most that per task.
-    """
-    if method != "auto":
-        return method
-    if limit is None:
-        limit = int(df.sparkSession.conf.get(LIMIT_CONF, str(WINDOW_ROW_LIMIT)))
-    return "window" if df.limit(limit + 1).count() <= limit else "distributed"
-
-
-def _num_ranges(df: DataFrame, num_ranges: int | None) -> int:
-    if num_ranges:
-        return num_ranges
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def tag_ranges(df: DataFrame, order_by: Sequence[Column], partition_by: Sequence[str] = (),
                num_ranges: int | None = None) -> DataFrame:
     """Materialised copy of ``df`` with ``_rng``: the index of its contiguous range of the sort order."""
-    n = _num_ranges(df, num_ranges)
+    keys = [*[F.col(c) for c in partition_by], *order_by]
+    # Without a count AQE coalesces ranges of few rows.
+    ranged = df.repartitionByRange(num_ranges, *keys) if num_ranges else df.repartitionByRange(*keys)
     # Two evaluations of a range exchange may sample different bounds, so the
     # tagged rows are written once and every consumer reads that copy.
-    return materialize(df.repartitionByRange(n, *[F.col(c) for c in partition_by], *order_by)
-                          .withColumn("_rng", F.spark_partition_id()))
+    return materialize(ranged.withColumn("_rng", F.spark_partition_id()))
 
 
 def running_totals(df: DataFrame, order_by: Sequence[Column], measures: dict[str, Column],
@@ -101,8 +68,6 @@ def running_totals(df: DataFrame, order_by: Sequence[Column], measures: dict[str
         *[F.col(c).alias(f"_g_{c}") for c in partition_by], F.col("_rng").alias("_o_rng"),
         *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in names],
         *[F.sum(f"_t_{k}").over(whole).alias(f"_T_{k}") for k in names])
-    if not partition_by:
-        offsets = F.broadcast(offsets)  # at most num_ranges rows
 
     inside = Window.partitionBy(*partition_by, "_rng").orderBy(*order_by) \
                    .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -118,13 +83,11 @@ def running_totals(df: DataFrame, order_by: Sequence[Column], measures: dict[str
 
 
 def percent_rank(df: DataFrame, key: str, out: str, ascending: bool = True,
-                 nulls_last: bool = True, num_ranges: int | None = None, method: str = "distributed") -> DataFrame:
+                 nulls_last: bool = True, num_ranges: int | None = None) -> DataFrame:
     """``percent_rank() OVER (ORDER BY key)`` over the whole frame."""
     k = F.col(key)
     order = (k.asc_nulls_last() if nulls_last else k.asc_nulls_first()) if ascending else \
             (k.desc_nulls_last() if nulls_last else k.desc_nulls_first())
-    if method == "window":
-        return df.withColumn(out, F.percent_rank().over(Window.orderBy(order)))
     values = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
     ranked = running_totals(values, [order], {"_cum": F.col("_c")}, num_ranges=num_ranges, with_totals=True)
     n = F.col("_cum_total")
@@ -136,17 +99,13 @@ def percent_rank(df: DataFrame, key: str, out: str, ascending: bool = True,
 
 
 def range_running_sum(df: DataFrame, key: str, measure: str, out: str, descending: bool = False,
-                      num_ranges: int | None = None, total: str | None = None,
-                      method: str = "distributed") -> DataFrame:
+                      num_ranges: int | None = None, total: str | None = None) -> DataFrame:
     """``sum(measure) OVER (ORDER BY key [DESC])`` with the default RANGE frame (peers included).
 
     With ``total`` the grand total ``sum(measure) OVER ()`` is added too.
     """
     k = F.col(key)
     order = k.desc_nulls_first() if descending else k.asc_nulls_last()
-    if method == "window":
-        res = df.withColumn(out, F.sum(measure).over(Window.orderBy(order)))
-        return res.withColumn(total, F.sum(measure).over(Window.partitionBy())) if total else res
     values = df.groupBy(key).agg(F.sum(measure).alias("_s"))
     ranked = running_totals(values, [order], {out: F.col("_s")}, num_ranges=num_ranges, with_totals=True)
     cols = [F.col(key).alias("_rs_key"), out] + ([F.col(f"{out}_total").alias(total)] if total else [])
@@ -155,10 +114,8 @@ def range_running_sum(df: DataFrame, key: str, measure: str, out: str, descendin
 
 
 def ntile(df: DataFrame, order_by: Sequence[Column], tiles: int, out: str,
-          num_ranges: int | None = None, method: str = "distributed") -> DataFrame:
+          num_ranges: int | None = None) -> DataFrame:
     """``ntile(tiles) OVER (ORDER BY order_by)``; ``order_by`` must be a total order."""
-    if method == "window":
-        return df.withColumn(out, F.ntile(tiles).over(Window.orderBy(*order_by)).cast("long"))
     numbered = running_totals(df, order_by, {"_rn": F.lit(1).cast("long")}, num_ranges=num_ranges,
                               with_totals=True)
     rn, n = F.col("_rn"), F.col("_rn_total")
@@ -172,7 +129,7 @@ def ntile(df: DataFrame, order_by: Sequence[Column], tiles: int, out: str,
 
 
 def middle_values(df: DataFrame, group_cols: Sequence[str], value: str,
-                  num_ranges: int | None = None, method: str = "distributed") -> DataFrame:
+                  num_ranges: int | None = None) -> DataFrame:
     """Per group, the two middle values of ``value`` (equal when the count is odd).
 
     ``(lo + hi) / 2`` is the exact median (``PERCENTILE_CONT(0.5)``); NULLs are
@@ -180,13 +137,8 @@ def middle_values(df: DataFrame, group_cols: Sequence[str], value: str,
     spread over ranges, so no group is ever held by one task.
     """
     values = df.filter(F.col(value).isNotNull()).groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("_c"))
-    if method == "window":
-        group = Window.partitionBy(*group_cols)
-        joined = values.select("*", F.sum("_c").over(group.orderBy(value).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)).alias("_cum"), F.sum("_c").over(group).alias("_cum_total"))
-    else:
-        joined = running_totals(values, [F.col(value).asc()], {"_cum": F.col("_c")},
-                                partition_by=list(group_cols), num_ranges=num_ranges, with_totals=True)
+    joined = running_totals(values, [F.col(value).asc()], {"_cum": F.col("_c")},
+                            partition_by=list(group_cols), num_ranges=num_ranges, with_totals=True)
     n = F.col("_cum_total")
     lo_pos = F.floor((n - 1) / 2) + 1
     hi_pos = F.ceil((n - 1) / 2) + 1

@@ -67,7 +67,7 @@ def order_cadence(accounts: DataFrame, orders: DataFrame, analysis_date: str | d
          .cast("long").alias("latest_gap"),
         F.datediff(last, F.date_sub(last, 1)).cast("long").alias("latest_gap_as_written"),
         F.datediff(C.date_lit(analysis_date), last).cast("long").alias("days_since_last_order_eod"),
-    ).orderBy(F.col("days_since_last_order_eod").desc_nulls_first())
+    ).orderBy(F.col("days_since_last_order_eod").desc_nulls_first(), "account_id")
 
 
 def cohort_retention(orders: DataFrame) -> DataFrame:
@@ -120,4 +120,4 @@ def churn_risk(accounts: DataFrame, orders: DataFrame, analysis_date: str | dt.d
             .otherwise(F.lit(L.CHURN_LABELS[2]))
     rank = F.when(F.col("churn_risk") == L.CHURN_LABELS[0], 1).when(F.col("churn_risk") == L.CHURN_LABELS[1], 2) \
             .otherwise(3)
-    return scored.withColumn("churn_risk", risk).orderBy(rank, F.col("lifetime_gmv").desc_nulls_first())
+    return scored.withColumn("churn_risk", risk).orderBy(rank, F.col("lifetime_gmv").desc_nulls_first(), "account_id")

@@ -51,7 +51,7 @@ def monthly_gmv_growth(orders: DataFrame, calendar: bool = False) -> DataFrame:
 
 
 def revenue_pareto(accounts: DataFrame, orders: DataFrame, threshold: int = 80,
-                   num_ranges: int | None = None, method: str = "auto") -> DataFrame:
+                   num_ranges: int | None = None) -> DataFrame:
     """Share of delivered GMV per account and the running share from the top.
 
     The running share uses the RANGE frame of ``ORDER BY total_gmv DESC`` (tied
@@ -67,8 +67,7 @@ def revenue_pareto(accounts: DataFrame, orders: DataFrame, threshold: int = 80,
     base = materialize(accounts.select("account_id", "company_name", "account_tier", "industry")
                        .join(per_account, "account_id"))
     with_cum = ranking.range_running_sum(base, "total_gmv", "total_gmv", "cum_gmv", descending=True,
-                                         num_ranges=num_ranges, total="grand_gmv",
-                                         method=ranking.plan_method(base, method))
+                                         num_ranges=num_ranges, total="grand_gmv")
     cum_pct = C.ratio(C.cents("cum_gmv") * 100, C.cents("grand_gmv"), 1)
     return with_cum.select(
         "company_name", "account_tier", "industry",
@@ -77,8 +76,8 @@ def revenue_pareto(accounts: DataFrame, orders: DataFrame, threshold: int = 80,
         C.ratio(C.cents("total_gmv") * 100, C.cents("grand_gmv"), 2).alias("gmv_share_pct"),
         cum_pct.alias("cumulative_gmv_pct"),
         F.when(cum_pct <= threshold, F.lit(L.PARETO_TOP.format(threshold=threshold))).otherwise(F.lit(L.PARETO_TAIL))
-         .alias("gmv_segment"),
-    ).orderBy(F.col("total_gmv").desc_nulls_first())
+         .alias("gmv_segment"), "account_id",
+    ).orderBy(F.col("total_gmv").desc_nulls_first(), "account_id").drop("account_id")
 
 
 def gmv_by_tier_quarter(accounts: DataFrame, orders: DataFrame) -> DataFrame:

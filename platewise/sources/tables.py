@@ -12,7 +12,6 @@ Two layouts are understood:
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,13 +37,14 @@ class Marketplace:
         return {name: self.table(name) for name in schemas.SCHEMAS}
 
 
-def load(spark: SparkSession, path: str) -> Marketplace:
-    """Canonical tables from ``path`` (canonical folders or driver test tables)."""
-    if os.path.exists(os.path.join(path, "customer.parquet")):
+def load(spark: SparkSession, path: str, layout: str = "canonical") -> Marketplace:
+    """Tables from ``path``: ``layout`` is ``"canonical"`` (a folder per table) or ``"test"`` (the driver's tables)."""
+    if layout == "test":
         return Marketplace(**adapter.load_tables(spark, path))
+    if layout != "canonical":
+        raise ValueError(f"unknown layout {layout!r}")
     return Marketplace(**{
-        name: spark.read.schema(schema).parquet(os.path.join(path, name))
-        for name, schema in schemas.SCHEMAS.items()
+        name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in schemas.SCHEMAS.items()
     })
 
 
@@ -58,4 +58,4 @@ def write_canonical(market: Marketplace, path: str, mode: str = "errorifexists")
             # order_id tie-breaker splits a timestamp shared by many orders (a
             # whole day, or a hot day) across files instead of one task.
             writer = df.repartitionByRange("placed_at", "order_id").sortWithinPartitions("placed_at", "order_id")
-        writer.write.mode(mode).parquet(os.path.join(path, name))
+        writer.write.mode(mode).parquet(f"{path}/{name}")

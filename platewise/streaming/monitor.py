@@ -4,19 +4,19 @@ New canonical ``orders`` parquet files landing in a folder are read as a
 stream with the declared schema; every micro-batch is checked with the same
 rule builders as the ``dq_*`` queries, all rules in one aggregation pass over
 the batch (``foreachBatch``), and the summary rows, tagged with the batch id,
-are appended to a parquet report.  The
-stream's checkpoint lives in the shared checkpoint folder, so a restarted
-query resumes exactly after the last committed batch.  The checks are
+are written to that batch's folder of the parquet report.  The stream's
+checkpoint lives in the shared checkpoint folder, so a restarted query goes on
+after the last committed batch; a batch that is run again after a crash
+overwrites its own folder, so nothing is counted twice.  The checks are
 stateless per batch; cross-batch rules (duplicate keys, references) belong to
 the batch ``dq_*`` jobs over the whole table.
 """
 
 from __future__ import annotations
 
-import os
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import quality
@@ -40,15 +40,15 @@ def start_order_quality_monitor(spark: SparkSession, source_dir: str, report_dir
                                 ) -> StreamingQuery:
     """Start the monitor; ``available_now`` processes the files present and stops."""
     if checkpoint_location is None:
-        checkpoint_location = os.path.join(ensure_checkpoint_dir(spark), "order-quality-monitor")
+        pair = hashlib.sha256(f"{source_dir}\n{report_dir}".encode()).hexdigest()[:16]
+        checkpoint_location = f"{ensure_checkpoint_dir(spark)}/order-quality-monitor-{pair}"
     reader = spark.readStream.schema(S.ORDERS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        order_checks(batch).withColumn("batch_id", F.lit(batch_id).cast("long")) \
-            .write.mode("append").parquet(report_dir)
+        order_checks(batch).write.mode("overwrite").parquet(f"{report_dir}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -15,8 +15,6 @@ SF_MEDIUM = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     s = get_session("platewise-tests", master="local[4]", shuffle_partitions=4,
-                    extra={"spark.sql.adaptive.enabled": "true"})
-    if not s.sparkContext.getCheckpointDir():
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="platewise-test-ckpt-"))
+                    extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-", dir="/tmp")})
     yield s
     s.stop()

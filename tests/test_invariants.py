@@ -39,5 +39,5 @@ def test_results_one_row_per_account(spark):
 
 
 def test_promo_split_covers_delivered_orders(spark):
-    delivered = registry.sources.load(spark, SF_SMALL).orders.filter("order_status = 'delivered'").count()
+    delivered = registry.sources.load(spark, SF_SMALL, "test").orders.filter("order_status = 'delivered'").count()
     assert q(spark, "q4a_promo_vs_nonpromo").agg(F.sum("order_count")).first()[0] >= delivered

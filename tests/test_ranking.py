@@ -84,13 +84,3 @@ def test_ranges_stay_balanced_under_a_dominant_value(data):
                                        F.max(F.struct("v", "id")).alias("hi")).orderBy("_rng").collect()
     assert max(r.n for r in spans) <= 1.5 * 3000 / 6
     assert sum(1 for r in spans if r.lo.v == 500 or r.hi.v == 500) >= 2
-
-
-def test_window_forms_equal_distributed_forms(data):
-    order = [F.col("v").asc_nulls_last(), F.col("id").asc()]
-    for fn in (lambda m: ranking.percent_rank(data, "v", "pr", num_ranges=4, method=m),
-               lambda m: ranking.ntile(data, order, 4, "t", num_ranges=4, method=m),
-               lambda m: ranking.range_running_sum(data, "v", "w", "cum", descending=True, num_ranges=4,
-                                                   total="tot", method=m),
-               lambda m: ranking.middle_values(data, ["g"], "v", num_ranges=4, method=m)):
-        assert sorted(fn("window").collect()) == sorted(fn("distributed").collect())

@@ -59,24 +59,22 @@ def test_scorecard_zero_orders_and_on_time_boundaries(spark):
     assert (b.total_orders, b.total_gmv_usd, b.avg_order_value_usd, b.otd_strict_pct) == (0, None, None, None)
 
 
-@pytest.mark.parametrize("method", ["window", "distributed"])
-def test_tier_null_rating_sorts_last_and_quartiles_balance(spark, method):
+def test_tier_null_rating_sorts_last_and_quartiles_balance(spark):
     c = caterers(spark, *[dict(caterer_id=i, caterer_name=f"c{i}", avg_rating=D(f"{i}.00")) for i in range(1, 5)],
                  dict(caterer_id=5, caterer_name="c5", avg_rating=None))
     o = orders(spark, *[dict(caterer_id=i, order_total_usd=D(100 * i)) for i in range(1, 6)])
-    res = by(caterer.caterer_tier(c, o, num_ranges=3, method=method).collect(), "caterer_name")
+    res = by(caterer.caterer_tier(c, o, num_ranges=3).collect(), "caterer_name")
     assert res["c5"].composite_score is None and res["c5"].performance_tier == "Platinum"
     tiers = [r.performance_tier for r in res.values()]
     assert sorted(tiers.count(t) for t in set(tiers)) == [1, 1, 1, 2]
 
 
-@pytest.mark.parametrize("method", ["window", "distributed"])
-def test_pareto_first_account_above_threshold_is_long_tail(spark, method):
+def test_pareto_first_account_above_threshold_is_long_tail(spark):
     a = accounts(spark, *[dict(account_id=i) for i in range(1, 5)])
     o = orders(spark, dict(account_id=1, order_total_usd=D("900.00")), dict(account_id=2, order_total_usd=D("50.00")),
                dict(account_id=3, order_total_usd=D("50.00")), dict(account_id=4, order_total_usd=D("50.00"),
                                                                    order_status="cancelled"))
-    rows = revenue.revenue_pareto(a, o, num_ranges=2, method=method).collect()
+    rows = revenue.revenue_pareto(a, o, num_ranges=2).collect()
     assert [r.gmv_segment for r in rows] == ["Long Tail"] * 3
     assert rows[0].cumulative_gmv_pct == 90.0
     assert rows[1].cumulative_gmv_pct == rows[2].cumulative_gmv_pct == 100.0   # ties share the RANGE frame
@@ -159,8 +157,7 @@ def test_experiment_results_windows(spark):
     assert (res[2].converted, res[2].gmv_60d, res[2].first_order_date) == (0, D("0.00"), None)
 
 
-@pytest.mark.parametrize("method", ["window", "distributed"])
-def test_variant_reports(spark, method):
+def test_variant_reports(spark):
     from pyspark.sql import functions as F
     rows = [(i, "control" if i <= 6 else "treatment", date(2024, 3, 1), "smb", None, int(i % 2 == 0), None, None,
              D("0"), D(str(10 * (i % 4))), 0, D("0")) for i in range(1, 11)]
@@ -172,7 +169,7 @@ def test_variant_reports(spark, method):
                                       "first_order_value_true decimal(10,2)").toDF(*cols)
     srm = by(experiment.srm_check(res).collect(), "variant")
     assert srm["control"].pct_of_total == 60.0 and srm["control"].srm_status == "⚠ SRM DETECTED"
-    gmv = by(experiment.gmv_by_variant(res, num_ranges=3, method=method).collect(), "variant")
+    gmv = by(experiment.gmv_by_variant(res, num_ranges=3).collect(), "variant")
     want = {r.variant: round(float(r.m), 2) for r in res.groupBy("variant").agg(F.median("gmv_60d").alias("m")).collect()}
     assert {k: v.median_gmv_60d for k, v in gmv.items()} == want
     conv = by(experiment.conversion_by_variant(res).collect(), "variant")
@@ -205,7 +202,7 @@ def test_quality_checks_find_violations(spark):
     o = o.union(o.limit(1))                                   # duplicate order_id 1
     a = accounts(spark, dict(account_id=1))
     tables = {"orders": o, "corporate_accounts": a}
-    dup = quality.unique_key_check(tables, {"orders": [("order_id",)]}).first()
+    dup = quality.unique_key_check(tables, {"orders": [("order_id",)]}, {}).first()
     assert (dup.n_checked, dup.n_violations) == (4, 2)
     fk = quality.foreign_key_check(tables, [("orders", "account_id", "corporate_accounts", "account_id")]).first()
     assert fk.n_violations == 1
@@ -280,7 +277,8 @@ def test_power_users_and_age_segments(spark):
     assert pu[("Regular User", "control")].avg_pre_exp_orders is None
     a = accounts(spark, dict(account_id=1, created_at=date(2024, 1, 15)), dict(account_id=2, created_at=date(2023, 6, 1)),
                  dict(account_id=3, created_at=date(2023, 1, 1)))
-    seg = {(r.account_age_segment, r.variant) for r in experiment.account_age(res, a).collect()}
+    dated = res.drop("created_at").join(a.select("account_id", "created_at"), "account_id")
+    seg = {(r.account_age_segment, r.variant) for r in experiment.account_age(dated).collect()}
     assert seg == {("New Account (< 60 days)", "control"), ("Established Account (180+ days)", "control"),
                    ("New Account (< 60 days)", "treatment")}                  # negative age counts as new
 
@@ -331,7 +329,7 @@ def test_lateness_ignores_session_time_zone(spark):
 def test_approximate_medians_are_close(spark):
     from platewise import sources
     from tests.conftest import SF_SMALL
-    m = sources.load(spark, SF_SMALL)
+    m = sources.load(spark, SF_SMALL, "test")
     res = experiment.experiment_results(m.experiment_assignments, m.corporate_accounts, m.orders, conv_days=180,
                                         gmv_days=365)
     from platewise.operators import ranking
@@ -350,7 +348,7 @@ def test_report_suite_equals_standalone_queries(spark):
     from platewise.plans import params as P
     from platewise.plans import registry
     from tests.conftest import SF_SMALL
-    m = sources.load(spark, SF_SMALL)
+    m = sources.load(spark, SF_SMALL, "test")
     suite = experiment.report_suite(m.experiment_assignments, m.corporate_accounts, m.orders, P.EXPERIMENT,
                                     P.CONV_DAYS, P.GMV_DAYS, P.LAUNCH, P.LOOKBACK_DAYS, P.MIN_PRE_ORDERS,
                                     P.GMV_DAYS)
@@ -364,7 +362,7 @@ def test_report_suite_equals_standalone_queries(spark):
 def test_unique_keys_on_an_empty_table_report_zero(spark):
     p = make(spark, S.PROMOTIONS, [])
     rows = quality.unique_key_check({"promotions": p, "orders": orders(spark).limit(0)},
-                                    {"promotions": [("promo_id",), ("promo_code",)], "orders": [("order_id",)]})
+                                    {"promotions": [("promo_id",)], "orders": [("order_id",)]})
     assert sorted((r.rule, r.n_checked, r.n_violations) for r in rows.collect()) == [
         ("unique(order_id)", 0, 0), ("unique(promo_code)", 0, 0), ("unique(promo_id)", 0, 0)]
 
@@ -385,3 +383,80 @@ def test_quality_row_twins_and_defaults(spark):
     lengths = by(quality.length_check({"corporate_accounts": a}, {"corporate_accounts": {"state_code": 2}}).collect(),
                  "rule")
     assert lengths["length(state_code) <= 2"].n_violations == 1
+
+
+def test_tier_mean_lift_rounds_away_from_zero_on_both_sides(spark):
+    res = _results(spark, [dict(id=i, variant="control") for i in range(16)]
+                   + [dict(id=100 + i, variant="treatment", conv=int(i == 0)) for i in range(16)])
+    lift = {r.variant: r.lift_vs_tier_mean_pp for r in experiment.results_by_tier(res).collect()}
+    assert lift == {"control": -3.13, "treatment": 3.13}
+
+
+def test_rolling_trend_over_a_wide_window(spark):
+    c = caterers(spark, dict(caterer_id=1, caterer_name="A"))
+    late = ts(2025, 1, 2, 13)
+    rows = [dict(placed_at=ts(2022 + m // 12, m % 12 + 1, d), actual_delivery=late if d <= m % 5 else ts(2024, 1, 2, 12))
+            for m in range(30) for d in range(1, 12)]
+    got = caterer.monthly_otd_trend(c, orders(spark, *rows), window_rows=12).collect()
+    rates = [100 * (11 - m % 5) / 11 for m in range(30)]
+    assert [r.otd_3mo_rolling_avg for r in got] == [
+        pytest.approx(sum(rates[max(0, m - 11):m + 1]) / min(12, m + 1), abs=0.0501) for m in range(30)]
+
+
+def test_unique_keys_compare_values_as_they_are(spark):
+    df = spark.createDataFrame([(1, ts(2024, 1, 1, 0, 0, 0, 1)), (2, ts(2024, 1, 1, 0, 0, 0, 2)), (3, None), (4, None)],
+                               "id long, at timestamp_ntz")
+    strict = quality.unique_key_check({"t": df}, {"t": [("id",), ("at",)]}, {}).collect()
+    assert [(r.rule, r.n_checked, r.n_violations) for r in strict] == [("unique(id)", 4, 0), ("unique(at)", 4, 2)]
+    loose = quality.unique_key_check({"t": df}, {}, {"t": [("at",)]}).collect()
+    assert [(r.n_checked, r.n_violations) for r in loose] == [(2, 0)]
+    assert quality.unique_key_rows(df, ["at"]).count() == 2 and quality.unique_key_rows(df, ["at"], nulls_equal=False).count() == 0
+
+
+def without(df, **columns):
+    """``df`` with a column NULL in the row of the given order."""
+    from pyspark.sql import functions as F
+    return df.withColumns({c: F.when(F.col("order_id") != i, F.col(c)) for c, i in columns.items()})
+
+
+def test_offending_rows_of_every_kind(spark):
+    o = without(orders(spark, dict(), dict(headcount=0), dict(order_total_usd=D("-1.00")), dict(),
+                       dict(order_status="cancelled"), dict()), headcount=4, delivery_tier=6)
+    ids = lambda df: sorted(r.order_id for r in df.collect())
+    assert ids(quality.range_rows(o, [("headcount", "headcount > 0"), ("order_total_usd", "order_total_usd >= 0")])) == [2, 3]
+    assert ids(quality.default_fill_rows(o, {"delivery_tier": "standard", "order_status": "pending"})) == [6]
+    assert ids(quality.status_timestamp_rows(o)) == [5]
+    a = accounts(spark, dict(account_id=1, state_code="XX"), dict(account_id=2, state_code="XXX"), dict(account_id=3, industry=None))
+    assert [r.account_id for r in quality.length_rows(a, {"state_code": 2, "industry": 80}).collect()] == [2]
+    assert quality.range_rows(o, []).count() == 0
+
+
+def test_all_rules_of_a_table_equal_the_single_kinds(spark):
+    o = without(orders(spark, dict(), dict(headcount=0, order_status="shipped"), dict()), caterer_id=3)
+    every = {(r.rule, r.n_checked, r.n_violations) for r in quality.table_rules_check({"orders": o}).collect()}
+    kinds = [quality.not_null_check({"orders": o}), quality.domain_check({"orders": o}, [d for d in quality.DOMAINS if d[0] == "orders"]),
+             quality.range_check({"orders": o}, [r for r in quality.RANGES if r[0] == "orders"]), quality.status_timestamp_check(o),
+             quality.default_fill_check({"orders": o}, {"orders": quality.DEFAULTS["orders"]})]
+    assert every == {(r.rule, r.n_checked, r.n_violations) for k in kinds for r in k.collect()}
+
+
+def test_headcounts_that_are_missing_are_not_averaged(spark):
+    a, c = accounts(spark, dict(account_id=1)), caterers(spark, dict(caterer_id=1, caterer_name="A"))
+    o = without(orders(spark, dict(headcount=10), dict(), dict(headcount=20)), headcount=2)
+    none = make(spark, S.PROMO_ORDERS, [])
+    assert [(r.order_count, r.avg_headcount) for r in promo.promo_vs_nonpromo(a, o, none).collect()] == [(3, 15.0)]
+    assert [(r.total_orders, r.avg_headcount) for r in caterer.caterer_scorecard(c, o).collect()] == [(3, 15.0)]
+
+
+def test_ties_have_one_order_for_any_partitioning(spark):
+    a = accounts(spark, *[dict(account_id=i) for i in range(1, 60)])
+    o = orders(spark, *[dict(account_id=i) for i in range(1, 60)])  # all at one dormancy
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        runs = []
+        for n in ("1", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            runs.append([r.account_id for r in retention.order_cadence(a, o.repartition(int(n))).collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert runs[0] == runs[1] == list(range(1, 60))

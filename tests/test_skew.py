@@ -20,7 +20,7 @@ TABLES = check.ORACLE_TABLES
 
 @pytest.fixture(scope="module")
 def skewed_dir():
-    out = tempfile.mkdtemp(prefix="platewise-skew-")
+    out = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     t = {name: pq.read_table(os.path.join(SF_SMALL, f"{name}.parquet")) for name in TABLES}
 
     orders = t["orders"]
@@ -30,7 +30,7 @@ def skewed_dir():
 
     part = t["part"]
     promo_parts = [p for p, ty in zip(part["p_partkey"].to_pylist(), part["p_type"].to_pylist())
-                   if ty == "PROMO" and p % 5 == 0 and p % 25 not in (0, 5)]
+                   if ty == "PROMO"]
     li = t["lineitem"]
     lkey, lnum = li["l_orderkey"].to_pylist(), li["l_linenumber"].to_pylist()
     supp = [1 if k % 3 == 0 else s for k, s in zip(lkey, li["l_suppkey"].to_pylist())]
@@ -64,10 +64,3 @@ def test_fixture_is_skewed(skewed_dir):
 def test_matches_oracle_under_skew(spark, duck, skewed_dir, key):
     ok, info = check.compare(spark, duck, key, skewed_dir)
     assert ok, info
-
-
-@pytest.mark.parametrize("key", ["q1c_caterer_tier", "q2b_revenue_pareto", "q5b2_gmv_by_variant"])
-def test_distributed_ranks_match_oracle_under_skew(spark, duck, skewed_dir, key):
-    from tests.test_plans import _distributed
-    ok, info = check.compare(spark, duck, key, skewed_dir, df=_distributed(spark, key, skewed_dir))
-    assert ok, info
