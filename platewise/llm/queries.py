@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, neardup, quality, secrets, sharding, syncmers, tokenfiles
+from . import bpe, chat, common, decontaminate, neardup, quality, secrets, sharding, syncmers, tokenfiles
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_byte_bpe": op2_byte_bpe,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op7_chat": op7_chat,
     "op8_token_files": op8_token_files,
     "op9_syncmers": op9_syncmers,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: DuckDB SQL where SQL can express the operator.
