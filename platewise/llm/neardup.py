@@ -8,11 +8,19 @@ Signatures are cut into bands; documents that share a band are candidates, and
 a link is confirmed on the full shingle sets.
 
 Hot groups: documents with equal sets are one class, whatever their number.
-Within a band's bucket the members are first compared with its smallest
-member, which joins a group of near copies in one step.  Members of one
-bucket that are still in different components are compared block by block,
-so nothing that could be a link is skipped and no step pairs a whole bucket
-with itself.
+Within a bucket the members are compared with one pivot, the member whose
+buckets are fullest, which joins a group of near copies in one step.  Two
+members x, y of different components could still be alike, and the pivot's
+comparison tells which, exactly.  With i the overlap with the pivot,
+
+    |x & y| <= min(i_x, i_y) + (shingles that both have and the pivot lacks),
+
+so either both overlaps with the pivot are as large as a link needs, which
+leaves few pairs by size, or x and y share a shingle that the pivot lacks,
+and by prefix filtering one among the first fifth of their shingles.  Members
+that share such a shingle form new buckets with pivots of their own; what
+shares one there too, is in different components, and has signatures that a
+link's could be, is compared on the full sets.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ from .components import components
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words whose hashes a worker remembers.
-MEMO = 500_000
+MEMO = 250_000
 
 
 class Words(dict):
@@ -91,63 +99,182 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch_of(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each of the signature's values, as longs."""
+    low = (_mix(signature.ravel()) & np.uint64(3)).astype(np.uint8)
+    bits = np.packbits(np.stack([low & 1, low >> 1], 1).ravel())
+    return np.frombuffer(bits.tobytes() + b"\0" * (-len(bits) % 8), np.int64)
+
+
 def _signatures(k: int, bands: int, per_band: int, seed: int):
     def run(batches):
         factors, offsets = permutations(bands * per_band, seed)
         for b in common.slices(batches):
-            counts, ids, keys = [], [], []
+            counts, ids, keys, sketches = [], [], [], []
             for text in b["text"].to_pylist():
                 s = shingles(text, k)
                 counts.append(len(s))
                 ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                keys.append(band_keys(min_max(s, factors, offsets), bands) if len(s) else [])
+                signature = min_max(s, factors, offsets) if len(s) else None
+                keys.append(band_keys(signature, bands) if len(s) else [])
+                sketches.append(sketch_of(signature) if len(s) else [])
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_id", "keys"])
+                [b["doc_id"], b["text_key"], pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "set_id", "keys", "sketch"])
     return run
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def _compare(k: int, percent: int):
-    """Streams over groups: the rows of the pivot come first, then those of its members."""
+    """Streams over groups, in each of which the pivot's row comes first: overlap, sizes, and first shingles that the pivot lacks."""
     def run(batches) -> Iterator[pa.RecordBatch]:
-        group, pivots = None, []
+        group, pivot = None, None
         for b in common.slices(batches):
-            u, v = [], []
-            for pivot, part, member, text in zip(*[b[c].to_pylist() for c in ("pivot", "part", "member", "text")], strict=True):
-                if (pivot, part) != group:
-                    group, pivots = (pivot, part), []
-                if member is None:
-                    pivots.append(shingles(text, k))
-                elif any(similar(p, s, percent) for s in [shingles(text, k)] for p in pivots):
-                    u.append(pivot)
-                    v.append(member)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            out = {"pivot": [], "member": [], "inter": [], "n_pivot": [], "n": [], "first": []}
+            for head, part, member, crowd, text in zip(*[b[c].to_pylist() for c in ("pivot", "part", "member", "crowd", "text")], strict=True):
+                own = shingles(text, k)
+                if (head, part) != group:
+                    group, pivot = (head, part), own
+                    continue
+                inter = len(np.intersect1d(pivot, own, assume_unique=True))
+                first = np.setdiff1d(own, pivot, assume_unique=True)[:(100 - percent) * len(own) // 100 + 1] if crowd else own[:0]
+                for name, value in zip(out, (head, member, inter, len(pivot), len(own), first.view(np.int64)), strict=True):
+                    out[name].append(value)
+            types = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, per_part: int = 1000) -> DataFrame:
-    """Those of ``pairs (pivot, member)`` whose full shingle sets are similar enough, as ``u, v``.
+def compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, per_part: int = 1000) -> DataFrame:
+    """The full shingle sets of ``pairs (pivot, member, crowd)`` compared: ``pivot, member, inter, n_pivot, n, first``.
 
-    A pivot's members are dealt over parts of about ``per_part``, each with its copy of the pivot's text.
+    ``first`` holds, for a member of a crowd, those of its shingles that the
+    pivot lacks and that have the smallest hashes, as many as prefix filtering
+    needs.  A pivot's members are dealt over parts of about ``per_part``, each
+    with its copy of the pivot's text.
     """
     pairs = common.staged(pairs, "pairs")
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("parts"))
-    heads = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    members = pairs.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
-    rows = (members.join(texts, members["member"] == texts["doc_id"]).select("pivot", "part", "member", "text")
+    sizes = pairs.groupBy(F.col("pivot").alias("p")).agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("parts"))
+    heads = sizes.select(F.col("p").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    members = pairs.join(sizes, pairs["pivot"] == sizes["p"]).withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    rows = (members.join(texts, members["member"] == texts["doc_id"]).select("pivot", "part", "member", "crowd", "text")
             .unionByName(heads.join(texts, heads["pivot"] == texts["doc_id"])
-                         .select("pivot", "part", F.lit(None).cast("long").alias("member"), "text")))
+                         .select("pivot", "part", F.lit(None).cast("long").alias("member"), F.lit(False).alias("crowd"), "text")))
     ordered = rows.repartition(F.col("pivot"), F.col("part")).sortWithinPartitions("pivot", "part", F.col("member").asc_nulls_first())
-    return common.map_arrow(ordered, _compare(k, percent), "u long, v long")
+    return common.staged(common.map_arrow(ordered, _compare(k, percent),
+                                          "pivot long, member long, inter long, n_pivot long, n long, first array<long>"), "compared")
+
+
+def _alike(inter, n_a, n_b, percent: int):
+    """``100 * intersection >= percent * union``, of exact counts."""
+    return inter * (100 + percent) >= (n_a + n_b) * percent
+
+
+def _may_be_alike(a, b, values: int, percent: int):
+    """Whether the sketches differ in no more bits than a link's do but once in 10**10.
+
+    Of ``values`` signature values a link differs in ``1 - percent / 100`` at
+    most on average, and a differing value changes each of its two bits by half.
+    """
+    miss = 1 - percent / 100
+    mean, deviation = values * miss, (values * miss * (1 - miss) + values * miss / 2) ** 0.5
+    differing = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(-(-2 * values // 64))), F.lit(0))
+    return differing <= int(mean + 6.5 * deviation)
+
+
+def _links(facts: DataFrame, percent: int) -> DataFrame:
+    return facts.filter(_alike(F.col("inter"), F.col("n_pivot"), F.col("n"), percent)).select(F.col("pivot").alias("u"), F.col("member").alias("v"))
+
+
+def _with_company(buckets: DataFrame) -> DataFrame:
+    """Rows of ``buckets (key, node)`` that share their key, with the bucket's ``size`` and ``pivot``."""
+    sizes = buckets.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    own = common.staged(buckets.join(sizes, buckets["key"] == sizes["k"]).drop("k"), "buckets")
+    weight = own.groupBy(F.col("node").alias("w_node")).agg(F.sum("size").alias("weight"))
+    weighed = own.join(weight, own["node"] == weight["w_node"])
+    pivots = weighed.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
+    return common.staged(own.join(pivots, own["key"] == pivots["k"]).select("key", "node", "size", (-F.col("top.minus")).alias("pivot")), "pivots")
+
+
+def _close_by_size(family: DataFrame, values: int, percent: int) -> DataFrame:
+    """Pairs of a family, in different components, whose overlaps with the pivot both are as large as a link needs.
+
+    Of such a pair one member isn't linked with the pivot, and the other is
+    smaller than the pivot by so much that a range of sizes remains, which is
+    joined in steps of a twentieth of the size.
+    """
+    sizes = lambda n: F.floor(F.log(n.cast("double")) * 20).cast("int")
+    stray = family.filter(~_alike(F.col("inter"), F.col("n_pivot"), F.col("n"), percent))
+    # percent * (n + m) <= (100 + percent) * inter bounds m, the other one's size
+    most = F.floor((F.col("inter") * (100 + percent) - F.col("n") * percent) / percent)
+    least = F.ceil(F.col("n") * percent / 100)
+    stray = (stray.withColumn("most", most).filter(F.col("most") >= least)
+             .select(F.col("pivot").alias("p"), F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"),
+                     F.col("inter").alias("i_a"), F.col("sketch").alias("s_a"), "most", F.explode(F.sequence(sizes(least), sizes(F.col("most")))).alias("step")))
+    other = family.withColumn("o_step", sizes(F.col("n")))
+    both = F.least(F.col("i_a"), F.col("inter")) * (100 + percent) >= (F.col("n_a") + F.col("n")) * percent
+    return (stray.join(other, (stray["p"] == other["pivot"]) & (stray["step"] == other["o_step"]))
+            .filter((F.col("c_a") != F.col("component")) & (F.col("n") <= F.col("most")) & both & _may_be_alike(F.col("s_a"), F.col("sketch"), values, percent))
+            .select(F.least("a", "node").alias("pivot"), F.greatest("a", "node").alias("member"), F.lit(False).alias("crowd")).distinct())
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Rows of ``placed (key, node, component, ..)`` whose key has nodes of several components."""
+    ends = placed.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return placed.join(ends.filter("low <> high"), placed["key"] == F.col("k"), "left_semi")
+
+
+def _families(buckets: DataFrame, found: DataFrame, facts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Members of the buckets that are still in several components, with their comparison with the pivot."""
+    # a pair is settled by its comparison; in a bucket of one component there is nothing left to find
+    placed = buckets.filter("size > 2").join(found.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node"), "left") \
+        .select("key", "node", "pivot", F.coalesce("component", "node").alias("component"))
+    open_ = _mixed(placed).select("pivot", "node", "component").distinct()
+    own = facts.withColumnsRenamed({"pivot": "f_pivot", "member": "f_member"})
+    return common.staged(open_.join(own, (open_["pivot"] == own["f_pivot"]) & (open_["node"] == own["f_member"]))
+                         .drop("f_pivot", "f_member").join(sketches, F.col("node") == F.col("s_node")).drop("s_node"), "families")
+
+
+def _linked_nodes(classes: DataFrame, texts_of, k: int, percent: int, values: int) -> DataFrame:
+    """Components of the classes' nodes.
+
+    Two levels of pivots (see the module's text): the bands' buckets, and the
+    buckets of shingles that a pivot lacks.  What shares such a shingle on both
+    levels and is still in different components is compared pair by pair.
+    """
+    buckets = _with_company(classes.select("node", F.explode("keys").alias("key")))
+    texts = texts_of(buckets)
+    sketches = classes.groupBy(F.col("node").alias("s_node")).agg(F.first("sketch").alias("sketch"))
+    links = None
+    for level in (0, 1):
+        pairs = (buckets.filter("node <> pivot").groupBy("pivot", F.col("node").alias("member"))
+                 .agg(F.max(F.col("size") > 2).alias("crowd")))
+        facts = compared(pairs, texts, k, percent)
+        links = _links(facts, percent) if links is None else links.unionByName(_links(facts, percent))
+        found = components(links)
+        family = _families(buckets, found, facts, sketches)
+        if family.isEmpty():
+            return found
+        links = links.unionByName(_links(compared(_close_by_size(family, values, percent), texts, k, percent), percent))
+        found = components(links)
+        lacking = (family.drop("component").join(found.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node"), "left")
+                   .select("node", "n", "sketch", F.coalesce("component", "node").alias("component"), F.explode("first").alias("s"), "pivot")
+                   .withColumn("key", F.xxhash64("pivot", "s")))
+        deeper = common.staged(_mixed(lacking).select("key", "node", "n", "sketch", "component"), "deeper")
+        if deeper.isEmpty():
+            return found
+        if level == 0:
+            buckets = _with_company(deeper.select("key", "node"))
+    other = deeper.withColumnsRenamed({c: f"o_{c}" for c in deeper.columns})
+    fits = F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent
+    rest = (deeper.join(other, deeper["key"] == other["o_key"])
+            .filter((F.col("node") < F.col("o_node")) & (F.col("component") != F.col("o_component")) & fits
+                    & _may_be_alike(F.col("sketch"), F.col("o_sketch"), values, percent))
+            .select(F.col("node").alias("pivot"), F.col("o_node").alias("member"), F.lit(False).alias("crowd")).distinct())
+    return components(links.unionByName(_links(compared(rest, texts, k, percent), percent)))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, permutations_per_band: int = 2,
-                    block: int = 16, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
     Links join documents whose sets of ``k``-word shingles have a Jaccard
@@ -158,58 +285,56 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Null and empty texts, and texts without words, have empty sets and link
     with nothing.  Repeated rows each give their row, and rows that share an id
-    but not their text each get the component of their own text.  Rows with a
+    but not their text each get the component of their own text (one of these
+    texts stands for the id in comparisons).  Rows with a
     null id follow their equals with an id; without such they stay alone
     (component null) and are kept.
     """
-    rows = common.id_text(docs, id_col, text_col)
-    signed = common.staged(common.map_arrow(rows, _signatures(k, bands, permutations_per_band, seed),
-                                            "doc_id long, n_shingles long, set_id binary, keys array<long>"), "signatures")
+    return _placed(common.id_text(docs, id_col, text_col), k, percent, bands, permutations_per_band, seed).drop("text_key")
+
+
+def _placed(rows: DataFrame, k: int, percent: int, bands: int, permutations_per_band: int, seed: int) -> DataFrame:
+    """:func:`near_duplicates` of ``rows (doc_id, text)``, with ``text_key``, a hash of the whole text."""
+    signed = common.staged(common.map_arrow(rows.withColumn("text_key", F.xxhash64("text")), _signatures(k, bands, permutations_per_band, seed),
+                                            "doc_id long, text_key long, n_shingles long, set_id binary, keys array<long>, sketch array<long>"), "signatures")
     classes = common.staged(
         signed.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id")
-              .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "classes")
-    buckets = classes.select("node", "n", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    # only rows of buckets with company go on
-    buckets = common.staged(buckets.join(shared, "key"), "buckets")
-    fits = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)  # noqa: E731  else no overlap suffices
-
-    first = buckets.filter("node <> pivot").select("pivot", F.col("node").alias("member")).distinct()
-    wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
-    texts = common.staged(rows.join(wanted, "doc_id", "left_semi"), "candidate-texts")
-    links = common.staged(confirmed(first, texts, k, percent), "confirmed")
-    found = components(links)
-    round_no = 0
-    while True:
-        # buckets whose members are still in several components
-        placed = buckets.join(found, buckets["node"] == found["node"], "left").select(
-            "key", buckets["node"], "n", "pivot", "size", F.coalesce("component", buckets["node"]).alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                          F.count(F.lit(1)).alias("members"))
-        blocks = F.ceil(F.col("members") / block).cast("long")
-        open_ = (mixed.filter("low <> high").withColumn("blocks", blocks).filter(F.col("blocks") > round_no)
-                 .select("key", "blocks"))
-        rest = common.staged(placed.join(open_, "key"), "open-buckets")
-        if rest.isEmpty():
-            break
-        mine = F.pmod(F.xxhash64("node", "key"), F.col("blocks")) == round_no
-        left = rest.filter(mine).select("key", "pivot", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-        right = rest.select(F.col("key").alias("k2"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-        pairs = (left.join(right, left["key"] == right["k2"])
-                 .filter((F.col("c_a") != F.col("c_b")) & (F.col("a") != F.col("pivot")) & (F.col("b") != F.col("pivot")))
-                 .filter(fits(F.col("n_a"), F.col("n_b")))
-                 .select(F.least("a", "b").alias("pivot"), F.greatest("a", "b").alias("member")).distinct())
-        new = common.staged(confirmed(pairs, texts, k, percent), "confirmed")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            found = components(links)
-        round_no += 1
+              .agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+              .select("set_id", F.col("least.doc_id").alias("node"), F.col("least.text_key").alias("text_key"), "keys", "sketch"), "classes")
+
+    def texts_of(buckets: DataFrame) -> DataFrame:
+        wanted = (classes.join(buckets.select(F.col("node").alias("b_node")).distinct(), F.col("node") == F.col("b_node"), "left_semi")
+                  .groupBy(F.col("node").alias("w_id")).agg(F.min("text_key").alias("w_key")))
+        keyed = rows.withColumn("_key", F.xxhash64("text"))
+        chosen = keyed.join(wanted, (keyed["doc_id"] == wanted["w_id"]) & (keyed["_key"] == wanted["w_key"]), "left_semi")
+        return common.staged(chosen.dropDuplicates(["doc_id"]).select("doc_id", "text"), "candidate-texts")
+    found = _linked_nodes(classes, texts_of, k, percent, 2 * bands * permutations_per_band)
     labels = found.withColumnsRenamed({"node": "l_node"})
     home = (classes.select("set_id", "node").join(labels, F.col("node") == F.col("l_node"), "left")
             .select(F.col("set_id").alias("h_set"), F.coalesce("component", "node").alias("component")))
     out = signed.join(home, signed["set_id"] == home["h_set"], "left")
     # a text without words is its own component
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "set_id").select(
-        "doc_id", "n_shingles", "component_id",
-        F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key").withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, permutations_per_band: int = 2,
+                 seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which one document of each group stays: that with the group's smallest id.
+
+    Of repeated rows one stays.  Texts without words are no one's duplicates;
+    rows with a null id stay unless an equal text with an id does.
+    """
+    rows = common.id_text(docs, id_col, text_col)
+    kept = (_placed(rows, k, percent, bands, permutations_per_band, seed).filter("kept")
+            .groupBy(F.col("doc_id").alias("_k_id"), F.col("text_key").alias("_k_text")).agg(F.count(F.lit(1)).alias("_k_n")))
+    kept = common.staged(kept, "kept")
+    own = docs.select(*[docs[f"`{c}`"].alias(f"c_{c}") for c in docs.columns], docs[id_col].cast("long").alias("_id"),
+                      F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("_text"))
+
+    def meet(keys: DataFrame) -> DataFrame:
+        return own.join(keys, own["_id"].eqNullSafe(keys["_k_id"]) & (own["_text"] == keys["_k_text"]), "left_semi")
+    # only keys of more than one row need their rows combined, on the map side first
+    repeated = meet(kept.filter("_k_n > 1")).dropDuplicates(["_id", "_text"])
+    return meet(kept.filter("_k_n = 1")).unionByName(repeated).select(*[F.col(f"`c_{c}`").alias(c) for c in docs.columns])
