@@ -166,7 +166,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return common.map_arrow(encoded.select("doc_id", "ids"), _decode(path, pattern), "doc_id long, data binary")
 
 
-def _digest(path: str, pattern: str):
+def _digest(path: str, pattern: str, keep: list[str]):
     def run(batches):
         enc = encoding(path, pattern)
         sha = lambda data: hashlib.sha256(data).hexdigest()
@@ -177,11 +177,12 @@ def _digest(path: str, pattern: str):
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(sha(" ".join(map(str, ids)).encode()))
                 out["decoded_sha256"].append(sha(enc.decode_bytes(ids)))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array(v) for v in out.values()]], names=["doc_id", *out])
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], *[pa.array(v) for v in out.values()]], names=[*keep, *out])
     return run
 
 
-def digest(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def digest(encoded: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Per document the number and digest of its ids, and the digest of the bytes they decode to."""
-    return common.map_arrow(encoded.select("doc_id", "ids"), _digest(path, pattern),
-                            "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    keep = ["doc_id", "ids"] if with_ids else ["doc_id"]
+    return common.map_arrow(encoded.select("doc_id", "ids"), _digest(path, pattern, keep),
+                            "doc_id long, " + "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string")
