@@ -36,11 +36,20 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                      F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+#: Most rows and bytes that go to a Python worker at once; Spark's own limits (10,000 rows, 64 MB)
+#: let a few long texts fill an executor's memory outside the heap.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 8 << 20
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package wherever the driver was started."""
-    env = df.sparkSession.sparkContext.environment
+    """``mapInArrow`` whose workers can import this package wherever the driver was started, in small batches."""
+    spark = df.sparkSession
+    env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, env.get("PYTHONPATH", "")]))
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ROWS_AT_ONCE:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_AT_ONCE)
     return df.mapInArrow(fn, schema)
 
 
