@@ -12,6 +12,7 @@ its offset, without those around it.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import os
 import re
@@ -29,8 +30,28 @@ from . import common
 #: they do in the text.  (The separators U+001C to U+001F aren't white space there.)
 SEGMENT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 
-#: Segments that a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 400_000, 48
+#: Segments that a worker remembers (twice as many at most), and the longest of them.
+MEMO, MEMO_CHARS = 600_000, 48
+MARKS = frozenset(".,!?;:")
+#: Segments given to the library in one string.
+TOGETHER = 512
+
+
+def segment_keys(text: str) -> list[str]:
+    """The segments of a text, as keys: a word alone stands for the word after a space, with a line
+    break before it for just that, and with a space before it for the rest of the key as it is.
+    """
+    words = text.split()
+    pieces = text.replace("\n", " \n").split(" ")
+    # single spaces and line breaks between words, and no other white space: the usual text
+    if len(words) == len(pieces) and len(text) == sum(map(len, words)) + len(words) - 1:
+        pieces[0] = " " + pieces[0]
+        return pieces
+    return [" " + segment for segment in SEGMENT.findall(text)]
+
+
+def segment_of(key: str) -> str:
+    return key[1:] if key[0] == " " else key if key[0] == "\n" else " " + key
 
 
 class SegmentEncoder:
@@ -42,24 +63,64 @@ class SegmentEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 2**16 else np.dtype("<u4")
+        plain = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()
+                 if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.separator = plain[0] if plain else None
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
-        cut = [SEGMENT.findall(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = list(set().union(*cut).difference(memo))
-        fresh = {s: np.array(e.ids, self.dtype).tobytes()
-                 for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        out = []
-        memo.update(fresh)
-        for segments in cut:
-            out.append(b"".join(map(memo.__getitem__, segments)))
-        for s in new:
-            if len(s) > MEMO_CHARS:
-                del memo[s]
+        gc.disable()  # millions of strings without cycles, which the collector would go through again and again
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        cut = [segment_keys(t) for t in texts]
+        known = [list(map(self.memo.get, segments)) for segments in cut]
+        new = {s for segments, parts in zip(cut, known, strict=True) if None in parts
+               for s, p in zip(segments, parts, strict=True) if p is None}
+        fresh = {s: self.older[s] for s in new if s in self.older}
+        # a sentence mark after a letter is a pre-token of its own: the word before it is often known
+        marked = [s for s in new if s not in fresh and s[-1] in MARKS and len(s) > 2 and s[-2].isalpha()]
+        wanted = {x for s in marked for x in (s[:-1], " " + s[-1])} | new.difference(fresh).difference(marked)
+        for s in wanted:
+            if (ids := self.memo.get(s) or self.older.get(s)) is not None:
+                fresh[s] = ids
+        fresh |= self._fresh([s for s in wanted if s not in fresh])
+        fresh.update([(s, fresh[s[:-1]] + fresh[" " + s[-1]]) for s in marked])
+        self.memo.update((s, ids) for s, ids in fresh.items() if len(s) <= MEMO_CHARS)
+        if len(self.memo) > MEMO:  # what isn't met again meanwhile goes
+            self.older, self.memo = self.memo, {}
+        return [b"".join(fresh[s] if p is None else p for s, p in zip(segments, parts, strict=True)) if None in parts else b"".join(parts)
+                for segments, parts in zip(cut, known, strict=True)]
+
+    def _fresh(self, keys: list[str]) -> dict[str, bytes]:
+        """The library's ids of each segment.
+
+        Many segments go in one string with a special token between them, at
+        which the library cuts a text before anything else; each is then
+        encoded as if alone.
+        """
+        segments = list(map(segment_of, keys))
+        between, mark = self.separator or ("", None)
+        joined, alone = [], []
+        for key, s in zip(keys, segments, strict=True):
+            (joined if between and between not in s else alone).append((key, s))
+        out = {key: np.array(e.ids, self.dtype).tobytes()
+               for (key, _), e in zip(alone, self.tokenizer.encode_batch_fast([s for _, s in alone], add_special_tokens=False), strict=True)}
+        runs = [joined[at:at + TOGETHER] for at in range(0, len(joined), TOGETHER)]
+        texts = [between.join(s for _, s in run) for run in runs]
+        width = self.dtype.itemsize
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            ends = [*(np.flatnonzero(ids == mark) * width).tolist(), len(ids) * width]
+            data, at = ids.tobytes(), 0
+            for (key, _), end in zip(run, ends, strict=True):
+                out[key] = data[at:end]
+                at = end + width
         return out
 
 
@@ -77,8 +138,11 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, size: int = 65_536
     """
     import zstandard
 
-    sample = (docs.select(F.substring("text", 1, sample_chars).alias("text"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
-              .orderBy("h", "text").limit(sample_docs).select("text").collect())
+    # chosen by the ids alone, so that no more texts than these reach the driver
+    ids = (docs.select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h")).distinct().orderBy("h").limit(sample_docs)
+           .select(F.col("doc_id").alias("s_id")))
+    sample = (docs.join(F.broadcast(ids), docs["doc_id"] == ids["s_id"]).select(F.substring("text", 1, sample_chars).alias("text"))
+              .orderBy(F.xxhash64("text")).limit(sample_docs).collect())
     enc = encoder(path)
     arrays = [a + np.array([end_id], enc.dtype).tobytes() for a in enc.encode([r["text"] for r in sample])]
     try:
