@@ -177,7 +177,7 @@ class Block:
 
     items: list[Item]
     rows: np.ndarray  # bin to row of ``space``, -1 elsewhere
-    space: np.ndarray  # latent vectors of words, times their weights
+    space: np.ndarray  # latent vectors of words, times their weights, and a row of 0
     passages: np.ndarray  # latent vectors of the items' passages
     firsts: np.ndarray  # the first passage of each item
     idf: np.ndarray
@@ -209,7 +209,8 @@ def prepared(spark, items: list[Item], idf: np.ndarray, rank: int) -> Block:
     passages = spark.createDataFrame([(b" ".join(p).decode("utf-8", "surrogatepass"),) for p in flat], "passage string")
     space = latent_space(passages, rows, len(vocabulary), idf, min(rank, len(flat), len(vocabulary)))
     vectors = np.array([w @ space[at] for at, w in (_weights(p, rows, idf) for p in flat)])
-    return Block(items, rows, (space * idf[vocabulary, None]).astype(np.float32), vectors.astype(np.float32),
+    weighted = np.vstack([space * idf[vocabulary, None], np.zeros((1, space.shape[1]))]).astype(np.float32)
+    return Block(items, rows, weighted, vectors.astype(np.float32),
                  np.cumsum([0, *[len(c) for c in cut[:-1]]]), idf)
 
 
@@ -222,23 +223,25 @@ def _candidates(block: Block, bins: list[np.ndarray], least_cosine: float) -> It
     if not n:
         return
     every = np.concatenate(bins)
-    own = np.repeat(first_half, sizes) + (np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // HALF
-    at = block.rows[every]
-    known = np.flatnonzero(at >= 0)
-    vectors = np.zeros((n, block.space.shape[1]), np.float32)
-    if len(known):
-        starts = np.flatnonzero(np.diff(own[known], prepend=-1))
-        vectors[own[known][starts]] = np.add.reduceat(block.space[at[known]], starts, axis=0)
+    place = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # of a word in its text
+    own = np.repeat(first_half, sizes) + place // HALF
+    at = np.full((n, HALF), -1, np.int32)
+    at[own, place % HALF] = block.rows[every]
+    vectors = block.space[at[:, 0]]
+    for j in range(1, HALF):  # the last row of the space, all 0, stands for words that no item has
+        vectors += block.space[at[:, j]]
     mass = np.bincount(own, block.idf[every].astype(np.float64) ** 2, n)
     text_of = np.repeat(np.arange(len(bins)), halves)
     joined = np.flatnonzero(np.append(text_of[1:] == text_of[:-1], False))  # halves with one after them
     vectors[joined] += vectors[joined + 1]
     mass[joined] += mass[joined + 1]
     cosine = vectors @ block.passages.T / np.sqrt(mass)[:, None].astype(np.float32)
-    best = np.maximum.reduceat(cosine, block.firsts, axis=1)
-    for half, item in zip(*np.nonzero(best >= least_cosine), strict=True):
+    near = np.flatnonzero(cosine.max(axis=1) >= least_cosine)
+    best = np.maximum.reduceat(cosine[near], block.firsts, axis=1)
+    for at, item in zip(*np.nonzero(best >= least_cosine), strict=True):
+        half = int(near[at])
         text = int(text_of[half])
-        yield text, int(half - first_half[text]), int(item), min(1.0, float(best[half, item]))
+        yield text, half - int(first_half[text]), int(item), min(1.0, float(best[at, item]))
 
 
 def found_in(block: Block, texts: list[str], least_cosine: float, least_overlap: float, least_answer: float) -> Iterator[tuple[int, int, float, float, float]]:
