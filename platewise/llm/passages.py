@@ -32,9 +32,9 @@ def paragraphs(text: str, least: int) -> list[tuple[int, int, int]]:
         if start is None:
             start, count = m.start(), 0
         count, end = count + 1, m.end()
-        if text[end - 1] in _ENDS and zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % 3:
-            if count >= least:
-                out.append((start, end, count))
+        # a shorter one goes on, so that short sentences aren't lost
+        if count >= least and text[end - 1] in _ENDS and zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % 3:
+            out.append((start, end, count))
             start = None
     if start is not None and count >= least:
         out.append((start, end, count))
