@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -106,20 +107,59 @@ def sketch_of(signature: np.ndarray) -> np.ndarray:
     return np.frombuffer(bits.tobytes() + b"\0" * (-len(bits) % 8), np.int64)
 
 
+def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The :func:`shingles` of each text, one after another, and where each text's begin (and the end)."""
+    words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter(map(WORDS.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+    first = np.cumsum(sizes) - sizes
+    run, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for width in range(1, k + 1):  # texts of fewer than k words have one run, of all their words
+        own = np.flatnonzero(sizes == width) if width < k else np.flatnonzero(sizes >= k)
+        if not len(own):
+            continue
+        counts = sizes[own] - width + 1
+        at = np.repeat(first[own] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        value = h[at]
+        for j in range(1, width):
+            value = value * _A + h[at + j]
+        run.append(_mix(value + np.uint64(width)))
+        owner.append(np.repeat(own, counts))
+    run, owner = np.concatenate(run), np.concatenate(owner)
+    order = np.lexsort((run, owner))
+    run, owner = run[order], owner[order]
+    distinct = np.append(True, (run[1:] != run[:-1]) | (owner[1:] != owner[:-1]))[:len(run)]
+    return run[distinct], np.searchsorted(owner[distinct], np.arange(len(texts) + 1))
+
+
 def _signatures(k: int, bands: int, per_band: int, seed: int):
     def run(batches):
         factors, offsets = permutations(bands * per_band, seed)
         for b in common.slices(batches):
-            counts, ids, keys, sketches = [], [], [], []
-            for text in b["text"].to_pylist():
-                s = shingles(text, k)
-                counts.append(len(s))
-                ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                signature = min_max(s, factors, offsets) if len(s) else None
-                keys.append(band_keys(signature, bands) if len(s) else [])
-                sketches.append(sketch_of(signature) if len(s) else [])
+            sets, starts = shingle_sets(b["text"].to_pylist(), k)
+            counts = np.diff(starts)
+            some = np.flatnonzero(counts)
+            signature = np.empty((len(some), len(factors), 2), np.uint64)
+            for i, (factor, offset) in enumerate(zip(factors, offsets, strict=True) if len(some) else ()):
+                values = sets * factor + offset
+                signature[:, i, 0] = np.minimum.reduceat(values, starts[some])
+                signature[:, i, 1] = np.maximum.reduceat(values, starts[some])
+            rows = signature.reshape(len(some), bands, 2 * per_band)
+            key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _A, rows.shape[:2])
+            for column in range(rows.shape[2]):
+                key = _mix(key * _A + rows[:, :, column])
+            low = (_mix(signature.reshape(len(some), 2 * len(factors))) & np.uint64(3)).astype(np.uint8)
+            bits = np.packbits(np.stack([low & 1, low >> 1], 2).reshape(len(some), 4 * len(factors)), axis=1)
+            sketch = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.int64)
+            ids: list = [None] * len(counts)
+            keys: list = [[]] * len(counts)
+            sketches: list = [[]] * len(counts)
+            for i, at in enumerate(some.tolist()):
+                ids[at] = hashlib.blake2b(sets[starts[at]:starts[at + 1]].tobytes(), digest_size=16).digest()
+                keys[at], sketches[at] = key[i].view(np.int64), sketch[i]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["text_key"], pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                [b["doc_id"], b["text_key"], pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array(sketches, pa.list_(pa.int64()))],
                 names=["doc_id", "text_key", "n_shingles", "set_id", "keys", "sketch"])
     return run
 
