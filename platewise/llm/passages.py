@@ -1,13 +1,18 @@
-"""Substring dedup by paragraph MinHash banding.
-
-Texts are cut into paragraphs at sentence ends chosen by content (by the hash
-of the last word, two of three), so a passage that stands in several documents
-is cut in the same places wherever it was pasted.  Paragraphs are documents to
-:mod:`neardup`: band their min-max hashes, compare colliding ones on their full
-five-word shingle sets, and connect what is similar.  Bands of two values, few
-of them, favour recall: a pair at 0.8 shares one of three with probability
-0.95, and a passage of several paragraphs has several chances.  Runs of repeated
-paragraphs are joined, and all but the first place of each are removals.
+"""Substring dedup by paragraph MinHash banding, and by pieces cut at content-chosen words.
+
+Texts are cut into paragraphs at blank lines and at sentence ends chosen by
+content (by the hash of the last word, two of three).  Paragraphs are documents
+to :mod:`neardup`: band their min-max hashes, compare colliding ones on their
+full five-word shingle sets, and connect what is similar.  Bands of two values,
+few of them, favour recall: a pair at 0.8 shares one of three with probability
+0.95.
+
+A passage that was pasted within a paragraph, or has no sentence ends, holds no
+whole paragraph.  So paragraphs are cut further, into pieces: at line breaks, and
+at words whose hash is the smallest of those around them, so that a passage is
+cut in the same places wherever it was pasted.  Pieces are compared as
+paragraphs are.  Runs of repeated pieces are joined, and all but the first place
+of each are removals.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,76 +29,158 @@ from . import common, neardup
 
 _WORD = re.compile(r"\S+")
 _ENDS = frozenset(".!?")
+#: A word ends a piece if its hash is the smallest among so many before and after it; the second kind fills in between the first.
+_STRONG, _WEAK = 5, 2
+#: Most words between two cuts where hashes repeat and none is smallest.
+_LONGEST = 24
+
+
+def _smallest(values: np.ndarray, reach: int) -> list[int]:
+    """Places after the values that are smaller than the ``reach`` before them and no larger than those after."""
+    padded = np.pad(values, reach, constant_values=np.uint64(2**64 - 1))
+    n = len(values)
+    least = np.ones(n, bool)
+    for j in range(1, reach + 1):
+        least &= values < padded[reach - j:reach - j + n]
+        least &= values <= padded[reach + j:reach + j + n]
+    return (np.flatnonzero(least) + 1).tolist()
+
+
+def _refined(bounds: list[int], places: list[int], least: int) -> list[int]:
+    """``bounds`` and those of the sorted ``places`` that are ``least`` away from the bounds and places before them and the next bound."""
+    out, at = bounds[:1], 0
+    for end in bounds[1:]:
+        while at < len(places) and places[at] < end:
+            if places[at] - out[-1] >= least and end - places[at] >= least:
+                out.append(places[at])
+            at += 1
+        out.append(end)
+    return out
+
+
+def _cuts(text: str, least: int) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """Places of the words, and the numbers of the words before which paragraphs and pieces begin, with their ends.
+
+    Only what is certain for the whole text goes first: blank lines, then
+    sentence ends, line breaks, and the words chosen by their hashes.
+    """
+    spans = [m.span() for m in _WORD.finditer(text)]
+    n = len(spans)
+    if n < least:
+        return spans, [0], [0]
+    hashes = [zlib.crc32(text[s:e].lower().encode("utf-8", "surrogatepass")) for s, e in spans]
+    blanks, lines, sentences = [], [], []
+    for i in range(1, n):
+        end, start = spans[i - 1][1], spans[i][0]
+        if start - end > 1 or text[end] != " ":
+            breaks = len(text[end:start].splitlines()) - (text[start - 1] not in "\r\n\v\f\x1c\x1d\x1e\x85\u2028\u2029")
+            if breaks:
+                (lines if breaks == 1 else blanks).append(i)
+        if text[end - 1] in _ENDS and hashes[i - 1] % 3:
+            sentences.append(i)
+    # what is left at the end is cut off as well, and left out if it is short
+    last = spans[n - 1][1]
+    if text[last - 1] in _ENDS and hashes[n - 1] % 3:
+        sentences.append(n)
+    paragraphs_ = _refined(_refined([0, n + least], blanks, least), sentences, least)[:-1]
+    if n - paragraphs_[-1] >= least:
+        paragraphs_.append(n)
+    own = np.array(hashes, np.uint64)
+    pairs = neardup._mix(own[:-1] * neardup._A + own[1:])
+    pieces = _refined(paragraphs_, lines, least)
+    for reach in (_STRONG, _WEAK):
+        pieces = _refined(pieces, _smallest(pairs, reach), least)
+    if any(b - a > _LONGEST + least for a, b in zip(pieces, pieces[1:])):
+        pieces = _refined(pieces, sorted({x for a, b in zip(pieces, pieces[1:]) for x in range(a + _LONGEST, b, _LONGEST)}), least)
+    return spans, paragraphs_, pieces
 
 
 def paragraphs(text: str, least: int) -> list[tuple[int, int, int]]:
-    """``(start, end, words)`` in code points of the paragraphs with at least ``least`` words."""
-    out, start, count, end = [], None, 0, 0
-    for m in _WORD.finditer(text):
-        if start is None:
-            start, count = m.start(), 0
-        count, end = count + 1, m.end()
-        # a shorter one goes on, so that short sentences aren't lost
-        if count >= least and text[end - 1] in _ENDS and zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % 3:
-            out.append((start, end, count))
-            start = None
-    if start is not None and count >= least:
-        out.append((start, end, count))
-    return out
+    """``(start, end, words)`` in code points of the pieces of a text's paragraphs, of at least ``least`` words."""
+    spans, _, pieces = _cuts(text, least)
+    return [(spans[a][0], spans[b - 1][1], b - a) for a, b in zip(pieces, pieces[1:])]
+
 
+def _units(least: int):
+    """The pieces, their numbers and their paragraphs' places, and the paragraphs of several pieces (number -1), all with their texts."""
+    types = {"doc_id": pa.int64(), "no": pa.int32(), "start": pa.int32(), "end": pa.int32(), "words": pa.int32(),
+             "p_start": pa.int32(), "p_end": pa.int32(), "text": pa.string()}
 
-def _cut(least: int, with_text: bool):
     def run(batches):
         for b in common.slices(batches):
-            out = {"doc_id": [], "start": [], "end": [], "words": []} | ({"text": []} if with_text else {})
+            out = {name: [] for name in types}
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                for start, end, words in paragraphs(text, least):
-                    for name, value in zip(out, (doc, start, end, words, text[start:end]), strict=False):
+                spans, bounds, pieces = _cuts(text, least)
+                at = 0
+                for no, (a, z) in enumerate(zip(pieces, pieces[1:])):
+                    while bounds[at + 1] <= a:
+                        at += 1
+                    p_start, p_end = spans[bounds[at]][0], spans[bounds[at + 1] - 1][1]
+                    if a == bounds[at] and z < bounds[at + 1]:
+                        for name, value in zip(out, (doc, -1, p_start, p_end, bounds[at + 1] - a, p_start, p_end, text[p_start:p_end]), strict=True):
+                            out[name].append(value)
+                    start, end = spans[a][0], spans[z - 1][1]
+                    for name, value in zip(out, (doc, no, start, end, z - a, p_start, p_end, text[start:end]), strict=True):
                         out[name].append(value)
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=False)], names=list(out))
+            yield common.batch(out, types)
     return run
 
 
 _UNIT = ("doc_id", "start", "end")
+_PIECE = (*_UNIT, "no", "words", "p_start")
+
+
+def _runs(found: DataFrame) -> DataFrame:
+    """``found`` with ``run``, which neighbouring pieces of a document share, and the run's ``n_words``."""
+    by_doc = Window.partitionBy("doc_id").orderBy("start", "end")
+    # white space only, or a short sentence, may stand between neighbours
+    run = F.sum(F.when(F.col("start") - F.lag("end").over(by_doc) <= 60, 0).otherwise(1)).over(by_doc)
+    return found.withColumn("run", run).withColumn("n_words", F.sum("words").over(Window.partitionBy("doc_id", "run")).cast("long"))
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 20, paragraph_words: int = 6, k: int = 5, percent: int = 80,
                       bands: int = 3, seed: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start, end, n_words, passage_id, first_doc_id, removed``: the passages that repeat across documents.
 
-    A row is a run of neighbouring paragraphs of a document, of ``least_words``
-    or more together, each similar (through any chain) to one of another
-    document; places are code points.  ``passage_id`` is the smallest component
-    of the run's paragraphs, ``first_doc_id`` the smallest document that has the
-    passage's first paragraph, and ``removed`` is false where the document is
-    that one.
+    A row is a run of neighbouring pieces of a document, of ``least_words`` or
+    more together, each similar (through any chain) to one of another document;
+    places are code points.  Paragraphs that are similar to one of another
+    document as a whole, but of which no such run was found, count with all
+    their pieces.  ``passage_id`` is the smallest component of the run's pieces,
+    ``first_doc_id`` the smallest document that has the passage's first piece,
+    and ``removed`` is false where the document is that one.
 
     Null and empty texts, and rows with a null id, have none.  Repeated rows of
     one id count as one document.
     """
     rows = common.id_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
-    columns = "doc_id long, start int, end int, words int"
+    columns = "doc_id long, no int, start int, end int, words int, p_start int, p_end int"
     unit = F.xxhash64(*_UNIT)
-    texts = common.map_arrow(rows, _cut(paragraph_words, True), columns + ", text string").select(unit.alias("doc_id"), "text")
-    placed = neardup._placed(texts, k, percent, bands, 1, seed).select(F.col("doc_id").alias("p_unit"), "component_id").distinct()
+    units = common.staged(common.map_arrow(rows, _units(paragraph_words), columns + ", text string").withColumn("unit", unit), "passage-texts")
+    placed = neardup._placed(units.select(F.col("unit").alias("doc_id"), "text"), k, percent, bands, 1, seed).select(F.col("doc_id").alias("p_unit"), "component_id").distinct()
     several = placed.groupBy(F.col("component_id").alias("c")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     placed = common.staged(placed.join(several, placed["component_id"] == several["c"], "left_semi"), "passage-units")
-    places = common.map_arrow(rows, _cut(paragraph_words, False), columns).withColumn("unit", unit)
-    found = common.staged(places.join(placed, places["unit"] == placed["p_unit"])
-                          .select(*_UNIT, "words", "component_id").distinct(), "passage-places")
+    found = common.staged(units.join(placed, units["unit"] == placed["p_unit"])
+                          .select(*_UNIT, "no", "words", "p_start", "p_end", "component_id").distinct(), "passage-places")
     # components within one document are no repeats across documents
     across = (found.groupBy(F.col("component_id").alias("c")).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
               .filter("first_doc_id < last").drop("last"))
-    found = found.join(across, found["component_id"] == across["c"]).drop("c")
-    by_doc = Window.partitionBy("doc_id").orderBy("start")
-    # white space only, or a short sentence, may stand between neighbours
-    run = F.sum(F.when(F.col("start") - F.lag("end").over(by_doc) <= 60, 0).otherwise(1)).over(by_doc)
-    runs = found.withColumn("run", run).groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("long").alias("n_words"),
+    found = common.staged(found.join(across, found["component_id"] == across["c"]).drop("c"), "passage-repeats")
+    own = _runs(found.filter("no >= 0"))
+    # paragraphs that are alike though none of their pieces shows it
+    shown = own.filter(F.col("n_words") >= least_words).select(F.col("doc_id").alias("s_doc"), F.col("p_start").alias("s_start")).distinct()
+    wholes = found.filter("no < 0")
+    wholes = wholes.join(shown, (wholes["doc_id"] == shown["s_doc"]) & (wholes["p_start"] == shown["s_start"]), "left_anti").select(
+        F.col("doc_id").alias("w_doc"), F.col("p_start").alias("w_start"), F.col("p_end").alias("w_end"), "component_id", "first_doc_id")
+    pieces = units.filter("no >= 0").select(*_UNIT, "no", "words", "p_start", "p_end").distinct()
+    inside = (pieces.join(wholes, (pieces["doc_id"] == wholes["w_doc"]) & (pieces["p_start"] == wholes["w_start"]) & (pieces["p_end"] == wholes["w_end"]))
+              .select(*_PIECE, "component_id", "first_doc_id"))
+    found = (found.filter("no >= 0").select(*_PIECE, "component_id", "first_doc_id").unionByName(inside)
+             .groupBy(*_PIECE).agg(F.min("component_id").alias("component_id"), F.min("first_doc_id").alias("first_doc_id")))
+    runs = _runs(found).filter(F.col("n_words") >= least_words).groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.first("n_words").alias("n_words"),
         F.min("component_id").alias("passage_id"), F.min_by("first_doc_id", "start").alias("first_doc_id"))
-    return runs.filter(F.col("n_words") >= least_words).select(
-        "doc_id", "start", "end", "n_words", "passage_id", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("removed"))
+    return runs.select("doc_id", "start", "end", "n_words", "passage_id", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("removed"))
 
 
 def _without(columns: list[str], text_col: str):

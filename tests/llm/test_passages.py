@@ -3,7 +3,7 @@ from itertools import combinations
 from platewise.llm import passages, queries
 from tests.conftest import SF_SMALL
 
-from .helpers import DOC_SCHEMA, ODD_ROWS, odd_docs
+from .helpers import DOC_SCHEMA, ODD_ROWS, odd_docs, prose
 from .test_neardup import sets
 
 
@@ -84,3 +84,27 @@ def test_odd_rows_and_empty(spark):
     assert passages.repeated_passages(odd_docs(spark, extra=("unit", "start", "run", "words"))).collect() == []
     assert passages.without_repeats(odd_docs(spark, extra=("spans",))).count() == len(ODD_ROWS)
     assert passages.repeated_passages(spark.createDataFrame([], DOC_SCHEMA)).collect() == []
+
+
+def test_passages_without_marks_and_cut_within_sentences(spark):
+    texts = {i: prose(150, i) for i in range(24)}
+    pasted = {}
+    for n in range(6):
+        words = sentences(20, 500 + n).split()[4:56]  # from the middle of a sentence to the middle of another
+        passage = " ".join(words) if n % 2 else " ".join(words).replace(".", "")
+        for i in (2 * n, 2 * n + 1):
+            own, at, gap = texts[i].split(), 30 + 7 * i, "\n\n" if n < 3 else " "
+            texts[i] = " ".join(own[:at]) + gap + passage + gap + " ".join(own[at:])
+            pasted[i] = passage
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], DOC_SCHEMA)
+    got = {r["doc_id"]: r for r in passages.repeated_passages(docs).collect()}
+    assert set(got) == set(pasted)
+    for i, r in got.items():
+        assert texts[i][r["start"]:r["end"]] in pasted[i] and r["n_words"] >= (46 if i < 6 else 20)
+        assert r["removed"] == bool(i % 2) and r["first_doc_id"] == i - i % 2
+
+
+def test_texts_without_marks_have_short_pieces():
+    for text in (prose(3000, 8), prose(3000, 9).replace(" ", "\n"), "same " * 3000):
+        pieces = passages.paragraphs(text, 6)
+        assert sum(w for *_, w in pieces) >= 2994 and all(6 <= w <= 60 for *_, w in pieces)
