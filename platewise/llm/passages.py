@@ -12,7 +12,7 @@ whole paragraph.  So paragraphs are cut further, into pieces: at line breaks, an
 at words whose hash is the smallest of those around them, so that a passage is
 cut in the same places wherever it was pasted.  Pieces are compared as
 paragraphs are.  Runs of repeated pieces are joined, and all but the first place
-of each are removals.
+of each piece are removals.
 """
 
 from __future__ import annotations
@@ -140,15 +140,19 @@ def _runs(found: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, least_words: int = 20, paragraph_words: int = 6, k: int = 5, percent: int = 80,
                       bands: int = 3, seed: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, start, end, n_words, passage_id, first_doc_id, removed``: the passages that repeat across documents.
+    """``doc_id, start, end, n_words, passage_id, first_doc_id, removed, spans``: the passages that repeat across documents.
 
     A row is a run of neighbouring pieces of a document, of ``least_words`` or
     more together, each similar (through any chain) to one of another document;
     places are code points.  Paragraphs that are similar to one of another
     document as a whole, but of which no such run was found, count with all
     their pieces.  ``passage_id`` is the smallest component of the run's pieces,
-    ``first_doc_id`` the smallest document that has the passage's first piece,
-    and ``removed`` is false where the document is that one.
+    and ``first_doc_id`` the smallest document that has its first piece.
+
+    ``spans (start, end, first_doc_id, removed)`` are the run's stretches with
+    one first document; they leave out what stands between neighbours, a few
+    words at most, and does not repeat.  A stretch is ``removed`` unless the
+    document is its first one, and a row if all its stretches are.
 
     Null and empty texts, and rows with a null id, have none.  Repeated rows of
     one id count as one document.
@@ -177,10 +181,17 @@ def repeated_passages(docs: DataFrame, least_words: int = 20, paragraph_words: i
               .select(*_PIECE, "component_id", "first_doc_id"))
     found = (found.filter("no >= 0").select(*_PIECE, "component_id", "first_doc_id").unionByName(inside)
              .groupBy(*_PIECE).agg(F.min("component_id").alias("component_id"), F.min("first_doc_id").alias("first_doc_id")))
-    runs = _runs(found).filter(F.col("n_words") >= least_words).groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.first("n_words").alias("n_words"),
-        F.min("component_id").alias("passage_id"), F.min_by("first_doc_id", "start").alias("first_doc_id"))
-    return runs.select("doc_id", "start", "end", "n_words", "passage_id", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("removed"))
+    by_run = Window.partitionBy("doc_id", "run").orderBy("start", "end")
+    # a stretch ends where the first document changes, or where anything but white space, which pieces leave out, comes between
+    same = (F.col("first_doc_id") == F.lag("first_doc_id").over(by_run)) & (F.col("no") - F.lag("no").over(by_run) <= 1)
+    stretches = (_runs(found).filter(F.col("n_words") >= least_words)
+                 .withColumn("stretch", F.sum(F.when(same, 0).otherwise(1)).over(by_run)).groupBy("doc_id", "run", "stretch", "first_doc_id").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("component_id").alias("component_id"))
+        .withColumn("removed", F.col("doc_id") != F.col("first_doc_id")))
+    return stretches.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("long").alias("n_words"),
+        F.min("component_id").alias("passage_id"), F.min_by("first_doc_id", "start").alias("first_doc_id"), F.min("removed").alias("removed"),
+        F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id", "removed"))).alias("spans")).drop("run")
 
 
 def _without(columns: list[str], text_col: str):
@@ -199,8 +210,8 @@ def _without(columns: list[str], text_col: str):
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the removals of :func:`repeated_passages` cut out of their texts; other rows as they are."""
-    gone = (repeated_passages(docs, id_col=id_col, text_col=text_col, **options).filter("removed")
-            .groupBy(F.col("doc_id").alias("r_id")).agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    gone = (repeated_passages(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("r_id"), F.explode("spans").alias("span"))
+            .filter("span.removed").groupBy("r_id").agg(F.collect_list(F.struct("span.start", "span.end")).alias("spans")))
     gone = common.staged(gone, "removals")
     own = docs.select(*[docs[f"`{c}`"].alias(f"c_{c}") for c in docs.columns], docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("text"))
     kept = own.join(gone, own["_id"] == gone["r_id"], "left_anti").select(*[F.col(f"`c_{c}`").alias(c) for c in docs.columns])

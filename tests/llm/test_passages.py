@@ -108,3 +108,17 @@ def test_texts_without_marks_have_short_pieces():
     for text in (prose(3000, 8), prose(3000, 9).replace(" ", "\n"), "same " * 3000):
         pieces = passages.paragraphs(text, 6)
         assert sum(w for *_, w in pieces) >= 2994 and all(6 <= w <= 60 for *_, w in pieces)
+
+
+def test_each_stretch_has_its_own_first_document(spark):
+    q, r, own = sentences(4, 901), sentences(4, 902), "Aa bb cc dd ee ff. "
+    texts = {2: [sentences(5, 11), q, sentences(5, 12)], 5: [sentences(5, 13), q, r, sentences(5, 14)], 9: [sentences(5, 15), r, sentences(5, 16)],
+             11: [sentences(5, 17), q, own, r, sentences(5, 18)]}
+    docs = spark.createDataFrame([(i, "\n\n".join(t), "en", "s", 1) for i, t in texts.items()], DOC_SCHEMA)
+    rows = passages.repeated_passages(docs)
+    got = rows.collect()
+    assert {(x["doc_id"], s["first_doc_id"], s["removed"]) for x in got for s in x["spans"]} == {
+        (2, 2, False), (5, 2, True), (5, 5, False), (9, 5, True), (11, 2, True), (11, 5, True)}
+    assert all(x["removed"] == all(s["removed"] for s in x["spans"]) for x in got)
+    left = {x["doc_id"]: x["text"] for x in passages.without_repeats(docs).collect()}
+    assert [i for i in left if q in left[i]] == [2] and [i for i in left if r in left[i]] == [5] and own.strip() in left[11]
