@@ -3,9 +3,8 @@
 Texts are cut into paragraphs at blank lines and at sentence ends chosen by
 content (by the hash of the last word, two of three).  Paragraphs are documents
 to :mod:`neardup`: band their min-max hashes, compare colliding ones on their
-full five-word shingle sets, and connect what is similar.  Bands of two values,
-few of them, favour recall: a pair at 0.8 shares one of three with probability
-0.95.
+full five-word shingle sets, and connect what is similar.  Bands of two values
+favour recall: a pair at 0.8 shares none of twelve with probability 5e-6.
 
 A passage that was pasted within a paragraph, or has no sentence ends, holds no
 whole paragraph.  So paragraphs are cut further, into pieces: at line breaks, and
@@ -139,7 +138,7 @@ def _runs(found: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 20, paragraph_words: int = 6, k: int = 5, percent: int = 80,
-                      bands: int = 3, seed: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                      bands: int = 12, seed: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start, end, n_words, passage_id, first_doc_id, removed, spans``: the passages that repeat across documents.
 
     A row is a run of neighbouring pieces of a document, of ``least_words`` or

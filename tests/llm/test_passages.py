@@ -1,6 +1,7 @@
+from inspect import signature
 from itertools import combinations
 
-from platewise.llm import passages, queries
+from platewise.llm import neardup, passages, queries
 from tests.conftest import SF_SMALL
 
 from .helpers import DOC_SCHEMA, ODD_ROWS, odd_docs, prose
@@ -122,3 +123,28 @@ def test_each_stretch_has_its_own_first_document(spark):
     assert all(x["removed"] == all(s["removed"] for s in x["spans"]) for x in got)
     left = {x["doc_id"]: x["text"] for x in passages.without_repeats(docs).collect()}
     assert [i for i in left if q in left[i]] == [2] and [i for i in left if r in left[i]] == [5] and own.strip() in left[11]
+
+
+def near_copies():
+    """Pairs of paragraphs of 50 words that differ in the middle one, and share 41 of 51 shingles."""
+    for i in range(150):
+        words = prose(50, 3000 + i).split()
+        yield " ".join(words), " ".join([*words[:24], "changed", *words[25:]])
+
+
+def test_links_at_the_limit_share_a_band():
+    defaults = {k: p.default for k, p in signature(passages.repeated_passages).parameters.items()}
+    bands = defaults["bands"]
+    factors, offsets = neardup.permutations(bands, defaults["seed"])
+    for pair in near_copies():
+        a, b = (neardup.band_keys(neardup.min_max(neardup.shingles(t, 5), factors, offsets), bands) for t in pair)
+        assert (a == b).any()
+
+
+def test_every_pair_of_near_copied_paragraphs_is_found(spark):
+    texts = {2 * n + m: text for n, pair in enumerate(near_copies()) for m, text in enumerate(pair)}
+    assert all(100 * len(a & b) >= 80 * len(a | b) for a, b in ((sets(x, 5), sets(y, 5)) for x, y in near_copies()))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], DOC_SCHEMA)
+    got = passages.repeated_passages(docs).collect()
+    assert {r["doc_id"] for r in got} == set(texts)
+    assert all(r["first_doc_id"] == r["doc_id"] - r["doc_id"] % 2 for r in got)
