@@ -10,7 +10,9 @@ longest common subsequence with the item must cover ``least_overlap`` of it, and
 that with its answer (its last sentence) ``least_answer``.
 
 The space is fitted to the benchmark's side because the cosine needs it there:
-directions of the corpus alone tell languages apart, not passages.  Benchmarks
+directions of the corpus alone tell languages apart, not passages.  A space has
+no more passages than its rank, so that it keeps their cosines whole, and a block
+of items has as many spaces as its passages need.  Benchmarks
 larger than ``block_words`` are searched in blocks, a pass over the corpus each,
 so what tasks hold doesn't grow with the benchmark.
 """
@@ -171,15 +173,22 @@ def latent_space(passages: DataFrame, rows: np.ndarray, n_rows: int, idf: np.nda
 
 # --- search ------------------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class Space:
+    """A latent space of so many passages that its rank covers all of them."""
+
+    bins: np.ndarray  # the sorted bins of its words
+    space: np.ndarray  # latent vectors of words, times their weights, and a row of 0
+    passages: np.ndarray  # latent vectors of the passages
+    items: np.ndarray  # the item of each passage
+
+
 @dataclass(frozen=True)
 class Block:
     """A block of items, and what the tasks need to search for them."""
 
     items: list[Item]
-    rows: np.ndarray  # bin to row of ``space``, -1 elsewhere
-    space: np.ndarray  # latent vectors of words, times their weights, and a row of 0
-    passages: np.ndarray  # latent vectors of the items' passages
-    firsts: np.ndarray  # the first passage of each item
+    spaces: list[Space]
     idf: np.ndarray
 
 
@@ -201,17 +210,20 @@ def item_blocks(benchmark: DataFrame, block_words: int, id_col: str, text_col: s
 
 
 def prepared(spark, items: list[Item], idf: np.ndarray, rank: int) -> Block:
-    cut = [item_passages(i.words) for i in items]
-    flat = [p for passages in cut for p in passages]
-    vocabulary = np.unique(np.concatenate([bins_of(p) for p in flat]))
+    """The block of ``items``, with a space for each ``rank`` passages: with more, the cosine of a verbatim copy would shrink."""
+    flat = [(no, p) for no, item in enumerate(items) for p in item_passages(item.words)]
+    return Block(items, [_space(spark, flat[at:at + rank], idf) for at in range(0, len(flat), rank)], idf)
+
+
+def _space(spark, flat: list[tuple[int, list[bytes]]], idf: np.ndarray) -> Space:
+    vocabulary = np.unique(np.concatenate([bins_of(p) for _, p in flat]))
     rows = np.full(BINS, -1, np.int32)
     rows[vocabulary] = np.arange(len(vocabulary))
-    passages = spark.createDataFrame([(b" ".join(p).decode("utf-8", "surrogatepass"),) for p in flat], "passage string")
-    space = latent_space(passages, rows, len(vocabulary), idf, min(rank, len(flat), len(vocabulary)))
-    vectors = np.array([w @ space[at] for at, w in (_weights(p, rows, idf) for p in flat)])
+    passages = spark.createDataFrame([(b" ".join(p).decode("utf-8", "surrogatepass"),) for _, p in flat], "passage string")
+    space = latent_space(passages, rows, len(vocabulary), idf, min(len(flat), len(vocabulary)))
+    vectors = np.array([w @ space[at] for at, w in (_weights(p, rows, idf) for _, p in flat)])
     weighted = np.vstack([space * idf[vocabulary, None], np.zeros((1, space.shape[1]))]).astype(np.float32)
-    return Block(items, rows, weighted, vectors.astype(np.float32),
-                 np.cumsum([0, *[len(c) for c in cut[:-1]]]), idf)
+    return Space(vocabulary, weighted, vectors.astype(np.float32), np.array([no for no, _ in flat]))
 
 
 def _candidates(block: Block, bins: list[np.ndarray], least_cosine: float) -> Iterator[tuple[int, int, int, float]]:
@@ -225,23 +237,30 @@ def _candidates(block: Block, bins: list[np.ndarray], least_cosine: float) -> It
     every = np.concatenate(bins)
     place = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # of a word in its text
     own = np.repeat(first_half, sizes) + place // HALF
-    at = np.full((n, HALF), -1, np.int32)
-    at[own, place % HALF] = block.rows[every]
-    vectors = block.space[at[:, 0]]
-    for j in range(1, HALF):  # the last row of the space, all 0, stands for words that no item has
-        vectors += block.space[at[:, j]]
     mass = np.bincount(own, block.idf[every].astype(np.float64) ** 2, n)
     text_of = np.repeat(np.arange(len(bins)), halves)
     joined = np.flatnonzero(np.append(text_of[1:] == text_of[:-1], False))  # halves with one after them
-    vectors[joined] += vectors[joined + 1]
     mass[joined] += mass[joined + 1]
-    cosine = vectors @ block.passages.T / np.sqrt(mass)[:, None].astype(np.float32)
-    near = np.flatnonzero(cosine.max(axis=1) >= least_cosine)
-    best = np.maximum.reduceat(cosine[near], block.firsts, axis=1)
-    for at, item in zip(*np.nonzero(best >= least_cosine), strict=True):
-        half = int(near[at])
+    found: dict[tuple[int, int], float] = {}  # an item's passages can be in several spaces
+    for space in block.spaces:
+        rows = np.full(BINS, -1, np.int32)
+        rows[space.bins] = np.arange(len(space.bins))
+        at = np.full((n, HALF), -1, np.int32)
+        at[own, place % HALF] = rows[every]
+        vectors = space.space[at[:, 0]]
+        for j in range(1, HALF):  # the last row of the space, all 0, stands for words that no item has
+            vectors += space.space[at[:, j]]
+        vectors[joined] += vectors[joined + 1]
+        cosine = vectors @ space.passages.T / np.sqrt(mass)[:, None].astype(np.float32)
+        near = np.flatnonzero(cosine.max(axis=1) >= least_cosine)
+        firsts = np.flatnonzero(np.append(True, space.items[1:] != space.items[:-1]))
+        best = np.maximum.reduceat(cosine[near], firsts, axis=1)
+        for i, item in zip(*np.nonzero(best >= least_cosine), strict=True):
+            key = int(near[i]), int(space.items[firsts[item]])
+            found[key] = max(found.get(key, 0.0), float(best[i, item]))
+    for (half, item), cosine in sorted(found.items()):
         text = int(text_of[half])
-        yield text, half - int(first_half[text]), int(item), min(1.0, float(best[at, item]))
+        yield text, half - int(first_half[text]), item, min(1.0, cosine)
 
 
 def found_in(block: Block, texts: list[str], least_cosine: float, least_overlap: float, least_answer: float) -> Iterator[tuple[int, int, float, float, float]]:

@@ -112,3 +112,14 @@ def test_odd_rows_and_empty(spark):
     none, no_items = spark.createDataFrame([], DOC_SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert D.leaks(none, benchmark).collect() == [] and D.decontaminated(none, benchmark).collect() == []
     assert D.leaks(docs, no_items).collect() == [] and D.decontaminated(docs, no_items).count() == len(ODD_ROWS)
+
+
+def test_every_verbatim_copy_of_a_large_benchmark(spark):
+    words = [f"t{i}" for i in range(20_000)]
+    rng = np.random.default_rng(5)
+    items = [(i, " ".join(rng.choice(words, 20))) for i in range(900)]
+    texts = {i: f"{prose(21 + i % 16, i)} {item} {prose(40, 900 + i)}" for i, item in items}
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in texts.items()], DOC_SCHEMA)
+    got = D.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i, _ in items]
+    assert all(r["overlap"] == 1 for r in got)
