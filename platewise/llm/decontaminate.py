@@ -7,7 +7,9 @@ space; corpus passages are folded into it and compared with every benchmark
 passage by cosine (a stated query set against all rows, in blocks).  A
 candidate counts only if its words run through the passage in order: the
 longest common subsequence with the item must cover ``least_overlap`` of it, and
-that with its answer (its last sentence) ``least_answer``.
+that with its answer (its last sentence) ``least_answer``.  A part of the item,
+one of its passages or the question before the answer, that stands there by
+``NEAR_EXACT`` counts without the rest of the item.
 
 The space is fitted to the benchmark's side because the cosine needs it there:
 directions of the corpus alone tell languages apart, not passages.  A space has
@@ -35,6 +37,8 @@ BITS = 18
 BINS = 1 << BITS
 #: Words of half a passage: corpus passages are two neighbouring halves.
 HALF = 16
+#: Share of a part of an item that makes a near-exact copy, least words of such a part, and of an answer.
+NEAR_EXACT, LEAST_PART, LEAST_ANSWER = 0.9, 12, 5
 _TABLE = bytes(32 if c in b".,;:!?\"()[]{}|*#$%&<>=_~`^/\\" else c for c in range(256))
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -73,14 +77,15 @@ class Item:
     item_id: int
     words: list[bytes]
     answer: list[bytes]
+    question: list[bytes]  # the words before the last sentence
 
 
 def item_of(item_id: int, text: str) -> Item:
-    """An item's words, and those of its answer: the last sentence, or the last quarter if there is one sentence only."""
+    """An item's words, and those of its answer: the last sentence, or the last quarter if there is one sentence only; ``LEAST_ANSWER`` words at least."""
     words = words_of(text)
     sentences = [w for w in map(words_of, _SENTENCE.split(text)) if w]
-    answer = sentences[-1] if len(sentences) > 1 else words[-max(1, len(words) // 4):]
-    return Item(item_id, words, answer)
+    size = len(sentences[-1]) if len(sentences) > 1 else len(words) // 4
+    return Item(item_id, words, words[-max(size, LEAST_ANSWER):], words[:-len(sentences[-1])] if len(sentences) > 1 else [])
 
 
 def item_passages(words: list[bytes]) -> list[list[bytes]]:
@@ -91,6 +96,11 @@ def item_passages(words: list[bytes]) -> list[list[bytes]]:
     return [words[s:s + 2 * HALF] for s in [*range(0, n - 2 * HALF, HALF), n - 2 * HALF]]
 
 
+def item_parts(item: Item) -> list[list[bytes]]:
+    """What the latent space holds of an item: its passages, and the question if it is shorter than one."""
+    return item_passages(item.words) + ([item.question] if LEAST_PART <= len(item.question) < 2 * HALF else [])
+
+
 def common_length(item: list[bytes], masks: dict[bytes, int], words: list[bytes]) -> int:
     """Length of the longest common subsequence, by one machine-independent bit vector; ``masks`` has the places of the item's words."""
     full = (1 << len(item)) - 1
@@ -211,7 +221,7 @@ def item_blocks(benchmark: DataFrame, block_words: int, id_col: str, text_col: s
 
 def prepared(spark, items: list[Item], idf: np.ndarray, rank: int) -> Block:
     """The block of ``items``, with a space for each ``rank`` passages: with more, the cosine of a verbatim copy would shrink."""
-    flat = [(no, p) for no, item in enumerate(items) for p in item_passages(item.words)]
+    flat = [(no, p) for no, item in enumerate(items) for p in item_parts(item)]
     return Block(items, [_space(spark, flat[at:at + rank], idf) for at in range(0, len(flat), rank)], idf)
 
 
@@ -270,12 +280,13 @@ def found_in(block: Block, texts: list[str], least_cosine: float, least_overlap:
     places: dict[tuple[int, int], list[tuple[int, float]]] = {}
     for text, half, item, cosine in _candidates(block, bins, least_cosine):
         places.setdefault((text, item), []).append((half, cosine))
-    cache: dict[int, tuple[dict, dict, set]] = {}
+    cache: dict[int, tuple[dict, dict, set, list]] = {}
     for (text, no), spots in places.items():
         item = block.items[no]
         if no not in cache:
-            cache[no] = masks_of(item.words), masks_of(item.answer), set(item.words)
-        masks, answer_masks, distinct = cache[no]
+            cache[no] = (masks_of(item.words), masks_of(item.answer), set(item.words),
+                         [(p, masks_of(p), set(p)) for p in item_parts(item) if len(p) >= LEAST_PART])
+        masks, answer_masks, distinct, parts = cache[no]
         best = None
         end = -1
         for half, cosine in sorted(spots):
@@ -290,6 +301,14 @@ def found_in(block: Block, texts: list[str], least_cosine: float, least_overlap:
             answer = common_length(item.answer, answer_masks, stretch) / len(item.answer)
             if overlap >= least_overlap and answer >= least_answer and (best is None or (overlap, answer) > best[:2]):
                 best = overlap, answer
+        if not best:
+            for half, _ in sorted(spots):
+                near = words[text][max(0, (half - 2) * HALF):(half + 4) * HALF]
+                held = set(near)
+                if any(len(d - held) <= (1 - NEAR_EXACT) * len(p) and common_length(p, m, near) >= NEAR_EXACT * len(p) for p, m, d in parts):
+                    stretch = words[text][max(0, half * HALF - len(item.words)):(half + 2) * HALF + len(item.words)]
+                    best = common_length(item.words, masks, stretch) / len(item.words), common_length(item.answer, answer_masks, stretch) / len(item.answer)
+                    break
         if best:
             yield text, no, max(c for _, c in spots), *best
 

@@ -123,3 +123,13 @@ def test_every_verbatim_copy_of_a_large_benchmark(spark):
     got = D.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, i) for i, _ in items]
     assert all(r["overlap"] == 1 for r in got)
+
+
+def test_copied_parts_of_items_count_without_the_answer(spark):
+    long, question = prose(200, 40), prose(20, 41)
+    items = [(1, long), (2, f"{question}. {prose(15, 42)}"), (3, f"{prose(40, 43)}. the")]
+    texts = {1: " ".join(long.split()[70:120]), 2: question, 3: prose(40, 43), 4: prose(50, 44), 5: " ".join(long.split()[70:90])}
+    docs = spark.createDataFrame([(d, f"{prose(37, 60 + d)} {t} {prose(45, 70 + d)}", "en", "s", 1) for d, t in texts.items()], DOC_SCHEMA)
+    got = D.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 2), (3, 3)]
+    assert len(D.item_of(3, items[2][1]).answer) == D.LEAST_ANSWER
