@@ -1,0 +1,29 @@
+"""Documents in blocks of bounded size, for operators that resolve a block's distinct keys elsewhere.
+
+A block holds rows whose content hashes to it, about ``BLOCK_BYTES`` of text
+(one longer text is a block of its own size).  What a block needs to know of the
+whole corpus is asked for once for each of its distinct keys, not for each
+occurrence, and comes back to the block.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+
+BLOCK_BYTES = 4 << 20
+
+
+def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(block, doc_id, text)`` with the rows of a block in one partition; null texts are empty ones.
+
+    Rows are dealt by a hash of id and text, so copies of one text spread, and a
+    lost task finds its rows again.
+    """
+    common.workers_ready(docs.sparkSession)
+    rows = common.id_text(docs, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // block_bytes)))).alias("block")
+    return rows.select(block, "doc_id", "text").repartition("block")

@@ -41,12 +41,17 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 8 << 20
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package wherever the driver was started, in small batches."""
-    spark = df.sparkSession
+def workers_ready(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started."""
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, env.get("PYTHONPATH", "")]))
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package wherever the driver was started, in small batches."""
+    spark = df.sparkSession
+    workers_ready(spark)
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ROWS_AT_ONCE:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_AT_ONCE)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, decontaminate, merkle, neardup, passages, quality, secrets, sharding, syncmers, tokenfiles
+from . import bpe, chat, common, decontaminate, merkle, neardup, passages, quality, secrets, sentencepieces, sharding, syncmers, tokenfiles
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents")).drop("lang")
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _ = vocabulary("piece_bpe_32k.model")
+    return sentencepieces.digest(sentencepieces.encode(table(spark, sf_dir, "documents"), path), path)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_byte_bpe": op2_byte_bpe,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op9_syncmers": op9_syncmers,
     "op10_decontamination": op10_decontamination,
     "op11_merkle": op11_merkle,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 
 MERKLE_SQL = """
