@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, decontaminate, merkle, neardup, passages, quality, secrets, sentencepieces, sharding, syncmers, tokenfiles
+from . import alignment, bpe, chat, common, decontaminate, merkle, neardup, passages, quality, secrets, sentencepieces, sharding, syncmers, tokenfiles
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,10 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digest(sentencepieces.encode(table(spark, sf_dir, "documents"), path), path)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")[0], vocabulary("piece_bpe_32k.model")[0])
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_byte_bpe": op2_byte_bpe,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op10_decontamination": op10_decontamination,
     "op11_merkle": op11_merkle,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_alignment": op13_alignment,
 }
 
 MERKLE_SQL = """
