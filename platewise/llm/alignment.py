@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from . import common, sentencepieces
 
-#: A space after a character that isn't white space: both tokenizers cut there, whatever is around.
-CUT = re.compile(r"(?<=\S) ")
+#: A space after a character that is neither white space nor a marker: both tokenizers cut there, whatever is around.
+CUT = re.compile(f"(?<=[^\\s{sentencepieces.MARK}]) ")
 #: Texts that have spaces of another kind.
-ODD_SPACE = re.compile(r"(?:^|\s) ")
+ODD_SPACE = re.compile(f"(?:^|[\\s{sentencepieces.MARK}]) ")
 #: Words that a worker remembers, and the longest of them.
 MEMO, MEMO_CHARS = 300_000, 64
 #: Words that are given to a tokenizer in one text.

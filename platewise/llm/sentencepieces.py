@@ -2,34 +2,39 @@
 
 A model whose pieces never go from another character into a white-space marker
 segments each *marked word* (a run of markers with what follows it) alone as it
-does in the text.  So the corpus's distinct marked words are collected,
-dealt to buckets by their hash and segmented once each; the ids come back
-to the blocks that asked, in the order of their words, and are joined in the order
-of the text.  :func:`model` refuses models for which this doesn't hold.
-
-What is shuffled: the texts once to their block; each block's distinct words to
-their bucket, as one page for each bucket; and the ids back as pages.
+does in the text.  So the corpus's distinct marked words are dealt to buckets by
+their hash and segmented once each, and their ids joined back by position.
+:func:`model` refuses models for which this doesn't hold.
+
+Consecutive documents form a block, which numbers its distinct words; a document
+becomes the numbers of its words.  A block asks each bucket for its words on one
+page, and the ids come back as a page.  So neither texts nor occurrences
+of words are shuffled as such, but numbers and pages, packed with zstandard.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks, common
+from . import common
 
 MARK = "▁"
 #: A marked word without its first marker, which stands for a space.
 WORD = re.compile(" ( *[^ ]*)")
 #: Characters that normalising models change, and white space that they drop.
 PROBE = " ﬁ①Å  Ａ 　x \t\n y  "
+#: Bytes of text in a block, which has the rest of the batch that passes them as well.
+BLOCK_BYTES = 32 << 20
 #: Distinct words that a worker remembers at a time.
 MEMO = 500_000
 
@@ -76,88 +81,140 @@ def segment(sp, words: list[str]) -> list[list[int]]:
     return [ids if word else [sp.piece_to_id(MARK)] for word, ids in zip(words, sp.encode(words, num_threads=1), strict=True)]
 
 
-def pages(words: set[str], buckets: int) -> dict[int, list[str]]:
-    """The distinct words of a block by bucket, in one order that depends on the words alone."""
-    out: dict[int, list[str]] = {}
-    for word in sorted(words):
-        out.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
-    return out
+def packed(values: np.ndarray, dtype: str) -> bytes:
+    """Numbers with the first bytes of all of them together, then the second ones and so on, compressed."""
+    import zstandard
+
+    values = values.astype(dtype)
+    return zstandard.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+
+
+def unpacked(data: bytes, dtype: str) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+#: Rows with the words a block asks a bucket for, and (with ``doc_ids`` set) rows of documents as numbers of words.
+CODED = {"block": pa.int64(), "bucket": pa.int32(), "words": pa.binary(), "numbers": pa.binary(),
+         "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "places": pa.binary()}
+CODED_SCHEMA = "block long, bucket int, words binary, numbers binary, doc_ids array<long>, lengths array<int>, places binary"
 
 
-def _words_of(texts) -> set[str]:
-    found: set[str] = set()
-    for text in texts:
-        found.update(marked_words(text.as_py()))
-    return found
+def _code(buckets: int, block_bytes: int):
+    def asked(block: int, numbers: dict[str, int]):
+        import zstandard
 
+        pages: dict[int, list[str]] = {}
+        for word in numbers:
+            pages.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
+        for bucket, words in pages.items():
+            at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+            # words have no marker inside, so it can stand between them; numbers ascend, their steps are small
+            yield common.batch({"block": [block], "bucket": [bucket], "words": [zstandard.compress(MARK.join(words).encode())],
+                                "numbers": [packed(np.diff(at, prepend=0), "<u4")], "doc_ids": [None], "lengths": [None], "places": [None]}, CODED)
 
-def _ask(buckets: int):
-    def run(key, group):
-        asked = pages(_words_of(group["text"]), buckets)
-        # words have no marker inside, so it can stand between them
-        return pa.table({"bucket": pa.array(list(asked), pa.int32()), "block": pa.array([key[0].as_py()] * len(asked), pa.int64()),
-                         "words": pa.array([MARK.join(w) for w in asked.values()], pa.string())})
+    def run(batches):
+        from pyspark import TaskContext
+
+        block, size = TaskContext.get().partitionId() << 32, 0
+        numbers: dict[str, int] = defaultdict(itertools.count().__next__)
+        for b in batches:
+            places = []
+            for text in b["text"]:
+                words = marked_words(text.as_py())
+                places.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+            yield common.batch({"block": [block], "bucket": [None], "words": [None], "numbers": [None], "doc_ids": [b["doc_id"].to_pylist()],
+                                "lengths": [[len(p) for p in places]], "places": [packed(np.concatenate(places), "<u4")]}, CODED)
+            size += b["text"].nbytes
+            if size >= block_bytes:
+                yield from asked(block, numbers)
+                block, size, numbers = block + 1, 0, defaultdict(itertools.count().__next__)
+        yield from asked(block, numbers)
     return run
 
 
 def _answer(path: str):
     def run(batches):
+        import zstandard
+
         sp = model(path)
-        dtype = np.dtype("<u2") if sp.get_piece_size() <= 2**16 else np.dtype("<u4")
         known: dict[str, bytes] = {}
         for b in batches:
-            out = []
+            out = {"counts": [], "ids": []}
             for page in b["words"]:
-                words = page.as_py().split(MARK)
+                words = zstandard.decompress(page.as_py()).decode().split(MARK)
                 new = [w for w in words if w not in known]
-                known.update((w, np.array(ids, dtype).tobytes()) for w, ids in zip(new, segment(sp, new), strict=True))
+                known.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(new, segment(sp, new), strict=True))
                 parts = [known[w] for w in words]
-                out.append((np.array([len(p) // dtype.itemsize for p in parts], "<u4").tobytes(), b"".join(parts)))
+                out["counts"].append(packed(np.array([len(p) // 4 for p in parts]), "<u4"))
+                out["ids"].append(packed(np.frombuffer(b"".join(parts), "<u4"), "<u4"))
                 if len(known) > MEMO:
                     known = {}
-            yield pa.RecordBatch.from_arrays(
-                [b["block"], b["bucket"], pa.array([n for n, _ in out], pa.binary()), pa.array([i for _, i in out], pa.binary())],
-                names=["block", "bucket", "counts", "ids"])
-    return run
-
-
-def _join_back(path: str, buckets: int):
-    def run(docs, answers):
-        dtype = np.dtype("<u2") if model(path).get_piece_size() <= 2**16 else np.dtype("<u4")
-        asked = pages(_words_of(docs["text"]), buckets)
-        numbers: dict[str, int] = {}
-        counts, ids = [], []
-        for bucket, n, page in zip(answers["bucket"].to_pylist(), answers["counts"], answers["ids"], strict=True):
-            numbers.update(zip(asked[bucket], range(len(numbers), len(numbers) + len(asked[bucket])), strict=True))
-            counts.append(np.frombuffer(n.as_buffer(), "<u4"))
-            ids.append(np.frombuffer(page.as_buffer(), dtype))
-        counts = np.concatenate(counts or [np.empty(0, "<u4")]).astype(np.int64)
-        ids = np.concatenate(ids or [np.empty(0, dtype)]).astype(np.int32)
-        starts = np.cumsum(counts) - counts
-        rows = []
-        for text in docs["text"]:
-            words = marked_words(text.as_py())
-            places = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-            n = counts[places]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            rows.append(ids[np.repeat(starts[places] - (ends - n), n) + np.arange(total)])
-        return pa.table({"doc_id": docs["doc_id"], "ids": pa.array(rows, pa.list_(pa.int32()))})
+            arrays = [b["block"], b["bucket"], b["numbers"], *[pa.array(v, pa.binary()) for v in out.values()]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["block", "bucket", "numbers", *out])
     return run
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-           block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+class Answers:
+    """The ids of a block's words, by number."""
+
+    def __init__(self):
+        self.numbers, self.counts, self.ids = [], [], []
+        self.starts = self.lengths = self.flat = None
+
+    def add(self, numbers: bytes, counts: bytes, ids: bytes) -> None:
+        self.numbers.append(np.cumsum(unpacked(numbers, "<u4").astype(np.int64)))
+        self.counts.append(unpacked(counts, "<u4").astype(np.int64))
+        self.ids.append(unpacked(ids, "<u4").astype(np.int32))
+
+    def at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at these places one after another, and how many each word has."""
+        if self.flat is None:
+            none = [np.empty(0, np.int64)]
+            numbers, counts = np.concatenate(self.numbers or none), np.concatenate(self.counts or none)
+            self.starts, self.lengths = np.empty_like(counts), np.empty_like(counts)
+            self.starts[numbers], self.lengths[numbers] = np.cumsum(counts) - counts, counts
+            self.flat = np.concatenate(self.ids or [np.empty(0, np.int32)])
+        n = self.lengths[places]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.starts[places] - (ends - n), n) + np.arange(n.sum())], n
+
+
+def _join_back(batches):
+    block, answers = None, Answers()
+    for b in batches:
+        for row in range(b.num_rows):
+            get = lambda c: b[c][row].as_py()  # noqa: E731, B023
+            if get("block") != block:
+                block, answers = get("block"), Answers()
+            if get("bucket") is not None:
+                answers.add(get("numbers"), get("counts"), get("ids"))
+                continue
+            ids, n = answers.at(unpacked(get("places"), "<u4").astype(np.int64))
+            before = np.concatenate([[0], np.cumsum(n)])
+            words = np.concatenate([[0], np.cumsum(b["lengths"][row].values.to_numpy())])
+            lists = pa.ListArray.from_arrays(before[words].astype(np.int32), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([b["doc_ids"][row].values, lists], names=["doc_id", "ids"])
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, ids array<int>`` for every row: the ids of the whole text, without begin and end ids.
 
     ``path`` names a model file on every machine.  Null and empty texts have no
     ids; repeated rows and null ids each give their row.
     """
-    buckets = common.shuffle_parts(docs.sparkSession)
-    placed = blocks.in_blocks(docs, id_col, text_col, block_bytes)
-    asked = placed.groupBy("block").applyInArrow(_ask(buckets), "bucket int, block long, words string")
-    answers = common.map_arrow(asked.repartition("bucket"), _answer(path), "block long, bucket int, counts binary, ids binary")
-    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join_back(path, buckets), "doc_id long, ids array<int>")
+    rows = common.id_text(docs, id_col, text_col)
+    # stored, so that all readers see the same blocks
+    coded = common.staged(common.map_arrow(rows, _code(common.shuffle_parts(docs.sparkSession), block_bytes), CODED_SCHEMA), "marked-words")
+    asked = coded.filter("bucket IS NOT NULL").select("block", "bucket", "words", "numbers").repartition("bucket")
+    answers = common.map_arrow(asked, _answer(path), "block long, bucket int, numbers binary, counts binary, ids binary")
+    placed = coded.filter("bucket IS NULL").select("block", "bucket", "doc_ids", "lengths", "places")
+    met = answers.unionByName(placed, allowMissingColumns=True)
+    # a block's answers come before its documents
+    met = met.repartition("block").sortWithinPartitions("block", F.col("bucket").asc_nulls_last())
+    return common.map_arrow(met, _join_back, "doc_id long, ids array<int>")
 
 
 def _decode(path: str):

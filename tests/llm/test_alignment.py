@@ -51,15 +51,22 @@ def aligned(text, sides):
     if not text or b"".join(x for _, x in a) != data or b"".join(x for _, x in b) != data:
         return [], [], [], []
     a, b = ranges(a), ranges(b)
-    ends = sorted({e for *_, e in a} & {e for *_, e in b})
-    groups, lo = [], 0
-    for end in ends:
-        groups.append("|".join(",".join(str(i) for i, s, e in side if lo <= s and e <= end) for side in (a, b)))
-        lo = end
+    ends = {e for *_, e in a} & {e for *_, e in b}
+    cut = lambda side: [[i for i, *_ in g] for g in parts(side, ends)]
+    groups = ["|".join(",".join(map(str, ids)) for ids in pair) for pair in zip(cut(a), cut(b), strict=True)]
     links = [(x, y) for x, s, e in a for y, t, f in b if s < f and t < e] if len(a) < 400 else swept(a, b)
     return a, b, groups, links
 
 
+def parts(side, ends):
+    part = []
+    for token in side:
+        part.append(token)
+        if token[2] in ends:
+            yield part
+            part = []
+
+
 def swept(a, b):
     out, j = [], 0
     for x, s, e in a:

@@ -48,9 +48,9 @@ def test_whole_table(spark, library):
 @pytest.mark.parametrize("block_bytes", [300, 1 << 22])
 def test_odd_rows(spark, path, library, block_bytes):
     rows = [(r[0], r[1]) for r in ODD_ROWS] + [(100 + i, t) for i, t in enumerate(TRICKY)] + [(200, prose(60_000))] + [(300 + i, "same text") for i in range(50)]
-    docs = odd_docs(spark, extra=("block", "bucket", "words", "counts", "ids")).unionByName(
+    docs = odd_docs(spark, extra=("block", "bucket", "words", "places", "ids")).unionByName(
         spark.createDataFrame([(d, t, "", "", 0) for d, t in rows[len(ODD_ROWS):]], DOC_SCHEMA), allowMissingColumns=True)
-    encoded = sentencepieces.encode(docs, path, block_bytes=block_bytes)
+    encoded = sentencepieces.encode(docs.repartition(3), path, block_bytes=block_bytes)
     assert found(sentencepieces.digest(encoded, path)) == expected(rows, library)
 
 
