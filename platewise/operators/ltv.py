@@ -64,6 +64,11 @@ def ltv_by_cohort(accounts: DataFrame, orders: DataFrame, horizons: Sequence[int
     """
     daily = _not_cancelled(orders).groupBy("account_id", C.day("placed_at").alias("order_day")).agg(
         F.sum("order_total_usd").alias("gmv"), F.count(F.lit(1)).alias("n"))
+    return ltv_of_days(accounts, daily, horizons)
+
+
+def ltv_of_days(accounts: DataFrame, daily: DataFrame, horizons: Sequence[int] = (30, 90, 180)) -> DataFrame:
+    """:func:`ltv_by_cohort` from ``(account_id, order_day, n, gmv)``."""
     base = accounts.select("account_id", "account_tier", F.col("created_at").alias("signup_date")) \
         .join(daily, "account_id", "left")
     offset = F.datediff(F.col("order_day"), F.col("signup_date"))

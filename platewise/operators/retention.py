@@ -41,7 +41,11 @@ def order_cadence(accounts: DataFrame, orders: DataFrame, analysis_date: str | d
     (placed_at, order_id) order; ``latest_gap_as_written`` keeps the source's
     expression, which is always 1.
     """
-    days = daily_orders(_not_cancelled(orders))
+    return cadence_of_days(accounts, daily_orders(_not_cancelled(orders)), analysis_date)
+
+
+def cadence_of_days(accounts: DataFrame, days: DataFrame, analysis_date: str | dt.date = "2024-12-31") -> DataFrame:
+    """:func:`order_cadence` from ``(account_id, order_day, n)``."""
     # One window pass per account over its distinct order days (bounded by the
     # calendar): totals over the whole partition and the last two days by rank.
     acct = Window.partitionBy("account_id")
@@ -72,8 +76,12 @@ def order_cadence(accounts: DataFrame, orders: DataFrame, analysis_date: str | d
 
 def cohort_retention(orders: DataFrame) -> DataFrame:
     """Acquisition month x activity month: active accounts and retention %."""
-    activity = _not_cancelled(orders).select(
-        "account_id", C.month_start("placed_at").alias("activity_month")).distinct()
+    return retention_of_activity(_not_cancelled(orders).select(
+        "account_id", C.month_start("placed_at").alias("activity_month")).distinct())
+
+
+def retention_of_activity(activity: DataFrame) -> DataFrame:
+    """:func:`cohort_retention` from the distinct ``(account_id, activity_month)``."""
     # window over one row per active month of an account: bounded by the calendar
     with_cohort = activity.withColumn(
         "cohort_month", F.min("activity_month").over(Window.partitionBy("account_id")))
@@ -99,7 +107,13 @@ def churn_risk(accounts: DataFrame, orders: DataFrame, analysis_date: str | dt.d
 
     Thresholds compare with the *rounded* mean gap, strictly, as in the source.
     """
-    per_account = daily_orders(_not_cancelled(orders)).groupBy("account_id").agg(
+    return risk_of_days(accounts, daily_orders(_not_cancelled(orders)), analysis_date, high, medium)
+
+
+def risk_of_days(accounts: DataFrame, days: DataFrame, analysis_date: str | dt.date = "2024-12-31",
+                 high: float = 2.0, medium: float = 1.5) -> DataFrame:
+    """:func:`churn_risk` from ``(account_id, order_day, n, gmv)``."""
+    per_account = days.groupBy("account_id").agg(
         F.sum("n").alias("lifetime_orders"),
         F.sum("gmv").alias("gmv"),
         F.min("order_day").alias("first_day"),

@@ -27,6 +27,11 @@ def monthly_gmv_growth(orders: DataFrame, calendar: bool = False) -> DataFrame:
         F.sum("order_total_usd").alias("gmv"),
         F.sum("discount_usd").alias("disc"),
         F.sum(F.col("order_total_usd") - F.col("discount_usd")).alias("net"))
+    return growth_of_months(monthly, calendar)
+
+
+def growth_of_months(monthly: DataFrame, calendar: bool = False) -> DataFrame:
+    """:func:`monthly_gmv_growth` from ``(order_month, order_count, gmv, disc, net)``."""
     if calendar:
         span = monthly.agg(F.min("order_month").alias("lo"), F.max("order_month").alias("hi"))
         spine = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("order_month"))
@@ -89,6 +94,11 @@ def gmv_by_tier_quarter(accounts: DataFrame, orders: DataFrame) -> DataFrame:
     per_account = orders.filter(F.col("order_status") == "delivered").groupBy(
         "account_id", C.quarter_start("placed_at").alias("order_quarter")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("order_total_usd").alias("gmv"))
+    return tiers_of_quarters(accounts, per_account)
+
+
+def tiers_of_quarters(accounts: DataFrame, per_account: DataFrame) -> DataFrame:
+    """:func:`gmv_by_tier_quarter` from one ``(account_id, order_quarter, n, gmv)`` for each account and quarter."""
     tiers = accounts.select("account_id", "account_tier")
     g = per_account.join(tiers, "account_id").groupBy("account_tier", "order_quarter").agg(
         F.count(F.lit(1)).alias("active_accounts"),
