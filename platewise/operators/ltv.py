@@ -105,12 +105,17 @@ def top_accounts_churn(accounts: DataFrame, orders: DataFrame, analysis_date: st
     # (account, placed_at) roll-up: distinct timestamps and row counts in one pass
     stamps = _not_cancelled(orders).groupBy("account_id", "placed_at").agg(
         F.count(F.lit(1)).alias("n"), F.sum("order_total_usd").alias("gmv"))
-    per_account = stamps.groupBy("account_id").agg(
+    return top_of_accounts(accounts, stamps.groupBy("account_id").agg(
         F.sum("gmv").alias("gmv"),
         F.count(F.lit(1)).alias("distinct_ts"),
         F.sum("n").alias("n"),
         F.min(C.day("placed_at")).alias("first_day"),
-        F.max(C.day("placed_at")).alias("last_order_date"))
+        F.max(C.day("placed_at")).alias("last_order_date")), analysis_date, top_k, multiple, min_orders)
+
+
+def top_of_accounts(accounts: DataFrame, per_account: DataFrame, analysis_date: str | dt.date = "2024-12-31",
+                    top_k: int = 20, multiple: int = 2, min_orders: int = 3) -> DataFrame:
+    """:func:`top_accounts_churn` from ``(account_id, gmv, distinct_ts, n, first_day, last_order_date)``."""
     summary = accounts.select("account_id", "company_name", "account_tier", "industry") \
         .join(per_account, "account_id", "left").select(
             "account_id", "company_name", "account_tier", "industry",

@@ -13,21 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..sources import schemas, stored
+from ..sources import buckets, schemas, stored
 from . import ltv, retention, revenue
 
 ORDERS, DAYS = "orders", "account_days"
-SUMS = ("n_live", "gmv_live", "n_delivered", "gmv_delivered", "discount_delivered", "net_delivered")
+SUMS = ("n_live", "gmv_live", "n_delivered", "gmv_delivered", "discount_delivered", "net_delivered", "stamps_live")
 
 
 def account_days(orders: DataFrame) -> DataFrame:
-    """``(account_id, order_day)`` with counts and sums of its live (not cancelled) and delivered orders."""
+    """``(account_id, order_day)`` with counts and sums of its live (not cancelled) and delivered orders, and the
+    distinct times of live ones."""
     live, delivered = F.col("order_status") != "cancelled", F.col("order_status") == "delivered"
     return orders.groupBy("account_id", C.day("placed_at").alias("order_day")).agg(
         F.count_if(live).alias("n_live"), F.sum(F.when(live, F.col("order_total_usd"))).alias("gmv_live"),
         F.count_if(delivered).alias("n_delivered"), F.sum(F.when(delivered, F.col("order_total_usd"))).alias("gmv_delivered"),
         F.sum(F.when(delivered, F.col("discount_usd"))).alias("discount_delivered"),
-        F.sum(F.when(delivered, F.col("order_total_usd") - F.col("discount_usd"))).alias("net_delivered"))
+        F.sum(F.when(delivered, F.col("order_total_usd") - F.col("discount_usd"))).alias("net_delivered"),
+        F.count_distinct(F.when(live, F.col("placed_at"))).alias("stamps_live"))  # of one day, so they add up
 
 
 def apply_batch(spark: SparkSession, path: str, orders: DataFrame, version: int, unit: str = "day",
@@ -103,3 +105,27 @@ def churn_risk(accounts: DataFrame, days: DataFrame, analysis_date="2024-12-31",
 def ltv_by_cohort(accounts: DataFrame, days: DataFrame, horizons=(30, 90, 180)) -> DataFrame:
     """6B from the roll-up."""
     return ltv.ltv_of_days(accounts, live_days(days), horizons)
+
+
+def top_accounts_churn(accounts: DataFrame, days: DataFrame, analysis_date="2024-12-31", top_k: int = 20, multiple: int = 2,
+                       min_orders: int = 3) -> DataFrame:
+    """6C from the roll-up."""
+    per_account = days.filter("n_live > 0").groupBy("account_id").agg(
+        F.sum("gmv_live").alias("gmv"), F.sum("stamps_live").alias("distinct_ts"), F.sum("n_live").alias("n"),
+        F.min("order_day").alias("first_day"), F.max("order_day").alias("last_order_date"))
+    return ltv.top_of_accounts(accounts, per_account, analysis_date, top_k, multiple, min_orders)
+
+
+def write_bucketed(accounts: DataFrame, days: DataFrame, path: str, count: int) -> None:
+    """The accounts and the roll-up in ``count`` buckets by account, so that reports per account need no shuffle.
+
+    It is the roll-up that is bucketed, not the orders: an account has at most
+    a row for each day there, so no bucket grows with one account's orders.
+    """
+    buckets.write(accounts, f"{path}/accounts", "account_id", count)
+    buckets.write(days.drop(stored.PERIOD), f"{path}/{DAYS}", "account_id", count, ["order_day"])
+
+
+def read_bucketed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Accounts and roll-up as :func:`write_bucketed` stored them."""
+    return buckets.read(spark, f"{path}/accounts"), buckets.read(spark, f"{path}/{DAYS}")

@@ -583,6 +583,45 @@ def status_rules() -> list:
     ]
 
 
+def _broken() -> str:
+    """``(table_name, broken)`` for every row of every table, with the names of the rules that it breaks."""
+    rules = not_null_rules() + domain_rules() + range_rules() + length_rules() + status_rules()
+    tables = list(dict.fromkeys(t for t, *_ in rules))
+    flags = {t: ", ".join(f"CASE WHEN ({applies}) AND ({breaks}) THEN {_lit(rule)} END" for name, rule, applies, breaks in rules if name == t)
+             for t in tables}
+    return ",\nchecked AS (\n" + "\nUNION ALL\n".join(
+        f"SELECT {_lit(t)} AS table_name, list_filter([{flags[t]}], lambda r: r IS NOT NULL) AS broken FROM {t}" for t in tables) + ")"
+
+
+def dq_ingest() -> str:
+    return _with(_broken() + f"""
+SELECT table_name, {_n('COUNT(*) FILTER (WHERE len(broken) = 0)')} AS n_accepted, {_n('COUNT(*) FILTER (WHERE len(broken) > 0)')} AS n_rejected
+FROM checked GROUP BY table_name""")
+
+
+def dq_quarantine() -> str:
+    return _with(_broken() + f"""
+SELECT table_name, rule, {_n('COUNT(*)')} AS n_rows, {_n('COUNT(*) FILTER (WHERE n = 1)')} AS n_only_this
+FROM (SELECT table_name, len(broken) AS n, unnest(broken) AS rule FROM checked) GROUP BY ALL""")
+
+
+def sketch_active_accounts() -> str:
+    grains = ["month", "quarter", "year"]
+    parts = [f"SELECT account_id, account_tier, '{g}' AS grain, CAST(date_trunc('{g}', placed_at) AS DATE) AS period FROM sold" for g in grains]
+    parts.append("SELECT account_id, account_tier, 'lifetime', NULL FROM sold")
+    return _with(f""",
+sold AS (SELECT * FROM orders JOIN corporate_accounts USING (account_id) WHERE order_status = 'delivered')
+SELECT account_tier, grain, period, {_n('COUNT(DISTINCT account_id)')} AS accounts, TRUE AS within_bound
+FROM ({" UNION ALL ".join(parts)}) GROUP BY ALL""")
+
+
+def sketch_order_values() -> str:
+    return _with(f"""
+SELECT account_tier, quantile, {_n('COUNT(*)')} AS n, TRUE AS within_bound
+FROM orders JOIN corporate_accounts USING (account_id), (SELECT CAST(unnest([0.25, 0.5, 0.75, 0.9]) AS DOUBLE) AS quantile)
+WHERE order_status = 'delivered' AND order_total_usd IS NOT NULL GROUP BY ALL""")
+
+
 ORACLE: dict[str, str] = {
     "q1a_caterer_scorecard": q1a(),
     "q1b_monthly_otd_trend": q1b(),
@@ -617,4 +656,18 @@ ORACLE: dict[str, str] = {
     "dq_default_fill": _report(fill_rules()),
     "dq_status_timestamps": _report(status_rules()),
     "dq_table_rules": _report(not_null_rules() + domain_rules() + range_rules() + length_rules() + fill_rules() + status_rules()),
+    # from stored roll-ups and buckets: the reports they stand for
+    "rollup_monthly_gmv_growth": q2a(),
+    "rollup_gmv_by_tier_quarter": q2c(),
+    "rollup_order_cadence": q3a(),
+    "rollup_cohort_retention": q3b(),
+    "rollup_churn_risk": q3c(),
+    "rollup_ltv_by_cohort": q6b(),
+    "bucketed_churn_risk": q3c(),
+    "bucketed_ltv_by_cohort": q6b(),
+    "bucketed_top_accounts": q6c(),
+    "dq_ingest": dq_ingest(),
+    "dq_quarantine": dq_quarantine(),
+    "sketch_active_accounts": sketch_active_accounts(),
+    "sketch_order_values": sketch_order_values(),
 }

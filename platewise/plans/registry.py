@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import sources
 from ..operators import caterer, experiment, ltv, promo, quality, retention, revenue
 from . import params as P
+from . import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 Report = Callable[[sources.Marketplace], DataFrame]
@@ -181,4 +182,5 @@ def queries(layout: str = "test") -> dict[str, Query]:
     return {key: bound(report) for key, report in REPORTS.items()}
 
 
-QUERIES: dict[str, Query] = queries()
+#: The reports over the test tables, and the queries over tables that are stored from them first.
+QUERIES: dict[str, Query] = queries() | stored.QUERIES
