@@ -72,7 +72,7 @@ def main() -> None:
     root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark = get_session("platewise-bench", master=f"local[{cpus}]", shuffle_partitions=max(cpus, 8),
                         extra={"spark.driver.memory": "16g", "spark.checkpoint.dir": f"{root}/shared"})
-    keys = only or list(registry.QUERIES)
+    keys = only or list(registry.REPORTS)
     ticks0 = cpu_ticks()
     calib = calibration(spark, sf_dir)
 

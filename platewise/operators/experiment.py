@@ -49,18 +49,32 @@ def experiment_cohort(assignments: DataFrame, accounts: DataFrame, experiment: s
         .join(accounts.select("account_id", "account_tier", "industry", "created_at"), "account_id")
 
 
+#: Days of a bin: an account's orders meet the cohort bin by bin.
+BIN_DAYS = 7
+
+
+def _bin(day):
+    return F.floor(F.datediff(day, F.lit(dt.date(1970, 1, 1))) / BIN_DAYS).cast("int")
+
+
 def cohort_orders(orders: DataFrame, cohort: DataFrame, horizon_days: int) -> DataFrame:
-    """Orders of the cohort's accounts, from its first enrollment day to ``horizon_days`` after its last.
+    """Orders of the cohort's accounts in the weeks from their enrollment to ``horizon_days`` after it.
+
+    An order meets its account's weeks in a semi join by account and week: what
+    is outside them goes before any roll-up, and an account with very many
+    orders is shuffled as its weeks, not as one key.  The weeks hold the
+    horizon and at most a few days more, so callers still compare days.
 
-    The two days are scalar subqueries over the small cohort, planned with the
-    query and evaluated before the scan of the orders; the semi join comes
-    before any roll-up, so only the cohort's history is aggregated.
+    The span of all enrollments is one scalar subquery over the small cohort, planned with the
+    query and evaluated before the scan of the orders.  The cohort
+    is read several times: pass it materialised (:func:`persist_results`).
     """
-    day = lambda edge: cohort.agg(edge("enrollment_date").alias("day"))
-    lo = day(F.min).select(F.col("day").cast("timestamp_ntz")).scalar()
-    hi = day(F.max).select(F.date_add("day", horizon_days + 1).cast("timestamp_ntz")).scalar()
-    return orders.filter((F.col("placed_at") >= lo) & (F.col("placed_at") < hi)) \
-        .join(cohort.select("account_id"), "account_id", "left_semi")
+    span = cohort.agg(F.struct(F.min("enrollment_date").cast("timestamp_ntz").alias("lo"),
+                               F.date_add(F.max("enrollment_date"), horizon_days + 1).cast("timestamp_ntz").alias("hi"))).scalar()
+    weeks = cohort.select(F.col("account_id").alias("_account"), F.explode(F.sequence(
+        _bin(F.col("enrollment_date")), _bin(F.date_add("enrollment_date", horizon_days)))).alias("_week"))
+    return orders.filter((F.col("placed_at") >= span["lo"]) & (F.col("placed_at") < span["hi"])) \
+        .join(weeks, (F.col("account_id") == F.col("_account")) & (_bin(C.day("placed_at")) == F.col("_week")), "left_semi")
 
 
 def experiment_enrollment(assignments: DataFrame, accounts: DataFrame, experiment: str = "SPRING20",
@@ -77,13 +91,20 @@ def experiment_results(assignments: DataFrame, accounts: DataFrame, orders: Data
                        experiment: str = "SPRING20", conv_days: int = 30, gmv_days: int = 60) -> DataFrame:
     """A2: per enrolled account, conversion within ``conv_days`` and GMV within ``gmv_days``.
 
+    The cohort is derived once and stored (:func:`persist_results`), then followed by :func:`results_of_cohort`.
+    """
+    return results_of_cohort(persist_results(experiment_cohort(assignments, accounts, experiment)), orders, conv_days, gmv_days)
+
+
+def results_of_cohort(cohort: DataFrame, orders: DataFrame, conv_days: int = 30, gmv_days: int = 60) -> DataFrame:
+    """:func:`experiment_results` of a cohort, best a materialised one.
+
     The cohort's delivered orders are rolled up per (account, day); the roll-up
     is joined to the cohort and both horizons are evaluated on it as day
     ranges (``enrollment <= day <= enrollment + N``), in one pass.
     ``first_order_value`` is the smallest order value in the window, as
     written; ``first_order_value_true`` is the value of the earliest order.
     """
-    cohort = experiment_cohort(assignments, accounts, experiment)
     daily = cohort_orders(orders.filter(F.col("order_status") == "delivered"), cohort,
                           max(conv_days, gmv_days)).groupBy(
         "account_id", C.day("placed_at").alias("order_day")).agg(
@@ -128,12 +149,13 @@ def persist_results(results: DataFrame) -> DataFrame:
 
 def conversion_by_variant(results: DataFrame, z: float = 1.96) -> DataFrame:
     """B1: conversion rate per variant, normal-approximation margin and Wilson bounds."""
-    g = results.groupBy("variant").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("converted").alias("conversions"),
-        F.stddev_samp("converted").alias("sd"))
+    return conversion_of(results.groupBy("variant").agg(*_measures("n", "conv", "sd_conv")), z)
+
+
+def conversion_of(g: DataFrame, z: float = 1.96) -> DataFrame:
+    """B1 from ``(variant, n, conv, sd_conv)``."""
     n = F.col("n").cast("double")
-    p = F.col("conversions").cast("double") / n
+    p = F.col("conv").cast("double") / n
     z2 = F.lit(z * z)
     denom = F.lit(1.0) + z2 / n
     centre = (p + z2 / (F.lit(2.0) * n)) / denom
@@ -141,9 +163,9 @@ def conversion_by_variant(results: DataFrame, z: float = 1.96) -> DataFrame:
     return g.select(
         "variant",
         F.col("n").cast("long").alias("n_accounts"),
-        F.col("conversions").cast("long").alias("conversions"),
-        C.pct("conversions", "n", 2).alias("conversion_rate_pct"),
-        C.rounded(F.col("sd") / F.sqrt(n) * F.lit(z) * F.lit(100.0), 2).alias("margin_of_error_pct"),
+        F.col("conv").cast("long").alias("conversions"),
+        C.pct("conv", "n", 2).alias("conversion_rate_pct"),
+        C.rounded(F.col("sd_conv") / F.sqrt(n) * F.lit(z) * F.lit(100.0), 2).alias("margin_of_error_pct"),
         C.rounded((centre - half) * F.lit(100.0), 2).alias("wilson_low_pct"),
         C.rounded((centre + half) * F.lit(100.0), 2).alias("wilson_high_pct"),
     ).orderBy("variant")
@@ -158,35 +180,41 @@ def gmv_by_variant(results: DataFrame, num_ranges: int | None = None,
     per-group state bounded by the accuracy, for very large variants.  The
     result is read twice: pass it materialised (:func:`persist_results`).
     """
-    conv = F.col("converted") == 1
-    aggs = [F.count(F.lit(1)).alias("n"),
-            F.count_if(conv).alias("n_conv"),
-            F.sum(F.when(conv, F.col("first_order_value"))).alias("fov_sum"),
-            F.sum("gmv_60d").alias("gmv_sum"),
-            F.stddev_samp("gmv_60d").alias("sd")]
+    aggs = _measures("n", "conv", "fov", "gmv", "sd_gmv")
     if approx_accuracy:
         median = F.percentile_approx("gmv_60d", 0.5, approx_accuracy)
         g = results.groupBy("variant").agg(*aggs, median.alias("_med_lo"), median.alias("_med_hi"))
     else:
         g = results.groupBy("variant").agg(*aggs).join(
             ranking.middle_values(results, ["variant"], "gmv_60d", num_ranges=num_ranges), "variant", "left")
+    return gmv_of(g)
+
+
+def gmv_of(g: DataFrame) -> DataFrame:
+    """B2 from ``(variant, n, conv, fov, gmv, sd_gmv)`` and the middle values ``_med_lo, _med_hi``."""
     return g.select(
         "variant",
         F.col("n").cast("long").alias("n_accounts"),
-        F.col("n_conv").cast("long").alias("n_converters"),
-        C.ratio(C.cents("fov_sum"), F.col("n_conv") * 100, 2).alias("avg_first_order_gmv"),
-        C.ratio(C.cents("gmv_sum"), F.col("n") * 100, 2).alias("avg_gmv_60d"),
+        F.col("conv").cast("long").alias("n_converters"),
+        C.ratio(C.cents("fov"), F.col("conv") * 100, 2).alias("avg_first_order_gmv"),
+        C.ratio(C.cents("gmv"), F.col("n") * 100, 2).alias("avg_gmv_60d"),
         C.ratio(C.cents("_med_lo") + C.cents("_med_hi"), F.lit(200), 2).alias("median_gmv_60d"),
-        C.rounded(F.col("sd"), 2).alias("stddev_gmv_60d"),
-        C.money("gmv_sum").alias("total_gmv_60d"),
+        C.rounded(F.col("sd_gmv"), 2).alias("stddev_gmv_60d"),
+        C.money("gmv").alias("total_gmv_60d"),
     ).orderBy("variant")
 
 
+def _measures(*names: str) -> list:
+    """Aggregates of the per-account result that the reports are made of."""
+    every = {"n": F.count(F.lit(1)), "conv": F.sum("converted"), "sd_conv": F.stddev_samp("converted"),
+             "fov": F.sum(F.when(F.col("converted") == 1, F.col("first_order_value"))),
+             "gmv": F.sum("gmv_60d"), "sd_gmv": F.stddev_samp("gmv_60d"),
+             "pre_sum": F.sum("pre_orders"), "pre_n": F.count("pre_orders")}
+    return [every[name].alias(name) for name in names]
+
+
 def _segment_metrics(df: DataFrame, segment: str) -> DataFrame:
-    return df.groupBy(segment, "variant").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("converted").alias("conv"),
-        F.sum("gmv_60d").alias("gmv"))
+    return df.groupBy(segment, "variant").agg(*_measures("n", "conv", "gmv"))
 
 
 def results_by_tier(results: DataFrame, control: str = "control") -> DataFrame:
@@ -197,7 +225,11 @@ def results_by_tier(results: DataFrame, control: str = "control") -> DataFrame:
     control variant's rate in the tier, exact.  Windows run over the tiny
     tier x variant aggregate.
     """
-    g = _segment_metrics(results, "account_tier")
+    return tiers_of(_segment_metrics(results, "account_tier"), control)
+
+
+def tiers_of(g: DataFrame, control: str = "control") -> DataFrame:
+    """C1 from ``(account_tier, variant, n, conv, gmv)``."""
     tier = Window.partitionBy("account_tier")
     rate = C.exact_rate(F.col("conv") * 100, "n")
     mean = F.sum(rate).over(tier) / F.count(F.lit(1)).over(tier).cast("decimal(10,0)")
@@ -218,6 +250,13 @@ def results_by_tier(results: DataFrame, control: str = "control") -> DataFrame:
 def power_users(results: DataFrame, orders: DataFrame, launch: str | dt.date = "2024-03-01",
                 lookback_days: int = 90, min_orders: int = 4) -> DataFrame:
     """C2: power users (>= min_orders delivered orders in the lookback before launch) vs others."""
+    g = with_power_users(results, orders, launch, lookback_days, min_orders).groupBy("user_segment", "variant").agg(
+        *_measures("n", "conv", "gmv", "pre_sum", "pre_n"))
+    return power_of(g)
+
+
+def with_power_users(results: DataFrame, orders: DataFrame, launch: str | dt.date, lookback_days: int, min_orders: int) -> DataFrame:
+    """``results`` with ``pre_orders`` (power users only) and ``user_segment``."""
     launch_day = dt.date.fromisoformat(launch) if isinstance(launch, str) else launch
     start = launch_day - dt.timedelta(days=lookback_days)
     pre = orders.filter((F.col("order_status") == "delivered")
@@ -225,10 +264,11 @@ def power_users(results: DataFrame, orders: DataFrame, launch: str | dt.date = "
         .groupBy("account_id").agg(F.count(F.lit(1)).alias("pre_orders")) \
         .filter(F.col("pre_orders") >= min_orders)
     seg = F.when(F.col("pre_orders").isNotNull(), F.lit(L.POWER_USER)).otherwise(F.lit(L.REGULAR_USER))
-    g = results.join(pre, "account_id", "left").withColumn("user_segment", seg) \
-        .groupBy("user_segment", "variant").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("converted").alias("conv"), F.sum("gmv_60d").alias("gmv"),
-            F.sum("pre_orders").alias("pre_sum"), F.count("pre_orders").alias("pre_n"))
+    return results.join(pre, "account_id", "left").withColumn("user_segment", seg)
+
+
+def power_of(g: DataFrame) -> DataFrame:
+    """C2 from ``(user_segment, variant, n, conv, gmv, pre_sum, pre_n)``."""
     return g.select(
         "user_segment", "variant",
         F.col("n").cast("long").alias("n_accounts"),
@@ -240,9 +280,16 @@ def power_users(results: DataFrame, orders: DataFrame, launch: str | dt.date = "
 
 def account_age(results: DataFrame) -> DataFrame:
     """C3: new (< 60 d) / growing (< 180 d) / established accounts at enrollment x variant."""
+    return ages_of(_segment_metrics(results.withColumn("account_age_segment", age_segment()), "account_age_segment"))
+
+
+def age_segment():
     age = F.datediff(F.col("enrollment_date"), F.col("created_at"))
-    seg = F.when(age < 60, F.lit(L.AGE_LABELS[0])).when(age < 180, F.lit(L.AGE_LABELS[1])).otherwise(F.lit(L.AGE_LABELS[2]))
-    g = _segment_metrics(results.withColumn("account_age_segment", seg), "account_age_segment")
+    return F.when(age < 60, F.lit(L.AGE_LABELS[0])).when(age < 180, F.lit(L.AGE_LABELS[1])).otherwise(F.lit(L.AGE_LABELS[2]))
+
+
+def ages_of(g: DataFrame) -> DataFrame:
+    """C3 from ``(account_age_segment, variant, n, conv, gmv)``."""
     return g.select(
         "account_age_segment", "variant",
         F.col("n").cast("long").alias("n_accounts"),
@@ -256,7 +303,11 @@ def srm_check(cohort: DataFrame, expected_share: float = 0.5, tolerance: float =
 
     Takes the cohort, or results, whose rows are the cohort's.
     """
-    g = cohort.groupBy("variant").agg(F.count(F.lit(1)).alias("n"))
+    return srm_of(cohort.groupBy("variant").agg(F.count(F.lit(1)).alias("n")), expected_share, tolerance)
+
+
+def srm_of(g: DataFrame, expected_share: float = 0.5, tolerance: float = 0.02) -> DataFrame:
+    """D from ``(variant, n)``."""
     # SUM(COUNT(*)) OVER (): a window over one row per variant
     g = g.withColumn("total", F.sum("n").over(Window.partitionBy()))
     n, t = F.col("n"), F.col("total")
@@ -289,23 +340,58 @@ def cancellation_guardrail(cohort: DataFrame, orders: DataFrame, days: int = 60)
     ).orderBy("variant")
 
 
+#: The groupings of the read-out: all accounts of a variant, and its cuts.
+SEGMENTS = ("account_tier", "account_age_segment", "user_segment")
+
+
+def read_out(results: DataFrame, orders: DataFrame, launch: str | dt.date = "2024-03-01", lookback_days: int = 90,
+             min_orders: int = 4) -> DataFrame:
+    """Every grouping of the reports from one pass over the result: grouping sets over (variant) and (segment, variant).
+
+    ``cut`` names the segment column (null for the variant alone), ``segment``
+    its value; then the measures.  A row for each segment and variant, so the
+    reports made of it cost nothing more.
+    """
+    cut = with_power_users(results, orders, launch, lookback_days, min_orders).withColumn("account_age_segment", age_segment())
+    sets = [[F.col("variant")], *[[F.col(c), F.col("variant")] for c in SEGMENTS]]
+    g = cut.groupingSets(sets, *SEGMENTS, "variant").agg(
+        *[F.grouping(c).alias(f"_{c}") for c in SEGMENTS],
+        *_measures("n", "conv", "sd_conv", "fov", "gmv", "sd_gmv", "pre_sum", "pre_n"))
+    pick = lambda of: F.coalesce(*[F.when(F.col(f"_{c}") == 0, of(c)) for c in SEGMENTS])
+    return g.select(pick(F.lit).alias("cut"), pick(F.col).alias("segment"), "variant",
+                    "n", "conv", "sd_conv", "fov", "gmv", "sd_gmv", "pre_sum", "pre_n")
+
+
+def read_out_report(groups: DataFrame) -> DataFrame:
+    """The read-out as one table: accounts, conversions, rate and mean GMV for each cut, segment and variant."""
+    return groups.select(
+        F.coalesce("cut", F.lit("variant")).alias("cut"), "segment", "variant", F.col("n").cast("long").alias("n_accounts"),
+        F.col("conv").cast("long").alias("conversions"), C.pct("conv", "n", 2).alias("conversion_rate_pct"),
+        C.ratio(C.cents("gmv"), F.col("n") * 100, 2).alias("avg_gmv_60d"))
+
+
 def report_suite(assignments: DataFrame, accounts: DataFrame, orders: DataFrame, experiment: str = "SPRING20",
                  conv_days: int = 30, gmv_days: int = 60, launch: str | dt.date = "2024-03-01",
                  lookback_days: int = 90, min_orders: int = 4, guardrail_days: int = 60) -> dict[str, DataFrame]:
     """The whole experiment read-out on one materialised result.
 
-    The per-account result is written once (reliable checkpoint) and the
-    sample-ratio check, metrics, segment cuts and guardrail all read that
-    copy, in the order the analysis is meant to be read (SRM first).
+    The per-account result is written once (reliable checkpoint).  One pass
+    over it makes all groupings (:func:`read_out`); the sample-ratio check,
+    metrics and segment cuts are projections of those few rows.  Only the exact
+    median and the guardrail read the result again.  The order is the one the
+    analysis is meant to be read in (SRM first).
     """
     results = persist_results(experiment_results(assignments, accounts, orders, experiment, conv_days, gmv_days))
+    groups = materialize(read_out(results, orders, launch, lookback_days, min_orders))
+    variants = groups.filter("cut IS NULL")
+    of = lambda c: groups.filter(F.col("cut") == c).withColumnRenamed("segment", c)
     return {
-        "srm_check": srm_check(results),
-        "conversion_by_variant": conversion_by_variant(results),
-        "gmv_by_variant": gmv_by_variant(results),
-        "results_by_tier": results_by_tier(results),
-        "power_users": power_users(results, orders, launch, lookback_days, min_orders),
-        "account_age": account_age(results),
+        "srm_check": srm_of(variants),
+        "conversion_by_variant": conversion_of(variants),
+        "gmv_by_variant": gmv_of(variants.join(ranking.middle_values(results, ["variant"], "gmv_60d"), "variant", "left")),
+        "results_by_tier": tiers_of(of("account_tier")),
+        "power_users": power_of(of("user_segment")),
+        "account_age": ages_of(of("account_age_segment")),
         "cancellation_guardrail": cancellation_guardrail(results, orders, guardrail_days),
         "results": results_report(results),
     }

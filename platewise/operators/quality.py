@@ -170,19 +170,30 @@ def foreign_key_check(tables: Mapping[str, DataFrame], fks: Sequence[tuple[str,
                       ) -> DataFrame:
     """References: non-NULL child values with no parent row.
 
-    Per reference the child's values are counted on their own column (a hot
-    value is one row after partial aggregation) and meet the parent's keys in
-    a join with the same partitioning.  Only key values and counts move.
+    All references are met at once.  Each child table is read once: its key
+    columns become rows (reference, value), counted before they move, so a hot value is one row after partial
+    aggregation.  Each parent is read once, for its keys.  One join
+    by (parent, value) decides every reference.  Only numbers of rules, key values and counts move.
     """
-    parts = []
-    for child, fk, parent, pk in fks:
-        values = tables[child].filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-        keys = tables[parent].select(F.col(pk).alias("p")).distinct()
-        parts.append(values.join(keys, F.col("v") == F.col("p"), "left").agg(
-            F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("n_checked"),
-            F.coalesce(F.sum(F.when(F.col("p").isNull(), F.col("k"))), F.lit(0)).cast("long").alias("n_violations")).select(
-            F.lit(child).alias("table_name"), F.lit(f"{fk} references {parent}({pk})").alias("rule"), "n_checked", "n_violations"))
-    return _union(parts)
+    if not fks:
+        raise ValueError("no references to check")
+    parents = list(dict.fromkeys((parent, pk) for *_, parent, pk in fks))
+    types = {tables[t].schema[c].dataType for child, fk, parent, pk in fks for t, c in ((child, fk), (parent, pk))}
+    as_key = lambda c: F.col(c) if len(types) == 1 else F.col(c).cast("string")
+    children: dict[str, list] = {}
+    for ref, (child, fk, parent, pk) in enumerate(fks):
+        children.setdefault(child, []).append(F.struct(
+            F.lit(ref).alias("ref"), F.lit(parents.index((parent, pk))).alias("parent"), as_key(fk).alias("v")))
+    values = _union([tables[child].select(F.explode(F.array(*refs)).alias("r")).select("r.*").filter("v IS NOT NULL")
+                     .groupBy("ref", "parent", "v").agg(F.count(F.lit(1)).alias("k")) for child, refs in children.items()])
+    keys = _union([tables[parent].select(F.lit(i).alias("of"), as_key(pk).alias("p")) for i, (parent, pk) in enumerate(parents)]).distinct()
+    met = values.join(keys, (F.col("parent") == F.col("of")) & (F.col("v") == F.col("p")), "left").groupBy("ref").agg(
+        F.sum("k").alias("n"), F.sum(F.when(F.col("p").isNull(), F.col("k"))).alias("lost"))
+    names = tables[fks[0][0]].sparkSession.createDataFrame(
+        [(i, child, f"{fk} references {parent}({pk})") for i, (child, fk, parent, pk) in enumerate(fks)], "no int, table_name string, rule string")
+    return names.join(met, F.col("no") == F.col("ref"), "left").select(
+        "table_name", "rule", F.coalesce("n", F.lit(0)).cast("long").alias("n_checked"),
+        F.coalesce("lost", F.lit(0)).cast("long").alias("n_violations"))
 
 
 def foreign_key_rows(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:

@@ -370,6 +370,21 @@ def q5c3() -> str:
         "account_age_segment", "outcome"))
 
 
+def experiment_read_out(launch: str = P.LAUNCH, lookback: int = P.LOOKBACK_DAYS, least: int = P.MIN_PRE_ORDERS) -> str:
+    age = "day0 - created_at"
+    ages = (f"CASE WHEN {age} >= 180 THEN {_lit(L.AGE_LABELS[2])} WHEN {age} >= 60 THEN {_lit(L.AGE_LABELS[1])} "
+            f"ELSE {_lit(L.AGE_LABELS[0])} END")
+    habit = (f"(SELECT COUNT(*) FROM orders o WHERE o.account_id = outcome.account_id AND o.order_status = 'delivered'"
+             f" AND CAST(o.placed_at AS DATE) BETWEEN DATE '{launch}' - {lookback} AND DATE '{launch}' - 1)")
+    cuts = {"variant": "NULL", "account_tier": "account_tier", "account_age_segment": ages,
+            "user_segment": f"IF({habit} >= {least}, {_lit(L.POWER_USER)}, {_lit(L.REGULAR_USER)})"}
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS cut, {expr} AS segment, variant, won, spent FROM outcome" for c, expr in cuts.items())
+    return _with(f"""{outcomes()}
+SELECT cut, segment, variant, {_n('COUNT(*)')} AS n_accounts, {_n('COUNT(*) FILTER (WHERE won)')} AS conversions,
+       {_pct('COUNT(*) FILTER (WHERE won)', 'COUNT(*)', 2)} AS conversion_rate_pct, {_r('AVG(spent)', 2)} AS avg_gmv_60d
+FROM ({rows}) GROUP BY cut, segment, variant""")
+
+
 def q5d(expected: str = "0.5", tolerance: str = "0.02") -> str:
     return _with(f"""{outcomes()}
 SELECT variant, {_n('n')} AS n_enrolled, {_pct('n', 'every', 2)} AS pct_of_total,
@@ -644,6 +659,7 @@ ORACLE: dict[str, str] = {
     "q5c3_account_age": q5c3(),
     "q5d_srm_check": q5d(),
     "q5e_cancellation_guardrail": q5e(),
+    "experiment_read_out": experiment_read_out(),
     "q6a_signup_funnel": q6a(),
     "q6b_ltv_by_cohort": q6b(),
     "q6c_top_accounts_churn": q6c(),

@@ -83,7 +83,8 @@ def _results(m: sources.Marketplace) -> DataFrame:
 
 
 def _cohort(m: sources.Marketplace) -> DataFrame:
-    return experiment.experiment_cohort(m.experiment_assignments, m.corporate_accounts, P.EXPERIMENT)
+    return experiment.persist_results(
+        experiment.experiment_cohort(m.experiment_assignments, m.corporate_accounts, P.EXPERIMENT))
 
 
 def q5a2_experiment_results(m):
@@ -111,13 +112,17 @@ def q5c3_account_age(m):
 
 
 def q5d_srm_check(m):
-    return experiment.srm_check(_cohort(m))
+    return experiment.srm_check(experiment.experiment_cohort(m.experiment_assignments, m.corporate_accounts, P.EXPERIMENT))
 
 
 def q5e_cancellation_guardrail(m):
     return experiment.cancellation_guardrail(_cohort(m), m.orders, P.GMV_DAYS)
 
 
+def experiment_read_out(m):
+    return experiment.read_out_report(experiment.read_out(_results(m), m.orders, P.LAUNCH, P.LOOKBACK_DAYS, P.MIN_PRE_ORDERS))
+
+
 def q6a_signup_funnel(m):
     return ltv.signup_funnel(m.corporate_accounts, m.orders)
 
@@ -160,6 +165,7 @@ REPORTS: dict[str, Report] = {
     "q5c3_account_age": q5c3_account_age,
     "q5d_srm_check": q5d_srm_check,
     "q5e_cancellation_guardrail": q5e_cancellation_guardrail,
+    "experiment_read_out": experiment_read_out,
     "q6a_signup_funnel": q6a_signup_funnel,
     "q6b_ltv_by_cohort": q6b_ltv_by_cohort,
     "q6c_top_accounts_churn": q6c_top_accounts_churn,

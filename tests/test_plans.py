@@ -148,3 +148,58 @@ def test_checkpoints_go_to_the_session_folder(spark):
     assert folder and spark.conf.get("spark.checkpoint.dir") == ensure_checkpoint_dir(spark) in folder
     assert materialize(spark.range(3)).count() == 3
     assert spark.sparkContext.getCheckpointDir() == folder
+
+
+EXPERIMENT_KEYS = ["q5a2_experiment_results", "q5b1_conversion_by_variant", "q5b2_gmv_by_variant", "q5c1_results_by_tier",
+                   "q5c2_power_users", "q5c3_account_age", "q5d_srm_check", "q5e_cancellation_guardrail", "experiment_read_out"]
+
+
+@pytest.mark.parametrize("key", EXPERIMENT_KEYS)
+def test_the_cohort_is_derived_once(spark, canonical, key):
+    counts = scan_counts(CANONICAL[key](spark, canonical))
+    assert counts.get("experiment_assignments", 0) <= 1 and counts.get("corporate_accounts", 0) <= 1
+
+
+def test_read_out_reads_the_result_once(spark, canonical):
+    from platewise.operators import experiment
+    from platewise.plans import params as P
+    m = sources.load(spark, canonical)
+    results = experiment.persist_results(experiment.experiment_results(
+        m.experiment_assignments, m.corporate_accounts, m.orders, P.EXPERIMENT, P.CONV_DAYS, P.GMV_DAYS))
+    text = plan_text(experiment.read_out(results, m.orders, P.LAUNCH, P.LOOKBACK_DAYS, P.MIN_PRE_ORDERS), "simple")
+    assert text.count("Scan ExistingRDD") == 1
+
+
+def test_references_read_each_table_at_most_twice(spark, canonical):
+    counts = scan_counts(CANONICAL["dq_foreign_key"](spark, canonical))
+    assert counts["orders"] == 2 and max(counts.values()) <= 2
+
+
+def test_references_of_several_types_empty_children_and_nulls(spark):
+    tables = {"a": spark.createDataFrame([(1, "x"), (2, None), (None, "y")], "k long, t string"),
+              "b": spark.createDataFrame([], "k long"), "p": spark.createDataFrame([(1,), (1,), (3,)], "id long"),
+              "s": spark.createDataFrame([("x",)], "id string")}
+    got = quality.foreign_key_check(tables, [("a", "k", "p", "id"), ("a", "t", "s", "id"), ("b", "k", "p", "id")])
+    assert {(r["table_name"], r["rule"], r["n_checked"], r["n_violations"]) for r in got.collect()} == {
+        ("a", "k references p(id)", 2, 1), ("a", "t references s(id)", 2, 1), ("b", "k references p(id)", 0, 0)}
+
+
+def test_a_hot_account_of_the_cohort_is_spread_by_week(spark):
+    """One enrolled account holds a third of all orders: no task of the semi join has over twice the median's rows."""
+    from platewise.operators import experiment
+    orders = spark.range(30_000).select(
+        F.col("id").alias("order_id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 997 + 2).alias("account_id"),
+        F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 360 as int))").alias("placed_at"))
+    cohort = spark.range(1, 1000).select(F.col("id").alias("account_id"), F.expr("date'2024-01-01'").alias("enrollment_date"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = experiment.cohort_orders(orders, experiment.persist_results(cohort), 359)
+        assert kept.count() == 30_000
+        shuffled = re.search(r"hashpartitioning\(account_id#\d+L, .*FLOOR", plan_text(kept, "simple"))
+        assert shuffled, plan_text(kept, "simple")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    tasks = orders.repartition(8, "account_id", experiment._bin(F.to_date("placed_at"))).groupBy(F.spark_partition_id().alias("p")).count()
+    rows = sorted(r["count"] for r in tasks.collect())
+    assert len(rows) == 8 and rows[-1] <= 2 * rows[len(rows) // 2]
