@@ -10,6 +10,9 @@ Consecutive documents form a block, which numbers its distinct words; a document
 becomes the numbers of its words.  A block asks each bucket for its words on one
 page, and the ids come back as a page.  So neither texts nor occurrences
 of words are shuffled as such, but numbers and pages, packed with zstandard.
+Both the pages and the documents come from one shuffle by block.  Should Spark
+make parts of it anew from rows in another order, a block's numbers could
+differ; a seal over its words, in all of its rows, makes the job fail then.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ WORD = re.compile(" ( *[^ ]*)")
 #: Characters that normalising models change, and white space that they drop.
 PROBE = " ﬁ①Å  Ａ 　x \t\n y  "
 #: Bytes of text in a block, which has the rest of the batch that passes them as well.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Distinct words that a worker remembers at a time.
 MEMO = 500_000
 
@@ -97,44 +100,55 @@ def unpacked(data: bytes, dtype: str) -> np.ndarray:
 
 
 #: Rows with the words a block asks a bucket for, and (with ``doc_ids`` set) rows of documents as numbers of words.
-CODED = {"block": pa.int64(), "bucket": pa.int32(), "words": pa.binary(), "numbers": pa.binary(),
+CODED = {"block": pa.int64(), "seal": pa.int64(), "bucket": pa.int32(), "words": pa.binary(), "numbers": pa.binary(),
          "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int32()), "places": pa.binary()}
-CODED_SCHEMA = "block long, bucket int, words binary, numbers binary, doc_ids array<long>, lengths array<int>, places binary"
+CODED_SCHEMA = "block long, seal long, bucket int, words binary, numbers binary, doc_ids array<long>, lengths array<int>, places binary"
 
 
 def _code(buckets: int, block_bytes: int):
-    def asked(block: int, numbers: dict[str, int]):
+    def row(**values):
+        return common.batch({c: [values.get(c)] for c in CODED}, CODED)
+
+    def rows(block: int, numbers: dict[str, int], docs: list[dict]):
         import zstandard
 
+        seal = len(numbers) << 32 | zlib.crc32(MARK.join(numbers).encode())
         pages: dict[int, list[str]] = {}
         for word in numbers:
             pages.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
         for bucket, words in pages.items():
             at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
             # words have no marker inside, so it can stand between them; numbers ascend, their steps are small
-            yield common.batch({"block": [block], "bucket": [bucket], "words": [zstandard.compress(MARK.join(words).encode())],
-                                "numbers": [packed(np.diff(at, prepend=0), "<u4")], "doc_ids": [None], "lengths": [None], "places": [None]}, CODED)
+            yield row(block=block, seal=seal, bucket=bucket, words=zstandard.compress(MARK.join(words).encode()),
+                      numbers=packed(np.diff(at, prepend=0), "<u4"))
+        for doc in docs:
+            yield row(block=block, seal=seal, **doc)
 
     def run(batches):
         from pyspark import TaskContext
 
-        block, size = TaskContext.get().partitionId() << 32, 0
+        block, size, docs = TaskContext.get().partitionId() << 32, 0, []
         numbers: dict[str, int] = defaultdict(itertools.count().__next__)
         for b in batches:
             places = []
             for text in b["text"]:
                 words = marked_words(text.as_py())
                 places.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-            yield common.batch({"block": [block], "bucket": [None], "words": [None], "numbers": [None], "doc_ids": [b["doc_id"].to_pylist()],
-                                "lengths": [[len(p) for p in places]], "places": [packed(np.concatenate(places), "<u4")]}, CODED)
+            docs.append({"doc_ids": b["doc_id"].to_pylist(), "lengths": [len(p) for p in places],
+                         "places": packed(np.concatenate(places), "<u4")})
             size += b["text"].nbytes
             if size >= block_bytes:
-                yield from asked(block, numbers)
-                block, size, numbers = block + 1, 0, defaultdict(itertools.count().__next__)
-        yield from asked(block, numbers)
+                yield from rows(block, numbers, docs)
+                block, size, docs, numbers = block + 1, 0, [], defaultdict(itertools.count().__next__)
+        yield from rows(block, numbers, docs)
     return run
 
 
+def _pages(batches):
+    for b in batches:
+        yield b.filter(b["bucket"].is_valid()).select(["block", "seal", "bucket", "words", "numbers"])
+
+
 def _answer(path: str):
     def run(batches):
         import zstandard
@@ -152,8 +166,8 @@ def _answer(path: str):
                 out["ids"].append(packed(np.frombuffer(b"".join(parts), "<u4"), "<u4"))
                 if len(known) > MEMO:
                     known = {}
-            arrays = [b["block"], b["bucket"], b["numbers"], *[pa.array(v, pa.binary()) for v in out.values()]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["block", "bucket", "numbers", *out])
+            arrays = [b["block"], b["seal"], b["numbers"], *[pa.array(v, pa.binary()) for v in out.values()]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["of_block", "seal", "numbers", *out])
     return run
 
 
@@ -182,21 +196,24 @@ class Answers:
         return self.flat[np.repeat(self.starts[places] - (ends - n), n) + np.arange(n.sum())], n
 
 
-def _join_back(batches):
-    block, answers = None, Answers()
-    for b in batches:
-        for row in range(b.num_rows):
-            get = lambda c: b[c][row].as_py()  # noqa: E731, B023
-            if get("block") != block:
-                block, answers = get("block"), Answers()
-            if get("bucket") is not None:
-                answers.add(get("numbers"), get("counts"), get("ids"))
-                continue
-            ids, n = answers.at(unpacked(get("places"), "<u4").astype(np.int64))
-            before = np.concatenate([[0], np.cumsum(n)])
-            words = np.concatenate([[0], np.cumsum(b["lengths"][row].values.to_numpy())])
-            lists = pa.ListArray.from_arrays(before[words].astype(np.int32), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([b["doc_ids"][row].values, lists], names=["doc_id", "ids"])
+def _join_back(coded, pages):
+    seals = set(coded["seal"].to_pylist()) | set(pages["seal"].to_pylist())
+    if len(seals) > 1:
+        raise RuntimeError("a block was read in two versions: give the operator a stored table")
+    answers, out = Answers(), []
+    for numbers, counts, ids in zip(*(pages[c].to_pylist() for c in ("numbers", "counts", "ids")), strict=True):
+        answers.add(numbers, counts, ids)
+    docs = coded.filter(coded["doc_ids"].is_valid())
+    for doc_ids, lengths, places in zip(docs["doc_ids"], docs["lengths"], docs["places"], strict=True):
+        ids, n = answers.at(unpacked(places.as_py(), "<u4").astype(np.int64))
+        before = np.concatenate([[0], np.cumsum(n)])
+        words = np.concatenate([[0], np.cumsum(lengths.values.to_numpy())])
+        lists = pa.ListArray.from_arrays(before[words].astype(np.int32), pa.array(ids))
+        out.append(pa.RecordBatch.from_arrays([doc_ids.values, lists], schema=ENCODED))
+    return pa.Table.from_batches(out, ENCODED)
+
+
+ENCODED = pa.schema({"doc_id": pa.int64(), "ids": pa.list_(pa.int32())})
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -206,15 +223,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     ids; repeated rows and null ids each give their row.
     """
     rows = common.id_text(docs, id_col, text_col)
-    # stored, so that all readers see the same blocks
-    coded = common.staged(common.map_arrow(rows, _code(common.shuffle_parts(docs.sparkSession), block_bytes), CODED_SCHEMA), "marked-words")
-    asked = coded.filter("bucket IS NOT NULL").select("block", "bucket", "words", "numbers").repartition("bucket")
-    answers = common.map_arrow(asked, _answer(path), "block long, bucket int, numbers binary, counts binary, ids binary")
-    placed = coded.filter("bucket IS NULL").select("block", "bucket", "doc_ids", "lengths", "places")
-    met = answers.unionByName(placed, allowMissingColumns=True)
-    # a block's answers come before its documents
-    met = met.repartition("block").sortWithinPartitions("block", F.col("bucket").asc_nulls_last())
-    return common.map_arrow(met, _join_back, "doc_id long, ids array<int>")
+    # one shuffle that both sides read: no filter or selection of columns in Spark may come between
+    coded = common.map_arrow(rows, _code(common.shuffle_parts(docs.sparkSession), block_bytes), CODED_SCHEMA).repartition("block")
+    asked = common.map_arrow(coded, _pages, "block long, seal long, bucket int, words binary, numbers binary").repartition("bucket")
+    answers = common.map_arrow(asked, _answer(path), "of_block long, seal long, numbers binary, counts binary, ids binary")
+    return coded.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(_join_back, "doc_id long, ids array<int>")
 
 
 def _decode(path: str):

@@ -85,3 +85,10 @@ def test_other_models_are_refused(monkeypatch, library):
     monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", lambda model_file: Crossing())
     with pytest.raises(ValueError, match="crosses"):
         sentencepieces.model(f"other-{random.random()}")
+
+
+def test_blocks_come_from_one_shuffle(spark, path):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    encoded = sentencepieces.encode(docs, path)
+    encoded.collect()
+    assert "ReusedExchange" in encoded._jdf.queryExecution().executedPlan().toString()
