@@ -33,7 +33,7 @@ from . import common, sentencepieces
 CUT = re.compile(f"(?<=[^\\s{sentencepieces.MARK}]) ")
 #: Texts that have spaces of another kind.
 ODD_SPACE = re.compile(f"(?:^|[\\s{sentencepieces.MARK}]) ")
-#: Words that a worker remembers, and the longest of them.
+#: Words that a worker remembers (twice as many at most), and the longest of them.
 MEMO, MEMO_CHARS = 300_000, 64
 #: Words that are given to a tokenizer in one text.
 TOGETHER = 512
@@ -80,46 +80,82 @@ class Pair:
         self.a = Vocabulary([bytes([alphabet[c] for c in name if c in alphabet]) for name in names])
         self.b = Vocabulary([sentencepieces.piece_bytes(self.pieces, i) for i in range(self.pieces.get_piece_size())])
         self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.unspelled: set[str] = set()
 
-    def _together(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The ids of words that follow each other in one text, cut where the bytes of each word end."""
+    def _together(self, words: list[str]) -> list[tuple[bytes, bytes]] | None:
+        """The ids of words that follow each other in one text, cut where the bytes of each word end;
+        nothing if a tokenizer doesn't spell that text."""
         text, ends = "".join([" " + w for w in words]), np.cumsum([len(w.encode()) + 1 for w in words])
         sides = []
         for ids, vocabulary in ((self.byte_level.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.a),
                                 (self.pieces.encode(text[1:]), self.b)):
             ids = np.array(ids, np.int32)
+            if vocabulary.text(ids) != text.encode():
+                return None
             cuts = np.searchsorted(np.cumsum(vocabulary.sizes[ids]), ends, side="right").tolist()
             data, width = ids.tobytes(), ids.itemsize
             sides.append([data[lo * width:hi * width] for lo, hi in zip([0, *cuts], cuts, strict=False)])
         return list(zip(*sides, strict=True))
 
+    def _alone(self, word: str) -> tuple[bytes, bytes]:
+        data = (" " + word).encode()
+        a = np.array(self.byte_level.encode_batch_fast([" " + word], add_special_tokens=False)[0].ids, np.int32)
+        b = np.array(sentencepieces.segment(self.pieces, [word])[0], np.int32)
+        if self.a.text(a) != data or self.b.text(b) != data:
+            self.unspelled.add(word)
+        return a.tobytes(), b.tobytes()
+
     def _learn(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        # words that a tokenizer doesn't spell, or that don't end where the next one's space begins, go alone
+        # words with a marker inside, or that don't end where the next one's space begins, go alone
         alone = [w for w in words if not w or sentencepieces.MARK in w or w[-1].isspace()]
         usual = list(set(words).difference(alone))
         out = {}
         for at in range(0, len(usual), TOGETHER):
             run = usual[at:at + TOGETHER]
-            out.update(zip(run, self._together(run), strict=True))
-        for w in alone:
-            a = self.byte_level.encode_batch_fast([" " + w], add_special_tokens=False)[0].ids
-            out[w] = np.array(a, np.int32).tobytes(), np.array(sentencepieces.segment(self.pieces, [w])[0], np.int32).tobytes()
+            got = self._together(run)
+            if got is None:
+                alone += run
+            else:
+                out.update(zip(run, got, strict=True))
+        out.update([(w, self._alone(w)) for w in alone])
         return out
 
+    def _ids(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """The ids of distinct words by both sides, remembered or learned."""
+        found = list(map(self.memo.get, words))
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        fresh = {w: self.older[w] for w in new if w in self.older}
+        fresh |= self._learn([w for w in new if w not in fresh])
+        # words that aren't spelled aren't remembered, so each batch sees them anew
+        self.memo.update((w, ids) for w, ids in fresh.items() if len(w) <= MEMO_CHARS and w not in self.unspelled)
+        if len(self.memo) > MEMO:  # what isn't met again meanwhile goes
+            self.older, self.memo = self.memo, {}
+        return [fresh[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The ids of a space and the text by the first, and of the text by the second; none for the empty text."""
+        """For either side the ids of all texts one after another (a space and the text; the text), and
+        their number in each text: none in the empty text and in one that a tokenizer doesn't spell."""
+        self.unspelled = set()
         cut = [[] if not t else CUT.split(t) if ODD_SPACE.search(t) or t[-1] == " " else t.split(" ") for t in texts]
-        known = {w: self.memo.get(w) for w in set(itertools.chain.from_iterable(cut))}
-        fresh = self._learn([w for w, ids in known.items() if ids is None])
-        known |= fresh
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo = {}
-        self.memo.update((w, ids) for w, ids in fresh.items() if len(w) <= MEMO_CHARS)
-        out = []
-        for words in cut:
-            found = list(map(known.__getitem__, words))
-            out.append((np.frombuffer(b"".join([a for a, _ in found]), np.int32), np.frombuffer(b"".join([b for _, b in found]), np.int32)))
-        return out
+        coded = pa.array(list(itertools.chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        known = self._ids(words)
+        places, in_text = coded.indices.to_numpy(), np.array([len(c) for c in cut], np.int64)
+        if self.unspelled:
+            spelled = np.array([self.unspelled.isdisjoint(c) for c in cut])
+            places, in_text = places[np.repeat(spelled, in_text)], in_text * spelled
+        ends = np.cumsum(in_text)
+        return [_gathered([ids[side] for ids in known], places, ends) for side in (0, 1)]
+
+
+def _gathered(known: list[bytes], places: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words at ``places`` one after another, and their number in each text, whose words end at ``ends``."""
+    ids, sizes = np.frombuffer(b"".join(known), np.int32), np.array([len(k) // 4 for k in known], np.int64)
+    starts, n = np.cumsum(sizes) - sizes, sizes[places]
+    through = np.concatenate([[0], np.cumsum(n)])
+    flat = ids[np.repeat(starts[places] - through[:-1], n) + np.arange(through[-1])]
+    return flat, np.diff(through[ends], prepend=0)
 
 
 @functools.cache
@@ -152,18 +188,9 @@ class Aligned:
 
 def align(both: Pair, texts: list[str]) -> Aligned:
     """Overlaps and groups of a batch.  Texts whose tokens don't spell a space and the text have no tokens."""
-    none = np.empty(0, np.int32)
-    ids, size = [], []
-    for text, (a, b) in zip(texts, both.encode(texts), strict=True):
-        data = (" " + text).encode()
-        same = bool(text) and both.a.text(a) == data and both.b.text(b) == data
-        ids.append((a, b) if same else (none, none))
-        size.append(len(data) if same else 0)
-    numbers = np.arange(len(texts))
     sides = []
-    for k, vocabulary in enumerate((both.a, both.b)):
-        all_ids = np.concatenate([x[k] for x in ids] or [none])
-        doc = np.repeat(numbers, [len(x[k]) for x in ids])
+    for k, ((all_ids, counts), vocabulary) in enumerate(zip(both.encode(texts), (both.a, both.b), strict=True)):
+        doc = np.repeat(np.arange(len(texts)), counts)
         ends = np.cumsum(vocabulary.sizes[all_ids])  # the texts one after another: in order for merge_asof
         starts = ends - vocabulary.sizes[all_ids]
         sides.append((all_ids, doc, ends, pd.DataFrame({"doc": doc, "at": starts, "ab"[k]: np.arange(len(all_ids)), "ab"[k] + "_at": starts})))
