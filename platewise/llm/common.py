@@ -36,6 +36,22 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                      F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def carried(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """All columns renamed ``c_...``, and the name of the one with the text (null for none).
+
+    A text goes to Python and back once; only one that isn't a string gets a column of its own.
+    """
+    own = docs.select(*[docs[f"`{c}`"].alias(f"c_{c}") for c in docs.columns])
+    if dict(docs.dtypes)[text_col] == "string":
+        return own, f"c_{text_col}"
+    return own.withColumn("text", F.col(f"`c_{text_col}`").cast("string")), "text"
+
+
+def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
+    """The texts of a batch, null ones as empty ones."""
+    return [t or "" for t in batch[name].to_pylist()]
+
+
 #: Most rows and bytes that go to a Python worker at once; Spark's own limits (10,000 rows, 64 MB)
 #: let a few long texts fill an executor's memory outside the heap.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 8 << 20

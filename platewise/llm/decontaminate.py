@@ -326,10 +326,10 @@ def _report(block: Block, limits: tuple[float, float, float]):
     return run
 
 
-def _clean(block: Block, limits: tuple[float, float, float]):
+def _clean(block: Block, limits: tuple[float, float, float], name: str):
     def run(batches):
         for b in common.slices(batches, 64):
-            held = {text for text, *_ in found_in(block, b["_text"].to_pylist(), *limits)}
+            held = {text for text, *_ in found_in(block, common.texts_of(b, name), *limits)}
             yield b.filter(pa.array([i not in held for i in range(b.num_rows)], pa.bool_()))
     return run
 
@@ -357,11 +357,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 256, least
                    least_answer: float = 0.5, block_words: int = 20_000, text_col: str = "text", item_col: str = "item_id",
                    item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, unchanged."""
-    own = docs.select(*[docs[f"`{c}`"].alias(f"c_{c}") for c in docs.columns],
-                      F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
+    own, text = common.carried(docs, text_col)
     schema = ", ".join(f"`{c}` {kind}" for c, kind in own.dtypes)
-    idf = inverse_frequencies(own.select(F.col("_text").alias("text")))
+    idf = inverse_frequencies(own.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")))
     for items in item_blocks(benchmark, block_words, item_col, item_text_col):
         block = prepared(docs.sparkSession, items, idf, rank)
-        own = common.map_arrow(own, _clean(block, (least_cosine, least_overlap, least_answer)), schema)
+        own = common.map_arrow(own, _clean(block, (least_cosine, least_overlap, least_answer), text), schema)
     return own.select(*[F.col(f"`c_{c}`").alias(c) for c in docs.columns])

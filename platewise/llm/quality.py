@@ -130,10 +130,10 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, bound
     return fit(*labelled(docs, labels, where, bound=bound, **columns))
 
 
-def _scores(keep: list[str], model: Model):
+def _scores(keep: list[str], model: Model, text: str = "text"):
     def run(batches):
         for b in common.slices(batches):
-            x = np.array([features(t) for t in b["text"].to_pylist()]).reshape(b.num_rows, 1 + len(FEATURES))
+            x = np.array([features(t) for t in common.texts_of(b, text)]).reshape(b.num_rows, 1 + len(FEATURES))
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(model.score(x), pa.float64())], names=[*keep, "score"])
     return run
 
@@ -149,9 +149,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text scores ``least`` or more, unchanged."""
-    own = docs.select(*[docs[f"`{c}`"].alias(f"c_{c}") for c in docs.columns],
-                      F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    own, text = common.carried(docs, text_col)
     keep = [f"c_{c}" for c in docs.columns]
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in own.dtypes if c != "text")
-    scored = common.map_arrow(own, _scores(keep, model), f"{schema}, score double")
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in own.dtypes if c in keep)
+    scored = common.map_arrow(own, _scores(keep, model, text), f"{schema}, score double")
     return scored.filter(F.col("score") >= least).select(*[F.col(f"`c_{c}`").alias(c) for c in docs.columns])

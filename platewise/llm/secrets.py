@@ -68,18 +68,19 @@ def candidates(text: str) -> tuple[list[dict], list[dict]]:
     return scoped(base), scoped(weak)
 
 
-def _scan(keep: list[str]):
+def _scan(keep: list[str], name: str = "text"):
     def run(batches):
         for b in common.slices(batches):
-            both = [candidates(t) for t in b["text"].to_pylist()]
+            both = [candidates(t) for t in common.texts_of(b, name)]
             spans = [pa.array([x[i] for x in both], pa.list_(_SPAN)) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], *spans], names=[*keep, "base", "weak"])
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, name: str = "text") -> DataFrame:
     # rows equal in id and text have equal findings, so this key needs no row number
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).withColumn("_size", F.octet_length("text"))
+    text = F.coalesce(F.col(f"`{name}`"), F.lit(""))
+    return docs.withColumn("_key", F.xxhash64("doc_id", text)).withColumn("_size", F.octet_length(text))
 
 
 _KEYS = ["doc_id", "_key", "_size"]
@@ -155,11 +156,11 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _redact(columns: list[str], text_col: str):
+def _redact(columns: list[str], text_col: str, name: str):
     def run(batches):
         for b in common.slices(batches):
             texts = [redacted(t, [(s["start"], s["end"], s["kind"]) for s in spans])
-                     for t, spans in zip(b["text"].to_pylist(), b["spans"].to_pylist(), strict=True)]
+                     for t, spans in zip(common.texts_of(b, name), b["spans"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts) if c == text_col else b[f"c_{c}"] for c in columns], names=columns)
     return run
 
@@ -170,16 +171,14 @@ def redact(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col:
     All rows stay; rows without findings stay as they are (a null text stays
     null).  Only rows with weak candidates are joined with their links.
     """
-    own = docs.select(*[docs[f"`{c}`"].alias(f"c_{c}") for c in docs.columns], docs[id_col].cast("long").alias("doc_id"),
-                      F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    rows, keep = _keyed(own), [f"c_{c}" for c in docs.columns if c != text_col]
+    own, name = common.carried(docs, text_col)
+    rows = _keyed(own.withColumn("doc_id", F.col(f"`c_{id_col}`").cast("long")), name)
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keep, f"c_{text_col}", *_KEYS, "text"])
-    found = common.staged(common.map_arrow(rows, _scan([*keep, f"c_{text_col}", *_KEYS, "text"]),
-                                           f"{schema}, base array<{SPAN}>, weak array<{SPAN}>"), "secrets-texts")
+    found = common.staged(common.map_arrow(rows, _scan(rows.columns, name), ", ".join(f"`{c}` {k}" for c, k in kinds.items())
+                                           + f", base array<{SPAN}>, weak array<{SPAN}>"), "secrets-texts")
     back = [F.col(f"`c_{c}`").alias(c) for c in docs.columns]
     clean = found.filter(F.size("base") == 0).select(*back)
     marked = _with_linked(found.filter(F.size("base") > 0), window)
     types = dict(docs.dtypes)
     out = ", ".join(f"`{c}` {'string' if c == text_col else types[c]}" for c in docs.columns)
-    return clean.unionByName(common.map_arrow(marked, _redact(docs.columns, text_col), out))
+    return clean.unionByName(common.map_arrow(marked, _redact(docs.columns, text_col, name), out))
