@@ -9,18 +9,15 @@ a link is confirmed on the full shingle sets.
 
 Hot groups: documents with equal sets are one class, whatever their number.
 Within a bucket the members are compared with one pivot, the member whose
-buckets are fullest, which joins a group of near copies in one step.  Two
-members x, y of different components could still be alike, and the pivot's
-comparison tells which, exactly.  With i the overlap with the pivot,
-
-    |x & y| <= min(i_x, i_y) + (shingles that both have and the pivot lacks),
-
-so either both overlaps with the pivot are as large as a link needs, which
-leaves few pairs by size, or x and y share a shingle that the pivot lacks,
-and by prefix filtering one among the first fifth of their shingles.  Members
-that share such a shingle form new buckets with pivots of their own; what
-shares one there too, is in different components, and has signatures that a
-link's could be, is compared on the full sets.
+buckets are fullest, which joins a group of near copies in one step.  Members
+that are then in different components of one bucket are open: two of them could
+still be alike.  Alike sets share a shingle among the first fifth of each, in
+any common order, so open members meet by prefix filtering.  The order is by how
+many open members hold a shingle: what only one member holds comes first and
+meets nobody, and what a large family shares comes last.  Shingles that the
+same members hold, as those of a shared passage, are one key.  What meets, has
+sizes that allow a link and signatures that a link's could be, is compared on
+the full sets.
 """
 
 from __future__ import annotations
@@ -31,7 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -164,44 +161,39 @@ def _signatures(k: int, bands: int, per_band: int, seed: int):
     return run
 
 
-def _compare(k: int, percent: int):
-    """Streams over groups, in each of which the pivot's row comes first: overlap, sizes, and first shingles that the pivot lacks."""
+def _compare(k: int):
+    """Streams over groups, in each of which the pivot's row comes first: overlaps and sizes."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         group, pivot = None, None
         for b in common.slices(batches):
-            out = {"pivot": [], "member": [], "inter": [], "n_pivot": [], "n": [], "first": []}
-            for head, part, member, crowd, text in zip(*[b[c].to_pylist() for c in ("pivot", "part", "member", "crowd", "text")], strict=True):
+            out = {"pivot": [], "member": [], "inter": [], "n_pivot": [], "n": []}
+            for head, part, member, text in zip(*[b[c].to_pylist() for c in ("pivot", "part", "member", "text")], strict=True):
                 own = shingles(text, k)
                 if (head, part) != group:
                     group, pivot = (head, part), own
                     continue
                 inter = len(np.intersect1d(pivot, own, assume_unique=True))
-                first = np.setdiff1d(own, pivot, assume_unique=True)[:(100 - percent) * len(own) // 100 + 1] if crowd else own[:0]
-                for name, value in zip(out, (head, member, inter, len(pivot), len(own), first.view(np.int64)), strict=True):
+                for name, value in zip(out, (head, member, inter, len(pivot), len(own)), strict=True):
                     out[name].append(value)
-            types = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+            yield common.batch(out, dict.fromkeys(out, pa.int64()))
     return run
 
 
-def compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, per_part: int = 1000) -> DataFrame:
-    """The full shingle sets of ``pairs (pivot, member, crowd)`` compared: ``pivot, member, inter, n_pivot, n, first``.
+def compared(pairs: DataFrame, texts: DataFrame, k: int, per_part: int = 1000) -> DataFrame:
+    """The full shingle sets of ``pairs (pivot, member)`` compared: ``pivot, member, inter, n_pivot, n``.
 
-    ``first`` holds, for a member of a crowd, those of its shingles that the
-    pivot lacks and that have the smallest hashes, as many as prefix filtering
-    needs.  A pivot's members are dealt over parts of about ``per_part``, each
-    with its copy of the pivot's text.
+    A pivot's members are dealt over parts of about ``per_part``, each with its
+    copy of the pivot's text.
     """
     pairs = common.staged(pairs, "pairs")
     sizes = pairs.groupBy(F.col("pivot").alias("p")).agg(F.ceil(F.count(F.lit(1)) / per_part).cast("int").alias("parts"))
     heads = sizes.select(F.col("p").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     members = pairs.join(sizes, pairs["pivot"] == sizes["p"]).withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
-    rows = (members.join(texts, members["member"] == texts["doc_id"]).select("pivot", "part", "member", "crowd", "text")
+    rows = (members.join(texts, members["member"] == texts["doc_id"]).select("pivot", "part", "member", "text")
             .unionByName(heads.join(texts, heads["pivot"] == texts["doc_id"])
-                         .select("pivot", "part", F.lit(None).cast("long").alias("member"), F.lit(False).alias("crowd"), "text")))
+                         .select("pivot", "part", F.lit(None).cast("long").alias("member"), "text")))
     ordered = rows.repartition(F.col("pivot"), F.col("part")).sortWithinPartitions("pivot", "part", F.col("member").asc_nulls_first())
-    return common.staged(common.map_arrow(ordered, _compare(k, percent),
-                                          "pivot long, member long, inter long, n_pivot long, n long, first array<long>"), "compared")
+    return common.staged(common.map_arrow(ordered, _compare(k), "pivot long, member long, inter long, n_pivot long, n long"), "compared")
 
 
 def _alike(inter, n_a, n_b, percent: int):
@@ -235,82 +227,67 @@ def _with_company(buckets: DataFrame) -> DataFrame:
     return common.staged(own.join(pivots, own["key"] == pivots["k"]).select("key", "node", "size", (-F.col("top.minus")).alias("pivot")), "pivots")
 
 
-def _close_by_size(family: DataFrame, values: int, percent: int) -> DataFrame:
-    """Pairs of a family, in different components, whose overlaps with the pivot both are as large as a link needs.
-
-    Of such a pair one member isn't linked with the pivot, and the other is
-    smaller than the pivot by so much that a range of sizes remains, which is
-    joined in steps of a twentieth of the size.
-    """
-    sizes = lambda n: F.floor(F.log(n.cast("double")) * 20).cast("int")
-    stray = family.filter(~_alike(F.col("inter"), F.col("n_pivot"), F.col("n"), percent))
-    # percent * (n + m) <= (100 + percent) * inter bounds m, the other one's size
-    most = F.floor((F.col("inter") * (100 + percent) - F.col("n") * percent) / percent)
-    least = F.ceil(F.col("n") * percent / 100)
-    stray = (stray.withColumn("most", most).filter(F.col("most") >= least)
-             .select(F.col("pivot").alias("p"), F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"),
-                     F.col("inter").alias("i_a"), F.col("sketch").alias("s_a"), "most", F.explode(F.sequence(sizes(least), sizes(F.col("most")))).alias("step")))
-    other = family.withColumn("o_step", sizes(F.col("n")))
-    both = F.least(F.col("i_a"), F.col("inter")) * (100 + percent) >= (F.col("n_a") + F.col("n")) * percent
-    return (stray.join(other, (stray["p"] == other["pivot"]) & (stray["step"] == other["o_step"]))
-            .filter((F.col("c_a") != F.col("component")) & (F.col("n") <= F.col("most")) & both & _may_be_alike(F.col("s_a"), F.col("sketch"), values, percent))
-            .select(F.least("a", "node").alias("pivot"), F.greatest("a", "node").alias("member"), F.lit(False).alias("crowd")).distinct())
-
-
 def _mixed(placed: DataFrame) -> DataFrame:
     """Rows of ``placed (key, node, component, ..)`` whose key has nodes of several components."""
     ends = placed.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
     return placed.join(ends.filter("low <> high"), placed["key"] == F.col("k"), "left_semi")
 
 
-def _families(buckets: DataFrame, found: DataFrame, facts: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Members of the buckets that are still in several components, with their comparison with the pivot."""
+def _sets(k: int):
+    """The shingles of each text."""
+    def run(batches):
+        for b in common.slices(batches):
+            sets, starts = shingle_sets(b["text"].to_pylist(), k)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.diff(starts), pa.int64()),
+                                              pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(sets.view(np.int64)))],
+                                             names=["node", "n", "shingles"])
+    return run
+
+
+def _open(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """``node, component`` of the members of buckets that have several components."""
     # a pair is settled by its comparison; in a bucket of one component there is nothing left to find
     placed = buckets.filter("size > 2").join(found.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node"), "left") \
-        .select("key", "node", "pivot", F.coalesce("component", "node").alias("component"))
-    open_ = _mixed(placed).select("pivot", "node", "component").distinct()
-    own = facts.withColumnsRenamed({"pivot": "f_pivot", "member": "f_member"})
-    return common.staged(open_.join(own, (open_["pivot"] == own["f_pivot"]) & (open_["node"] == own["f_member"]))
-                         .drop("f_pivot", "f_member").join(sketches, F.col("node") == F.col("s_node")).drop("s_node"), "families")
+        .select("key", "node", F.coalesce("component", "node").alias("component"))
+    return common.staged(_mixed(placed).select("node", "component").distinct(), "open")
+
+
+def _meeting(open_: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, percent: int, values: int) -> DataFrame:
+    """Pairs of open members in different components that prefix filtering, sizes and sketches leave."""
+    sets = common.staged(common.map_arrow(texts.join(open_.select("node"), texts["doc_id"] == F.col("node"), "left_semi"), _sets(k),
+                                          "node long, n long, shingles array<long>"), "open-sets")
+    held = sets.select("node", "n", F.explode("shingles").alias("s"))
+    shared = (held.groupBy(F.col("s").alias("h_s")).agg(F.count(F.lit(1)).alias("holders"), F.bit_xor(F.xxhash64("node")).alias("who"))
+              .filter("holders > 1"))
+    common_ones = held.join(shared, held["s"] == shared["h_s"]).drop("h_s")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("holders", "who", "s"))
+    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node"))  # these come first
+    first = (common_ones.withColumns({"rank": rank, "alone": alone})
+             .filter(F.col("rank") <= F.floor(F.col("n") * (100 - percent) / 100) + 1 - F.col("alone"))
+             .select(F.xxhash64("holders", "who").alias("key"), "node", "n", (F.col("n") - F.col("alone")).alias("n_held")).distinct())
+    own = open_.withColumnRenamed("node", "p_node")
+    placed = first.join(own, first["node"] == own["p_node"]).drop("p_node").join(sketches, F.col("node") == F.col("s_node")).drop("s_node")
+    left = common.staged(_mixed(placed), "prefixes")
+    other = left.withColumnsRenamed({c: f"o_{c}" for c in left.columns})
+    # the overlap is no larger than what either one shares with any other
+    fits = _alike(F.least("n_held", "o_n_held"), F.col("n"), F.col("o_n"), percent)
+    return (left.join(other, (left["key"] == other["o_key"]) & (left["node"] < other["o_node"]) & (left["component"] != other["o_component"]) & fits
+                      & _may_be_alike(left["sketch"], other["o_sketch"], values, percent))
+            .select(F.col("node").alias("pivot"), F.col("o_node").alias("member")).distinct())
 
 
 def _linked_nodes(classes: DataFrame, texts_of, k: int, percent: int, values: int) -> DataFrame:
-    """Components of the classes' nodes.
-
-    Two levels of pivots (see the module's text): the bands' buckets, and the
-    buckets of shingles that a pivot lacks.  What shares such a shingle on both
-    levels and is still in different components is compared pair by pair.
-    """
+    """Components of the classes' nodes: pivots in the bands' buckets, then the open members (see the module's text)."""
     buckets = _with_company(classes.select("node", F.explode("keys").alias("key")))
     texts = texts_of(buckets)
+    links = _links(compared(buckets.filter("node <> pivot").select("pivot", F.col("node").alias("member")).distinct(), texts, k), percent)
+    found = components(links)
+    open_ = _open(buckets, found)
+    if open_.isEmpty():
+        return found
     sketches = classes.groupBy(F.col("node").alias("s_node")).agg(F.first("sketch").alias("sketch"))
-    links = None
-    for level in (0, 1):
-        pairs = (buckets.filter("node <> pivot").groupBy("pivot", F.col("node").alias("member"))
-                 .agg(F.max(F.col("size") > 2).alias("crowd")))
-        facts = compared(pairs, texts, k, percent)
-        links = _links(facts, percent) if links is None else links.unionByName(_links(facts, percent))
-        found = components(links)
-        family = _families(buckets, found, facts, sketches)
-        if family.isEmpty():
-            return found
-        links = links.unionByName(_links(compared(_close_by_size(family, values, percent), texts, k, percent), percent))
-        found = components(links)
-        lacking = (family.drop("component").join(found.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node"), "left")
-                   .select("node", "n", "sketch", F.coalesce("component", "node").alias("component"), F.explode("first").alias("s"), "pivot")
-                   .withColumn("key", F.xxhash64("pivot", "s")))
-        deeper = common.staged(_mixed(lacking).select("key", "node", "n", "sketch", "component"), "deeper")
-        if deeper.isEmpty():
-            return found
-        if level == 0:
-            buckets = _with_company(deeper.select("key", "node"))
-    other = deeper.withColumnsRenamed({c: f"o_{c}" for c in deeper.columns})
-    fits = F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent
-    rest = (deeper.join(other, deeper["key"] == other["o_key"])
-            .filter((F.col("node") < F.col("o_node")) & (F.col("component") != F.col("o_component")) & fits
-                    & _may_be_alike(F.col("sketch"), F.col("o_sketch"), values, percent))
-            .select(F.col("node").alias("pivot"), F.col("o_node").alias("member"), F.lit(False).alias("crowd")).distinct())
-    return components(links.unionByName(_links(compared(rest, texts, k, percent), percent)))
+    more = _links(compared(_meeting(open_, texts, sketches, k, percent, values), texts, k), percent)
+    return components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, permutations_per_band: int = 2,

@@ -112,3 +112,16 @@ def test_components_of_links(spark):
         for n in joined:
             parent[n] = joined
     assert got == {n: min(g) for n, g in parent.items() if len(g) > 1}
+
+
+def test_family_that_shares_a_fifth_and_passages_shared_by_many(spark):
+    rng = random.Random(8)
+    middle, passages = prose(40, 70), [prose(45, 80 + n) for n in range(6)]
+    texts = [f"{prose(80, 1000 + n)} {middle} {prose(80, 3000 + n)}" for n in range(300)]  # share a fifth, none alike
+    for n in range(120):  # made of passages that others hold too, in any order
+        texts.append(" ".join(rng.sample(passages, 4)) + " " + prose(3 + n % 9, 5000 + n))
+    texts += [" ".join(t.split()[2:]) for t in texts[::25]]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(d, t, "", "", 0) for d, t in rows], DOC_SCHEMA)
+    check(neardup.near_duplicates(docs, k=4), rows, 4)
+    check(neardup.near_duplicates(docs, k=5), rows, 5)
