@@ -129,6 +129,22 @@ def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     return run[distinct], np.searchsorted(owner[distinct], np.arange(len(texts) + 1))
 
 
+def signatures(sets: np.ndarray, starts: np.ndarray, factors: np.ndarray, offsets: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and sketch of each of the sets, which follow each other, none of them empty."""
+    signature = np.empty((len(starts), len(factors), 2), np.uint64)
+    for i, (factor, offset) in enumerate(zip(factors, offsets, strict=True) if len(starts) else ()):
+        values = sets * factor + offset
+        signature[:, i, 0] = np.minimum.reduceat(values, starts)
+        signature[:, i, 1] = np.maximum.reduceat(values, starts)
+    rows = signature.reshape(len(starts), bands, 2 * len(factors) // bands)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _A, rows.shape[:2])
+    for column in range(rows.shape[2]):
+        key = _mix(key * _A + rows[:, :, column])
+    low = (_mix(signature.reshape(len(starts), 2 * len(factors))) & np.uint64(3)).astype(np.uint8)
+    bits = np.packbits(np.stack([low & 1, low >> 1], 2).reshape(len(starts), 4 * len(factors)), axis=1)
+    return key.view(np.int64), np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.int64)
+
+
 def _signatures(k: int, bands: int, per_band: int, seed: int):
     def run(batches):
         factors, offsets = permutations(bands * per_band, seed)
@@ -136,24 +152,13 @@ def _signatures(k: int, bands: int, per_band: int, seed: int):
             sets, starts = shingle_sets(b["text"].to_pylist(), k)
             counts = np.diff(starts)
             some = np.flatnonzero(counts)
-            signature = np.empty((len(some), len(factors), 2), np.uint64)
-            for i, (factor, offset) in enumerate(zip(factors, offsets, strict=True) if len(some) else ()):
-                values = sets * factor + offset
-                signature[:, i, 0] = np.minimum.reduceat(values, starts[some])
-                signature[:, i, 1] = np.maximum.reduceat(values, starts[some])
-            rows = signature.reshape(len(some), bands, 2 * per_band)
-            key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _A, rows.shape[:2])
-            for column in range(rows.shape[2]):
-                key = _mix(key * _A + rows[:, :, column])
-            low = (_mix(signature.reshape(len(some), 2 * len(factors))) & np.uint64(3)).astype(np.uint8)
-            bits = np.packbits(np.stack([low & 1, low >> 1], 2).reshape(len(some), 4 * len(factors)), axis=1)
-            sketch = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))).view(np.int64)
+            key, sketch = signatures(sets, starts[some], factors, offsets, bands)
             ids: list = [None] * len(counts)
             keys: list = [[]] * len(counts)
             sketches: list = [[]] * len(counts)
             for i, at in enumerate(some.tolist()):
                 ids[at] = hashlib.blake2b(sets[starts[at]:starts[at + 1]].tobytes(), digest_size=16).digest()
-                keys[at], sketches[at] = key[i].view(np.int64), sketch[i]
+                keys[at], sketches[at] = key[i], sketch[i]
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], b["text_key"], pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                  pa.array(sketches, pa.list_(pa.int64()))],
@@ -276,7 +281,7 @@ def _meeting(open_: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, pe
             .select(F.col("node").alias("pivot"), F.col("o_node").alias("member")).distinct())
 
 
-def _linked_nodes(classes: DataFrame, texts_of, k: int, percent: int, values: int) -> DataFrame:
+def linked_nodes(classes: DataFrame, texts_of, k: int, percent: int, values: int) -> DataFrame:
     """Components of the classes' nodes: pivots in the bands' buckets, then the open members (see the module's text)."""
     buckets = _with_company(classes.select("node", F.explode("keys").alias("key")))
     texts = texts_of(buckets)
@@ -325,7 +330,7 @@ def _placed(rows: DataFrame, k: int, percent: int, bands: int, permutations_per_
         keyed = rows.withColumn("_key", F.xxhash64("text"))
         chosen = keyed.join(wanted, (keyed["doc_id"] == wanted["w_id"]) & (keyed["_key"] == wanted["w_key"]), "left_semi")
         return common.staged(chosen.dropDuplicates(["doc_id"]).select("doc_id", "text"), "candidate-texts")
-    found = _linked_nodes(classes, texts_of, k, percent, 2 * bands * permutations_per_band)
+    found = linked_nodes(classes, texts_of, k, percent, 2 * bands * permutations_per_band)
     labels = found.withColumnsRenamed({"node": "l_node"})
     home = (classes.select("set_id", "node").join(labels, F.col("node") == F.col("l_node"), "left")
             .select(F.col("set_id").alias("h_set"), F.coalesce("component", "node").alias("component")))

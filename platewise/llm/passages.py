@@ -3,15 +3,16 @@
 Texts are cut into paragraphs at blank lines and at sentence ends chosen by
 content (by the hash of the last word, two of three).  Paragraphs are documents
 to :mod:`neardup`: band their min-max hashes, compare colliding ones on their
-full five-word shingle sets, and connect what is similar.  Bands of two values
+full five-word shingle sets, and connect what is similar.  Their texts are
+fetched by place, for colliding paragraphs only.  Bands of two values
 favour recall: a pair at 0.8 shares none of twelve with probability 5e-6.
 
 A passage that was pasted within a paragraph, or has no sentence ends, holds no
 whole paragraph.  So paragraphs are cut further, into pieces: at line breaks, and
 at words whose hash is the smallest of those around them, so that a passage is
-cut in the same places wherever it was pasted.  Pieces are compared as
-paragraphs are.  Runs of repeated pieces are joined, and all but the first place
-of each piece are removals.
+cut in the same places wherever it was pasted.  Pieces repeat where their
+shingle sets are equal, by hashes of 96 bits.  Runs of repeated pieces are
+joined, and all but the first place of each piece are removals.
 """
 
 from __future__ import annotations
@@ -57,11 +58,13 @@ def _refined(bounds: list[int], places: list[int], least: int) -> list[int]:
     return out
 
 
-def _cuts(text: str, least: int) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """Places of the words, and the numbers of the words before which paragraphs and pieces begin, with their ends.
+def _cuts(text: str, least: int, wide: int) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """Places of the words, and the numbers of the words before which paragraphs (of ``wide`` words at least)
+    and pieces (of ``least``) begin, with their ends.
 
     Only what is certain for the whole text goes first: blank lines, then
-    sentence ends, line breaks, and the words chosen by their hashes.
+    sentence ends, line breaks, and the words chosen by their hashes.  Words
+    after the last cut that are too few for a piece belong to the one before.
     """
     spans = [m.span() for m in _WORD.finditer(text)]
     n = len(spans)
@@ -77,16 +80,12 @@ def _cuts(text: str, least: int) -> tuple[list[tuple[int, int]], list[int], list
                 (lines if breaks == 1 else blanks).append(i)
         if text[end - 1] in _ENDS and hashes[i - 1] % 3:
             sentences.append(i)
-    # what is left at the end is cut off as well, and left out if it is short
-    last = spans[n - 1][1]
-    if text[last - 1] in _ENDS and hashes[n - 1] % 3:
-        sentences.append(n)
-    paragraphs_ = _refined(_refined([0, n + least], blanks, least), sentences, least)[:-1]
-    if n - paragraphs_[-1] >= least:
-        paragraphs_.append(n)
+    fine = _refined(_refined([0, n], blanks, least), sentences, least)
+    after_blank = set(blanks)
+    paragraphs_ = _refined(_refined([0, n], [i for i in fine[1:-1] if i in after_blank], wide), fine[1:-1], wide)
     own = np.array(hashes, np.uint64)
     pairs = neardup._mix(own[:-1] * neardup._A + own[1:])
-    pieces = _refined(paragraphs_, lines, least)
+    pieces = _refined(fine, lines, least)
     for reach in (_STRONG, _WEAK):
         pieces = _refined(pieces, _smallest(pairs, reach), least)
     if any(b - a > _LONGEST + least for a, b in zip(pieces, pieces[1:])):
@@ -96,57 +95,128 @@ def _cuts(text: str, least: int) -> tuple[list[tuple[int, int]], list[int], list
 
 def paragraphs(text: str, least: int) -> list[tuple[int, int, int]]:
     """``(start, end, words)`` in code points of the pieces of a text's paragraphs, of at least ``least`` words."""
-    spans, _, pieces = _cuts(text, least)
+    spans, _, pieces = _cuts(text, least, least)
     return [(spans[a][0], spans[b - 1][1], b - a) for a, b in zip(pieces, pieces[1:])]
 
 
-def _units(least: int):
-    """The pieces, their numbers and their paragraphs' places, and the paragraphs of several pieces (number -1), all with their texts."""
-    types = {"doc_id": pa.int64(), "no": pa.int32(), "start": pa.int32(), "end": pa.int32(), "words": pa.int32(),
-             "p_start": pa.int32(), "p_end": pa.int32(), "text": pa.string()}
+def _set_hashes(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of each set, whatever the order of its members."""
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int32)
+    more = neardup._mix(sets * neardup._A + neardup._C) >> np.uint64(32)
+    return (neardup._mix(np.add.reduceat(neardup._mix(sets + neardup._B), starts)).view(np.int64),
+            (np.add.reduceat(more, starts) & np.uint64(2**32 - 1)).astype(np.uint32).view(np.int32))
+
+
+def _distinct(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of ``counts`` values from each place in ``first``, sorted, one set after another, and where each begins."""
+    owner = np.repeat(np.arange(len(first)), counts)
+    own = values[np.arange(len(owner)) + np.repeat(first - (np.cumsum(counts) - counts), counts)]
+    order = np.lexsort((own, owner))
+    own, owner = own[order], owner[order]
+    new = np.append(True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1]))[:len(own)]
+    return own[new], np.searchsorted(owner[new], np.arange(len(first)))
+
+
+def _units(least: int, wide: int, k: int, bands: int, seed: int):
+    """The pieces, and the paragraphs (number -1) with their band keys; both with their places and the hashes of their shingle sets."""
+    names = ("doc_id", "text_key", "no", "start", "end", "words", "p_start", "p_end")
+    types = [pa.int64(), pa.int64(), *[pa.int32()] * 6]
 
     def run(batches):
-        for b in common.slices(batches):
-            out = {name: [] for name in types}
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                spans, bounds, pieces = _cuts(text, least)
-                at = 0
+        factors, offsets = neardup.permutations(bands, seed)
+        for b in common.slices(batches, 64):
+            out, first, runs, at = [], [], [np.empty(0, np.uint64)], 0
+            for doc, key, text in zip(b["doc_id"].to_pylist(), b["text_key"].to_pylist(), b["text"].to_pylist(), strict=True):
+                spans, bounds, pieces = _cuts(text, least, wide)
+                if len(pieces) < 2:
+                    continue
+                words = [text[s:e].encode("utf-8", "surrogatepass").lower() for s, e in spans]
+                h = np.fromiter(map(neardup.WORDS.__getitem__, words), np.uint64, len(words))
+                value = h[:len(h) - k + 1]
+                for j in range(1, k):
+                    value = value * neardup._A + h[j:len(h) - k + 1 + j]
+                runs.append(neardup._mix(value + np.uint64(k)))
+                p = 0
                 for no, (a, z) in enumerate(zip(pieces, pieces[1:])):
-                    while bounds[at + 1] <= a:
-                        at += 1
-                    p_start, p_end = spans[bounds[at]][0], spans[bounds[at + 1] - 1][1]
-                    if a == bounds[at] and z < bounds[at + 1]:
-                        for name, value in zip(out, (doc, -1, p_start, p_end, bounds[at + 1] - a, p_start, p_end, text[p_start:p_end]), strict=True):
-                            out[name].append(value)
-                    start, end = spans[a][0], spans[z - 1][1]
-                    for name, value in zip(out, (doc, no, start, end, z - a, p_start, p_end, text[start:end]), strict=True):
-                        out[name].append(value)
-            yield common.batch(out, types)
+                    while bounds[p + 1] <= a:
+                        p += 1
+                    out.append((doc, key, no, spans[a][0], spans[z - 1][1], z - a, spans[bounds[p]][0], spans[bounds[p + 1] - 1][1]))
+                    first.append(at + a)
+                for a, z in zip(bounds, bounds[1:]):
+                    out.append((doc, key, -1, spans[a][0], spans[z - 1][1], z - a, spans[a][0], spans[z - 1][1]))
+                    first.append(at + a)
+                at += len(value)
+            if not out:
+                continue
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)]
+            sets, starts = _distinct(np.concatenate(runs), np.array(first), np.array([u[5] - k + 1 for u in out]))
+            h1, h2 = _set_hashes(sets, starts)
+            # the paragraphs' sets alone
+            whole = np.array([u[2] < 0 for u in out])
+            lengths = np.diff(np.append(starts, len(sets)))
+            own = sets[np.repeat(whole, lengths)]
+            keys, sketch = neardup.signatures(own, (np.cumsum(lengths[whole]) - lengths[whole]), factors, offsets, bands)
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(whole * m.shape[1])), pa.int32()), pa.array(m.ravel())) for m in (keys, sketch)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(h1), pa.array(h2), *lists], names=[*names, "h1", "h2", "keys", "sketch"])
+    return run
+
+
+def _slices():
+    """The texts of the places of each row."""
+    def run(batches):
+        for b in common.slices(batches):
+            out = [(place["unit"], text[place["start"]:place["end"]])
+                   for text, places in zip(b["text"].to_pylist(), b["places"].to_pylist(), strict=True) for place in places]
+            yield common.batch({"doc_id": [u for u, _ in out], "text": [t for _, t in out]}, {"doc_id": pa.int64(), "text": pa.string()})
     return run
 
 
-_UNIT = ("doc_id", "start", "end")
-_PIECE = (*_UNIT, "no", "words", "p_start")
+_DOC = ("doc_id", "text_key")
+_PIECE = (*_DOC, "start", "end", "no", "words", "p_start")
 
 
 def _runs(found: DataFrame) -> DataFrame:
     """``found`` with ``run``, which neighbouring pieces of a document share, and the run's ``n_words``."""
-    by_doc = Window.partitionBy("doc_id").orderBy("start", "end")
+    by_doc = Window.partitionBy(*_DOC).orderBy("start", "end")
     # white space only, or a short sentence, may stand between neighbours
     run = F.sum(F.when(F.col("start") - F.lag("end").over(by_doc) <= 60, 0).otherwise(1)).over(by_doc)
-    return found.withColumn("run", run).withColumn("n_words", F.sum("words").over(Window.partitionBy("doc_id", "run")).cast("long"))
+    return found.withColumn("run", run).withColumn("n_words", F.sum("words").over(Window.partitionBy(*_DOC, "run")).cast("long"))
+
+
+def _alike_paragraphs(rows: DataFrame, paragraphs_: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
+    """``h1, h2, component_id, first_doc_id`` of the paragraphs' sets that are similar (through any chain) to those of another document."""
+    classes = common.staged(paragraphs_.groupBy("h1", "h2").agg(
+        F.min("unit").alias("node"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min("label").alias("label"),
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "passage-classes")
+
+    def texts_of(buckets: DataFrame) -> DataFrame:
+        nodes = buckets.select("node").distinct()
+        places = (paragraphs_.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "unit", "start", "end")
+                  .join(nodes, F.col("unit") == F.col("node"), "left_semi")
+                  .groupBy("d", "t").agg(F.collect_list(F.struct("unit", "start", "end")).alias("places")))
+        own = rows.join(places, (rows["doc_id"] == places["d"]) & (rows["text_key"] == places["t"])).select("text", "places")
+        return common.staged(common.map_arrow(own, _slices(), "doc_id long, text string").dropDuplicates(["doc_id"]), "candidate-texts")
+    found = neardup.linked_nodes(classes, texts_of, k, percent, 2 * bands).withColumnRenamed("node", "f_node")
+    placed = classes.join(found, classes["node"] == found["f_node"], "left").select(
+        "h1", "h2", "label", "low", "high", F.coalesce("component", "node").alias("component"))
+    across = (placed.groupBy(F.col("component").alias("c")).agg(F.min("label").alias("component_id"), F.min("low").alias("first_doc_id"), F.max("high").alias("last"))
+              .filter("first_doc_id < last"))
+    return placed.join(across, placed["component"] == across["c"]).select("h1", "h2", "component_id", "first_doc_id")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 20, paragraph_words: int = 6, k: int = 5, percent: int = 80,
                       bands: int = 12, seed: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start, end, n_words, passage_id, first_doc_id, removed, spans``: the passages that repeat across documents.
 
-    A row is a run of neighbouring pieces of a document, of ``least_words`` or
-    more together, each similar (through any chain) to one of another document;
-    places are code points.  Paragraphs that are similar to one of another
-    document as a whole, but of which no such run was found, count with all
-    their pieces.  ``passage_id`` is the smallest component of the run's pieces,
-    and ``first_doc_id`` the smallest document that has its first piece.
+    A row is a run of neighbouring pieces (of ``paragraph_words`` words at
+    least) of a document, of ``least_words`` or more together, each equal in its
+    shingles to one of another document; places are code points.  Paragraphs,
+    of ``least_words`` or more, that are similar (through any chain) to one of
+    another document as a whole, but of which no such run was found, count with
+    all their pieces.  ``passage_id`` is a label, the same for pieces of one
+    component, and the run's smallest; ``first_doc_id`` is the smallest document
+    that has the run's first piece.
 
     ``spans (start, end, first_doc_id, removed)`` are the run's stretches with
     one first document; they leave out what stands between neighbours, a few
@@ -154,43 +224,45 @@ def repeated_passages(docs: DataFrame, least_words: int = 20, paragraph_words: i
     document is its first one, and a row if all its stretches are.
 
     Null and empty texts, and rows with a null id, have none.  Repeated rows of
-    one id count as one document.
+    one id count as one document; rows that share an id but not their text are
+    two texts of one document, which each have their own rows.
     """
-    rows = common.id_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
-    columns = "doc_id long, no int, start int, end int, words int, p_start int, p_end int"
-    unit = F.xxhash64(*_UNIT)
-    units = common.staged(common.map_arrow(rows, _units(paragraph_words), columns + ", text string").withColumn("unit", unit), "passage-texts")
-    placed = neardup._placed(units.select(F.col("unit").alias("doc_id"), "text"), k, percent, bands, 1, seed).select(F.col("doc_id").alias("p_unit"), "component_id").distinct()
-    several = placed.groupBy(F.col("component_id").alias("c")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    placed = common.staged(placed.join(several, placed["component_id"] == several["c"], "left_semi"), "passage-units")
-    found = common.staged(units.join(placed, units["unit"] == placed["p_unit"])
-                          .select(*_UNIT, "no", "words", "p_start", "p_end", "component_id").distinct(), "passage-places")
-    # components within one document are no repeats across documents
-    across = (found.groupBy(F.col("component_id").alias("c")).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
-              .filter("first_doc_id < last").drop("last"))
-    found = common.staged(found.join(across, found["component_id"] == across["c"]).drop("c"), "passage-repeats")
-    own = _runs(found.filter("no >= 0"))
+    if paragraph_words < k:
+        raise ValueError("pieces are shorter than a shingle")
+    rows = common.id_text(docs, id_col, text_col).filter("doc_id IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
+    columns = ("doc_id long, text_key long, no int, start int, end int, words int, p_start int, p_end int, h1 long, h2 int, "
+               "keys array<long>, sketch array<long>")
+    units = common.staged(common.map_arrow(rows, _units(paragraph_words, max(least_words, paragraph_words), k, bands, seed), columns)
+                          .withColumn("unit", F.monotonically_increasing_id()), "passage-units").withColumn("label", F.xxhash64(*_DOC, "start", "end"))
+    pieces, wholes = units.filter("no >= 0").drop("keys", "sketch", "unit"), units.filter("no < 0")
+
+    def placed(of: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
+        """The units of ``sets``, those of repeated rows once."""
+        sets = sets.withColumnsRenamed({"h1": "s_h1", "h2": "s_h2"})
+        return of.join(sets, (of["h1"] == sets["s_h1"]) & (of["h2"] == sets["s_h2"])).select(*_PIECE, *more, "component_id", "first_doc_id").dropDuplicates([*_DOC, "start", "end"])
+    alike = placed(wholes, _alike_paragraphs(rows, wholes, k, percent, bands), "p_end")
+    repeated = (pieces.groupBy("h1", "h2").agg(F.min("label").alias("component_id"), F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
+                .filter("first_doc_id < last").drop("last"))
+    found = common.staged(placed(pieces, repeated), "passage-repeats")
     # paragraphs that are alike though none of their pieces shows it
-    shown = own.filter(F.col("n_words") >= least_words).select(F.col("doc_id").alias("s_doc"), F.col("p_start").alias("s_start")).distinct()
-    wholes = found.filter("no < 0")
-    wholes = wholes.join(shown, (wholes["doc_id"] == shown["s_doc"]) & (wholes["p_start"] == shown["s_start"]), "left_anti").select(
-        F.col("doc_id").alias("w_doc"), F.col("p_start").alias("w_start"), F.col("p_end").alias("w_end"), "component_id", "first_doc_id")
-    pieces = units.filter("no >= 0").select(*_UNIT, "no", "words", "p_start", "p_end").distinct()
-    inside = (pieces.join(wholes, (pieces["doc_id"] == wholes["w_doc"]) & (pieces["p_start"] == wholes["w_start"]) & (pieces["p_end"] == wholes["w_end"]))
+    shown = _runs(found).filter(F.col("n_words") >= least_words).select(*_DOC, "p_start").distinct()
+    alike = alike.join(shown, [*_DOC, "p_start"], "left_anti").select(
+        F.col("doc_id").alias("w_doc"), F.col("text_key").alias("w_key"), F.col("p_start").alias("w_start"), "component_id", "first_doc_id")
+    inside = (pieces.join(alike, (pieces["doc_id"] == alike["w_doc"]) & (pieces["text_key"] == alike["w_key"]) & (pieces["p_start"] == alike["w_start"]))
               .select(*_PIECE, "component_id", "first_doc_id"))
-    found = (found.filter("no >= 0").select(*_PIECE, "component_id", "first_doc_id").unionByName(inside)
+    found = (found.unionByName(inside)
              .groupBy(*_PIECE).agg(F.min("component_id").alias("component_id"), F.min("first_doc_id").alias("first_doc_id")))
-    by_run = Window.partitionBy("doc_id", "run").orderBy("start", "end")
+    by_run = Window.partitionBy(*_DOC, "run").orderBy("start", "end")
     # a stretch ends where the first document changes, or where anything but white space, which pieces leave out, comes between
     same = (F.col("first_doc_id") == F.lag("first_doc_id").over(by_run)) & (F.col("no") - F.lag("no").over(by_run) <= 1)
     stretches = (_runs(found).filter(F.col("n_words") >= least_words)
-                 .withColumn("stretch", F.sum(F.when(same, 0).otherwise(1)).over(by_run)).groupBy("doc_id", "run", "stretch", "first_doc_id").agg(
+                 .withColumn("stretch", F.sum(F.when(same, 0).otherwise(1)).over(by_run)).groupBy(*_DOC, "run", "stretch", "first_doc_id").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("component_id").alias("component_id"))
         .withColumn("removed", F.col("doc_id") != F.col("first_doc_id")))
-    return stretches.groupBy("doc_id", "run").agg(
+    return stretches.groupBy(*_DOC, "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("long").alias("n_words"),
         F.min("component_id").alias("passage_id"), F.min_by("first_doc_id", "start").alias("first_doc_id"), F.min("removed").alias("removed"),
-        F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id", "removed"))).alias("spans")).drop("run")
+        F.sort_array(F.collect_list(F.struct("start", "end", "first_doc_id", "removed"))).alias("spans")).drop("run", "text_key")
 
 
 def _without(columns: list[str], text_col: str):
