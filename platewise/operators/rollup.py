@@ -20,16 +20,24 @@ ORDERS, DAYS = "orders", "account_days"
 SUMS = ("n_live", "gmv_live", "n_delivered", "gmv_delivered", "discount_delivered", "net_delivered", "stamps_live")
 
 
+#: Stored orders that one task rolls up: what it holds at once is bounded by this, not by the orders stored.
+ORDERS_PER_TASK = 125_000
+
+
 def account_days(orders: DataFrame) -> DataFrame:
     """``(account_id, order_day)`` with counts and sums of its live (not cancelled) and delivered orders, and the
     distinct times of live ones."""
+    return orders.groupBy("account_id", C.day("placed_at").alias("order_day")).agg(*_sums())
+
+
+def _sums() -> list:
     live, delivered = F.col("order_status") != "cancelled", F.col("order_status") == "delivered"
-    return orders.groupBy("account_id", C.day("placed_at").alias("order_day")).agg(
+    return [
         F.count_if(live).alias("n_live"), F.sum(F.when(live, F.col("order_total_usd"))).alias("gmv_live"),
         F.count_if(delivered).alias("n_delivered"), F.sum(F.when(delivered, F.col("order_total_usd"))).alias("gmv_delivered"),
         F.sum(F.when(delivered, F.col("discount_usd"))).alias("discount_delivered"),
         F.sum(F.when(delivered, F.col("order_total_usd") - F.col("discount_usd"))).alias("net_delivered"),
-        F.count_distinct(F.when(live, F.col("placed_at"))).alias("stamps_live"))  # of one day, so they add up
+        F.count_distinct(F.when(live, F.col("placed_at"))).alias("stamps_live")]  # of one day, so they add up
 
 
 def apply_batch(spark: SparkSession, path: str, orders: DataFrame, version: int, unit: str = "day",
@@ -47,10 +55,19 @@ def apply_batch(spark: SparkSession, path: str, orders: DataFrame, version: int,
 
 
 def refreshed(spark: SparkSession, path: str, periods: list, version: int, unit: str = "day") -> DataFrame:
-    """The roll-up rows of some periods from the stored orders: one scan, of those partitions."""
-    orders = stored.read(spark, f"{path}/{ORDERS}", stored.with_period(schemas.ORDERS))
-    days = account_days(orders.filter(stored.in_periods(periods)))
-    return days.withColumn("version", F.lit(version)).withColumn(stored.PERIOD, stored.period_of("order_day", unit))
+    """The roll-up rows of some periods from the stored orders: one scan, of those partitions.
+
+    The few columns needed move once, into the ranges that are written; the
+    sums, distinct times too, are made there.  With a shuffle for each
+    of these steps the wide rows of sums moved three times, and few tasks held all of them.
+    """
+    orders = stored.read(spark, f"{path}/{ORDERS}", stored.with_period(schemas.ORDERS)).filter(stored.in_periods(periods))
+    tasks = 1 + orders.count() // ORDERS_PER_TASK  # from the files' footers
+    days = orders.select("account_id", C.day("placed_at").alias("order_day"), "placed_at", "order_status", "order_total_usd",
+                         "discount_usd", stored.PERIOD) \
+        .repartitionByRange(tasks, stored.PERIOD, "account_id", "order_day") \
+        .groupBy("account_id", "order_day", stored.PERIOD).agg(*_sums())
+    return days.select("account_id", "order_day", *SUMS, F.lit(version).alias("version"), stored.PERIOD)
 
 
 def refresh(spark: SparkSession, path: str, periods: list, version: int, unit: str = "day") -> None:
@@ -59,7 +76,7 @@ def refresh(spark: SparkSession, path: str, periods: list, version: int, unit: s
     for gone in empty:
         stored.delete(spark, stored.folder(f"{path}/{DAYS}", gone))
     if len(empty) < len(periods):
-        stored.overwrite_periods(refreshed(spark, path, periods, version, unit), f"{path}/{DAYS}", ["account_id", "order_day"])
+        stored.write_periods(refreshed(spark, path, periods, version, unit), f"{path}/{DAYS}", ["account_id", "order_day"])
 
 
 def read_days(spark: SparkSession, path: str) -> DataFrame:

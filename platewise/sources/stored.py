@@ -57,7 +57,12 @@ def overwrite_periods(df: DataFrame, path: str, order: Sequence[str]) -> None:
 
     Ranges, not hashes, so that a period with very many rows is written by many tasks.
     """
-    (df.repartitionByRange(PERIOD, *order).sortWithinPartitions(PERIOD, *order)
+    write_periods(df.repartitionByRange(PERIOD, *order), path, order)
+
+
+def write_periods(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """:func:`overwrite_periods` for rows that are in ranges of period and ``order`` already."""
+    (df.sortWithinPartitions(PERIOD, *order)
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PERIOD).parquet(path))
 
 

@@ -8,11 +8,12 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from platewise import sources
 from platewise.operators import ltv, retention, revenue, rollup
 from platewise.plans import params as P
-from platewise.plans.inspect import scan_counts
+from platewise.plans.inspect import plan_text, scan_counts
 from platewise.sources import schemas, stored
 from tests.conftest import SF_SMALL
 
@@ -172,3 +173,20 @@ def test_refresh_reads_orders_once_and_touched_partitions_only(spark):
     assert scan_counts(plan)["orders"] == 1
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(period" in text or "PartitionFilters: [(period" in text, text
+
+
+def test_refresh_moves_orders_once_into_tasks_of_bounded_size(spark, monkeypatch):
+    """Its tasks grow in number with the orders, and the wide sums aren't shuffled; null keys and a hot day stay exact."""
+    path, hot = folder(), [order(i, 7, 1, total=i)[:9] + (dt.datetime(2024, 1, 1, i % 5),) + order(i, 7, 1)[10:] for i in range(60)]
+    odd = [(100, None, *order(100, 1, 2)[2:]), (101, 8, *order(101, 8, 2)[2:9], None, *order(101, 8, 2)[10:]),
+           (102, 8, 1, None, *order(102, 8, 3)[4:]), *[order(200 + i, i, i % 28 + 1, "cancelled" if i % 3 else "delivered") for i in range(90)]]
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schemas.ORDERS.fields])
+    orders = spark.createDataFrame(hot + odd, nullable)
+    monkeypatch.setattr(rollup, "ORDERS_PER_TASK", 10)
+    rollup.apply_batch(spark, path, orders, 0, "month")
+    plan = rollup.refreshed(spark, path, [dt.date(2024, 1, 1), None], 0, "month")
+    assert plan_text(plan, "simple").count("Exchange") == 1
+    assert plan.rdd.getNumPartitions() == 16  # 153 orders
+    days = rollup.read_days(spark, path)
+    assert same(days.select("account_id", "order_day", *rollup.SUMS), rollup.account_days(orders))
+    assert {r["stamps_live"] for r in days.filter("account_id = 7 AND n_live > 50").collect()} == {5}
