@@ -9,6 +9,8 @@ the same door again.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from . import schemas
 
 BROKEN = "broken_rules"
 ACCEPTED, QUARANTINE = "accepted", "quarantine"
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 COUNTS = "table_name string, rule string, n_checked long, n_violations long"
 
 
@@ -31,6 +34,20 @@ def flagged(df: DataFrame, table: str) -> DataFrame:
     return df.withColumn(BROKEN, F.array_compact(names))
 
 
+@contextlib.contextmanager
+def _open_writers(spark: SparkSession, count: int):
+    """A task of a partitioned write keeps a file open for each of ``count`` partitions.
+
+    Else it sorts all its rows by partition first, and holds them for that.
+    """
+    old = spark.conf.get(WRITERS, None)
+    spark.conf.set(WRITERS, str(count))
+    try:
+        yield
+    finally:
+        spark.conf.unset(WRITERS) if old is None else spark.conf.set(WRITERS, old)
+
+
 def ingest(df: DataFrame, table: str, path: str, batch: str, fill_defaults: bool = False) -> dict:
     """Write a batch of ``table`` to ``path`` and return its counts.
 
@@ -45,8 +62,9 @@ def ingest(df: DataFrame, table: str, path: str, batch: str, fill_defaults: bool
     counts = [F.count(F.lit(1)).alias("n_rows"), F.count_if(F.size(BROKEN) > 0).alias("n_rejected")]
     for i, (_, checked, violated) in enumerate(rules):
         counts += [F.count_if(checked).alias(f"c{i}"), F.count_if(violated).alias(f"v{i}")]
-    (rows.observe(seen, *counts).withColumn("sink", F.when(F.size(BROKEN) > 0, F.lit(QUARANTINE)).otherwise(F.lit(ACCEPTED)))
-         .write.mode("overwrite").partitionBy("sink").parquet(f"{path}/{table}/batch={batch}"))
+    sinks = rows.observe(seen, *counts).withColumn("sink", F.when(F.size(BROKEN) > 0, F.lit(QUARANTINE)).otherwise(F.lit(ACCEPTED)))
+    with _open_writers(df.sparkSession, 2):
+        sinks.write.mode("overwrite").partitionBy("sink").parquet(f"{path}/{table}/batch={batch}")
     got = seen.get
     return {"n_rows": got["n_rows"], "n_accepted": got["n_rows"] - got["n_rejected"], "n_rejected": got["n_rejected"],
             "rules": [(table, rule, got[f"c{i}"], got[f"v{i}"]) for i, (rule, _, _) in enumerate(rules)]}

@@ -5,6 +5,7 @@ import tempfile
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from platewise import sources
@@ -121,6 +122,29 @@ def test_empty_batch(spark):
     assert ingest.accepted(spark, path, "caterers").count() == 0
 
 
+def test_ingest_keeps_both_sinks_open(spark, monkeypatch):
+    """Else every task sorts its rows by sink, all of them in memory."""
+    seen, write = [], DataFrameWriter.parquet
+
+    def recorded(self, *args, **named):
+        seen.append(spark.conf.get(ingest.WRITERS))
+        return write(self, *args, **named)
+
+    rows = sources.load(spark, SF_SMALL, "test").delivery_events
+    rows = rows.withColumn("event_type", F.when(F.col("event_id") % 7 == 0, F.lit("lost")).otherwise(F.col("event_type")))
+    old, path = spark.conf.get(ingest.WRITERS), folder()
+    monkeypatch.setattr(DataFrameWriter, "parquet", recorded)
+    got = ingest.ingest(rows, "delivery_events", path, "0")
+    assert seen == ["2"] and spark.conf.get(ingest.WRITERS) == old
+    kept, out = ingest.accepted(spark, path, "delivery_events"), ingest.quarantine(spark, path, "delivery_events")
+    assert got["n_accepted"] == kept.count() > 0 and got["n_rejected"] == out.count() > 0
+    assert sorted(map(str, kept.collect() + out.drop(ingest.BROKEN, "batch").collect())) == sorted(map(str, rows.collect()))
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ingest.ingest(rows, "delivery_events", path, "1")
+    assert spark.conf.get(ingest.WRITERS) == old
+
+
 # --- sketches ------------------------------------------------------------------------------------
 
 def test_sketches_within_their_bounds(spark):
