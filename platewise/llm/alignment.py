@@ -192,11 +192,12 @@ def align(both: Pair, texts: list[str]) -> Aligned:
     for k, ((all_ids, counts), vocabulary) in enumerate(zip(both.encode(texts), (both.a, both.b), strict=True)):
         doc = np.repeat(np.arange(len(texts)), counts)
         ends = np.cumsum(vocabulary.sizes[all_ids])  # the texts one after another: in order for merge_asof
-        starts = ends - vocabulary.sizes[all_ids]
-        sides.append((all_ids, doc, ends, pd.DataFrame({"doc": doc, "at": starts, "ab"[k]: np.arange(len(all_ids)), "ab"[k] + "_at": starts})))
+        # a place more for each document before: the key holds the document too, as both sides have tokens in the same ones
+        starts = ends - vocabulary.sizes[all_ids] + doc
+        sides.append((all_ids, doc, ends, pd.DataFrame({"at": starts, "ab"[k]: np.arange(len(all_ids)), "ab"[k] + "_at": starts})))
     (a_ids, a_doc, a_end, a_starts), (b_ids, b_doc, b_end, b_starts) = sides
-    covered = pd.merge_asof(a_starts, b_starts, on="at", by="doc")
-    covering = pd.merge_asof(b_starts, a_starts, on="at", by="doc")
+    covered = pd.merge_asof(a_starts, b_starts, on="at")
+    covering = pd.merge_asof(b_starts, a_starts, on="at")
     # the union: both directions find a pair that starts at one place
     links = pd.concat([covered[["a", "b"]], covering.loc[covering["a_at"] != covering["b_at"], ["a", "b"]]], ignore_index=True)
     shared, a_ends, b_ends = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)

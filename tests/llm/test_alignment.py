@@ -128,3 +128,16 @@ def test_batches_as_the_libraries(paths, library, texts):
     for side, (ids, counts) in enumerate(both.encode(texts)):
         assert ids.tolist() == [i for t in spelled for i, _ in t[side]] and counts.tolist() == [len(t[side]) for t in spelled]
     assert alignment.group_texts(both, alignment.align(both, texts)) == [";".join(aligned(t, library)[2]) for t in texts]
+
+
+def test_texts_of_a_batch_do_not_meet(paths, monkeypatch):
+    """Places hold the document, so one sorted key is enough; links are those of each text alone."""
+    both = alignment.pair(*paths)
+    texts, calls, join = ["ab cd", "", "x▁y", "cd", " ", "naïve café", "cd ab "], [], alignment.pd.merge_asof
+    monkeypatch.setattr(alignment.pd, "merge_asof", lambda *a, **named: calls.append(named) or join(*a, **named))
+    got = alignment.align(both, texts)
+    assert calls == [{"on": "at"}] * 2
+    links = lambda g, d: sorted(zip(g.a_ids[g.links["a"]][g.link_doc == d].tolist(), g.b_ids[g.links["b"]][g.link_doc == d].tolist(), strict=True))
+    assert (got.link_doc == got.b_doc[got.links["b"]]).all()
+    for i, text in enumerate(texts):
+        assert links(got, i) == links(alignment.align(both, [text]), 0)
