@@ -33,6 +33,10 @@ SEGMENT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 #: Segments that a worker remembers (twice as many at most), and the longest of them.
 MEMO, MEMO_CHARS = 600_000, 48
 MARKS = frozenset(".,!?;:")
+#: White space to Python, but not to the pre-tokeniser.
+SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+#: White space of ASCII other than single spaces and line breaks.
+ODD = ("  ", "\n\n", " \n", "\n ", *"\t\r\v\f\x1c\x1d\x1e\x1f")
 #: Segments given to the library in one string.
 TOGETHER = 512
 
@@ -41,9 +45,13 @@ def segment_keys(text: str) -> list[str]:
     """The segments of a text, as keys: a word alone stands for the word after a space, with a line
     break before it for just that, and with a space before it for the rest of the key as it is.
     """
+    # single spaces and line breaks between words, and no other white space: the usual text
+    if text.isascii() and text and text[0] not in " \n" and text[-1] not in " \n" and not any(odd in text for odd in ODD):
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = " " + pieces[0]
+        return pieces
     words = text.split()
     pieces = text.replace("\n", " \n").split(" ")
-    # single spaces and line breaks between words, and no other white space: the usual text
     if len(words) == len(pieces) and len(text) == sum(map(len, words)) + len(words) - 1:
         pieces[0] = " " + pieces[0]
         return pieces
@@ -54,6 +62,16 @@ def segment_of(key: str) -> str:
     return key[1:] if key[0] == " " else key if key[0] == "\n" else " " + key
 
 
+def _places_of_none(values: list) -> list[int]:
+    found, at = [], -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            found.append(at)
+    except ValueError:
+        return found
+
+
 class SegmentEncoder:
     """Encodes texts with a ``tokenizers`` file, remembering the ids of short segments."""
 
@@ -66,6 +84,12 @@ class SegmentEncoder:
         plain = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items()
                  if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.separator = plain[0] if plain else None
+        # bytes of each token, a character of the byte-level alphabet for each; none for added tokens
+        added = self.tokenizer.get_added_tokens_decoder()
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = 0 if i in added else len(token)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -78,10 +102,14 @@ class SegmentEncoder:
             gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [segment_keys(t) for t in texts]
-        known = [list(map(self.memo.get, segments)) for segments in cut]
-        new = {s for segments, parts in zip(cut, known, strict=True) if None in parts
-               for s, p in zip(segments, parts, strict=True) if p is None}
+        segments: list[str] = []
+        ends = [0]
+        for text in texts:
+            segments += segment_keys(text)
+            ends.append(len(segments))
+        parts = list(map(self.memo.get, segments))
+        unknown = _places_of_none(parts)
+        new = {segments[i] for i in unknown}
         fresh = {s: self.older[s] for s in new if s in self.older}
         # a sentence mark after a letter is a pre-token of its own: the word before it is often known
         marked = [s for s in new if s not in fresh and s[-1] in MARKS and len(s) > 2 and s[-2].isalpha()]
@@ -94,20 +122,51 @@ class SegmentEncoder:
         self.memo.update((s, ids) for s, ids in fresh.items() if len(s) <= MEMO_CHARS)
         if len(self.memo) > MEMO:  # what isn't met again meanwhile goes
             self.older, self.memo = self.memo, {}
-        return [b"".join(fresh[s] if p is None else p for s, p in zip(segments, parts, strict=True)) if None in parts else b"".join(parts)
-                for segments, parts in zip(cut, known, strict=True)]
+        for i in unknown:
+            parts[i] = fresh[segments[i]]
+        return [b"".join(parts[at:end]) for at, end in zip(ends, ends[1:])]
 
     def _fresh(self, keys: list[str]) -> dict[str, bytes]:
         """The library's ids of each segment.
 
+        Many segments that begin with white space and don't end with it go in
+        one string: the pre-tokeniser cuts between them.  Where each ends is
+        told by the tokens' bytes.  Runs in which the bytes don't meet the
+        segments' (a special token is in one), and other segments, are encoded
+        with a special token between them (see :meth:`_separated`).
+        """
+        segments = list(map(segment_of, keys))
+        inner, rest = [], []
+        for pair in zip(keys, segments, strict=True):
+            s = pair[1]
+            (inner if s[0].isspace() and s[0] not in SEPARATORS and (s[-1] in SEPARATORS or not s[-1].isspace()) else rest).append(pair)
+        out: dict[str, bytes] = {}
+        runs = [inner[at:at + TOGETHER] for at in range(0, len(inner), TOGETHER)]
+        width = self.dtype.itemsize
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(["".join([s for _, s in run]) for run in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            sizes = np.fromiter((len(s) if s.isascii() else len(s.encode("utf-8", "surrogatepass")) for _, s in run), np.int64, len(run))
+            ends, reached = np.cumsum(sizes), np.cumsum(self.n_bytes[ids])
+            last = np.minimum(np.searchsorted(reached, ends), len(ids) - 1)
+            if reached[-1] != ends[-1] or (reached[last] != ends).any():
+                rest += run
+                continue
+            data, at = ids.tobytes(), 0
+            for (key, _), end in zip(run, ((last + 1) * width).tolist(), strict=True):
+                out[key] = data[at:end]
+                at = end
+        return out | self._separated(rest)
+
+    def _separated(self, pairs: list[tuple[str, str]]) -> dict[str, bytes]:
+        """The library's ids of each ``(key, segment)``.
+
         Many segments go in one string with a special token between them, at
         which the library cuts a text before anything else; each is then
         encoded as if alone.
         """
-        segments = list(map(segment_of, keys))
         between, mark = self.separator or ("", None)
         joined, alone = [], []
-        for key, s in zip(keys, segments, strict=True):
+        for key, s in pairs:
             (joined if between and between not in s else alone).append((key, s))
         out = {key: np.array(e.ids, self.dtype).tobytes()
                for (key, _), e in zip(alone, self.tokenizer.encode_batch_fast([s for _, s in alone], add_special_tokens=False), strict=True)}

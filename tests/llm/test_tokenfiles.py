@@ -51,6 +51,25 @@ def test_segments_encode_as_in_the_text(path, library):
         assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode([*TRICKY, prose(500)])] == [library(t) for t in [*TRICKY, prose(500)]]
 
 
+def test_segments_reach_the_library_without_separators(path, library):
+    class Watched:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += texts
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    enc = tokenfiles.SegmentEncoder(path)
+    enc.tokenizer = watched = Watched(enc.tokenizer)
+    between = enc.separator[0]
+    for text in [prose(500) + "\né\n日本 語 x\x1c \x1e!y z", f"one {between}two{between} three"]:
+        watched.texts.clear()
+        assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == library(text)
+        # only the text that has it, and what has no place in a run, such as a text's first word
+        assert sum(t.count(between) for t in watched.texts) <= (2 if between not in text else 10)
+
+
 @pytest.mark.parametrize("block_bytes", [1, 1 << 20])
 def test_odd_rows_and_one_document(spark, path, library, block_bytes):
     rows = [(r[0], r[1]) for r in ODD_ROWS] + [(100 + i, t) for i, t in enumerate(TRICKY)]
