@@ -11,8 +11,12 @@ Hot groups: documents with equal sets are one class, whatever their number.
 Within a bucket the members are compared with one pivot, the member whose
 buckets are fullest, which joins a group of near copies in one step.  Members
 that are then in different components of one bucket are open: two of them could
-still be alike.  Alike sets share a shingle among the first fifth of each, in
-any common order, so open members meet by prefix filtering.  The order is by how
+still be alike.  Each takes a centre, the pivot of most comparisons, and is reduced to
+what sets it apart from that.  Of two with one centre that aren't both like it,
+a link needs a large part of these differences in common; a family's shared
+text is no part of them.  Members with different centres are held against each
+other by their whole sets: alike ones share a shingle among the first fifth of
+each.  Both meet by prefix filtering.  The order is by how
 many open members hold a shingle: what only one member holds comes first and
 meets nobody, and what a large family shares comes last.  Shingles that the
 same members hold, as those of a shared passage, are one key.  What meets, has
@@ -184,8 +188,27 @@ def _compare(k: int):
     return run
 
 
-def compared(pairs: DataFrame, texts: DataFrame, k: int, per_part: int = 1000) -> DataFrame:
-    """The full shingle sets of ``pairs (pivot, member)`` compared: ``pivot, member, inter, n_pivot, n``.
+def _differences(k: int):
+    """Streams as :func:`_compare` does; also the shingles that one of the two has alone."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        group, pivot = None, None
+        for b in common.slices(batches):
+            out = {"pivot": [], "member": [], "inter": [], "n_pivot": [], "n": [], "apart": []}
+            for head, part, member, text in zip(*[b[c].to_pylist() for c in ("pivot", "part", "member", "text")], strict=True):
+                own = shingles(text, k)
+                if (head, part) != group:
+                    group, pivot = (head, part), own
+                    continue
+                apart = np.setxor1d(pivot, own, assume_unique=True)
+                inter = (len(pivot) + len(own) - len(apart)) // 2
+                for name, value in zip(out, (head, member, inter, len(pivot), len(own), apart.view(np.int64)), strict=True):
+                    out[name].append(value)
+            yield common.batch(out, dict.fromkeys(out, pa.int64()) | {"apart": pa.list_(pa.int64())})
+    return run
+
+
+def _beside(pairs: DataFrame, texts: DataFrame, per_part: int = 1000) -> DataFrame:
+    """``pivot, part, member, text`` of ``pairs (pivot, member)``, in each group the pivot's row (member null) first.
 
     A pivot's members are dealt over parts of about ``per_part``, each with its
     copy of the pivot's text.
@@ -197,8 +220,12 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, per_part: int = 1000) -
     rows = (members.join(texts, members["member"] == texts["doc_id"]).select("pivot", "part", "member", "text")
             .unionByName(heads.join(texts, heads["pivot"] == texts["doc_id"])
                          .select("pivot", "part", F.lit(None).cast("long").alias("member"), "text")))
-    ordered = rows.repartition(F.col("pivot"), F.col("part")).sortWithinPartitions("pivot", "part", F.col("member").asc_nulls_first())
-    return common.staged(common.map_arrow(ordered, _compare(k), "pivot long, member long, inter long, n_pivot long, n long"), "compared")
+    return rows.repartition(F.col("pivot"), F.col("part")).sortWithinPartitions("pivot", "part", F.col("member").asc_nulls_first())
+
+
+def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The full shingle sets of ``pairs (pivot, member)`` compared: ``pivot, member, inter, n_pivot, n``."""
+    return common.staged(common.map_arrow(_beside(pairs, texts), _compare(k), "pivot long, member long, inter long, n_pivot long, n long"), "compared")
 
 
 def _alike(inter, n_a, n_b, percent: int):
@@ -232,9 +259,9 @@ def _with_company(buckets: DataFrame) -> DataFrame:
     return common.staged(own.join(pivots, own["key"] == pivots["k"]).select("key", "node", "size", (-F.col("top.minus")).alias("pivot")), "pivots")
 
 
-def _mixed(placed: DataFrame) -> DataFrame:
-    """Rows of ``placed (key, node, component, ..)`` whose key has nodes of several components."""
-    ends = placed.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("low"), F.max("component").alias("high"))
+def _mixed(placed: DataFrame, by: str = "component") -> DataFrame:
+    """Rows of ``placed (key, node, component, ..)`` whose key has nodes of several components, or of several values of another column."""
+    ends = placed.groupBy(F.col("key").alias("k")).agg(F.min(by).alias("low"), F.max(by).alias("high"))
     return placed.join(ends.filter("low <> high"), placed["key"] == F.col("k"), "left_semi")
 
 
@@ -257,27 +284,83 @@ def _open(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return common.staged(_mixed(placed).select("node", "component").distinct(), "open")
 
 
+def _centred(open_: DataFrame, facts: DataFrame) -> DataFrame:
+    """``open_`` with ``centre``: the pivot of most comparisons that a member, or its centre, was compared with.
+
+    A member that differs from its pivots by more shingles than it has is its own centre.
+    """
+    degrees = facts.groupBy(F.col("pivot").alias("p")).agg(F.count(F.lit(1)).alias("degree"))
+    rank = F.struct("degree", (-F.col("p")).alias("minus"))
+    near = facts.filter("n_pivot <= 2 * inter").select("pivot", "member")
+    best = common.staged(
+        near.join(degrees, near["pivot"] == degrees["p"]).select(F.col("member").alias("node"), rank.alias("rank"))
+            .unionByName(degrees.select(F.col("p").alias("node"), rank.alias("rank")))
+            .groupBy("node").agg((-F.max("rank")["minus"]).alias("centre")), "centres")
+    # a centre's centre has more comparisons, so that the steps end; three reach eight pivots on
+    for _ in range(3):
+        further = best.select(F.col("node").alias("c_node"), F.col("centre").alias("c_centre"))
+        best = best.join(further, best["centre"] == further["c_node"]).select("node", F.col("c_centre").alias("centre"))
+    best = best.withColumnRenamed("node", "b_node")
+    return common.staged(open_.join(best, open_["node"] == best["b_node"], "left")
+                         .select("node", "component", F.coalesce("centre", "node").alias("centre")), "centred")
+
+
+def _by_rarity(held: DataFrame, *by: str) -> DataFrame:
+    """``held (node, s, .., size)`` without the shingles of one holder, with ``holders`` and ``who`` they are, and the shingle's ``rank`` among the node's ``size``."""
+    shared = (held.groupBy(*[F.col(c).alias(f"h_{c}") for c in by], F.col("s").alias("h_s"))
+              .agg(F.count(F.lit(1)).alias("holders"), F.bit_xor(F.xxhash64("node")).alias("who")).filter("holders > 1"))
+    same = [held[c] == shared[f"h_{c}"] for c in (*by, "s")]
+    both = held.join(shared, same).drop("h_s", *[f"h_{c}" for c in by])
+    alone = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("node"))  # these come first
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("holders", "who", "s"))
+    return both.withColumn("alone", alone).withColumn("rank", rank + F.col("alone"))
+
+
 def _meeting(open_: DataFrame, texts: DataFrame, sketches: DataFrame, k: int, percent: int, values: int) -> DataFrame:
-    """Pairs of open members in different components that prefix filtering, sizes and sketches leave."""
+    """Pairs of open members with different centres, in different components, that prefix filtering, sizes and sketches leave."""
     sets = common.staged(common.map_arrow(texts.join(open_.select("node"), texts["doc_id"] == F.col("node"), "left_semi"), _sets(k),
                                           "node long, n long, shingles array<long>"), "open-sets")
-    held = sets.select("node", "n", F.explode("shingles").alias("s"))
-    shared = (held.groupBy(F.col("s").alias("h_s")).agg(F.count(F.lit(1)).alias("holders"), F.bit_xor(F.xxhash64("node")).alias("who"))
-              .filter("holders > 1"))
-    common_ones = held.join(shared, held["s"] == shared["h_s"]).drop("h_s")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("holders", "who", "s"))
-    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node"))  # these come first
-    first = (common_ones.withColumns({"rank": rank, "alone": alone})
-             .filter(F.col("rank") <= F.floor(F.col("n") * (100 - percent) / 100) + 1 - F.col("alone"))
+    held = sets.select("node", "n", F.explode("shingles").alias("s"), F.col("n").alias("size"))
+    first = (_by_rarity(held).filter(F.col("rank") <= F.floor(F.col("n") * (100 - percent) / 100) + 1)
              .select(F.xxhash64("holders", "who").alias("key"), "node", "n", (F.col("n") - F.col("alone")).alias("n_held")).distinct())
     own = open_.withColumnRenamed("node", "p_node")
     placed = first.join(own, first["node"] == own["p_node"]).drop("p_node").join(sketches, F.col("node") == F.col("s_node")).drop("s_node")
-    left = common.staged(_mixed(placed), "prefixes")
+    left = common.staged(_mixed(_mixed(placed), "centre"), "prefixes")
     other = left.withColumnsRenamed({c: f"o_{c}" for c in left.columns})
     # the overlap is no larger than what either one shares with any other
     fits = _alike(F.least("n_held", "o_n_held"), F.col("n"), F.col("o_n"), percent)
-    return (left.join(other, (left["key"] == other["o_key"]) & (left["node"] < other["o_node"]) & (left["component"] != other["o_component"]) & fits
-                      & _may_be_alike(left["sketch"], other["o_sketch"], values, percent))
+    return (left.join(other, (left["key"] == other["o_key"]) & (left["node"] < other["o_node"]) & (left["centre"] != other["o_centre"])
+                      & (left["component"] != other["o_component"]) & fits & _may_be_alike(left["sketch"], other["o_sketch"], values, percent))
+            .select(F.col("node").alias("pivot"), F.col("o_node").alias("member")).distinct())
+
+
+def _meeting_apart(open_: DataFrame, apart: DataFrame, sketches: DataFrame, percent: int, values: int) -> DataFrame:
+    """Pairs of open members with one centre, in different components, that may be alike by what sets them ``apart`` from it.
+
+    Two sets differ by their differences from a third: by ``size + o_size`` less
+    twice what these have in common.  Not more than ``(n + o_n) * (100 -
+    percent) / (100 + percent)`` may differ, so a certain part of the two
+    differences has to be common: where one is like the centre and the other
+    isn't, at least four ninths of either at 80 percent.  Members that are both
+    like the centre are linked by it.
+    """
+    more, less = 100 + percent, 100 - percent
+    sized = apart.withColumns({"size": F.size("apart").cast("long"), "near": _alike(F.col("inter"), F.col("n_pivot"), F.col("n"), percent)})
+    held = sized.select(F.col("member").alias("node"), F.col("pivot").alias("centre"), "n", "n_pivot", "size", "near", F.explode("apart").alias("s"))
+    # what a partner has to share of the difference: one that isn't like the centre, or any one
+    least = F.when(F.col("near"), F.floor((F.col("size") * more - (F.col("n") - F.col("n_pivot")) * less) / (2 * more)) + 1) \
+        .otherwise(F.ceil((F.col("size") * more - (F.col("n") + F.col("n_pivot")) * less) / 200))
+    first = (_by_rarity(held, "centre").filter(F.col("rank") <= F.col("size") - least + 1)
+             .groupBy(F.xxhash64("centre", "holders", "who").alias("key"), "node", "n", "size", "near").agg((F.col("size") - F.min("rank") + 1).alias("n_left")))
+    own = open_.select(F.col("node").alias("p_node"), "component")
+    placed = first.join(own, first["node"] == own["p_node"]).drop("p_node").join(sketches, F.col("node") == F.col("s_node")).drop("s_node")
+    far = placed.filter("NOT near").select(F.col("key").alias("f_key"))
+    left = common.staged(_mixed(placed).join(far, F.col("key") == F.col("f_key"), "left_semi"), "apart-prefixes")
+    other = left.withColumnsRenamed({c: f"o_{c}" for c in left.columns})
+    # from the first one that both have on, the overlap is no larger than what is left of either
+    fits = F.least("n_left", "o_n_left") * (2 * more) >= (F.col("size") + F.col("o_size")) * more - (F.col("n") + F.col("o_n")) * less
+    return (left.join(other, (left["key"] == other["o_key"]) & (left["node"] < other["o_node"]) & ~(left["near"] & other["o_near"])
+                      & (left["component"] != other["o_component"]) & fits & _may_be_alike(left["sketch"], other["o_sketch"], values, percent))
             .select(F.col("node").alias("pivot"), F.col("o_node").alias("member")).distinct())
 
 
@@ -285,13 +368,19 @@ def linked_nodes(classes: DataFrame, texts_of, k: int, percent: int, values: int
     """Components of the classes' nodes: pivots in the bands' buckets, then the open members (see the module's text)."""
     buckets = _with_company(classes.select("node", F.explode("keys").alias("key")))
     texts = texts_of(buckets)
-    links = _links(compared(buckets.filter("node <> pivot").select("pivot", F.col("node").alias("member")).distinct(), texts, k), percent)
+    facts = compared(buckets.filter("node <> pivot").select("pivot", F.col("node").alias("member")).distinct(), texts, k)
+    links = _links(facts, percent)
     found = components(links)
     open_ = _open(buckets, found)
     if open_.isEmpty():
         return found
     sketches = classes.groupBy(F.col("node").alias("s_node")).agg(F.first("sketch").alias("sketch"))
-    more = _links(compared(_meeting(open_, texts, sketches, k, percent, values), texts, k), percent)
+    open_ = _centred(open_, facts)
+    around = _beside(open_.filter("node <> centre").select(F.col("centre").alias("pivot"), F.col("node").alias("member")), texts)
+    apart = common.staged(common.map_arrow(around, _differences(k), "pivot long, member long, inter long, n_pivot long, n long, apart array<long>"), "apart")
+    pairs = (_meeting(open_, texts, sketches, k, percent, values)
+             .unionByName(_meeting_apart(open_, apart, sketches, percent, values)).distinct())
+    more = _links(compared(pairs, texts, k), percent).unionByName(_links(apart, percent))
     return components(links.unionByName(more))
 
 

@@ -125,3 +125,28 @@ def test_family_that_shares_a_fifth_and_passages_shared_by_many(spark):
     docs = spark.createDataFrame([(d, t, "", "", 0) for d, t in rows], DOC_SCHEMA)
     check(neardup.near_duplicates(docs, k=4), rows, 4)
     check(neardup.near_duplicates(docs, k=5), rows, 5)
+
+
+@pytest.mark.parametrize("percent", [80, 65])
+def test_family_of_strays_meets_by_what_sets_it_apart(spark, monkeypatch, percent):
+    rng = random.Random(percent)
+    base, block = prose(150, 40), prose(60, 41)
+    texts = [base] + [edited(base, rng.randrange(14), rng) for _ in range(260)]  # about half aren't like the base
+    for n in range(8):  # like each other by the edits that they share, longer and shorter than the base
+        stray = edited(base, 12, rng)
+        texts += [edited(stray, rng.randrange(3), rng) for _ in range(3)]
+        longer = " ".join([*base.split()[:20 * n], *block.split()[:4 + 7 * n], *base.split()[20 * n:]])
+        texts += [longer, edited(longer, 1 + n, rng), " ".join(edited(base, 2, rng).split()[5 * n:])]
+    rows = list(enumerate(texts))
+    pairs, whole = [], neardup.compared
+
+    def counted(these, *more):
+        got = whole(these, *more)
+        pairs.append(got.count())
+        return got
+    monkeypatch.setattr(neardup, "compared", counted)
+    docs = spark.createDataFrame([(d, t, "", "", 0) for d, t in rows], DOC_SCHEMA)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, k=4, percent=percent).collect()}
+    assert got == brute(rows, 4, percent)
+    assert len({c for _, c in got.values()}) > 20 and len(pairs) == 2
+    assert pairs[1] < 2 * len(rows)
