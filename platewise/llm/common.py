@@ -91,15 +91,37 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{path.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read back.
 
     Cuts the lineage: every consumer scans the stored columns it needs, and a
-    lost executor costs a re-read.  :func:`drop_staged` removes the files.
+    lost executor costs a re-read.  :func:`drop_staged` removes the files.  The
+    shuffles of the write go when it ends, as nothing reads them again; else
+    their files stay until the driver happens to collect garbage.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    cleanup = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if cleanup is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, cleanup)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unstaged(df: DataFrame) -> None:
+    """Remove the files of a table that :func:`staged` gave, once nothing that reads it is still to run."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {os.path.dirname(file) for file in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_staged(spark: SparkSession) -> None:

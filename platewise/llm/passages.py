@@ -17,8 +17,8 @@ joined, and all but the first place of each piece are removals.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,70 +27,126 @@ from pyspark.sql import functions as F
 
 from . import common, neardup
 
-_WORD = re.compile(r"\S+")
-_ENDS = frozenset(".!?")
+#: Code points that are white space; the last place stands for all after U+3000.
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+_ENDS = tuple(map(ord, ".!?"))
+_NEWLINES = "\r\n\v\f\x1c\x1d\x1e\x85\u2028\u2029"
 #: A word ends a piece if its hash is the smallest among so many before and after it; the second kind fills in between the first.
 _STRONG, _WEAK = 5, 2
 #: Most words between two cuts where hashes repeat and none is smallest.
 _LONGEST = 24
 
 
-def _smallest(values: np.ndarray, reach: int) -> list[int]:
-    """Places after the values that are smaller than the ``reach`` before them and no larger than those after."""
-    padded = np.pad(values, reach, constant_values=np.uint64(2**64 - 1))
-    n = len(values)
+class _Remembered(dict):
+    """Numbers of words, under which ``crc`` (of the word in lower case) and ``shingle``, its hash in shingles, are kept."""
+
+    def __init__(self):
+        self.crc, self.shingle = array("I"), array("Q")
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        low = word.lower().encode("utf-8", "surrogatepass")
+        self.crc.append(zlib.crc32(low))
+        # shingles lower A to Z only
+        self.shingle.append(neardup.word_hash(low if word.isascii() else word.encode("utf-8", "surrogatepass").lower()))
+        return number
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > neardup.MEMO:
+            self.clear()
+            self.__init__()
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.array(self.crc, np.uint64)[numbers], np.array(self.shingle, np.uint64)[numbers]
+
+
+_WORDS = _Remembered()
+
+
+def _smallest(values: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
+    """Which values are smaller than the ``reach`` before them and no larger than those after; ``at`` are their places, in each text
+    one after another, with ``reach`` free ones at least between texts."""
+    n = int(at[-1]) + 1 if len(at) else 0
+    padded = np.full(n + 2 * reach, np.uint64(2**64 - 1))
+    padded[at + reach] = values
+    own = padded[reach:reach + n]
     least = np.ones(n, bool)
     for j in range(1, reach + 1):
-        least &= values < padded[reach - j:reach - j + n]
-        least &= values <= padded[reach + j:reach + j + n]
-    return (np.flatnonzero(least) + 1).tolist()
+        least &= own < padded[reach - j:reach - j + n]
+        least &= own <= padded[reach + j:reach + j + n]
+    return least[at]
 
 
-def _refined(bounds: list[int], places: list[int], least: int) -> list[int]:
+def _refined(bounds: np.ndarray, places: np.ndarray, least: int) -> np.ndarray:
     """``bounds`` and those of the sorted ``places`` that are ``least`` away from the bounds and places before them and the next bound."""
-    out, at = bounds[:1], 0
-    for end in bounds[1:]:
-        while at < len(places) and places[at] < end:
-            if places[at] - out[-1] >= least and end - places[at] >= least:
-                out.append(places[at])
-            at += 1
-        out.append(end)
-    return out
-
-
-def _cuts(text: str, least: int, wide: int) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """Places of the words, and the numbers of the words before which paragraphs (of ``wide`` words at least)
-    and pieces (of ``least``) begin, with their ends.
+    after = np.searchsorted(bounds, places, "right")
+    after[after == len(bounds)] = 0  # a place at the last bound is none between two
+    places = places[(places - bounds[after - 1] >= least) & (bounds[after] - places >= least)]
+    if len(places) and (np.diff(places) < least).any():
+        some, last = [], -least
+        for place in places.tolist():
+            if place - last >= least:
+                some.append(place)
+                last = place
+        places = np.array(some, np.int64)
+    return np.sort(np.concatenate([bounds, places]))
+
+
+def _cut(texts: list[str], least: int, wide: int):
+    """The texts' words, one after another: first and end places, hashes in shingles; then the numbers of the words before which
+    the texts (numbers of those with ``least`` words at least come first), paragraphs (of ``wide`` words at least)
+    and pieces (of ``least``) begin, with the last one's end.
 
     Only what is certain for the whole text goes first: blank lines, then
     sentence ends, line breaks, and the words chosen by their hashes.  Words
     after the last cut that are too few for a piece belong to the one before.
     """
-    spans = [m.span() for m in _WORD.finditer(text)]
-    n = len(spans)
-    if n < least:
-        return spans, [0], [0]
-    hashes = [zlib.crc32(text[s:e].lower().encode("utf-8", "surrogatepass")) for s, e in spans]
-    blanks, lines, sentences = [], [], []
-    for i in range(1, n):
-        end, start = spans[i - 1][1], spans[i][0]
-        if start - end > 1 or text[end] != " ":
-            breaks = len(text[end:start].splitlines()) - (text[start - 1] not in "\r\n\v\f\x1c\x1d\x1e\x85\u2028\u2029")
-            if breaks:
-                (lines if breaks == 1 else blanks).append(i)
-        if text[end - 1] in _ENDS and hashes[i - 1] % 3:
-            sentences.append(i)
-    fine = _refined(_refined([0, n], blanks, least), sentences, least)
-    after_blank = set(blanks)
-    paragraphs_ = _refined(_refined([0, n], [i for i in fine[1:-1] if i in after_blank], wide), fine[1:-1], wide)
-    own = np.array(hashes, np.uint64)
-    pairs = neardup._mix(own[:-1] * neardup._A + own[1:])
+    joined = " ".join([*texts, ""])
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.flatnonzero(np.diff(_SPACE[np.minimum(codes, len(_SPACE) - 1)], prepend=True))
+    starts, ends = edge[::2], edge[1::2]
+    crc, h = _WORDS.of(joined.split())
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    origin = np.cumsum(lengths) - lengths
+    counts = np.diff(np.searchsorted(starts, np.append(origin, len(codes))))
+    long = counts >= least
+    kept = np.repeat(long, counts)
+    starts, ends, crc, h = starts[kept], ends[kept], crc[kept], h[kept]
+    counts, own = counts[long], np.flatnonzero(long)
+    bounds = np.append(0, np.cumsum(counts))
+    if not len(own):
+        return own, starts, ends, h, bounds, bounds, bounds
+    inner = np.ones(len(starts), bool)  # words that aren't a text's first
+    inner[bounds[:-1]] = False
+    before = np.append(0, ends[:-1])
+    odd = np.flatnonzero(inner & ((starts - before > 1) | (codes[np.minimum(before, len(codes) - 1)] != 32)))
+    blanks, lines = [], []
+    for i, end, start in zip(odd.tolist(), before[odd].tolist(), starts[odd].tolist()):
+        breaks = len(joined[end:start].splitlines()) - (joined[start - 1] not in _NEWLINES)
+        if breaks:
+            (lines if breaks == 1 else blanks).append(i)
+    blanks, lines = np.array(blanks, np.int64), np.array(lines, np.int64)
+    sentences = np.flatnonzero(inner & np.append(False, np.isin(codes[ends[:-1] - 1], _ENDS) & (crc[:-1] % 3 > 0)))
+    fine = _refined(_refined(bounds, blanks, least), sentences, least)
+    paragraphs_ = _refined(_refined(bounds, np.intersect1d(fine, blanks), wide), np.setdiff1d(fine, bounds), wide)
     pieces = _refined(fine, lines, least)
+    second = np.flatnonzero(inner)  # of each two neighbours
+    pairs = neardup._mix(crc[second - 1] * neardup._A + crc[second])
+    at = second + np.repeat(np.arange(len(own)), counts - 1) * _STRONG
     for reach in (_STRONG, _WEAK):
-        pieces = _refined(pieces, _smallest(pairs, reach), least)
-    if any(b - a > _LONGEST + least for a, b in zip(pieces, pieces[1:])):
-        pieces = _refined(pieces, sorted({x for a, b in zip(pieces, pieces[1:]) for x in range(a + _LONGEST, b, _LONGEST)}), least)
-    return spans, paragraphs_, pieces
+        pieces = _refined(pieces, second[_smallest(pairs, at, reach)], least)
+    widths = np.diff(pieces)
+    if (widths > _LONGEST + least).any():
+        text = np.searchsorted(bounds, pieces[:-1], "right")
+        some = np.isin(text, text[widths > _LONGEST + least]) & (widths > _LONGEST)
+        pieces = _refined(pieces, np.concatenate([np.arange(a + _LONGEST, a + w, _LONGEST) for a, w in zip(pieces[:-1][some].tolist(), widths[some].tolist())]), least)
+    starts, ends = (x - np.repeat(origin[own], counts) for x in (starts, ends))
+    return own, starts, ends, h, bounds, paragraphs_, pieces
+
+
+def _cuts(text: str, least: int, wide: int) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """Places of the words of one text, and the numbers of the words before which its paragraphs and pieces begin, with their ends."""
+    _, starts, ends, _, _, paragraphs_, pieces = _cut([text], least, wide)
+    return list(zip(starts.tolist(), ends.tolist())), paragraphs_.tolist(), pieces.tolist()
 
 
 def paragraphs(text: str, least: int) -> list[tuple[int, int, int]]:
@@ -121,44 +177,29 @@ def _distinct(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tupl
 def _units(least: int, wide: int, k: int, bands: int, seed: int):
     """The pieces, and the paragraphs (number -1) with their band keys; both with their places and the hashes of their shingle sets."""
     names = ("doc_id", "text_key", "no", "start", "end", "words", "p_start", "p_end")
-    types = [pa.int64(), pa.int64(), *[pa.int32()] * 6]
 
     def run(batches):
         factors, offsets = neardup.permutations(bands, seed)
-        for b in common.slices(batches, 64):
-            out, first, runs, at = [], [], [np.empty(0, np.uint64)], 0
-            for doc, key, text in zip(b["doc_id"].to_pylist(), b["text_key"].to_pylist(), b["text"].to_pylist(), strict=True):
-                spans, bounds, pieces = _cuts(text, least, wide)
-                if len(pieces) < 2:
-                    continue
-                words = [text[s:e].encode("utf-8", "surrogatepass").lower() for s, e in spans]
-                h = np.fromiter(map(neardup.WORDS.__getitem__, words), np.uint64, len(words))
-                value = h[:len(h) - k + 1]
-                for j in range(1, k):
-                    value = value * neardup._A + h[j:len(h) - k + 1 + j]
-                runs.append(neardup._mix(value + np.uint64(k)))
-                p = 0
-                for no, (a, z) in enumerate(zip(pieces, pieces[1:])):
-                    while bounds[p + 1] <= a:
-                        p += 1
-                    out.append((doc, key, no, spans[a][0], spans[z - 1][1], z - a, spans[bounds[p]][0], spans[bounds[p + 1] - 1][1]))
-                    first.append(at + a)
-                for a, z in zip(bounds, bounds[1:]):
-                    out.append((doc, key, -1, spans[a][0], spans[z - 1][1], z - a, spans[a][0], spans[z - 1][1]))
-                    first.append(at + a)
-                at += len(value)
-            if not out:
+        for b in common.slices(batches):
+            own, starts, ends, h, bounds, wholes, pieces = _cut(b["text"].to_pylist(), least, wide)
+            if not len(own):
                 continue
-            columns = [pa.array(c, t) for c, t in zip(zip(*out), types, strict=True)]
-            sets, starts = _distinct(np.concatenate(runs), np.array(first), np.array([u[5] - k + 1 for u in out]))
-            h1, h2 = _set_hashes(sets, starts)
-            # the paragraphs' sets alone
-            whole = np.array([u[2] < 0 for u in out])
-            lengths = np.diff(np.append(starts, len(sets)))
-            own = sets[np.repeat(whole, lengths)]
-            keys, sketch = neardup.signatures(own, (np.cumsum(lengths[whole]) - lengths[whole]), factors, offsets, bands)
-            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(whole * m.shape[1])), pa.int32()), pa.array(m.ravel())) for m in (keys, sketch)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(h1), pa.array(h2), *lists], names=[*names, "h1", "h2", "keys", "sketch"])
+            value = h[:len(h) - k + 1]
+            for j in range(1, k):
+                value = value * neardup._A + h[j:len(h) - k + 1 + j]
+            value = neardup._mix(value + np.uint64(k))
+            for cuts, whole in ((pieces, False), (wholes, True)):
+                first, after = cuts[:-1], cuts[1:]
+                text = np.searchsorted(bounds, first, "right") - 1
+                within = np.searchsorted(wholes, first, "right")
+                no = np.full(len(first), -1) if whole else np.arange(len(first)) - np.searchsorted(first, bounds)[text]
+                docs = pa.array(own[text])
+                columns = [b["doc_id"].take(docs), b["text_key"].take(docs), *[pa.array(c, pa.int32()) for c in (
+                    no, starts[first], ends[after - 1], after - first, starts[wholes[within - 1]], ends[wholes[within] - 1])]]
+                sets, at = _distinct(value, first, after - first - k + 1)
+                keys, sketch = neardup.signatures(sets, at, factors, offsets, bands) if whole else (np.empty((len(first), 0), np.int64),) * 2
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel())) for m in (keys, sketch)]
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, _set_hashes(sets, at)), *lists], names=[*names, "h1", "h2", "keys", "sketch"])
     return run
 
 
@@ -186,23 +227,26 @@ def _runs(found: DataFrame) -> DataFrame:
 
 def _alike_paragraphs(rows: DataFrame, paragraphs_: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
     """``h1, h2, component_id, first_doc_id`` of the paragraphs' sets that are similar (through any chain) to those of another document."""
-    classes = common.staged(paragraphs_.groupBy("h1", "h2").agg(
+    signed = common.staged(paragraphs_.groupBy("h1", "h2").agg(
         F.min("unit").alias("node"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min("label").alias("label"),
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "passage-classes")
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "passage-signatures")
 
     def texts_of(buckets: DataFrame) -> DataFrame:
         nodes = buckets.select("node").distinct()
-        places = (paragraphs_.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "unit", "start", "end")
+        places = common.staged(paragraphs_.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "unit", "start", "end")
                   .join(nodes, F.col("unit") == F.col("node"), "left_semi")
-                  .groupBy("d", "t").agg(F.collect_list(F.struct("unit", "start", "end")).alias("places")))
+                  .groupBy("d", "t").agg(F.collect_list(F.struct("unit", "start", "end")).alias("places")), "candidate-places")
         own = rows.join(places, (rows["doc_id"] == places["d"]) & (rows["text_key"] == places["t"])).select("text", "places")
         return common.staged(common.map_arrow(own, _slices(), "doc_id long, text string").dropDuplicates(["doc_id"]), "candidate-texts")
-    found = neardup.linked_nodes(classes, texts_of, k, percent, 2 * bands).withColumnRenamed("node", "f_node")
+    # stored links, which read nothing else
+    found = neardup.linked_nodes(signed, texts_of, k, percent, 2 * bands).withColumnRenamed("node", "f_node")
+    classes = common.staged(signed.drop("keys", "sketch"), "passage-classes")
+    common.unstaged(signed)
     placed = classes.join(found, classes["node"] == found["f_node"], "left").select(
         "h1", "h2", "label", "low", "high", F.coalesce("component", "node").alias("component"))
     across = (placed.groupBy(F.col("component").alias("c")).agg(F.min("label").alias("component_id"), F.min("low").alias("first_doc_id"), F.max("high").alias("last"))
               .filter("first_doc_id < last"))
-    return placed.join(across, placed["component"] == across["c"]).select("h1", "h2", "component_id", "first_doc_id")
+    return common.staged(placed.join(across, placed["component"] == across["c"]).select("h1", "h2", "component_id", "first_doc_id"), "passage-alike-sets")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 20, paragraph_words: int = 6, k: int = 5, percent: int = 80,
@@ -233,24 +277,26 @@ def repeated_passages(docs: DataFrame, least_words: int = 20, paragraph_words: i
     columns = ("doc_id long, text_key long, no int, start int, end int, words int, p_start int, p_end int, h1 long, h2 int, "
                "keys array<long>, sketch array<long>")
     units = common.staged(common.map_arrow(rows, _units(paragraph_words, max(least_words, paragraph_words), k, bands, seed), columns)
-                          .withColumn("unit", F.monotonically_increasing_id()), "passage-units").withColumn("label", F.xxhash64(*_DOC, "start", "end"))
+                          .withColumn("unit", F.when(F.col("no") < 0, F.monotonically_increasing_id())), "passage-units").withColumn("label", F.xxhash64(*_DOC, "start", "end"))
     pieces, wholes = units.filter("no >= 0").drop("keys", "sketch", "unit"), units.filter("no < 0")
 
-    def placed(of: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
-        """The units of ``sets``, those of repeated rows once."""
+    def placed(of: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """The units of ``sets``, stored; those of repeated rows each."""
         sets = sets.withColumnsRenamed({"h1": "s_h1", "h2": "s_h2"})
-        return of.join(sets, (of["h1"] == sets["s_h1"]) & (of["h2"] == sets["s_h2"])).select(*_PIECE, *more, "component_id", "first_doc_id").dropDuplicates([*_DOC, "start", "end"])
-    alike = placed(wholes, _alike_paragraphs(rows, wholes, k, percent, bands), "p_end")
-    repeated = (pieces.groupBy("h1", "h2").agg(F.min("label").alias("component_id"), F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
-                .filter("first_doc_id < last").drop("last"))
-    found = common.staged(placed(pieces, repeated), "passage-repeats")
+        return common.staged(of.join(sets, (of["h1"] == sets["s_h1"]) & (of["h2"] == sets["s_h2"])).select(*_PIECE, "component_id", "first_doc_id"), name)
+    # each step is stored, so that no more than one of the joins of all units has its shuffle at a time
+    alike = placed(wholes, _alike_paragraphs(rows, wholes, k, percent, bands), "passage-alike")
+    repeated = common.staged(pieces.groupBy("h1", "h2").agg(F.min("label").alias("component_id"), F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
+                             .filter("first_doc_id < last").drop("last"), "passage-repeated-sets")
+    found = placed(pieces, repeated, "passage-repeats")
     # paragraphs that are alike though none of their pieces shows it
-    shown = _runs(found).filter(F.col("n_words") >= least_words).select(*_DOC, "p_start").distinct()
-    alike = alike.join(shown, [*_DOC, "p_start"], "left_anti").select(
-        F.col("doc_id").alias("w_doc"), F.col("text_key").alias("w_key"), F.col("p_start").alias("w_start"), "component_id", "first_doc_id")
+    shown = _runs(found.repartition(*_DOC).dropDuplicates([*_DOC, "start", "end"])).filter(F.col("n_words") >= least_words).select(*_DOC, "p_start").distinct()
+    alike = common.staged(alike.join(shown, [*_DOC, "p_start"], "left_anti").select(
+        F.col("doc_id").alias("w_doc"), F.col("text_key").alias("w_key"), F.col("p_start").alias("w_start"), "component_id", "first_doc_id").distinct(), "passage-alike-alone")
     inside = (pieces.join(alike, (pieces["doc_id"] == alike["w_doc"]) & (pieces["text_key"] == alike["w_key"]) & (pieces["p_start"] == alike["w_start"]))
               .select(*_PIECE, "component_id", "first_doc_id"))
-    found = (found.unionByName(inside)
+    # a document's pieces meet once; all that follows stays there
+    found = (found.unionByName(inside).repartition(*_DOC)
              .groupBy(*_PIECE).agg(F.min("component_id").alias("component_id"), F.min("first_doc_id").alias("first_doc_id")))
     by_run = Window.partitionBy(*_DOC, "run").orderBy("start", "end")
     # a stretch ends where the first document changes, or where anything but white space, which pieces leave out, comes between

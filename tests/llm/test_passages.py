@@ -1,7 +1,9 @@
+import os
+from glob import glob
 from inspect import signature
 from itertools import combinations
 
-from platewise.llm import neardup, passages, queries
+from platewise.llm import common, neardup, passages, queries
 from tests.conftest import SF_SMALL
 
 from .helpers import DOC_SCHEMA, ODD_ROWS, odd_docs, prose
@@ -169,3 +171,33 @@ def test_every_pair_of_near_copied_paragraphs_is_found(spark):
     got = passages.repeated_passages(docs).collect()
     assert {r["doc_id"] for r in got} == set(texts)
     assert all(r["first_doc_id"] == r["doc_id"] - r["doc_id"] % 2 for r in got)
+
+
+def test_texts_are_cut_alike_alone_and_together():
+    texts = ["", "too short", sentences(9, 3), prose(300, 4).replace(" w", "\n\nw"), "same " * 200, f"　{sentences(5, 6)}\r\n\r\n{prose(90, 7)} \x1c", prose(40, 8)]
+    own, starts, ends, _, bounds, wholes, pieces = passages._cut(texts, 6, 20)
+    assert own.tolist() == [2, 3, 4, 5, 6]
+    for i, a, z in zip(own.tolist(), bounds.tolist(), bounds.tolist()[1:]):
+        spans, paragraphs, cuts = passages._cuts(texts[i], 6, 20)
+        assert [texts[i][s:e] for s, e in spans] == texts[i].split()
+        assert list(zip(starts[a:z].tolist(), ends[a:z].tolist())) == spans
+        for of, alone in ((wholes, paragraphs), (pieces, cuts)):
+            assert [c - a for c in of.tolist() if a <= c <= z] == alone
+
+
+def test_no_shuffle_files_and_no_signatures_are_left(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    setting = spark.conf.get(common._CLEANUP, None)
+
+    def shuffles():
+        return {os.path.basename(f) for d in blocks.localDirsString() for f in glob(f"{d}/*/shuffle_*.data")}
+    before = shuffles()
+    stored = common.staged(spark.range(1000).repartition(7), "test")
+    assert shuffles() <= before and stored.count() == 1000 and spark.conf.get(common._CLEANUP, None) == setting
+    docs = spark.createDataFrame([(i, sentences(9, 5), "en", "s", 1) for i in range(3)], DOC_SCHEMA)
+    left = common.shared_folder(spark).removeprefix("file:")
+    old = set(glob(f"{left}/passage-*"))
+    rows = passages.repeated_passages(docs)
+    new = {os.path.basename(f).rpartition("-")[0] for f in set(glob(f"{left}/passage-*")) - old}
+    assert "passage-classes" in new and "passage-signatures" not in new
+    assert sorted((r["doc_id"], r["removed"]) for r in rows.collect()) == [(0, False), (1, True), (2, True)]
