@@ -43,8 +43,8 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 MEMO = 250_000
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words]), "<u8").astype(np.uint64)
 
 
 class Words(dict):
@@ -53,7 +53,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > MEMO:
             self.clear()
-        value = self[word] = word_hash(word)
+        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return value
 
 
@@ -255,7 +255,7 @@ def _links(facts: DataFrame, percent: int) -> DataFrame:
 
 def _with_company(buckets: DataFrame) -> DataFrame:
     """Rows of ``buckets (key, node)`` that share their key, with the bucket's ``size`` and ``pivot``."""
-    sizes = common.staged(buckets.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared-keys")
+    sizes = common.staged(buckets.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared-keys").hint("shuffle_hash")
     own = common.staged(buckets.join(sizes, buckets["key"] == sizes["k"]).drop("k"), "buckets")
     weight = own.groupBy(F.col("node").alias("w_node")).agg(F.sum("size").alias("weight"))
     weighed = own.join(weight, own["node"] == weight["w_node"])

@@ -18,7 +18,6 @@ joined, and all but the first place of each piece are removals.
 from __future__ import annotations
 
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,8 @@ _ENDS = tuple(map(ord, ".!?"))
 _NEWLINES = "\r\n\v\f\x1c\x1d\x1e\x85\u2028\u2029"
 #: A word ends a piece if its hash is the smallest among so many before and after it; the second kind fills in between the first.
 _STRONG, _WEAK = 5, 2
+#: Sets of at most so many members are sorted as rows of one array.
+_SIDE_BY_SIDE = 64
 #: Most words between two cuts where hashes repeat and none is smallest.
 _LONGEST = 24
 
@@ -41,22 +42,21 @@ class _Remembered(dict):
     """Numbers of words, under which ``crc`` (of the word in lower case) and ``shingle``, its hash in shingles, are kept."""
 
     def __init__(self):
-        self.crc, self.shingle = array("I"), array("Q")
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        low = word.lower().encode("utf-8", "surrogatepass")
-        self.crc.append(zlib.crc32(low))
-        # shingles lower A to Z only
-        self.shingle.append(neardup.word_hash(low if word.isascii() else word.encode("utf-8", "surrogatepass").lower()))
-        return number
+        self.crc = self.shingle = np.empty(0, np.uint64)
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > neardup.MEMO:
             self.clear()
             self.__init__()
+        if new := [w for w in set(words) if w not in self]:
+            self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+            low = [w.lower().encode("utf-8", "surrogatepass") for w in new]
+            # shingles lower A to Z only
+            own = [x if w.isascii() else w.encode("utf-8", "surrogatepass").lower() for w, x in zip(new, low, strict=True)]
+            self.crc = np.append(self.crc, np.fromiter(map(zlib.crc32, low), np.uint64, len(new)))
+            self.shingle = np.append(self.shingle, neardup.word_hashes(own))
         numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.array(self.crc, np.uint64)[numbers], np.array(self.shingle, np.uint64)[numbers]
+        return self.crc[numbers], self.shingle[numbers]
 
 
 _WORDS = _Remembered()
@@ -167,16 +167,25 @@ def _set_hashes(sets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 def _distinct(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ones of ``counts`` values from each place in ``first``, sorted, one set after another, and where each begins."""
     owner = np.repeat(np.arange(len(first)), counts)
-    own = values[np.arange(len(owner)) + np.repeat(first - (np.cumsum(counts) - counts), counts)]
-    order = np.lexsort((own, owner))
-    own, owner = own[order], owner[order]
+    before = np.cumsum(counts) - counts
+    own = values[np.arange(len(owner)) + np.repeat(first - before, counts)]
+    widest = int(counts.max()) if len(counts) else 0
+    if widest <= _SIDE_BY_SIDE:
+        grid = np.full((len(first), widest), np.uint64(2**64 - 1))
+        held = np.arange(widest) < counts[:, None]
+        grid[held] = own
+        grid.sort(axis=1)  # what fills the rows up stays last
+        own = grid[held]
+    else:
+        order = np.lexsort((own, owner))
+        own, owner = own[order], owner[order]
     new = np.append(True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1]))[:len(own)]
     return own[new], np.searchsorted(owner[new], np.arange(len(first)))
 
 
 def _units(least: int, wide: int, k: int, bands: int, seed: int):
     """The pieces, and the paragraphs (number -1) with their band keys; both with their places and the hashes of their shingle sets."""
-    names = ("doc_id", "text_key", "no", "start", "end", "words", "p_start", "p_end")
+    names = ("doc_id", "text_key", "no", "start", "end", "words", "p_start")
 
     def run(batches):
         factors, offsets = neardup.permutations(bands, seed)
@@ -195,7 +204,7 @@ def _units(least: int, wide: int, k: int, bands: int, seed: int):
                 no = np.full(len(first), -1) if whole else np.arange(len(first)) - np.searchsorted(first, bounds)[text]
                 docs = pa.array(own[text])
                 columns = [b["doc_id"].take(docs), b["text_key"].take(docs), *[pa.array(c, pa.int32()) for c in (
-                    no, starts[first], ends[after - 1], after - first, starts[wholes[within - 1]], ends[wholes[within] - 1])]]
+                    no, starts[first], ends[after - 1], after - first, starts[wholes[within - 1]])]]
                 sets, at = _distinct(value, first, after - first - k + 1)
                 keys, sketch = neardup.signatures(sets, at, factors, offsets, bands) if whole else (np.empty((len(first), 0), np.int64),) * 2
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel())) for m in (keys, sketch)]
@@ -274,7 +283,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 20, paragraph_words: i
     if paragraph_words < k:
         raise ValueError("pieces are shorter than a shingle")
     rows = common.id_text(docs, id_col, text_col).filter("doc_id IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
-    columns = ("doc_id long, text_key long, no int, start int, end int, words int, p_start int, p_end int, h1 long, h2 int, "
+    columns = ("doc_id long, text_key long, no int, start int, end int, words int, p_start int, h1 long, h2 int, "
                "keys array<long>, sketch array<long>")
     units = common.staged(common.map_arrow(rows, _units(paragraph_words, max(least_words, paragraph_words), k, bands, seed), columns)
                           .withColumn("unit", F.when(F.col("no") < 0, F.monotonically_increasing_id())), "passage-units").withColumn("label", F.xxhash64(*_DOC, "start", "end"))
@@ -282,7 +291,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 20, paragraph_words: i
 
     def placed(of: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The units of ``sets``, stored; those of repeated rows each."""
-        sets = sets.withColumnsRenamed({"h1": "s_h1", "h2": "s_h2"})
+        sets = sets.withColumnsRenamed({"h1": "s_h1", "h2": "s_h2"}).hint("shuffle_hash")  # the units needn't be sorted for it
         return common.staged(of.join(sets, (of["h1"] == sets["s_h1"]) & (of["h2"] == sets["s_h2"])).select(*_PIECE, "component_id", "first_doc_id"), name)
     # each step is stored, so that no more than one of the joins of all units has its shuffle at a time
     alike = placed(wholes, _alike_paragraphs(rows, wholes, k, percent, bands), "passage-alike")
@@ -292,7 +301,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 20, paragraph_words: i
     # paragraphs that are alike though none of their pieces shows it
     shown = _runs(found.repartition(*_DOC).dropDuplicates([*_DOC, "start", "end"])).filter(F.col("n_words") >= least_words).select(*_DOC, "p_start").distinct()
     alike = common.staged(alike.join(shown, [*_DOC, "p_start"], "left_anti").select(
-        F.col("doc_id").alias("w_doc"), F.col("text_key").alias("w_key"), F.col("p_start").alias("w_start"), "component_id", "first_doc_id").distinct(), "passage-alike-alone")
+        F.col("doc_id").alias("w_doc"), F.col("text_key").alias("w_key"), F.col("p_start").alias("w_start"), "component_id", "first_doc_id").distinct(), "passage-alike-alone").hint("shuffle_hash")
     inside = (pieces.join(alike, (pieces["doc_id"] == alike["w_doc"]) & (pieces["text_key"] == alike["w_key"]) & (pieces["p_start"] == alike["w_start"]))
               .select(*_PIECE, "component_id", "first_doc_id"))
     # a document's pieces meet once; all that follows stays there
